@@ -150,6 +150,8 @@ def _deps(sql: str) -> set[str]:
 def with_ledger(body: str, extra: list[tuple[str, str]] | None = None) -> str:
     """Prefix ``body`` with the (transitively) needed ledger CTEs."""
     extra = extra or []
+    if body.strip().lower().startswith("with"):
+        body = f"select * from ({body.strip()}) __q"
     bodies = dict(_BODY)
     order = list(_NAMES)
     for n, s in extra:
