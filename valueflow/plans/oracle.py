@@ -100,6 +100,65 @@ select max(o_orderkey) as movement_id, max(o_orderkey) as transaction_id, o_cust
   case when max(o_orderkey) % 7 = 0 then 'R9' end as new_restriction,
   arg_max(o_orderdate, o_orderkey) as moved_at
 from orders group by o_custkey"""),
+    ("raw_receipts", """
+select l_orderkey as receipt_id,
+  case when o_orderkey % 4 = 0 then strftime(o_orderdate, '%Y%m%d') else strftime(o_orderdate, '%Y%m%d%H%M') end as at_text,
+  case when o_orderpriority = '5-LOW' then 'n' else 'y' end as public_text,
+  case when o_orderkey % 9 = 0 then lower(n_name) else n_name end as brand_text,
+  case when o_orderkey % 11 = 0 then replace(s_name, 'Supplier#', 'Sup ') else s_name end as branch_text,
+  cast(l_linenumber as bigint) as line_no,
+  case when l_partkey % 6 >= 2 then case when l_linenumber = 3 then upper(p_name || ' ' || p_brand)
+    else p_name || ' ' || p_brand end else 'item ' || cast(l_partkey as varchar) end as item_text,
+  case l_partkey % 6 when 0 then cast(l_suppkey % 15 as varchar) when 1 then 'a' when 2 then 'u' when 3 then 'm'
+    when 4 then 'p' else 'o' end as kind_text,
+  case when l_linenumber = 6 then 'x' else '' end || cast(cast(floor(l_extendedprice / l_quantity) as bigint) as varchar)
+    as price_text,
+  cast(l_quantity as varchar) as qty_text,
+  case when l_linenumber % 4 = 0 then '' else cast(l_tax as varchar) end as tax_text,
+  case when l_linenumber = 2 then cast(cast(floor(l_extendedprice * l_discount) as bigint) as varchar) else '' end
+    as discount_text,
+  case when l_returnflag = 'A' then '2' when l_returnflag = 'N' then '4' else '1' end as dest_text,
+  case when l_linenumber = 5 then '20011340' when l_linenumber % 3 <> 0 then strftime(l_shipdate, '%Y%m%d') end
+    as limit_text,
+  case when l_linenumber % 2 = 0 then '2' else '1' end as limit_kind_text
+from lineitem join (select o.*, s.s_name, n.n_name from orders o
+  left join supplier s on o.o_custkey % 10 = s.s_suppkey left join nation n on s.s_nationkey = n.n_nationkey) h
+  on l_orderkey = o_orderkey
+left join part on l_partkey = p_partkey"""),
+    ("receipt_parsed", """
+select *, case when unit_price is null then 'BAD_PRICE' when quantity is null then 'BAD_QUANTITY' end as reject_reason
+from (select receipt_id, line_no,
+  coalesce(case when regexp_full_match(tt, '[0-9]{12}') then try_strptime(tt, '%Y%m%d%H%M')
+                when regexp_full_match(tt, '[0-9]{8}') then try_strptime(tt, '%Y%m%d') end,
+           timestamp '{as_of}') as transaction_at,
+  pub as is_public, brand_text, branch_text, item_text, ft as food_type,
+  case when regexp_full_match(k, '[0-9]+') then try_cast(k as bigint) end as category_id,
+  case when regexp_full_match(pt, '-?[0-9]+') then try_cast(pt as bigint) end as unit_price,
+  try_cast(translate(trim(qty_text), '０１２３４５６７８９', '0123456789') as double) as quantity,
+  coalesce(try_cast(translate(trim(tax_text), '０１２３４５６７８９', '0123456789') as double),
+    case when not pub then 0.0e0 when ft in ('UNIVERSAL','MEASURED','PROCESSED') then 0.08e0 else 0.10e0 end) as tax_rate,
+  coalesce(try_cast(translate(trim(discount_text), '０１２３４５６７８９', '0123456789') as double), 0.0e0)
+    as discount_amount,
+  dest as destination,
+  case when dest in ('FRIDGE','FREEZER','PANTRY') and coalesce(trim(limit_text) <> '', false) then
+    case when regexp_full_match(lt, '[0-9]{8}') then try_strptime(lt, '%Y%m%d') end end as limit_date,
+  case when dest in ('FRIDGE','FREEZER','PANTRY') and coalesce(trim(limit_text) <> '', false) then
+    case when trim(limit_kind_text) = '2' then 'BEST_BEFORE' else 'CONSUMPTION' end end as limit_type
+from (select *,
+    case when ft in ('UNIVERSAL','MEASURED','PROCESSED') then
+      coalesce(case trim(dest_text) when '1' then 'EAT_NOW' when '2' then 'FRIDGE' when '3' then 'FREEZER'
+                 when '4' then 'PANTRY' when '5' then 'GIFT' end, 'EAT_NOW') else 'EAT_NOW' end as dest
+  from (select *, translate(trim(at_text), '０１２３４５６７８９', '0123456789') as tt,
+      translate(trim(price_text), '０１２３４５６７８９', '0123456789') as pt,
+      translate(trim(limit_text), '０１２３４５６７８９', '0123456789') as lt,
+      lower(trim(kind_text)) as k,
+      coalesce(lower(trim(public_text)) <> 'n', true) as pub,
+      case when regexp_full_match(lower(trim(kind_text)), '[0-9]+') then 'NONE'
+        else coalesce(case lower(trim(kind_text)) when 'u' then 'UNIVERSAL' when 'm' then 'MEASURED'
+          when 'p' then 'PROCESSED' when 'o' then 'OUT_EAT' when 'a' then 'ADJUSTMENT' when 'x' then 'NONE' end,
+          'NONE') end as ft
+    from raw_receipts) a) b) c"""),
+    ("receipt_lines", "select * exclude (reject_reason) from receipt_parsed where reject_reason is null"),
     # --- consumption fold (recursive), the oracle of the streaming fold ---
     ("req_lots", """
 select r.*, i.detail_id, i.current_quantity as lot_quantity,
@@ -139,6 +198,9 @@ from t_inventory i left join (
   from decisions where accepted group by inventory_id) l on i.id = l.inventory_id"""),
 ]
 
+# --- fixed values: "now" of the batch ingest of the registered queries ---
+INGEST_AS_OF = "2001-06-15 12:00:00"
+VIEWS = [(n, b.replace("{as_of}", INGEST_AS_OF)) for n, b in VIEWS]
 _NAMES = [n for n, _ in VIEWS]
 _BODY = dict(VIEWS)
 

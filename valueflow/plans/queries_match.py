@@ -1 +1,77 @@
-"""Registered queries."""
+"""Registered matching queries (J-09, J-10, Z-01 … Z-05, W-04).
+
+The similarity scores are computed by the standard-library matcher inside a
+pandas UDF, so Z-* and W-04 have no SQL oracle (rows-only check); their
+exact-name steps (J-09, J-10) do.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import matching as Z
+from ..sources.ingest import ingest_receipts
+from .catalog import AS_OF, register
+from .queries_sources import MATCH_SQL
+
+c = F.col
+FOOD_TYPES = ("UNIVERSAL", "MEASURED", "PROCESSED", "OUT_EAT")
+
+
+def _lines(led):
+    return ingest_receipts(led["raw_receipts"], AS_OF)["lines"]
+
+
+def _food_queries(led):
+    return _lines(led).filter(c("food_type").isin(*FOOD_TYPES)).select(c("item_text").alias("query"), "food_type")
+
+
+@register("j09_existing_entity_match", f"select * from {MATCH_SQL} m")
+def j09(led):
+    return Z.existing_entity_match(_lines(led), led)
+
+
+@register("j10_new_entities", f"""select distinct 'BRAND' as entity, cast(null as varchar) as scope, l.brand_text as name
+from receipt_lines l where l.brand_text is not null and l.brand_text <> ''
+  and l.brand_text not in (select name from m_brands)
+union all
+select distinct 'BRANCH' as entity, cast(brand_id as varchar) as scope, branch_text as name
+from {MATCH_SQL} m where brand_id is not null and branch_id is null
+union all
+select distinct 'FOOD' as entity, case when food_type = 'OUT_EAT' then 'PROCESSED' else food_type end as scope,
+  item_text as name
+from {MATCH_SQL} m where food_type in ('UNIVERSAL','MEASURED','PROCESSED','OUT_EAT') and food_id is null""")
+def j10(led):
+    return Z.new_entities(_lines(led), led)
+
+
+@register("z05_similarity_join")
+def z05(led):
+    """Every (receipt food text, master, name) pair scoring >= 0.4."""
+    return Z.similarity_join(_food_queries(led).select("query"), Z.food_masters(led))
+
+
+@register("w04_top3_candidates")
+def w04(led):
+    masters = Z.food_masters(led)
+    return Z.top_candidates(Z.best_matches(_food_queries(led).select("query"), masters), masters)
+
+
+@register("z01_find_food")
+def z01(led):
+    return Z.find_food(_food_queries(led), Z.food_masters(led))
+
+
+@register("z02_find_food_candidates")
+def z02(led):
+    return Z.find_food_candidates(_food_queries(led), Z.food_masters(led))
+
+
+@register("z03_find_food_in")
+def z03(led):
+    return Z.find_food_in(_food_queries(led), Z.food_masters(led))
+
+
+@register("z04_match_store")
+def z04(led):
+    return Z.match_store(_lines(led), led["m_brands"], led["m_store_branches"])

@@ -1 +1,90 @@
-"""Registered queries."""
+"""Registered source / sink / ingest queries (S-01 … S-07, R-09)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources import ingest as I
+from ..sources.ledger import Ledger
+from .catalog import AS_OF, register
+
+c = F.col
+
+
+@register("s01_scan_ledger", "select * from t_transaction_details")
+def s01(led):
+    """Store a ledger table as Parquet and read it back with its fixed schema."""
+    root = I.scratch_path(led.spark, "ledger")
+    led["t_transaction_details"].write.parquet(f"{root}/t_transaction_details")
+    return Ledger.load(led.spark, root, tables=["t_transaction_details"])["t_transaction_details"]
+
+
+@register("s02_append_facts", "select *, cast(date_trunc('month', transaction_at) as date) as month from t_transactions")
+def s02(led):
+    """Two appends into a month-partitioned fact table, read back."""
+    return I.append_round_trip(led.spark, led["t_transactions"])
+
+
+@register("s04_ingest_receipts", "select * from receipt_lines")
+def s04(led):
+    return I.ingest_receipts(led["raw_receipts"], AS_OF)["lines"]
+
+
+@register("s04_ingest_rejects", "select * from receipt_parsed where reject_reason is not null")
+def s04r(led):
+    return I.ingest_receipts(led["raw_receipts"], AS_OF)["rejects"]
+
+
+@register("s05_seed_rates", """select id as currency_id, 1.0e0 as rate_to_jpy, 'VALUE_ADJUST' as change_type,
+  coalesce(start_at, timestamp '1899-12-30 00:00:00') as effective_at from m_currencies""")
+def s05(led):
+    return I.seed_rates(led["m_currencies"])
+
+
+@register("s05_seed_balances", """select id as wallet_id, cast(0 as bigint) as amount, cast(0 as bigint) as current_amount,
+  cast(null as bigint) as origin_payment_id from m_wallets""")
+def s05b(led):
+    return I.seed_balances(led["m_wallets"])
+
+
+@register("s06_add_missing_column", "select *, 'ESTIMATE' as expiration_type from t_inventory")
+def s06(led):
+    return I.add_missing_column(led["t_inventory"], "expiration_type", "ESTIMATE")
+
+
+@register("s07_apply_updates", """select id,
+  coalesce(case when id % 14 = 0 then 'late ' || cast(id as varchar) end,
+           case when transaction_name is null then 'order ' || cast(id as varchar) end, transaction_name)
+    as transaction_name,
+  branch_id, transaction_at, is_public, tax_adjustment_jpy, total_amount_jpy
+from t_transactions""")
+def s07(led):
+    """Name updates after entry: a first naming batch and a later correction; latest wins."""
+    base = led["t_transactions"]
+    u1 = (base.filter(c("transaction_name").isNull())
+          .withColumn("transaction_name", F.concat(F.lit("order "), c("id").cast("string")))
+          .withColumn("seq", F.lit(1)))
+    u2 = (base.filter(c("id") % 14 == 0)
+          .withColumn("transaction_name", F.concat(F.lit("late "), c("id").cast("string")))
+          .withColumn("seq", F.lit(2)))
+    return I.apply_updates(base, u1.unionByName(u2), "id")
+
+
+MATCH_SQL = """(select l.*, b.id as brand_id, sb.id as branch_id, f.food_id
+  from receipt_lines l left join m_brands b on l.brand_text = b.name
+  left join m_store_branches sb on sb.brand_id = b.id and sb.branch_name = l.branch_text
+  left join (select food_kind, name, min(id) as food_id from m_foods group by food_kind, name) f
+    on f.food_kind = case when l.food_type = 'OUT_EAT' then 'PROCESSED' else l.food_type end
+    and f.name = l.item_text)"""
+
+
+@register("r09_record_purchases", f"""select receipt_id, min(transaction_at) as transaction_at, min(is_public) as is_public,
+  min(brand_id) as brand_id, min(branch_id) as branch_id,
+  cast(sum(case when x >= 0 then floor(x) else ceil(x) end) as bigint) as total_amount_jpy, count(*) as n_lines
+from (select *, greatest(unit_price * quantity - discount_amount, 0.0e0) * (1.0e0 + tax_rate) as x from {MATCH_SQL} m) y
+group by receipt_id""")
+def r09(led):
+    return I.record_purchases(led["raw_receipts"], led, AS_OF)["transactions"]
+
+
+__all__ = ["MATCH_SQL"]

@@ -167,6 +167,9 @@ class Ledger(dict):
         led["t_inventory"] = create_lots(led["t_transaction_details"], led["t_transactions"])
         led["consume_requests"] = _consume_requests(led["t_transaction_details"], led["t_transactions"])
 
+        from .ingest import raw_receipts
+        led["raw_receipts"] = raw_receipts(star)
+
         # One settlement movement per wallet: the customer's latest order.
         latest = orders.groupBy("o_custkey").agg(
             F.max("o_orderkey").alias("o_orderkey"),
