@@ -1 +1,181 @@
-"""Registered queries."""
+"""Registered data-quality and report-level queries (V-01 … V-10, A-15, R-05).
+
+The oracle text of the generic checks is generated from the same rule
+metadata (enum lists, NOT NULL columns, keys, foreign-key edges) the Spark
+checks iterate over.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import quality as Q
+from ..operators import money as M
+from ..operators import stock as K
+from ..sources.schema import ENUMS, SCHEMAS
+from .catalog import AS_OF, register
+from .queries_goods import CHECKOUT_LINE, TRUNC
+
+c = F.col
+
+# tables the star adapter provides (the ones the oracle knows as views)
+LEDGER_TABLES = [t for t in SCHEMAS]
+
+
+def _row(rule, table, column, key, value):
+    k = f"cast({key} as varchar)" if key else "cast(null as varchar)"
+    return (f"select '{rule}' as rule, '{table}' as table_name, '{column}' as column_name, {k} as row_key, "
+            f"cast({value} as varchar) as value")
+
+
+def _has_id(table):
+    return "id" in SCHEMAS[table].fieldNames()
+
+
+def _enum_sql():
+    parts = []
+    for (table, col), allowed in ENUMS.items():
+        if table in SCHEMAS and col in SCHEMAS[table].fieldNames():
+            vals = ", ".join(f"'{v}'" for v in allowed)
+            parts.append(f"{_row('ENUM', table, col, 'id' if _has_id(table) else None, col)} from {table} "
+                         f"where {col} is not null and {col} not in ({vals})")
+    return "\nunion all ".join(parts)
+
+
+def _required_sql():
+    parts = []
+    for table, schema in SCHEMAS.items():
+        for f in schema.fields:
+            if not f.nullable:
+                parts.append(f"{_row('NOT_NULL', table, f.name, 'id' if _has_id(table) else None, 'null')} "
+                             f"from {table} where {f.name} is null")
+    return "\nunion all ".join(parts)
+
+
+def _unique_sql():
+    keys = [(t, "id") for t in SCHEMAS if _has_id(t)] + Q.UNIQUE_KEYS
+    return "\nunion all ".join(
+        f"{_row('UNIQUE', t, col, col, 'n')} from (select {col}, count(*) as n from {t} group by {col} having count(*) > 1) d"
+        for t, col in keys)
+
+
+def _fk_sql():
+    return "\nunion all ".join(
+        f"{_row('FOREIGN_KEY', ch, cc, 'ch.id' if _has_id(ch) else None, 'ch.' + cc)} from {ch} ch "
+        f"where ch.{cc} is not null and ch.{cc} not in (select {pc} from {pa} where {pc} is not null)"
+        for ch, cc, pa, pc in Q.FOREIGN_KEYS)
+
+
+@register("v01_check_enums", _enum_sql())
+def v01(led):
+    return Q.check_enums(led)
+
+
+@register("v02_check_required", _required_sql())
+def v02(led):
+    return Q.check_required(led)
+
+
+@register("v03_check_unique", _unique_sql())
+def v03(led):
+    return Q.check_unique(led)
+
+
+@register("v04_check_foreign_keys", _fk_sql())
+def v04(led):
+    return Q.check_foreign_keys(led)
+
+
+@register("v05_check_food_reference", f"""{_row('FOOD_REFERENCE', 't_transaction_details', 'food_id', 'd.id', 'd.food_id')}
+from t_transaction_details d where d.food_id is not null and not exists (
+  select 1 from m_foods f where f.id = d.food_id
+    and f.food_kind = case when d.food_type = 'OUT_EAT' then 'PROCESSED' else d.food_type end)""")
+def v05(led):
+    return Q.check_food_reference(led)
+
+
+@register("v06_check_category_rule", f"""{_row('CATEGORY_NEEDS_NONE', 't_transaction_details', 'food_type', 'id', 'food_type')}
+from t_transaction_details where category_id is not null and coalesce(food_type, 'NONE') <> 'NONE'""")
+def v06(led):
+    return Q.check_category_rule(led)
+
+
+@register("v07_check_ranges", f"""{_row('RANGE', 't_transaction_details', 'reliability_level', 'id', 'reliability_level')}
+from t_transaction_details where reliability_level is not null and reliability_level not between 1 and 3""")
+def v07(led):
+    return Q.check_ranges(led)
+
+
+@register("v09_reconcile_flows", f"""select coalesce(g.transaction_id, m.transaction_id) as transaction_id,
+  coalesce(g.goods_total, 0) as goods_total, coalesce(m.money_total, 0) as money_total,
+  coalesce(g.goods_total, 0) + coalesce(m.money_total, 0) as difference
+from (select transaction_id, cast(sum({TRUNC.format(x=CHECKOUT_LINE)}) as bigint) as goods_total
+      from t_transaction_details group by transaction_id) g
+full join (select transaction_id, cast(sum(amount) as bigint) as money_total from t_payments group by transaction_id) m
+  on g.transaction_id = m.transaction_id""")
+def v09(led):
+    return Q.reconcile_flows(led)
+
+
+@register("v10_reconcile_stock", """select * from (select s.id, s.current_quantity as stored,
+  cast(cast(i.current_quantity as decimal(28,8)) - coalesce(u.used, 0) as double) as recomputed,
+  s.current_quantity - cast(cast(i.current_quantity as decimal(28,8)) - coalesce(u.used, 0) as double) as difference
+from t_inventory_snapshot s join t_inventory i on s.id = i.id
+left join (select inventory_id, sum(cast(amount_consumed as decimal(28,8))) as used from t_meal_details
+           group by inventory_id) u on i.id = u.inventory_id) x where abs(difference) > 1e-6""")
+def v10(led):
+    return Q.reconcile_stock(led)
+
+
+@register("v10_reconcile_balances", """select * from (
+  select s.wallet_id, s.expiry_at, s.usage_restriction, s.current_amount as stored, r.recomputed
+  from (select p.wallet_id, p.expiry_at, p.usage_restriction, cast(sum(p.amount) as bigint) as current_amount
+        from t_payments p where p.wallet_id is not null and (p.expiry_at is not null or p.usage_restriction is not null)
+        group by 1, 2, 3) s
+  full join (select wallet_id, expiry_at, usage_restriction,
+               arg_max(cast(run as bigint), id) as recomputed
+             from (select p.*, sum(p.amount) over (partition by p.wallet_id, p.expiry_at, p.usage_restriction order by p.id
+                     rows between unbounded preceding and current row) as run
+                   from t_payments p where p.wallet_id is not null
+                     and (p.expiry_at is not null or p.usage_restriction is not null)) x
+             group by 1, 2, 3) r
+  on s.wallet_id = r.wallet_id and s.expiry_at is not distinct from r.expiry_at
+     and s.usage_restriction is not distinct from r.usage_restriction) y
+where stored is distinct from recomputed""")
+def v10b(led):
+    return Q.reconcile_balances(led)
+
+
+@register("a15_report_counts", """select 'transactions' as report, count(*) as n from t_transactions
+union all select 'consumed_items' as report, count(*) as n from t_meal_details
+union all select 'rejected_requests' as report, count(*) as n from decisions where not accepted""")
+def a15(led):
+    """Row counts shown under the listings, as aggregates (no driver-side count)."""
+    K.ensure_consumption(led)
+    return (led["t_transactions"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("transactions").alias("report"), "n")
+            .unionByName(led["t_meal_details"].agg(F.count(F.lit(1)).alias("n"))
+                         .select(F.lit("consumed_items").alias("report"), "n"))
+            .unionByName(led["consumption_rejects"].agg(F.count(F.lit(1)).alias("n"))
+                         .select(F.lit("rejected_requests").alias("report"), "n")))
+
+
+@register("r05_asset_report", f"""select 'WALLET' as section, w.name as item, cast(coalesce(s.current_amount, 0) as double) as amount,
+  c.display_unit as unit
+from m_wallets w join m_currencies c on w.currency_id = c.id
+left join (select p.wallet_id, cast(sum(p.amount) as bigint) as current_amount from t_payments p
+           where p.wallet_id is not null group by p.wallet_id, p.expiry_at, p.usage_restriction) s on w.id = s.wallet_id
+where w.is_active
+union all
+select 'STOCK' as section, d.item_name_receipt as item, inv.current_quantity as amount,
+  case d.destination when 'FRIDGE' then 'fridge' when 'FREEZER' then 'freezer' when 'PANTRY' then 'pantry' else '' end
+    as unit
+from t_inventory_snapshot inv join t_transaction_details d on inv.detail_id = d.id
+join t_transactions t on d.transaction_id = t.id
+where inv.current_quantity > 0""")
+def r05(led):
+    """Wallet balances and stock in one listing."""
+    w = M.wallet_balances(led).select(F.lit("WALLET").alias("section"), c("name").alias("item"),
+                                      c("total").cast("double").alias("amount"), c("display_unit").alias("unit"))
+    s = K.stock_report(led, AS_OF).select(F.lit("STOCK").alias("section"), c("item_name_receipt").alias("item"),
+                                          c("current_quantity").alias("amount"), c("place").alias("unit"))
+    return w.unionByName(s)

@@ -150,6 +150,7 @@ class Ledger(dict):
             dest.alias("destination"),
             F.when(ln % 3 != 0, c("l_shipdate")).alias("limit_date"),
             F.when(ln % 3 == 1, "CONSUMPTION").when(ln % 3 == 2, "BEST_BEFORE").alias("limit_type"),
+            F.when(ln % 5 != 0, ln % 5).alias("reliability_level"),
         ), "t_transaction_details")
 
         eid = c("event_id")
