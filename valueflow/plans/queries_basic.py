@@ -50,12 +50,12 @@ def p03(led):
 
 
 @register("p04_coalesce", """select id, coalesce(food_id, category_id, -1) as ref_id, coalesce(discount_amount, 0.0e0) as discount,
-  coalesce(limit_date, timestamp '2999-12-31 00:00:00') as limit_or_far from t_transaction_details""")
+  coalesce(limit_date, timestamp '2199-12-31 00:00:00') as limit_or_far from t_transaction_details""")
 def p04(led):
     return led["t_transaction_details"].select(
         "id", F.coalesce("food_id", "category_id", F.lit(-1).cast("long")).alias("ref_id"),
         F.coalesce("discount_amount", F.lit(0.0)).alias("discount"),
-        F.coalesce("limit_date", S.ts_lit("2999-12-31 00:00:00")).alias("limit_or_far"))
+        F.coalesce("limit_date", S.ts_lit("2199-12-31 00:00:00")).alias("limit_or_far"))
 
 
 @register("p05_generated_columns", "select e.eaten_at, e.food_type, e.food_id, e.qty, " + ", ".join(
