@@ -57,17 +57,48 @@ class Ledger(dict):
     # ----------------------------------------------------------- star adapter
     @classmethod
     def from_star(cls, spark: SparkSession, sf_dir: str) -> "Ledger":
+        """Lazy ledger over the star tables: each table is derived on first use."""
         led = cls()
         led.spark = spark
-        star = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in STAR_TABLES}
-        led.star = star
-        c = F.col
+        led._sf_dir = sf_dir
+        led._star = {}
+        led._builders = _star_builders(led)
+        return led
+
+    def star(self, name: str) -> DataFrame:
+        if name not in self._star:
+            self._star[name] = self.spark.read.parquet(f"{self._sf_dir}/{name}.parquet")
+        return self._star[name]
+
+    def __missing__(self, key):
+        builders = getattr(self, "_builders", {})
+        if key not in builders:
+            raise KeyError(key)
+        df = builders[key]()
+        self[key] = df
+        return df
+
+    def __contains__(self, key) -> bool:
+        return dict.__contains__(self, key) or key in getattr(self, "_builders", {})
+
+    def has_table(self, key) -> bool:
+        """True only for tables already built or stored (not for buildable ones)."""
+        return dict.__contains__(self, key)
+
+    # ---------------------------------------------------------- conveniences
+    def foods_of(self, kind: str) -> DataFrame:
+        """One of the three food masters (universal / measured / processed)."""
+        return self["m_foods"].filter(F.col("food_kind") == kind)
 
-        region, nation, customer = star["region"], star["nation"], star["customer"]
-        supplier, part, orders = star["supplier"], star["part"], star["orders"]
-        lineitem, events = star["lineitem"], star["events"]
 
-        led["m_currencies"] = _conform(region.select(
+def _star_builders(led: "Ledger") -> dict:
+    """name -> zero-argument builder of that ledger table from the star tables."""
+    c = F.col
+    st = led.star
+
+    def m_currencies():
+        region = st("region")
+        return _conform(region.select(
             c("r_regionkey").alias("id"), c("r_name").alias("code"), c("r_name").alias("name"),
             F.lit("u").alias("display_unit"),
             F.when(c("r_regionkey") > 0, _ts("1995-01-01 00:00:00")).alias("start_at"),
@@ -75,18 +106,20 @@ class Ledger(dict):
             F.when(c("r_regionkey") == 2, F.lit(3)).when(c("r_regionkey") == 3, F.lit(4)).alias("successor_id"),
         ), "m_currencies")
 
+    def t_currency_rates():
         # One rate per (currency, day) over all orders: partial + final hash aggregate.
-        rates = (orders
+        rates = (st("orders")
                  .groupBy((c("o_custkey") % 5).alias("currency_id"), c("o_orderdate").alias("effective_at"))
                  .agg(F.min("o_orderkey").alias("id"),
                       F.max(F.when(c("o_custkey") % 5 == 0, F.lit(1.0))
                             .otherwise(c("o_totalprice") / 1.0e5)).alias("rate_to_jpy")))
-        led["t_currency_rates"] = _conform(rates.withColumn(
+        return _conform(rates.withColumn(
             "change_type", F.when(c("id") % 4 == 0, "QUANTITY_ADJUST").otherwise("VALUE_ADJUST")),
             "t_currency_rates")
 
-        wallets = customer.join(nation, c("c_nationkey") == c("n_nationkey"))
-        led["m_wallets"] = _conform(wallets.select(
+    def m_wallets():
+        wallets = st("customer").join(st("nation"), c("c_nationkey") == c("n_nationkey"))
+        return _conform(wallets.select(
             c("c_custkey").alias("id"), c("c_name").alias("name"),
             F.when(c("c_custkey") % 13 == 0, F.lit(None)).otherwise(c("n_regionkey")).alias("currency_id"),
             F.when(c("c_mktsegment") == "HOUSEHOLD", "CASH").when(c("c_mktsegment") == "MACHINERY", "BANK")
@@ -95,8 +128,9 @@ class Ledger(dict):
             (c("c_acctbal") >= 0).alias("is_active"),
         ), "m_wallets")
 
+    def m_foods():
         pk, ps = c("p_partkey"), c("p_size")
-        led["m_foods"] = _conform(part.filter(pk % 6 >= 2).select(
+        return _conform(st("part").filter(pk % 6 >= 2).select(
             pk.alias("id"), F.concat_ws(" ", c("p_name"), c("p_brand")).alias("name"),
             F.when(pk % 6 == 2, "UNIVERSAL").when(pk % 6 == 3, "MEASURED").otherwise("PROCESSED").alias("food_kind"),
             F.when((pk % 6 == 2) & (ps % 5 != 0), ps.cast("double")).alias("shelf_life_days_guideline"),
@@ -109,17 +143,23 @@ class Ledger(dict):
             (ps % 9).alias("taste_sharpness"),
         ), "m_foods")
 
-        led["m_brands"] = _conform(nation.select(c("n_nationkey").alias("id"), c("n_name").alias("name")), "m_brands")
-        led["m_store_branches"] = _conform(supplier.select(
+    def m_brands():
+        return _conform(st("nation").select(c("n_nationkey").alias("id"), c("n_name").alias("name")), "m_brands")
+
+    def m_store_branches():
+        return _conform(st("supplier").select(
             c("s_suppkey").alias("id"), c("s_nationkey").alias("brand_id"), c("s_name").alias("branch_name")),
             "m_store_branches")
-        led["m_categories"] = _conform(nation.filter(c("n_nationkey") < 15).select(
+
+    def m_categories():
+        return _conform(st("nation").filter(c("n_nationkey") < 15).select(
             c("n_nationkey").alias("id"), F.concat(F.lit("CAT_"), c("n_name")).alias("name"),
             F.when(c("n_nationkey") < 11, "EXPENSE").when(c("n_nationkey") < 14, "INCOME").alias("type")),
             "m_categories")
 
+    def t_transactions():
         ok = c("o_orderkey")
-        led["t_transactions"] = _conform(orders.select(
+        return _conform(st("orders").select(
             ok.alias("id"),
             F.when(ok % 7 == 0, F.lit(None)).otherwise(c("o_orderpriority")).alias("transaction_name"),
             F.when(c("o_orderstatus") == "P", F.lit(None)).otherwise(c("o_custkey") % 10).alias("branch_id"),
@@ -129,6 +169,7 @@ class Ledger(dict):
             F.floor("o_totalprice").alias("total_amount_jpy"),
         ), "t_transactions")
 
+    def t_transaction_details():
         lp, ln = c("l_partkey"), c("l_linenumber")
         kind = (F.when(lp % 6 == 0, "NONE").when(lp % 6 == 1, "ADJUSTMENT").when(lp % 6 == 2, "UNIVERSAL")
                 .when(lp % 6 == 3, "MEASURED").when(lp % 6 == 4, "PROCESSED").otherwise("OUT_EAT"))
@@ -136,7 +177,7 @@ class Ledger(dict):
                 .when((c("l_returnflag") == "A") & (c("l_linestatus") == "F"), "FRIDGE")
                 .when(c("l_returnflag") == "A", "FREEZER").when(c("l_returnflag") == "N", "PANTRY")
                 .when(c("l_linestatus") == "F", "EAT_NOW").otherwise("GIFT"))
-        led["t_transaction_details"] = _conform(lineitem.select(
+        return _conform(st("lineitem").select(
             (((c("l_orderkey") * 8 + ln) * 100000 + lp) * 10000 + c("l_suppkey")).alias("id"),
             c("l_orderkey").alias("transaction_id"),
             F.when(lp % 6 == 0, c("l_suppkey") % 15).alias("category_id"),
@@ -153,8 +194,9 @@ class Ledger(dict):
             F.when(ln % 5 != 0, ln % 5).alias("reliability_level"),
         ), "t_transaction_details")
 
+    def t_payments():
         eid = c("event_id")
-        led["t_payments"] = _conform(events.select(
+        return _conform(st("events").select(
             eid.alias("id"), eid.alias("transaction_id"),
             F.when(c("event_type") == "error", F.lit(None)).otherwise(c("user_id")).alias("wallet_id"),
             (F.when(c("event_type").isin("purchase", "click"), -1).otherwise(1)
@@ -163,20 +205,24 @@ class Ledger(dict):
             F.when(eid % 10 == 0, F.concat(F.lit("R"), (eid % 3).cast("string"))).alias("usage_restriction"),
         ), "t_payments")
 
-        # Lots (S-03) and the consumption requests built on them.
+    def t_inventory():
         from ..operators.stock import create_lots
-        led["t_inventory"] = create_lots(led["t_transaction_details"], led["t_transactions"])
-        led["consume_requests"] = _consume_requests(led["t_transaction_details"], led["t_transactions"])
+        return create_lots(led["t_transaction_details"], led["t_transactions"])
+
+    def consume_requests():
+        return _consume_requests(led["t_transaction_details"], led["t_transactions"])
 
-        from .ingest import raw_receipts
-        led["raw_receipts"] = raw_receipts(star)
+    def raw_receipts():
+        from .ingest import raw_receipts as build
+        return build({t: st(t) for t in ("lineitem", "orders", "part", "supplier", "nation")})
 
+    def raw_movements():
         # One settlement movement per wallet: the customer's latest order.
-        latest = orders.groupBy("o_custkey").agg(
+        latest = st("orders").groupBy("o_custkey").agg(
             F.max("o_orderkey").alias("o_orderkey"),
             F.max_by("o_totalprice", "o_orderkey").alias("o_totalprice"),
             F.max_by("o_orderdate", "o_orderkey").alias("o_orderdate"))
-        led["raw_movements"] = _conform(latest.select(
+        return _conform(latest.select(
             c("o_orderkey").alias("movement_id"), c("o_orderkey").alias("transaction_id"),
             c("o_custkey").alias("wallet_id"), F.floor(c("o_totalprice") / 1000).alias("amount"),
             F.when(c("o_orderkey") % 3 == 0, F.floor(c("o_totalprice") / 4000)).alias("requested_offset"),
@@ -184,12 +230,10 @@ class Ledger(dict):
             F.when(c("o_orderkey") % 7 == 0, F.lit("R9")).alias("new_restriction"),
             c("o_orderdate").alias("moved_at"),
         ), "raw_movements")
-        return led
 
-    # ---------------------------------------------------------- conveniences
-    def foods_of(self, kind: str) -> DataFrame:
-        """One of the three food masters (universal / measured / processed)."""
-        return self["m_foods"].filter(F.col("food_kind") == kind)
+    return {f.__name__: f for f in (m_currencies, t_currency_rates, m_wallets, m_foods, m_brands, m_store_branches,
+                                    m_categories, t_transactions, t_transaction_details, t_payments, t_inventory,
+                                    consume_requests, raw_receipts, raw_movements)}
 
 
 def _consume_requests(details: DataFrame, transactions: DataFrame) -> DataFrame:
