@@ -19,14 +19,11 @@ c = F.col
 def food_dimension(led) -> DataFrame:
     """The three food masters as one set keyed by (food_kind, id).
 
-    With stored masters this is a ``unionByName`` of three tables tagged by
-    kind; the star adapter already yields the union with ``food_kind``.
+    The ledger keeps the masters as one table tagged by ``food_kind`` (one
+    scan); three separately stored masters are combined with ``unionByName``
+    plus a literal kind when loaded.
     """
-    parts = [led.foods_of(k) for k in ("UNIVERSAL", "MEASURED", "PROCESSED")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return led["m_foods"].filter(c("food_kind").isin("UNIVERSAL", "MEASURED", "PROCESSED"))
 
 
 # U-01
