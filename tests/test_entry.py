@@ -13,4 +13,6 @@ def test_registry_shape():
     qs, sql = E.queries(), E.oracle_sql()
     assert len(qs) >= 100
     assert set(sql) <= set(qs)
-    assert all(k[0] in "psfjawoucvzrt" and k[1:3].isdigit() for k in qs)
+    own = [k for k in qs if not k.startswith("op") and k != "pipeline"]
+    assert len(own) >= 100
+    assert all(k[0] in "psfjawoucvzrt" and k[1:3].isdigit() for k in own)
