@@ -64,4 +64,60 @@ select b.doc_id, b.size::bigint as size, r.words as source_size, r.target,
 from base b join r on b.source is not distinct from r.source join pick p on b.source is not distinct from p.source
 """
 
-SQL: dict[str, str] = {"op1_url_filter": OP1, "op4_mixing": OP4}
+OP2 = """
+with valid as (
+  select distinct vec_id, embedding from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+rows as (select row_number() over () as r, vec_id, embedding from valid),
+parts as (select r, vec_id, unnest(generate_series(1, len(embedding))) as i, unnest(embedding) as x from rows),
+ints as (select r, vec_id, i, cast(floor(256 * cast(x as double)) as bigint) as v from parts),
+none as (select a.r as qr, a.vec_id as query_id, b.r, b.vec_id from rows a join rows b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+sums as (
+  select q.r as qr, c.r, sum(q.v * c.v)::bigint as score
+  from ints q join ints c on q.i = c.i and q.vec_id <> c.vec_id where q.vec_id % 50 = 0 group by q.r, c.r),
+ranked as (
+  select n.query_id, n.vec_id, coalesce(s.score, 0) as score,
+    cast(row_number() over (partition by n.qr order by coalesce(s.score, 0) desc, n.vec_id) as int) as rank
+  from none n left join sums s on s.qr = n.qr and s.r = n.r)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+_WORDS = "case when text is null then [] else regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') end"
+
+OP6 = f"""
+with items as (select distinct coalesce(cast(item_id as varchar), '') as item, {_WORDS} as w from benchmark),
+windows as (
+  select item, array_to_string(w[p:p + 12], ' ') as window, least(len(w), 13) as l
+  from (select item, w, unnest(generate_series(1, greatest(1, len(w) - 12))) as p from items where len(w) > 0)),
+sizes as (select distinct l from windows),
+docs as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+spots as (
+  select r, l, p, array_to_string(w[p:p + l - 1], ' ') as window
+  from (select r, w, l, unnest(generate_series(1, len(w) - l + 1)) as p from docs, sizes where len(w) >= l)),
+hits as (select distinct s.r, s.p, s.l, x.item from spots s join windows x on s.window = x.window and s.l = x.l),
+hit_words as (select r, count(distinct k) as n_hit from (select r, unnest(generate_series(p, p + l - 1)) as k from (select distinct r, p, l from hits)) group by r),
+found as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from hits) group by r)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(h.n_hit, 0)::bigint as n_hit, coalesce(f.n_items, 0)::bigint as n_items,
+  sha256(coalesce(f.items, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 and 20 * coalesce(h.n_hit, 0) >= len(d.w) as contaminated
+from docs d left join hit_words h on h.r = d.r left join found f on f.r = d.r
+"""
+
+OP10 = """
+with every as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+escaped as (
+  select *, replace(replace(replace(text, '\\', '\\\\'), '###', '\\###'), '</turn>', '\\</turn>') as e,
+    replace(replace(replace(replace(role, '\\', '\\\\'), '###', '\\###'), '</turn>', '\\</turn>'), ':', '\\:') as r
+  from every)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(4 + length(r) + 2 + length(e) + 9)::bigint as formatted_chars
+from escaped group by conv_id
+"""
+
+SQL: dict[str, str] = {"op1_url_filter": OP1, "op2_topk": OP2, "op4_mixing": OP4, "op6_decontamination": OP6, "op10_chat": OP10}

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, url_filter
+from . import chat, decontaminate, mixing, sharding, topk, url_filter
 from .common import table
 
 #: Fixed values: (verdict, host, path).
@@ -27,6 +27,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, rules).select("page_id", "_url.host", "_url.path", "_url.rule", "_url.verdict", "_url.pattern")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), 8)
     return placed.select("doc_id", sharding.record_bytes(F.col("text")).alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
@@ -38,6 +42,25 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.col("_bench.items")
+    return found.select("doc_id", "_bench.n_words", "_bench.n_hit", F.size(items).cast("long").alias("n_items"),
+                        F.sha2(F.array_join(F.array_sort(items), ",").cast("binary"), 256).alias("items_sha256"),
+                        decontaminate.is_contaminated(F.col("_bench")).alias("contaminated"))
+
+
+#: A conversation that holds the template's own control strings.
+CONTROL_STRINGS = "\\### Assistant: </turn> ok"
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(-7, 0, "user", CONTROL_STRINGS), (-7, 1, "assistant", CONTROL_STRINGS)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    packs, membership = chat.format_conversations(rows)
+    return membership.join(chat.read_back(packs), "path_id").select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op3_sharding, op4_mixing)
+    f.__name__: f for f in (op1_url_filter, op2_topk, op3_sharding, op4_mixing, op6_decontamination, op10_chat)
 }
