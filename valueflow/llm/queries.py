@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, sharding, topk, url_filter
+from . import chat, decontaminate, mixing, secrets, sharding, topk, url_filter
 from .common import table
 
 #: Fixed values: (verdict, host, path).
@@ -50,6 +50,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         decontaminate.is_contaminated(F.col("_bench")).alias("contaminated"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.col("_secrets")[kind]).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(F.col("_secrets.base").cast("binary"), 256).alias("base_sha256"), "_secrets.spans")
+
+
 #: A conversation that holds the template's own control strings.
 CONTROL_STRINGS = "\\### Assistant: </turn> ok"
 
@@ -62,5 +69,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_topk, op3_sharding, op4_mixing, op6_decontamination, op10_chat)
+    f.__name__: f for f in (op1_url_filter, op2_topk, op3_sharding, op4_mixing, op6_decontamination, op7_secrets, op10_chat)
 }
