@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, secrets, sharding, topk, url_filter
-from .common import table
+from . import chat, decontaminate, mixing, quality, secrets, sharding, topk, toxicity, url_filter
+from .common import holdout, table
 
 #: Fixed values: (verdict, host, path).
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -42,6 +42,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", holdout(F.col("doc_id")).alias("held_out"), "_toxic.score", "_toxic.predicted")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     items = F.col("_bench.items")
@@ -57,6 +63,12 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("_secrets.base").cast("binary"), 256).alias("base_sha256"), "_secrets.spans")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", holdout(F.col("doc_id")).alias("held_out"), "_quality.score", "_quality.predicted")
+
+
 #: A conversation that holds the template's own control strings.
 CONTROL_STRINGS = "\\### Assistant: </turn> ok"
 
@@ -69,5 +81,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_topk, op3_sharding, op4_mixing, op6_decontamination, op7_secrets, op10_chat)
+    f.__name__: f for f in (op1_url_filter, op2_topk, op3_sharding, op4_mixing, op5_toxicity, op6_decontamination, op7_secrets,
+        op8_quality, op10_chat)
 }
