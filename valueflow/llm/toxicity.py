@@ -17,7 +17,7 @@ weights start from the grammar's own (reported and negated ones low) and are
 adjusted on labelled rows by a logistic fit that is drawn towards them.
 
 The lexicon is learned on a bounded sample of labelled rows: words, and stems of
-four to six letters, that occur in documents of label 1 more than chance allows
+three to eight letters, that occur in documents of label 1 more than chance allows
 (likelihood ratio with a Bonferroni bound over all grams) enter with their log
 odds as strength.
 
@@ -40,10 +40,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .training import SAMPLE_ROWS, fit_logistic, labelled_sample
 
 REACH = 4
-STEMS = (4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
 MIN_LOG_ODDS = 2.0
 TOP_LOG_ODDS = 8.0
 THRESHOLD = 0.5
@@ -170,12 +171,29 @@ class Reader:
 
 
 def grams(text: str) -> set[str]:
-    found = set(WORD.findall(text.lower()))
-    return found | {w[:n] + "*" for w in found for n in STEMS if len(w) >= n}
+    return {g for w in set(WORD.findall(text.lower())) for g in _keys(w)}
+
+
+def _keys(word: str) -> list[str]:
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)]
+
+
+def _beyond_chance(up: Column, down: Column, n_up: int, n_down: int, tested: int) -> Column:
+    """Strength (log odds up to 1) of grams that pass the likelihood ratio test, else null."""
+    p, n, base = up.cast("double"), (up + down).cast("double"), n_up / (n_up + n_down)
+    part = lambda k, a, b: F.when(k > 0, k * F.log(a / b)).otherwise(0.0)
+    ratio = 2 * (part(p, p / n, F.lit(base)) + part(n - p, (n - p) / n, F.lit(1 - base)))
+    odds = F.log((p + 0.5) / (n_up + 1.0)) - F.log((n - p + 0.5) / (n_down + 1.0))
+    passed = (p >= 3) & (odds >= MIN_LOG_ODDS) & (ratio >= 2 * math.log(10 * max(tested, 1)))
+    return F.when(passed, F.least(odds / TOP_LOG_ODDS, F.lit(1.0)))
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Grams that label 1 has more than chance allows, with strengths up to 1; the sample is bounded, so are they."""
+    """Grams that label 1 has more than chance allows, with strengths up to 1; the sample is bounded, so are they.
+
+    Near copies repeat all their words together.  So a gram's documents of label 1 count only as often as it has
+    different words before it, and after it: a word of one much-copied text has one such neighbour.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up, down = Counter(), Counter()
@@ -190,17 +208,46 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     if not n_up or not n_down:
         return lexicon
     counts = sample.select("text", F.col("label").cast("long").alias("label")).mapInArrow(count, "gram string, up long, down long")
-    counts = counts.groupBy("gram").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-    p, n = F.col("up").cast("double"), (F.col("up") + F.col("down")).cast("double")
-    rate, base = p / n, n_up / (n_up + n_down)
-    part = lambda k, a, b: F.when(k > 0, k * F.log(a / b)).otherwise(0.0)
-    ratio = 2 * (part(p, rate, F.lit(base)) + part(n - p, 1 - rate, F.lit(1 - base)))
-    odds = F.log((p + 0.5) / (n_up + 1.0)) - F.log((n - p + 0.5) / (n_down + 1.0))
-    total = counts.count()
-    kept = counts.filter((p >= 3) & (odds >= MIN_LOG_ODDS) & (ratio >= 2 * math.log(10 * max(total, 1))))
-    for r in kept.select("gram", F.least(odds / TOP_LOG_ODDS, F.lit(1.0)).alias("strength")).collect():
-        lexicon[r["gram"]] = r["strength"]
-    return lexicon
+    counts = written(counts.groupBy("gram").agg(F.sum("up").alias("up"), F.sum("down").alias("down")), "grams")
+    tested = counts.count()
+    first = counts.filter(_beyond_chance(F.col("up"), F.col("down"), n_up, n_down, tested).isNotNull())
+    wanted = {r["gram"] for r in first.select("gram").collect()}
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                found = WORD.findall(text.lower())
+                for i, w in enumerate(found):
+                    for g in _keys(w):
+                        if g in wanted:
+                            seen.add((g, 0, found[i - 1] if i else ""))
+                            seen.add((g, 1, found[i + 1] if i + 1 < len(found) else ""))
+        rows = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["gram", "side", "word"])
+
+    near = sample.filter("label = 1").select("text").mapInArrow(neighbours, "gram string, side long, word string").distinct()
+    near = near.groupBy("gram", "side").count().groupBy("gram").agg(F.min("count").alias("near"))
+    kept = first.join(near, "gram").withColumn("up", F.least("up", "near"))
+    kept = kept.withColumn("strength", _beyond_chance(F.col("up"), F.col("down"), n_up, n_down, tested)).filter(F.col("strength").isNotNull())
+    found = {r["gram"]: (r["up"], r["down"], r["strength"]) for r in kept.select("gram", "up", "down", "strength").collect()}
+    return lexicon | {g: found[g][2] for g in _of_their_own(found, n_up, n_down)}
+
+
+def _of_their_own(found: dict[str, tuple[int, int, float]], n_up: int, n_down: int) -> list[str]:
+    """Grams without the stems whose evidence is that of a stronger, longer gram."""
+    most: dict[str, int] = {}
+    for g, (up, _, strength) in found.items():
+        for n in STEMS:
+            stem = g[:n] + "*"
+            if stem != g and len(g.rstrip("*")) >= n and stem in found and found[stem][2] < strength:
+                most[stem] = max(most.get(stem, 0), up)
+    own = []
+    for g, (up, down, _) in found.items():
+        rest = max(0, up - most.get(g, 0))
+        if g not in most or math.log((rest + 0.5) / (n_up + 1)) - math.log((down + 0.5) / (n_down + 1)) >= MIN_LOG_ODDS:
+            own.append(g)
+    return own
 
 
 @dataclass
