@@ -8,16 +8,34 @@ next one's docs.  All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from valueflow.llm import mixing, sharding
+from valueflow.llm import decontaminate, jaccard_join, mixing, quality, sharding
 from valueflow.llm.common import table, written
 
 SHARDS = 8
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labelled ones among them, does not reject."""
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.filter(F.col("_quality.predicted") == 1).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard_join.join(docs).filter("_near.first").select(*docs.columns)
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark does not contaminate."""
+    found = decontaminate.find_windows(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(~decontaminate.is_contaminated(F.col("_bench"))).select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per copy: sources come near their target weights."""
-    return mixing.emit(mixing.mix(docs))
+    return mixing.emit(mixing.mix(docs)).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +45,14 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", keep_quality),
+    ("near_copies", keep_one_of_each),
+    ("decontamination", keep_clean),
     ("mixing", mix_sources),
     ("sharding", shard),
 ]
 
-#: Learned models, similarity joins and random orders have no SQL twin.
+#: Learned models and random orders have no SQL twin.
 ORACLE_SQL = None
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality, secrets, sharding, topk, toxicity, url_filter
+from . import chat, decontaminate, jaccard_join, mixing, quality, secrets, sharding, topk, toxicity, url_filter
 from .common import holdout, table
 
 #: Fixed values: (verdict, host, path).
@@ -69,6 +69,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", holdout(F.col("doc_id")).alias("held_out"), "_quality.score", "_quality.predicted")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linked.select("doc_id", "_near.class_id", "_near.n_links")
+
+
 #: A conversation that holds the template's own control strings.
 CONTROL_STRINGS = "\\### Assistant: </turn> ok"
 
@@ -82,5 +87,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_topk, op3_sharding, op4_mixing, op5_toxicity, op6_decontamination, op7_secrets,
-        op8_quality, op10_chat)
+        op8_quality, op9_jaccard_join, op10_chat)
 }
