@@ -130,10 +130,10 @@ shared as (select x.r as a, y.r as b, count(*) as o from sets x join sets y on x
 pairs as (
   select a, b from shared join sizes s on s.r = a join sizes t on t.r = b where 9 * o >= 4 * (s.n + t.n)
   union select x.r, y.r from docs x join docs y on x.text = y.text and x.r < y.r where len(x.w) = 0),
-both as (select a, b from pairs union all select b, a from pairs),
-reach as (select r as a, r as b from docs union select x.a, y.b from reach x join both y on x.b = y.a),
+ways as (select a, b from pairs union all select b, a from pairs),
+reach as (select r as a, r as b from docs union select x.a, y.b from reach x join ways y on x.b = y.a),
 class as (select x.a as r, min(d.doc_id) as class_id from reach x join docs d on d.r = x.b group by x.a),
-degree as (select a as r, count(*) as n from both group by a)
+degree as (select a as r, count(*) as n from ways group by a)
 select d.doc_id, c.class_id, coalesce(g.n, 0)::bigint as n_links from docs d join class c on c.r = d.r left join degree g on g.r = d.r
 """
 
