@@ -1,0 +1,62 @@
+"""Secret scan against Python's regular expressions; the test battery; false-discovery control."""
+
+import random
+import re
+import string
+
+from pyspark.sql import functions as F
+
+from valueflow.llm import secrets as S
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def plain(text):
+    text = text or ""
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+
+
+def test_base_spans_equal_plain_search(spark):
+    rng = random.Random(3)
+    bits = ["password", "Secret", "api_key", "APIKEY", "toKen", "passwd", "=", ":", " ", '"', "'", "abc", "abcdef", "0123456789abcdef", "AKIA", "ABCDEFGH12345678",
+            "\x01", "\x03", "😀", "é", "\n", ".", "-", "ſecret", "toKen", "$1", "\\"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(1500)]
+    texts += [None, "", "token:token:abcdef", "password=abc password=abcdef", "a" * 100_000, "token=secret: abcdefgh", "x " * 20_000 + "f" * 24 + "e" * 3]
+    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    for r in S.scan(df).select("doc_id", "_secrets.base", "_secrets.spans").collect():
+        assert r["base"] == plain(texts[r["doc_id"]]), texts[r["doc_id"]]
+    assert S.scan(df.limit(0)).count() == 0
+
+
+def test_battery_tells_random_runs_from_text(spark):
+    rng = random.Random(8)
+    draw = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    secret = [draw(string.ascii_letters + string.digits, 40) for _ in range(20)] + [draw(string.ascii_letters + string.digits + "+/", 60) + "==" for _ in range(20)]
+    secret += [draw(string.ascii_uppercase + "234567", 52) for _ in range(10)]
+    text = ["internationalization-of-words-2", "some_long_identifier_name_01", "20240101-20240102-20240103", "1234567890123456789012345", "A" * 39 + "1", "ab1" * 20,
+            "donaudampfschifffahrtsgesellschaft1", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    rows = [(i, f"see {s} here", s in secret) for i, s in enumerate(secret + text)] + [(900 + i, "just words " * 30, False) for i in range(30)]
+    got = S.scan(spark.createDataFrame(rows, "doc_id long, text string, is_secret boolean")).collect()
+    for r in got:
+        found = [text_of(r["text"], m) for m in r["_secrets"]["random"]]
+        assert (len(found) == 1) == r["is_secret"], (r["text"], found)
+        if found:
+            assert r["text"][4:].startswith(found[0])
+            assert f"random:4:{4 + len(found[0])}" in r["_secrets"]["spans"] and r["_secrets"]["base"] == ""
+
+
+def text_of(text, m):
+    assert text[m["start"] : m["end"]] == m["value"]
+    return m["value"]
+
+
+def test_statistics(spark):
+    rng = random.Random(1)
+    runs = ["".join(rng.choices("0123456789abcdef", k=64)) for _ in range(200)]
+    b = spark.createDataFrame([(r,) for r in runs], "v string").select(S.battery(F.col("v")).alias("b")).select("b.*")
+    means = b.agg(F.avg("z_chi"), F.stddev("z_chi"), F.avg("z_runs"), F.stddev("z_runs"), F.avg("z_serial"), F.stddev("z_serial")).first()
+    assert all(abs(m) < 0.35 for m in means[::2]) and all(0.75 < s < 1.3 for s in means[1::2]), means
+    assert {r[0] for r in b.select("encoding").distinct().collect()} == {"hex"}
