@@ -29,23 +29,32 @@ def transaction_store(led) -> DataFrame:
     return tx.join(br, "branch_id", "left").join(bd, "brand_id", "left")
 
 
-def _between(df, col, start, end):
+def _between(df, col, start, end, before=None):
     if start is not None:
         df = df.filter(c(col) >= start)
     if end is not None:
         df = df.filter(c(col) <= end)
+    if before is not None:
+        df = df.filter(c(col) < before)
     return df
 
 
 # A-02
-def transaction_list(led, start=None, end=None) -> DataFrame:
+def transaction_list(led, start=None, end=None, before=None) -> DataFrame:
     """Per transaction: name, brand, sum of its money movements (0 if none).
 
     Payments are pre-aggregated per transaction, then left-joined; the time
-    range (inclusive) is a plain column predicate so it reaches the scan.
+    range (``start`` and ``end`` inclusive, ``before`` not) is a plain column
+    predicate so it reaches the scan.  With a range only the payments of the
+    listed transactions are aggregated.
     """
-    tx = _between(transaction_store(led), "transaction_at", start, end)
-    pay = led["t_payments"].groupBy("transaction_id").agg(F.sum("amount").alias("total"))
+    tx, pay = transaction_store(led), led["t_payments"]
+    if start is not None or end is not None or before is not None:
+        in_range = lambda df: _between(df, "transaction_at", start, end, before)
+        tx = in_range(tx)
+        listed = in_range(led["t_transactions"]).select(c("id").alias("transaction_id"))
+        pay = pay.join(listed, "transaction_id", "left_semi")
+    pay = pay.groupBy("transaction_id").agg(F.sum("amount").alias("total"))
     return (tx.join(pay, tx["id"] == pay["transaction_id"], "left")
             .select(tx["id"], "transaction_at", "transaction_name", c("brand_name").alias("brand"),
                     F.coalesce(c("total"), F.lit(0).cast("long")).alias("total")))
@@ -70,8 +79,8 @@ def recent_transactions(led, as_of, days: int = 30) -> DataFrame:
 
 # R-02
 def monthly_transactions(led, ym: str) -> DataFrame:
-    start, _ = S.month_range(ym)
-    return list_numbering(transaction_list(led, start, S.month_last_second(F.lit(ym))))
+    start, following = S.month_range(ym)
+    return list_numbering(transaction_list(led, start, before=following))
 
 
 def _lines(led):

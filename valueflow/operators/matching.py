@@ -65,20 +65,23 @@ def match_ratio(candidate: pd.Series, query: pd.Series) -> pd.Series:
 match_ratio = match_ratio.asNondeterministic()
 
 
-def _occurrences(strings: DataFrame) -> DataFrame:
-    """(s, ch, k): the k-th occurrence of character ch in string s."""
-    chars = strings.select("s", F.explode(F.split(c("s"), "")).alias("ch")).filter(c("ch") != "")
-    counts = chars.groupBy("s", "ch").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("s", "ch", F.explode(F.sequence(F.lit(1), c("n").cast("int"))).alias("k"))
+def _occurrences(strings: DataFrame, *block: str) -> DataFrame:
+    """(s, block, ch, k): the k-th occurrence of character ch in string s."""
+    chars = strings.select("s", *block, F.explode(F.split(c("s"), "")).alias("ch")).filter(c("ch") != "")
+    counts = chars.groupBy("s", *block, "ch").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("s", *block, "ch", F.explode(F.sequence(F.lit(1), c("n").cast("int"))).alias("k"))
 
 
-def _prefixes(occ: DataFrame, freq: DataFrame) -> DataFrame:
+def _prefix_length(length):
+    return length - F.floor((length + 3) / 4) + 1
+
+
+def _prefixes(occ: DataFrame, freq: DataFrame, *block: str) -> DataFrame:
     """Rarest-first prefix of each string, long enough for the cutoff's overlap bound."""
     o = occ.join(freq, ["ch", "k"])
-    w = Window.partitionBy("s").orderBy("df", "ch", "k")
-    o = o.withColumn("pos", F.row_number().over(w)).withColumn("len", F.length("s"))
-    keep = c("len") - F.floor((c("len") + 3) / 4) + 1
-    return o.filter(c("pos") <= keep).select("s", "ch", "k")
+    w = Window.partitionBy("s", *block).orderBy("df", "ch", "k")
+    o = o.withColumn("pos", F.row_number().over(w))
+    return o.filter(c("pos") <= _prefix_length(F.length("s"))).select("s", *block, "ch", "k")
 
 
 def _char_counts(strings: DataFrame, col: str) -> DataFrame:
@@ -89,30 +92,38 @@ def _char_counts(strings: DataFrame, col: str) -> DataFrame:
     return occ.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("ch", "n"))).alias("counts"))
 
 
-def candidate_pairs(queries: DataFrame, names: DataFrame) -> DataFrame:
+def candidate_pairs(queries: DataFrame, names: DataFrame, block: str | None = None) -> DataFrame:
     """Lossless candidate (query, name) pairs for the 0.4 cutoff, with an upper bound.
 
+    With ``block`` (a column of both sides, such as the master's kind or the
+    brand) only pairs inside a block are made.  Shared prefix occurrences are
+    counted in the join itself; what a pair shares beyond is at most the
+    shorter remainder, so most pairs go before any whole string is looked at.
+
     ``ub`` = 2·(multiset character overlap)/(|q|+|n|), the matcher's own
     quick bound, computed in the JVM from per-string character maps (one
     row per distinct string, so the map is bounded by the string length).
     Pairs with ``ub`` below the cutoff are dropped.
     """
-    q = queries.select(c("query").alias("s")).distinct()
-    n = names.select(c("name").alias("s")).distinct()
-    occ_q, occ_n = _occurrences(q), _occurrences(n)
+    by = [block] if block else []
+    q = queries.select(c("query").alias("s"), *by).distinct()
+    n = names.select(c("name").alias("s"), *by).distinct()
+    occ_q, occ_n = _occurrences(q, *by), _occurrences(n, *by)
     freq = occ_q.unionByName(occ_n).groupBy("ch", "k").agg(F.count(F.lit(1)).alias("df"))
-    pq = _prefixes(occ_q, freq).withColumnRenamed("s", "query")
-    pn = _prefixes(occ_n, freq).withColumnRenamed("s", "name")
-    pairs = pq.join(pn, ["ch", "k"]).select("query", "name").distinct()
+    pq = _prefixes(occ_q, freq, *by).withColumnRenamed("s", "query")
+    pn = _prefixes(occ_n, freq, *by).withColumnRenamed("s", "name")
     lq, ln = F.length("query"), F.length("name")
-    pairs = pairs.filter((lq * 4 >= ln) & (ln * 4 >= lq))
+    reach = c("shared") + F.least(lq - _prefix_length(lq), ln - _prefix_length(ln))
+    pairs = (pq.join(pn, [*by, "ch", "k"]).filter((lq * 4 >= ln) & (ln * 4 >= lq))
+             .groupBy("query", "name", *by).agg(F.count(F.lit(1)).alias("shared"))
+             .filter(reach * 5 >= lq + ln))
     cq = _char_counts(q, "s").select(c("s").alias("query"), c("counts").alias("cq"))
     cn = _char_counts(n, "s").select(c("s").alias("name"), c("counts").alias("cn"))
     p = pairs.join(cq, "query").join(cn, "name")
     overlap = F.aggregate(F.map_keys("cq"), F.lit(0),
                           lambda acc, k: acc + F.least(F.element_at("cq", k), F.coalesce(F.try_element_at("cn", k), F.lit(0))))
     ub = (F.lit(2.0) * overlap) / (lq + ln)
-    return p.select("query", "name", ub.alias("ub")).filter(c("ub") >= CUTOFF)
+    return p.select("query", "name", *by, ub.alias("ub")).filter(c("ub") >= CUTOFF)
 
 
 def _score(pairs: DataFrame) -> DataFrame:
@@ -131,19 +142,17 @@ def _score(pairs: DataFrame) -> DataFrame:
 def similarity_join(queries: DataFrame, masters: DataFrame) -> DataFrame:
     """All (query, kind, name) with score >= cutoff.
 
-    ``queries``: column ``query``; ``masters``: columns ``kind``, ``name``.
-    Exact equality always scores 1.0.
+    ``queries``: column ``query``, and ``kind`` if each asks one master only
+    (pairs are then made inside a kind); ``masters``: columns ``kind``,
+    ``name``.  Exact equality always scores 1.0.
     """
     names = masters.select("kind", "name").distinct()
+    if "kind" in queries.columns:
+        return _score(candidate_pairs(queries, names, "kind")).select("query", "kind", "name", "score")
     scored = _score(candidate_pairs(queries, names))
     return scored.join(names, "name").select("query", "kind", "name", "score")
 
 
-def best_matches(queries: DataFrame, masters: DataFrame) -> DataFrame:
-    """Scored (query, kind, name) pairs feeding a top-``n`` listing (all pairs >= cutoff)."""
-    return similarity_join(queries, masters)
-
-
 # W-04
 def top_candidates(scored: DataFrame, masters: DataFrame, n: int = TOP_N) -> DataFrame:
     """Best ``n`` listing slots per (query, kind): score desc, then name desc.
@@ -181,14 +190,14 @@ def find_food(queries: DataFrame, masters: DataFrame) -> DataFrame:
                          F.lit(1.0).alias("score"), F.lit(1).cast("long").alias("rank"),
                          F.lit(1).cast("long").alias("slots"))
     rest = q.join(exact.select("query"), "query", "left_anti")
-    fuzzy = top_candidates(best_matches(rest, masters), masters).select(
+    fuzzy = top_candidates(similarity_join(rest, masters), masters).select(
         "query", F.lit("FUZZY").alias("match_type"), "kind", "id", "name", "score", "rank", "slots")
     return exact.unionByName(fuzzy)
 
 
 # Z-02
 def find_food_candidates(queries: DataFrame, masters: DataFrame) -> DataFrame:
-    return top_candidates(best_matches(queries.select("query").distinct(), masters), masters)
+    return top_candidates(similarity_join(queries.select("query").distinct(), masters), masters)
 
 
 # Z-03
@@ -201,9 +210,7 @@ def find_food_in(requests: DataFrame, masters: DataFrame) -> DataFrame:
     r = requests.select("query", "food_type").distinct().withColumn(
         "kind", F.when(c("food_type") == "OUT_EAT", F.lit("PROCESSED")).otherwise(c("food_type")))
     r = r.filter(c("kind").isin(*MASTER_ORDER))
-    asked = r.select("query", "kind").distinct()
-    scored = best_matches(r.select("query"), masters.join(asked.select("kind").distinct(), "kind"))
-    scored = scored.join(asked, ["query", "kind"])
+    scored = similarity_join(r.select("query", "kind"), masters)
     top = top_candidates(scored, masters).select("query", "kind", "name", "score")
     rows = top.join(masters, ["kind", "name"]).join(r, ["query", "kind"])
     return rows.select("query", "food_type", "id", "name", "score")
@@ -220,7 +227,7 @@ def match_store(requests: DataFrame, brands: DataFrame, branches: DataFrame) ->
     bm = brands.select("id", "name", F.lit("BRAND").alias("kind"))
     bq = req.select(c("brand_text").alias("query")).distinct()
     exact_b = bq.join(bm, bq["query"] == bm["name"]).groupBy("query").agg(F.min("id").alias("brand_id"))
-    fuzzy_b = (top_candidates(best_matches(bq.join(exact_b, "query", "left_anti"), bm), bm)
+    fuzzy_b = (top_candidates(similarity_join(bq.join(exact_b, "query", "left_anti"), bm), bm)
                .filter(c("rank") == 1).select("query", c("id").alias("brand_id")))
     brand_of = exact_b.select("query", "brand_id", F.lit("EXACT").alias("brand_match")).unionByName(
         fuzzy_b.withColumn("brand_match", F.lit("FUZZY")))
@@ -233,7 +240,7 @@ def match_store(requests: DataFrame, brands: DataFrame, branches: DataFrame) ->
     exact_s = (rq.join(br, (rq["kind"] == br["kind"]) & (rq["branch_text"] == br["name"]))
                .groupBy(rq["query"]).agg(F.min("id").alias("branch_id")))
     rest = rq.join(exact_s, "query", "left_anti")
-    sj = best_matches(rest.select(c("branch_text").alias("query")).distinct(), br)
+    sj = similarity_join(rest.select(c("branch_text").alias("query"), "kind").distinct(), br)
     sj = sj.join(rest.select(c("branch_text").alias("q2"), c("kind").alias("k2"), c("query").alias("key")),
                  (c("query") == c("q2")) & (c("kind") == c("k2"))).select(
         c("key").alias("query"), "kind", "name", "score")
@@ -247,30 +254,36 @@ def match_store(requests: DataFrame, brands: DataFrame, branches: DataFrame) ->
 
 # J-09
 def existing_entity_match(lines: DataFrame, led) -> DataFrame:
-    """Exact-name ids of brand, branch-in-brand and food (in the line's master)."""
-    brands = led["m_brands"].select(c("id").alias("brand_id"), c("name").alias("brand_text"))
-    branches = led["m_store_branches"].select(c("id").alias("branch_id"), "brand_id",
-                                              c("branch_name").alias("branch_text"))
+    """Exact-name ids of brand, branch-in-brand and food (in the line's master); the first row of a name wins."""
+    brands = led["m_brands"].groupBy(c("name").alias("__brand")).agg(F.min("id").alias("brand_id"))
+    branches = led["m_store_branches"].groupBy(c("brand_id").alias("__of"), c("branch_name").alias("__branch")).agg(
+        F.min("id").alias("branch_id"))
     foods = led["m_foods"].groupBy(c("food_kind").alias("__kind"), c("name").alias("__name")).agg(
         F.min("id").alias("food_id"))
     kind = F.when(c("food_type") == "OUT_EAT", F.lit("PROCESSED")).otherwise(c("food_type"))
-    j = lines.join(brands, "brand_text", "left").join(branches, ["brand_id", "branch_text"], "left")
-    return j.join(foods, (kind == foods["__kind"]) & (c("item_text") == foods["__name"]), "left").drop("__kind", "__name")
+    j = lines.join(brands, c("brand_text") == c("__brand"), "left")
+    j = j.join(branches, (c("brand_id") == c("__of")) & (c("branch_text") == c("__branch")), "left")
+    j = j.join(foods, (kind == c("__kind")) & (c("item_text") == c("__name")), "left")
+    return j.drop("__brand", "__of", "__branch", "__kind", "__name")
 
 
 # J-10
 def new_entities(lines: DataFrame, led) -> DataFrame:
-    """Names a batch would register: brands, branches (within brand) and foods not present yet."""
-    brands = led["m_brands"].select(c("name").alias("brand_text"))
-    nb = (lines.select("brand_text").filter(c("brand_text").isNotNull() & (c("brand_text") != "")).distinct()
-          .join(brands, "brand_text", "left_anti")
-          .select(F.lit("BRAND").alias("entity"), F.lit(None).cast("string").alias("scope"), c("brand_text").alias("name")))
+    """Names a batch would register: brands, branches and foods not present yet.
+
+    A branch's scope is the id of its brand, or ``new:`` and the brand's text
+    where the brand is new too.  Empty names register nothing.
+    """
     m = existing_entity_match(lines, led)
-    ns = (m.filter(c("brand_id").isNotNull() & c("branch_id").isNull())
-          .select(F.lit("BRANCH").alias("entity"), c("brand_id").cast("string").alias("scope"),
-                  c("branch_text").alias("name")).distinct())
-    nf = (m.filter(c("food_type").isin("UNIVERSAL", "MEASURED", "PROCESSED", "OUT_EAT") & c("food_id").isNull())
+    named = lambda col: F.coalesce(F.trim(c(col)) != "", F.lit(False))
+    nb = (m.filter(named("brand_text") & c("brand_id").isNull())
+          .select(F.lit("BRAND").alias("entity"), F.lit(None).cast("string").alias("scope"), c("brand_text").alias("name")))
+    ns = (m.filter(named("branch_text") & named("brand_text") & c("branch_id").isNull())
+          .select(F.lit("BRANCH").alias("entity"),
+                  F.coalesce(c("brand_id").cast("string"), F.concat(F.lit("new:"), c("brand_text"))).alias("scope"),
+                  c("branch_text").alias("name")))
+    nf = (m.filter(c("food_type").isin("UNIVERSAL", "MEASURED", "PROCESSED", "OUT_EAT") & named("item_text") & c("food_id").isNull())
           .select(F.lit("FOOD").alias("entity"),
                   F.when(c("food_type") == "OUT_EAT", F.lit("PROCESSED")).otherwise(c("food_type")).alias("scope"),
-                  c("item_text").alias("name")).distinct())
-    return nb.unionByName(ns).unionByName(nf)
+                  c("item_text").alias("name")))
+    return nb.unionByName(ns).unionByName(nf).distinct()

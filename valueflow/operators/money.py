@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .windows import bucketed_running_sum
+from .windows import bucketed_row_number, bucketed_running_sum
 
 c = F.col
 GROUP = ["wallet_id", "expiry_at", "usage_restriction"]
@@ -132,16 +132,23 @@ def balance_attribute_match(payments: DataFrame, snapshot: DataFrame) -> DataFra
 # W-02
 def offset_limited_funds(payments: DataFrame, movements: DataFrame, cap: bool = True,
                          order: str = "first_seen", as_of=None) -> DataFrame:
-    """Settle each movement against opposite-sign limited lots of its wallet, in order.
+    """Settle movements against opposite-sign limited lots of their wallet, in order.
 
     ``movements``: movement_id, transaction_id, wallet_id, amount (spend
     positive), requested_offset (NULL = default, <= 0 = no offset),
-    new_expiry_text, new_restriction.  One movement per wallet per batch.
-
-    Lot balance = sum of the group's movements.  With ``cap`` a lot gives at
-    most what is still needed (``least(lot, greatest(need - before, 0))``);
-    without it whole lots are taken (the interactive default).  The
-    remainder, if not zero, is one residual row; it becomes a new limited
+    new_expiry_text, new_restriction.  A wallet may have any number of
+    movements in a batch; they are settled by movement id, each from what the
+    ones before it left of the lots that stood at the batch's start.
+
+    Lot balance = sum of the group's movements.  With ``cap`` a movement takes
+    what it needs (the requested offset, else its amount); without it the
+    default is all that is left (the interactive default), and a requested
+    offset is taken as asked.  Movements and lots lie end to end on one line
+    per wallet and sign: a movement takes from a lot where their stretches
+    overlap, so the ends of both, put in order, are all that is needed (rows
+    grow with movements + lots, not their product).
+
+    The remainder, if not zero, is one residual row; it becomes a new limited
     lot when the movement names an expiry or restriction.
     """
     mv = movements.select("movement_id", "transaction_id", "wallet_id",
@@ -150,29 +157,35 @@ def offset_limited_funds(payments: DataFrame, movements: DataFrame, cap: bool =
     lots = limited_groups(payments)
     if as_of is not None:
         lots = lots.filter(c("expiry_at").isNull() | (c("expiry_at") >= S.ts_lit(as_of)))
-    j = mv.join(lots.withColumnRenamed("wallet_id", "lot_wallet"), c("wallet_id") == c("lot_wallet"))
-    j = j.filter(F.signum("total") == -F.signum("move"))
     if order == "expiry":
-        lot_order = [c("expiry_at").asc_nulls_last(), c("first_transaction_id"), c("usage_restriction")]
+        lot_order = [c("expiry_at").asc_nulls_last(), c("first_transaction_id"), c("usage_restriction").asc_nulls_first()]
     else:
         lot_order = [c("first_transaction_id"), c("expiry_at").asc_nulls_last(), c("usage_restriction").asc_nulls_first()]
-    w = Window.partitionBy("movement_id").orderBy(*lot_order)
-    j = (j.withColumn("lot_size", F.abs("total"))
-         .withColumn("before", F.coalesce(F.sum("lot_size").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                          F.lit(0)))
-         .withColumn("lot_no", F.row_number().over(w)))
-    if cap:
-        need = F.coalesce(c("requested_offset"), F.abs("move"))
-    else:
-        need = c("requested_offset")
-    taken = F.when(c("requested_offset").isNotNull() & (c("requested_offset") <= 0), F.lit(0))
-    taken = taken.when(need.isNull(), c("lot_size")).otherwise(F.least(c("lot_size"), F.greatest(need - c("before"), F.lit(0))))
-    offs = j.withColumn("taken", taken.cast("long")).filter(c("taken") > 0)
-    offs = offs.select(
-        "movement_id", "transaction_id", "wallet_id", F.lit("OFFSET").alias("kind"), "lot_no", "expiry_at",
-        "usage_restriction",
-        F.when(c("total") < 0, c("taken")).otherwise(-c("taken")).cast("long").alias("amount"),
-        (c("total") + F.when(c("total") < 0, c("taken")).otherwise(-c("taken"))).cast("long").alias("remaining_amount"))
+    line = ["wallet_id", "spends"]
+    up_to = lambda *o: Window.partitionBy(*line).orderBy(*o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lots = (lots.filter(c("total") != 0).withColumn("spends", c("total") > 0)
+            .withColumn("lot_no", F.row_number().over(Window.partitionBy(*line).orderBy(*lot_order)))
+            .withColumn("end", F.sum(F.abs("total")).over(up_to(*lot_order))))
+    held = lots.groupBy(*line).agg(F.max("end").alias("held"))
+    need = F.coalesce(c("requested_offset"), F.abs("move") if cap else c("held"))
+    wants = (mv.filter(c("move") != 0).withColumn("spends", c("move") < 0).join(held, line)
+             .withColumn("need", F.least(F.greatest(need, F.lit(0)), c("held")).cast("long")).filter(c("need") > 0)
+             .withColumn("end", F.sum("need").over(up_to("movement_id"))))
+    ends = wants.select(*line, "end", F.struct("movement_id", "transaction_id").alias("movement"), F.lit(None).alias("lot")).unionByName(
+        lots.select(*line, "end", F.lit(None).alias("movement"), F.struct("lot_no", "expiry_at", "usage_restriction", "total", "end").alias("lot")))
+    # equal ends are one place: keep the movement and the lot that end there
+    places = ends.groupBy(*line, "end").agg(F.max("movement").alias("movement"), F.max("lot").alias("lot"))
+    along = Window.partitionBy(*line).orderBy("end")
+    ahead = along.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    cut = (places.withColumn("from", F.coalesce(F.lag("end").over(along), F.lit(0)))
+           .withColumn("movement", F.first("movement", ignorenulls=True).over(ahead))
+           .withColumn("lot", F.first("lot", ignorenulls=True).over(ahead))
+           .filter(c("movement").isNotNull() & c("lot").isNotNull() & (c("end") > c("from"))))
+    taken = F.when(c("lot.total") < 0, c("end") - c("from")).otherwise(c("from") - c("end"))
+    left = F.when(c("lot.total") < 0, c("end") - c("lot.end")).otherwise(c("lot.end") - c("end"))
+    offs = cut.select(
+        "movement.movement_id", "movement.transaction_id", "wallet_id", F.lit("OFFSET").alias("kind"), c("lot.lot_no").cast("int").alias("lot_no"),
+        "lot.expiry_at", "lot.usage_restriction", taken.cast("long").alias("amount"), left.cast("long").alias("remaining_amount"))
     used = offs.groupBy("movement_id").agg(F.sum("amount").alias("used"))
     res = (mv.join(used, "movement_id", "left")
            .withColumn("left", (c("move") - F.coalesce(c("used"), F.lit(0))).cast("long"))
@@ -183,19 +196,27 @@ def offset_limited_funds(payments: DataFrame, movements: DataFrame, cap: bool =
         F.lit(None).cast("int").alias("lot_no"), c("new_expiry").alias("expiry_at"),
         c("new_restriction").alias("usage_restriction"), c("left").alias("amount"),
         F.when(limited_new, c("left")).otherwise(F.lit(0)).cast("long").alias("remaining_amount"))
-    return offs.withColumn("lot_no", c("lot_no").cast("int")).unionByName(res)
+    return offs.unionByName(res)
 
 
 # R-10
 def settle_payments(led, cap: bool = True) -> dict[str, DataFrame]:
-    """Batch of movements -> new payment rows (offsets + residuals) -> new balance snapshot."""
+    """Batch of movements -> new payment rows (offsets + residuals) -> new balance snapshot.
+
+    New payments are numbered on from the largest id in use, by movement and
+    lot (residual last): places within ranges of the movement id, offset by
+    the ranges before, so no id can meet another.
+    """
     pay = led["t_payments"]
     rows = offset_limited_funds(pay, led["raw_movements"], cap=cap)
-    new_pay = rows.select(
-        (c("movement_id") * 1000 + F.coalesce(c("lot_no"), F.lit(999))).cast("long").alias("id"),
-        "transaction_id", "wallet_id", "amount", "expiry_at", "usage_restriction")
+    numbered = bucketed_row_number(rows.withColumn("__all", F.lit(0)), ["__all"], F.floor(c("movement_id") / F.lit(1 << 16)),
+                                   [c("movement_id"), c("lot_no").asc_nulls_last()], "__no")
+    last = pay.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"), F.lit(0).alias("__all"))
+    new_pay = numbered.join(last, "__all").select(
+        (c("__last") + c("__no")).cast("long").alias("id"),
+        "transaction_id", "wallet_id", "amount", "remaining_amount", "expiry_at", "usage_restriction")
     tx = led["t_transactions"].select(c("id").alias("transaction_id"), "transaction_at")
-    all_pay = pay.unionByName(new_pay).join(tx, "transaction_id", "left")
+    all_pay = pay.unionByName(new_pay.drop("remaining_amount")).join(tx, "transaction_id", "left")
     return {"payments": new_pay, "offsets": rows, "snapshot": balance_snapshot(all_pay)}
 
 
@@ -226,9 +247,9 @@ def rate_as_of(facts: DataFrame, rates: DataFrame, time_col: str, currency_col:
 
     Closed intervals are exploded into the days they touch and joined on
     (currency, day) plus the exact bounds — an equi-join that spreads over
-    many keys.  The still-open last interval per currency (one row per
-    currency, bounded by the currency master) is broadcast.  Facts before
-    the first rate get NULL.
+    many keys.  The still-open last interval of each currency (one row per
+    currency) is joined by currency; Spark broadcasts it by its size.  Facts
+    before the first rate get NULL.
     """
     iv = rate_intervals(rates)
     days = (iv.filter(c("valid_to").isNotNull())
@@ -241,7 +262,7 @@ def rate_as_of(facts: DataFrame, rates: DataFrame, time_col: str, currency_col:
     op = (iv.filter(c("valid_to").isNull())
           .select(c("currency_id").alias("__co"), c("rate_id").alias("__rid_o"), c("rate_to_jpy").alias("__rate_o"),
                   c("valid_from").alias("__from_o")))
-    f = f.join(F.broadcast(op), (f[currency_col] == op["__co"]) & (f[time_col] >= op["__from_o"]), "left")
+    f = f.join(op, (f[currency_col] == op["__co"]) & (f[time_col] >= op["__from_o"]), "left")
     return (f.withColumn("rate_id", F.coalesce("__rid_c", "__rid_o"))
             .withColumn("rate_to_jpy", F.coalesce("__rate_c", "__rate_o"))
             .drop("__day", "__cc", "__dd", "__rid_c", "__rate_c", "__from_c", "__to_c",
@@ -272,23 +293,19 @@ def wallet_value_jpy(led, as_of) -> DataFrame:
 def currency_successor(currencies: DataFrame, as_of) -> DataFrame:
     """Follow successor links from each currency to the one valid at ``as_of``.
 
-    Iterates one self-join per link until no currency moves (the currency
-    master is small; the loop stops on a cycle after as many hops as there
-    are currencies).
+    Links are doubled: after k joins every currency has moved up to 2^k hops,
+    so log2 of the master's size settles all chains (its count is the one
+    action).  What has then made more hops than there are currencies runs in a
+    cycle: ``valid_currency_id`` and ``hops`` are NULL.
     """
     now = S.ts_lit(as_of)
-    step = (currencies.filter(c("end_at").isNotNull() & (c("end_at") <= now) & c("successor_id").isNotNull())
-            .select(c("id").alias("__from"), c("successor_id").alias("__to")))
-    cur = currencies.select(c("id").alias("currency_id"), c("id").alias("valid_currency_id"),
-                            F.lit(0).cast("long").alias("hops"))
-    limit = currencies.count()
-    for _ in range(int(limit)):
-        nxt = (cur.join(step, cur["valid_currency_id"] == step["__from"], "left")
-               .select("currency_id", F.coalesce("__to", "valid_currency_id").alias("valid_currency_id"),
-                       (c("hops") + F.when(c("__to").isNotNull(), 1).otherwise(0)).cast("long").alias("hops"),
-                       c("__to").isNotNull().alias("__moved")))
-        moved = nxt.filter("__moved").limit(1).count()
-        cur = nxt.drop("__moved")
-        if moved == 0:
-            break
-    return cur
+    moves = c("end_at").isNotNull() & (c("end_at") <= now) & c("successor_id").isNotNull()
+    cur = currencies.select(c("id").alias("currency_id"), F.when(moves, c("successor_id")).otherwise(c("id")).alias("at"),
+                            moves.cast("long").alias("hops"))
+    total = max(1, currencies.count())
+    for _ in range(total.bit_length()):
+        on = cur.select(c("currency_id").alias("__from"), c("at").alias("__to"), c("hops").alias("__more"))
+        cur = cur.join(on, c("at") == c("__from"), "left").select(
+            "currency_id", F.coalesce("__to", "at").alias("at"), (c("hops") + F.coalesce("__more", F.lit(0))).alias("hops"))
+    ends = c("hops") < total
+    return cur.select("currency_id", F.when(ends, c("at")).alias("valid_currency_id"), F.when(ends, c("hops")).alias("hops"))

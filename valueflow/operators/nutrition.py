@@ -35,7 +35,7 @@ def consumption_events(led, start_day=None, end_day=None) -> DataFrame:
     """
     ensure_consumption(led)
     details, tx = led["t_transaction_details"], led["t_transactions"]
-    items, meals = led["t_meal_details"], led["t_meal_logs"]
+    items, meals = led["t_meal_details"], led["meal_headers"]
 
     def in_range(ts_col):
         cond = F.lit(True)
@@ -53,7 +53,7 @@ def consumption_events(led, start_day=None, end_day=None) -> DataFrame:
                       F.lit("PURCHASE").alias("source")))
     from_stock = (items.filter(c("consume_type") == "SELF")
                   .select("meal_id", "detail_id", c("amount_consumed").alias("qty"))
-                  .join(meals.select(c("id").alias("meal_id"), "eaten_at").filter(in_range("eaten_at")), "meal_id")
+                  .join(meals.filter(in_range("eaten_at")), "meal_id")
                   .join(details.select(c("id").alias("detail_id"), "food_type", "food_id"), "detail_id")
                   .select("eaten_at", "food_type", "food_id", "qty", F.lit("STOCK").alias("source")))
     return direct.unionByName(from_stock)
@@ -98,13 +98,11 @@ def nutrition_period_report(led, start_day, end_day, measures=NUTRIENTS) -> Data
     rolled = filled.rollup("day").agg(*[F.sum(F.coalesce(c(m), F.lit(0).cast("decimal(38,8)"))).alias(m)
                                         for m in measures])
     n_days = S.days_in_range(S.date_lit(start_day), S.date_lit(end_day)).cast("double")
-    days = rolled.filter(c("day").isNotNull()).select(
-        F.lit("DAY").alias("row_kind"), "day", *[c(m).cast("double").alias(m) for m in measures])
-    total = rolled.filter(c("day").isNull())
-    tot = total.select(F.lit("TOTAL").alias("row_kind"), "day", *[c(m).cast("double").alias(m) for m in measures])
-    avg = total.select(F.lit("AVERAGE").alias("row_kind"), "day",
-                       *[(c(m).cast("double") / n_days).alias(m) for m in measures])
-    return days.unionByName(tot).unionByName(avg)
+    # one pass: the total row is dealt out twice, as TOTAL and as AVERAGE
+    kinds = F.when(c("day").isNull(), F.array(F.lit("TOTAL"), F.lit("AVERAGE"))).otherwise(F.array(F.lit("DAY")))
+    share = F.when(c("row_kind") == "AVERAGE", n_days).otherwise(F.lit(1.0))
+    return rolled.withColumn("row_kind", F.explode(kinds)).select(
+        "row_kind", "day", *[(c(m).cast("double") / share).alias(m) for m in measures])
 
 
 # A-05

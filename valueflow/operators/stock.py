@@ -43,6 +43,44 @@ DECISION_SCHEMA = T.StructType([
 ])
 
 
+#: Requests of a lot up to which a plain loop is faster than array steps.
+SHORT = 64
+
+
+def _accepted(amounts: np.ndarray, left: float) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy decisions of one lot's requests, in order: accepted, and what is left after each.
+
+    A run of requests that fit is one running subtraction in request order, a
+    run of requests that do not is one comparison with what is left; both look
+    ahead in steps that double.
+    """
+    n = len(amounts)
+    accepted, after = np.zeros(n, dtype=bool), np.empty(n)
+    if n <= SHORT:
+        for i, a in enumerate(amounts.tolist()):
+            if 0 <= a <= left:
+                left -= a
+                accepted[i] = True
+            after[i] = left
+        return accepted, after
+    at, step, fitting = 0, SHORT, True
+    while at < n:
+        part = amounts[at : at + step]
+        if fitting:
+            reach = np.subtract.accumulate(np.concatenate(([left], part)))[1:]
+            good = (part >= 0) & (reach >= 0)
+        else:
+            good = ~((part >= 0) & (part <= left))
+        run = len(part) if good.all() else int(np.argmin(good))
+        accepted[at : at + run] = fitting
+        after[at : at + run] = reach[:run] if fitting else left
+        left = float(after[at + run - 1]) if run else left
+        at += run
+        step = step * 2 if run == len(part) else SHORT
+        fitting = fitting if run == len(part) else not fitting
+    return accepted, after
+
+
 def _fold_sorted(batches):
     """Greedy accept/reject over rows sorted by (lot, seq).
 
@@ -50,31 +88,25 @@ def _fold_sorted(batches):
     a lot's requests are streamed, never gathered into one array.  A request
     is accepted only when 0 <= amount <= remaining; rejected requests change
     nothing.  Same double arithmetic, same order, as the row-at-a-time rule.
+    Rows without a lot are rejected.
     """
     cur, rem = None, 0.0
     for pdf in batches:
         n = len(pdf)
-        lots = pdf["inventory_id"].to_numpy()
-        amts = pdf["amount"].to_numpy(dtype="float64", na_value=np.nan)
+        lots = pdf["inventory_id"].to_numpy(dtype="float64", na_value=np.nan) if pdf["inventory_id"].isna().any() else pdf["inventory_id"].to_numpy()
+        amounts = pdf["amount"].to_numpy(dtype="float64", na_value=np.nan)
         qty = pdf["lot_quantity"].to_numpy(dtype="float64", na_value=np.nan)
-        acc = np.zeros(n, dtype=bool)
-        after = np.empty(n, dtype="float64")
-        reason = np.empty(n, dtype=object)
-        for i in range(n):
-            if lots[i] != cur:
-                cur, rem = lots[i], qty[i]
-            a = amts[i]
-            if a != a or a < 0:
-                reason[i] = "INVALID_AMOUNT"
-            elif a <= rem:
-                rem = rem - a
-                acc[i] = True
-                reason[i] = None
-            else:
-                reason[i] = "OVERDRAW"
-            after[i] = rem
+        acc, after = np.zeros(n, dtype=bool), np.full(n, np.nan)
+        starts = np.concatenate(([0], np.flatnonzero(lots[1:] != lots[:-1]) + 1)) if n else np.empty(0, dtype=int)
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), n]):
+            if lots[lo] != cur:
+                cur, rem = lots[lo], qty[lo]
+            if qty[lo] == qty[lo]:
+                acc[lo:hi], after[lo:hi] = _accepted(amounts[lo:hi], rem)
+                rem = after[hi - 1]
+        reason = np.where(acc, None, np.where(qty != qty, "NO_LOT", np.where(~(amounts >= 0), "INVALID_AMOUNT", "OVERDRAW")))
         yield pdf.assign(accepted=acc, reason=pd.Series(reason, index=pdf.index, dtype=object),
-                         remaining_after=after)
+                         remaining_after=pd.Series(after, index=pdf.index).astype(object).where(~np.isnan(after), None))
 
 
 def greedy_consumption(requests: DataFrame, lots: DataFrame) -> DataFrame:
@@ -85,16 +117,10 @@ def greedy_consumption(requests: DataFrame, lots: DataFrame) -> DataFrame:
     by a streaming ``mapInPandas``.
     """
     lot_cols = lots.select(c("id").alias("inventory_id"), "detail_id", c("current_quantity").alias("lot_quantity"))
-    joined = requests.join(lot_cols, "inventory_id", "left")
     cols = [f.name for f in DECISION_SCHEMA.fields if f.name not in ("accepted", "reason", "remaining_after")]
-    known = (joined.filter(c("lot_quantity").isNotNull()).select(*cols)
-             .repartition("inventory_id")
-             .sortWithinPartitions("inventory_id", "seq", "request_id")
-             .mapInPandas(_fold_sorted, DECISION_SCHEMA))
-    unknown = joined.filter(c("lot_quantity").isNull()).select(
-        *cols, F.lit(False).alias("accepted"), F.lit("NO_LOT").alias("reason"),
-        F.lit(None).cast("double").alias("remaining_after"))
-    return known.unionByName(unknown)
+    return (requests.join(lot_cols, "inventory_id", "left").select(*cols)
+            .repartition("inventory_id").sortWithinPartitions("inventory_id", "seq", "request_id")
+            .mapInPandas(_fold_sorted, DECISION_SCHEMA))
 
 
 # R-11 ---------------------------------------------------------------------
@@ -106,10 +132,10 @@ def record_consumption(requests: DataFrame, lots: DataFrame) -> dict[str, DataFr
         "detail_id", c("amount").alias("amount_consumed"), "consume_type")
     rejects = decisions.filter(~c("accepted")).select(
         "request_id", "inventory_id", "meal_id", "amount", "reason", c("remaining_after").alias("available"))
-    meals = requests.groupBy("meal_id").agg(F.min("requested_at").alias("eaten_at"))
-    meals = drop_empty_meals(meals, items).select(
+    headers = requests.groupBy("meal_id").agg(F.min("requested_at").alias("eaten_at"))
+    meals = drop_empty_meals(headers, items).select(
         c("meal_id").alias("id"), "eaten_at", F.lit(None).cast("string").alias("note"))
-    return {"decisions": decisions, "t_meal_details": items, "t_meal_logs": meals, "rejects": rejects,
+    return {"decisions": decisions, "t_meal_details": items, "t_meal_logs": meals, "meal_headers": headers, "rejects": rejects,
             "t_inventory": stock_snapshot(lots, decisions)}
 
 
@@ -134,12 +160,17 @@ def stock_snapshot(lots: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def ensure_consumption(led) -> dict[str, DataFrame]:
-    """Compute (lazily) the consumption outputs of a ledger once and keep them on it."""
+    """Compute (lazily) the consumption outputs of a ledger once and keep them on it.
+
+    ``meal_headers`` has every asked-for meal.  Joining items to it drops the
+    meals without items, so plans with such a join need no second fold.
+    """
     if "t_meal_details" not in led:
         out = record_consumption(led["consume_requests"], led["t_inventory"])
         led["consumption_decisions"] = out["decisions"]
         led["t_meal_details"] = out["t_meal_details"]
         led["t_meal_logs"] = out["t_meal_logs"]
+        led["meal_headers"] = out["meal_headers"]
         led["consumption_rejects"] = out["rejects"]
         led["t_inventory_snapshot"] = out["t_inventory"]
     return led
@@ -155,8 +186,8 @@ def check_overdraw(led) -> DataFrame:
 def consumption_lineage(led) -> DataFrame:
     """Meal item -> meal (when) -> purchase line (what, which transaction)."""
     ensure_consumption(led)
-    items, meals, details = led["t_meal_details"], led["t_meal_logs"], led["t_transaction_details"]
-    return (items.join(meals.select(c("id").alias("meal_id"), "eaten_at"), "meal_id")
+    items, meals, details = led["t_meal_details"], led["meal_headers"], led["t_transaction_details"]
+    return (items.join(meals, "meal_id")
             .join(details.select(c("id").alias("detail_id"), "transaction_id", "item_name_receipt",
                                  "food_type", "food_id"), "detail_id")
             .select(c("id").alias("item_id"), "meal_id", "eaten_at", "inventory_id", "detail_id",

@@ -100,7 +100,7 @@ select max(o_orderkey) as movement_id, max(o_orderkey) as transaction_id, o_cust
   case when max(o_orderkey) % 5 = 0 then '20240331' end as new_expiry_text,
   case when max(o_orderkey) % 7 = 0 then 'R9' end as new_restriction,
   arg_max(o_orderdate, o_orderkey) as moved_at
-from orders group by o_custkey"""),
+from orders group by o_custkey, o_orderkey % 4"""),
     ("raw_receipts", """
 select l_orderkey as receipt_id,
   case when o_orderkey % 4 = 0 then strftime(o_orderdate, '%Y%m%d') else strftime(o_orderdate, '%Y%m%d%H%M') end as at_text,

@@ -56,11 +56,11 @@ def r01(led):
 
 
 _M0 = dt.datetime(int(MONTH[:4]), int(MONTH[4:]), 1)
-_M1 = (dt.datetime(_M0.year + (_M0.month == 12), _M0.month % 12 + 1, 1) - dt.timedelta(seconds=1))
+_M1 = dt.datetime(_M0.year + (_M0.month == 12), _M0.month % 12 + 1, 1)
 
 
 @register("r02_monthly_transactions", f"""select l.*, row_number() over (order by transaction_at desc, id desc) as position
-from ({LIST_SQL}) l where transaction_at between timestamp '{_M0}' and timestamp '{_M1}'""")
+from ({LIST_SQL}) l where transaction_at >= timestamp '{_M0}' and transaction_at < timestamp '{_M1}'""")
 def r02(led):
     return G.monthly_transactions(led, MONTH)
 

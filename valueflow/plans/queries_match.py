@@ -32,15 +32,14 @@ def j09(led):
 
 
 @register("j10_new_entities", f"""select distinct 'BRAND' as entity, cast(null as varchar) as scope, l.brand_text as name
-from receipt_lines l where l.brand_text is not null and l.brand_text <> ''
-  and l.brand_text not in (select name from m_brands)
+from receipt_lines l where trim(l.brand_text) <> '' and l.brand_text not in (select name from m_brands)
 union all
-select distinct 'BRANCH' as entity, cast(brand_id as varchar) as scope, branch_text as name
-from {MATCH_SQL} m where brand_id is not null and branch_id is null
+select distinct 'BRANCH' as entity, coalesce(cast(brand_id as varchar), 'new:' || brand_text) as scope, branch_text as name
+from {MATCH_SQL} m where trim(brand_text) <> '' and trim(branch_text) <> '' and branch_id is null
 union all
 select distinct 'FOOD' as entity, case when food_type = 'OUT_EAT' then 'PROCESSED' else food_type end as scope,
   item_text as name
-from {MATCH_SQL} m where food_type in ('UNIVERSAL','MEASURED','PROCESSED','OUT_EAT') and food_id is null""")
+from {MATCH_SQL} m where food_type in ('UNIVERSAL','MEASURED','PROCESSED','OUT_EAT') and trim(item_text) <> '' and food_id is null""")
 def j10(led):
     return Z.new_entities(_lines(led), led)
 
@@ -54,7 +53,7 @@ def z05(led):
 @register("w04_top3_candidates")
 def w04(led):
     masters = Z.food_masters(led)
-    return Z.top_candidates(Z.best_matches(_food_queries(led).select("query"), masters), masters)
+    return Z.top_candidates(Z.similarity_join(_food_queries(led).select("query"), masters), masters)
 
 
 @register("z01_find_food")

@@ -23,27 +23,32 @@ group by p.wallet_id, p.expiry_at, p.usage_restriction"""
 
 LOT_ORDER = "l.first_transaction_id, l.expiry_at asc nulls last, l.usage_restriction asc nulls first"
 
-OFFSETS_SQL = f"""(with mv as (
+def offsets_sql(cap: bool = True, order: str = LOT_ORDER, alive: str = "true") -> str:
+    """Sequential settlement as overlaps of two stretches: movements and lots of a wallet, laid end to end."""
+    default = "abs(m.move)" if cap else "h.held"
+    return f"""(with mv as (
   select movement_id, transaction_id, wallet_id, -amount as move, requested_offset,
     case when regexp_matches(trim(new_expiry_text), '^[0-9]{{8}}$')
       then try_strptime(trim(new_expiry_text), '%Y%m%d') end as new_expiry, new_restriction
   from raw_movements),
-j as (
-  select mv.*, l.expiry_at, l.usage_restriction, l.total, abs(l.total) as lot_size,
-    coalesce(sum(abs(l.total)) over (partition by mv.movement_id order by {LOT_ORDER}
-      rows between unbounded preceding and 1 preceding), 0) as before,
-    row_number() over (partition by mv.movement_id order by {LOT_ORDER}) as lot_no
-  from mv join ({GROUPS_SQL}) l on mv.wallet_id = l.wallet_id
-  where sign(l.total) = -sign(mv.move)),
-o as (
-  select *, cast(case when requested_offset is not null and requested_offset <= 0 then 0
-    else least(lot_size, greatest(coalesce(requested_offset, abs(move)) - before, 0)) end as bigint) as taken
-  from j),
+lots as (
+  select l.*, sum(abs(l.total)) over (partition by l.wallet_id, l.total > 0 order by {order} rows unbounded preceding) as lot_end,
+    row_number() over (partition by l.wallet_id, l.total > 0 order by {order}) as lot_no
+  from ({GROUPS_SQL}) l where l.total <> 0 and {alive}),
+held as (select wallet_id, total > 0 as spends, max(lot_end) as held from lots group by all),
+wants as (
+  select *, sum(need) over (partition by wallet_id, move < 0 order by movement_id rows unbounded preceding) as mv_end
+  from (select m.*, least(greatest(coalesce(m.requested_offset, {default}), 0), h.held) as need
+        from mv m join held h on m.wallet_id = h.wallet_id and (m.move < 0) = h.spends where m.move <> 0) n where need > 0),
+cut as (
+  select w.movement_id, w.transaction_id, w.wallet_id, l.lot_no, l.expiry_at, l.usage_restriction, l.total, l.lot_end,
+    least(l.lot_end, w.mv_end) as upper, greatest(l.lot_end - abs(l.total), w.mv_end - w.need) as lower
+  from wants w join lots l on w.wallet_id = l.wallet_id and (w.move < 0) = (l.total > 0)),
 offs as (
   select movement_id, transaction_id, wallet_id, 'OFFSET' as kind, cast(lot_no as integer) as lot_no, expiry_at,
-    usage_restriction, cast(case when total < 0 then taken else -taken end as bigint) as amount,
-    cast(total + case when total < 0 then taken else -taken end as bigint) as remaining_amount
-  from o where taken > 0)
+    usage_restriction, cast(case when total < 0 then upper - lower else lower - upper end as bigint) as amount,
+    cast(case when total < 0 then upper - lot_end else lot_end - upper end as bigint) as remaining_amount
+  from cut where upper > lower)
 select * from offs
 union all
 select mv.movement_id, mv.transaction_id, mv.wallet_id, 'RESIDUAL' as kind, cast(null as integer) as lot_no,
@@ -56,6 +61,9 @@ from mv left join (select movement_id, sum(amount) as used from offs group by mo
 where mv.move - coalesce(u.used, 0) <> 0)"""
 
 
+OFFSETS_SQL = offsets_sql()
+
+
 @register("j01_wallets_with_currency", """select w.id, w.name, c.name as currency_name, c.display_unit
 from m_wallets w join m_currencies c on w.currency_id = c.id""")
 def j01(led):
@@ -99,8 +107,7 @@ def w05(led):
     rows between unbounded preceding and current row) else 0 end as bigint) as remaining_amount
 from t_payments p where p.wallet_id is not null""")
 def w01(led):
-    # small id ranges so the test data spans several buckets of the two-phase running sum
-    return M.remaining_after_movement(led["t_payments"], bucket_width=1024)
+    return M.remaining_after_movement(led["t_payments"])
 
 
 @register("j08_balance_attribute_match", f"""select p.id as payment_id, p.wallet_id, p.expiry_at, p.usage_restriction,
@@ -118,13 +125,31 @@ def w02(led):
     return M.offset_limited_funds(led["t_payments"], led["raw_movements"], cap=True)
 
 
-NEW_PAYMENTS_SQL = f"""(select cast(movement_id * 1000 + coalesce(lot_no, 999) as bigint) as id, transaction_id, wallet_id,
-  amount, expiry_at, usage_restriction from {OFFSETS_SQL} x)"""
+@register("w02_whole_lots", f"select * from {offsets_sql(cap=False)} x")
+def w02_whole(led):
+    return M.offset_limited_funds(led["t_payments"], led["raw_movements"], cap=False)
+
+
+@register("w02_by_expiry", f"""select * from {offsets_sql(
+    order="l.expiry_at asc nulls last, l.first_transaction_id, l.usage_restriction asc nulls first",
+    alive=f"(l.expiry_at is null or l.expiry_at >= timestamp '{FUNDS_AS_OF}')")} x""")
+def w02_expiry(led):
+    return M.offset_limited_funds(led["t_payments"], led["raw_movements"], order="expiry", as_of=FUNDS_AS_OF)
+
+
+NEW_PAYMENTS_SQL = f"""(select cast((select coalesce(max(id), 0) from t_payments)
+    + row_number() over (order by movement_id, lot_no asc nulls last) as bigint) as id, transaction_id, wallet_id,
+  amount, remaining_amount, expiry_at, usage_restriction from {OFFSETS_SQL} x)"""
+
+
+@register("r10_new_payments", f"select * from {NEW_PAYMENTS_SQL} np")
+def r10_payments(led):
+    return M.settle_payments(led)["payments"]
 
 
 @register("r10_settle_payments", SNAPSHOT_SQL.format(
     payments=f"(select id, transaction_id, wallet_id, amount, expiry_at, usage_restriction from t_payments "
-             f"union all select * from {NEW_PAYMENTS_SQL} np)"))
+             f"union all select * exclude (remaining_amount) from {NEW_PAYMENTS_SQL} np)"))
 def r10(led):
     return M.settle_payments(led)["snapshot"]
 

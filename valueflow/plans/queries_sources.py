@@ -70,9 +70,10 @@ def s07(led):
     return I.apply_updates(base, u1.unionByName(u2), "id")
 
 
-MATCH_SQL = """(select l.*, b.id as brand_id, sb.id as branch_id, f.food_id
-  from receipt_lines l left join m_brands b on l.brand_text = b.name
-  left join m_store_branches sb on sb.brand_id = b.id and sb.branch_name = l.branch_text
+MATCH_SQL = """(select l.*, b.brand_id, sb.branch_id, f.food_id
+  from receipt_lines l left join (select name, min(id) as brand_id from m_brands group by name) b on l.brand_text = b.name
+  left join (select brand_id as of_brand, branch_name, min(id) as branch_id from m_store_branches group by all) sb
+    on sb.of_brand = b.brand_id and sb.branch_name = l.branch_text
   left join (select food_kind, name, min(id) as food_id from m_foods group by food_kind, name) f
     on f.food_kind = case when l.food_type = 'OUT_EAT' then 'PROCESSED' else l.food_type end
     and f.name = l.item_text)"""

@@ -173,20 +173,20 @@ def seed_balances(wallets: DataFrame) -> DataFrame:
 
 # S-06
 def add_missing_column(df: DataFrame, name: str, default, dtype: str = "string") -> DataFrame:
-    """Give a stored table a column it lacks (older files), filled with ``default``."""
-    if name in df.columns:
-        return df.withColumn(name, F.coalesce(c(name), F.lit(default).cast(dtype)))
-    return df.withColumn(name, F.lit(default).cast(dtype))
+    """Give a stored table a column it lacks (older files), filled with ``default``; a column it has stays as it is."""
+    return df if name in df.columns else df.withColumn(name, F.lit(default).cast(dtype))
 
 
 # S-07
 def apply_updates(base: DataFrame, updates: DataFrame, key: str, seq: str = "seq") -> DataFrame:
-    """Latest-wins upsert: union base (seq 0) and updates, keep the highest seq per key.
+    """Latest-wins upsert: the update with the highest seq per key replaces the base row or is added.
 
-    ``max_by`` in a hash aggregate (partial aggregation before the shuffle),
-    so a key with very many updates is combined map-side.
+    Only the updates are aggregated; the base is joined to the result, which
+    Spark broadcasts if it is small, so the base need not be shuffled.
     """
-    cols = base.columns
-    u = base.withColumn(seq, F.lit(0).cast("long")).unionByName(updates.select(*cols, c(seq).cast("long")))
-    best = u.groupBy(key).agg(F.max_by(F.struct(*[c(x) for x in cols if x != key]), c(seq)).alias("__row"))
-    return best.select(key, *[c(f"__row.{x}").alias(x) for x in cols if x != key])
+    cols = [x for x in base.columns if x != key]
+    last = updates.groupBy(key).agg(F.max_by(F.struct(*[c(x) for x in cols]), c(seq)).alias("__row"))
+    new = last.join(base.select(key).join(last.select(key), key, "left_semi"), key, "left_anti")
+    joined = base.join(last, key, "left")
+    pick = lambda x: F.when(c("__row").isNotNull(), c(f"__row.{x}")).otherwise(base[x]).alias(x)
+    return joined.select(key, *[pick(x) for x in cols]).unionByName(new.select(key, *[c(f"__row.{x}").alias(x) for x in cols])).select(*base.columns)
