@@ -103,7 +103,7 @@ select max(o_orderkey) as movement_id, max(o_orderkey) as transaction_id, o_cust
 from orders group by o_custkey, o_orderkey % 4"""),
     ("raw_receipts", """
 select l_orderkey as receipt_id,
-  case when o_orderkey % 4 = 0 then strftime(o_orderdate, '%Y%m%d') else strftime(o_orderdate, '%Y%m%d%H%M') end as at_text,
+  case when o_orderkey % 97 = 0 then '202613011200' when o_orderkey % 4 = 0 then strftime(o_orderdate, '%Y%m%d') else strftime(o_orderdate, '%Y%m%d%H%M') end as at_text,
   case when o_orderpriority = '5-LOW' then 'n' else 'y' end as public_text,
   case when o_orderkey % 9 = 0 then lower(n_name) else n_name end as brand_text,
   case when o_orderkey % 11 = 0 then replace(s_name, 'Supplier#', 'Sup ') else s_name end as branch_text,
@@ -114,9 +114,9 @@ select l_orderkey as receipt_id,
     when 4 then 'p' else 'o' end as kind_text,
   case when l_linenumber = 6 then 'x' else '' end || cast(cast(floor(l_extendedprice / l_quantity) as bigint) as varchar)
     as price_text,
-  cast(l_quantity as varchar) as qty_text,
-  case when l_linenumber % 4 = 0 then '' else cast(l_tax as varchar) end as tax_text,
-  case when l_linenumber = 2 then cast(cast(floor(l_extendedprice * l_discount) as bigint) as varchar) else '' end
+  case when l_partkey % 107 = 0 then '-1' else cast(l_quantity as varchar) end as qty_text,
+  case when l_partkey % 101 = 0 then 'abc' when l_linenumber % 4 = 0 then '' else cast(l_tax as varchar) end as tax_text,
+  case when l_partkey % 103 = 0 then 'zz' when l_linenumber = 2 then cast(cast(floor(l_extendedprice * l_discount) as bigint) as varchar) else '' end
     as discount_text,
   case when l_returnflag = 'A' then '2' when l_returnflag = 'N' then '4' else '1' end as dest_text,
   case when l_linenumber = 5 then '20011340' when l_linenumber % 3 <> 0 then strftime(l_shipdate, '%Y%m%d') end
@@ -127,24 +127,27 @@ from lineitem join (select o.*, s.s_name, n.n_name from orders o
   on l_orderkey = o_orderkey
 left join part on l_partkey = p_partkey"""),
     ("receipt_parsed", """
-select *, case when unit_price is null then 'BAD_PRICE' when quantity is null then 'BAD_QUANTITY' end as reject_reason
-from (select receipt_id, line_no,
-  coalesce(case when regexp_full_match(tt, '[0-9]{12}') then try_strptime(tt, '%Y%m%d%H%M')
-                when regexp_full_match(tt, '[0-9]{8}') then try_strptime(tt, '%Y%m%d') end,
-           timestamp '{as_of}') as transaction_at,
-  pub as is_public, brand_text, branch_text, item_text, ft as food_type,
+select receipt_id, line_no, coalesce(at_ts, timestamp '{as_of}') as transaction_at, pub as is_public, brand_text, branch_text,
+  item_text, ft as food_type, category_id, unit_price, quantity,
+  coalesce(tax, case when not pub then 0.0e0 when ft in ('UNIVERSAL','MEASURED','PROCESSED') then 0.08e0 else 0.10e0 end) as tax_rate,
+  coalesce(discount, 0.0e0) as discount_amount, dest as destination, limit_date,
+  case when limit_date is not null then case when trim(limit_kind_text) = '2' then 'BEST_BEFORE' else 'CONSUMPTION' end end
+    as limit_type,
+  case when coalesce(trim(at_text), '') <> '' and at_ts is null then 'BAD_TIME'
+    when unit_price is null then 'BAD_PRICE'
+    when quantity is null or quantity < 0 then 'BAD_QUANTITY'
+    when coalesce(trim(tax_text), '') <> '' and (tax is null or tax < 0) then 'BAD_TAX'
+    when coalesce(trim(discount_text), '') <> '' and (discount is null or discount < 0) then 'BAD_DISCOUNT' end as reject_reason
+from (select *,
+  case when regexp_full_match(tt, '[0-9]{12}') then try_strptime(tt, '%Y%m%d%H%M')
+       when regexp_full_match(tt, '[0-9]{8}') then try_strptime(tt, '%Y%m%d') end as at_ts,
   case when regexp_full_match(k, '[0-9]+') then try_cast(k as bigint) end as category_id,
   case when regexp_full_match(pt, '-?[0-9]+') then try_cast(pt as bigint) end as unit_price,
   try_cast(translate(trim(qty_text), '０１２３４５６７８９', '0123456789') as double) as quantity,
-  coalesce(try_cast(translate(trim(tax_text), '０１２３４５６７８９', '0123456789') as double),
-    case when not pub then 0.0e0 when ft in ('UNIVERSAL','MEASURED','PROCESSED') then 0.08e0 else 0.10e0 end) as tax_rate,
-  coalesce(try_cast(translate(trim(discount_text), '０１２３４５６７８９', '0123456789') as double), 0.0e0)
-    as discount_amount,
-  dest as destination,
-  case when dest in ('FRIDGE','FREEZER','PANTRY') and coalesce(trim(limit_text) <> '', false) then
-    case when regexp_full_match(lt, '[0-9]{8}') then try_strptime(lt, '%Y%m%d') end end as limit_date,
+  try_cast(translate(trim(tax_text), '０１２３４５６７８９', '0123456789') as double) as tax,
+  try_cast(translate(trim(discount_text), '０１２３４５６７８９', '0123456789') as double) as discount,
   case when dest in ('FRIDGE','FREEZER','PANTRY') and coalesce(trim(limit_text) <> '', false) then
-    case when trim(limit_kind_text) = '2' then 'BEST_BEFORE' else 'CONSUMPTION' end end as limit_type
+    case when regexp_full_match(lt, '[0-9]{8}') then try_strptime(lt, '%Y%m%d') end end as limit_date
 from (select *,
     case when ft in ('UNIVERSAL','MEASURED','PROCESSED') then
       coalesce(case trim(dest_text) when '1' then 'EAT_NOW' when '2' then 'FRIDGE' when '3' then 'FREEZER'

@@ -88,4 +88,24 @@ def r09(led):
     return I.record_purchases(led["raw_receipts"], led, AS_OF)["transactions"]
 
 
+DETAILS_SQL = f"""(select (select coalesce(max(id), 0) from t_transaction_details) + row_number() over (order by receipt_id nulls first,
+    line_no nulls first, item_text nulls first, food_type nulls first, category_id nulls first, unit_price nulls first,
+    quantity nulls first, tax_rate nulls first, discount_amount nulls first, destination nulls first, limit_date nulls first,
+    limit_type nulls first) as id,
+  receipt_id as transaction_id, line_no, category_id, food_type, food_id, item_text as item_name_receipt,
+  cast(unit_price as double) as unit_price_ex_tax, quantity, tax_rate, discount_amount, destination, limit_date, limit_type,
+  transaction_at from {MATCH_SQL} m)"""
+
+
+@register("r09_purchase_details", f"select * exclude (transaction_at) from {DETAILS_SQL} d")
+def r09_details(led):
+    return I.record_purchases(led["raw_receipts"], led, AS_OF)["details"]
+
+
+@register("r09_purchase_lots", f"""select id, id as detail_id, quantity as current_quantity, transaction_at as updated_at
+from {DETAILS_SQL} d where destination in ('FRIDGE','FREEZER','PANTRY')""")
+def r09_lots(led):
+    return I.record_purchases(led["raw_receipts"], led, AS_OF)["lots"]
+
+
 __all__ = ["MATCH_SQL"]

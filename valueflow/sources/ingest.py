@@ -19,6 +19,9 @@ from .schema import FOOD_KINDS, STOCK_PLACES
 
 c = F.col
 
+# Receipt ids whose lines are numbered together in one task.
+RECEIPT_RANGE = 1 << 14
+
 
 def raw_receipts(star: dict[str, DataFrame]) -> DataFrame:
     """Raw receipt lines (all text) derived from the star tables.
@@ -26,8 +29,8 @@ def raw_receipts(star: dict[str, DataFrame]) -> DataFrame:
     Store = the transaction's branch (supplier ``o_custkey % 10``) and its
     brand (the supplier's nation); item text = the food master name for food
     lines.  Some fields carry noise on purpose: a lower-case brand, a
-    shortened branch, an upper-case item, a non-numeric price, an invalid
-    limit date.
+    shortened branch, an upper-case item, an invalid time, a non-numeric
+    price, tax or discount, a negative quantity, an invalid limit date.
     """
     li, o, p = star["lineitem"], star["orders"], star["part"]
     sup, nat = star["supplier"], star["nation"]
@@ -41,7 +44,7 @@ def raw_receipts(star: dict[str, DataFrame]) -> DataFrame:
     price = F.floor(c("l_extendedprice") / c("l_quantity")).cast("string")
     return j.select(
         c("l_orderkey").alias("receipt_id"),
-        F.when(ok % 4 == 0, F.date_format("o_orderdate", "yyyyMMdd"))
+        F.when(ok % 97 == 0, F.lit("202613011200")).when(ok % 4 == 0, F.date_format("o_orderdate", "yyyyMMdd"))
          .otherwise(F.date_format("o_orderdate", "yyyyMMddHHmm")).alias("at_text"),
         F.when(c("o_orderpriority") == "5-LOW", "n").otherwise("y").alias("public_text"),
         F.when(ok % 9 == 0, F.lower("n_name")).otherwise(c("n_name")).alias("brand_text"),
@@ -52,9 +55,9 @@ def raw_receipts(star: dict[str, DataFrame]) -> DataFrame:
         F.when(lp % 6 == 0, (c("l_suppkey") % 15).cast("string")).when(lp % 6 == 1, "a").when(lp % 6 == 2, "u")
          .when(lp % 6 == 3, "m").when(lp % 6 == 4, "p").otherwise("o").alias("kind_text"),
         F.when(ln == 6, F.concat(F.lit("x"), price)).otherwise(price).alias("price_text"),
-        c("l_quantity").cast("string").alias("qty_text"),
-        F.when(ln % 4 == 0, F.lit("")).otherwise(c("l_tax").cast("string")).alias("tax_text"),
-        F.when(ln == 2, F.floor(c("l_extendedprice") * c("l_discount")).cast("string")).otherwise(F.lit(""))
+        F.when(lp % 107 == 0, F.lit("-1")).otherwise(c("l_quantity").cast("string")).alias("qty_text"),
+        F.when(lp % 101 == 0, F.lit("abc")).when(ln % 4 == 0, F.lit("")).otherwise(c("l_tax").cast("string")).alias("tax_text"),
+        F.when(lp % 103 == 0, F.lit("zz")).when(ln == 2, F.floor(c("l_extendedprice") * c("l_discount")).cast("string")).otherwise(F.lit(""))
          .alias("discount_text"),
         F.when(c("l_returnflag") == "A", "2").when(c("l_returnflag") == "N", "4").otherwise("1").alias("dest_text"),
         F.when(ln == 5, F.lit("20011340")).when(ln % 3 != 0, F.date_format("l_shipdate", "yyyyMMdd"))
@@ -67,13 +70,17 @@ def raw_receipts(star: dict[str, DataFrame]) -> DataFrame:
 def ingest_receipts(raw: DataFrame, as_of) -> dict[str, DataFrame]:
     """Raw receipt lines -> typed lines + rejects.
 
-    * time: 12 digits = minute, 8 digits = midnight, else ``as_of``;
+    * time: 12 digits = minute, 8 digits = midnight, empty = ``as_of``;
     * ``n`` marks a non-public receipt (tax default 0);
     * kind: letters u/m/p/o/a/x, or category digits (then type NONE);
-    * price must be an integer, quantity a number, else the line is rejected;
-    * tax: given value (an explicit 0 is kept), else the default rate;
+    * price must be an integer, quantity a number that is not negative;
+    * tax: given value (an explicit 0 is kept), empty = the default rate;
+    * discount: given value, empty = 0;
     * destination digit only for stockable kinds (default eat now);
-    * limit date / kind only for stock destinations.
+    * limit date / kind only for stock destinations; an invalid date counts as none.
+
+    A text that is given and cannot be read rejects the line; the reason names
+    the first such field.
     """
     k = F.lower(F.trim(c("kind_text")))
     is_digits = k.rlike("^[0-9]+$")
@@ -81,28 +88,31 @@ def ingest_receipts(raw: DataFrame, as_of) -> dict[str, DataFrame]:
     is_public = F.coalesce(F.lower(F.trim(c("public_text"))) != "n", F.lit(True))
     pt = S.normalize_digits(c("price_text"))
     price = F.when(pt.rlike("^-?[0-9]+$"), pt.try_cast("long"))
-    qty = S.normalize_digits(c("qty_text")).try_cast("double")
+    given = lambda col: F.coalesce(F.trim(c(col)) != "", F.lit(False))
+    number = lambda col: S.normalize_digits(c(col)).try_cast("double")
+    time, qty, tax, discount = S.parse_yyyymmddhhmm("at_text"), number("qty_text"), number("tax_text"), number("discount_text")
     dest = F.when(food_type.isin(*FOOD_KINDS), S.label(F.trim(c("dest_text")), S.DEST_DIGITS, "EAT_NOW")) \
         .otherwise(F.lit("EAT_NOW"))
-    has_limit = dest.isin(*STOCK_PLACES) & F.coalesce(F.trim(c("limit_text")) != "", F.lit(False))
+    limit = F.when(dest.isin(*STOCK_PLACES) & given("limit_text"), S.parse_yyyymmdd("limit_text"))
+    reason = (F.when(given("at_text") & time.isNull(), F.lit("BAD_TIME"))
+              .when(price.isNull(), F.lit("BAD_PRICE"))
+              .when(qty.isNull() | (qty < 0), F.lit("BAD_QUANTITY"))
+              .when(given("tax_text") & (tax.isNull() | (tax < 0)), F.lit("BAD_TAX"))
+              .when(given("discount_text") & (discount.isNull() | (discount < 0)), F.lit("BAD_DISCOUNT")))
     typed = raw.select(
         "receipt_id", "line_no",
-        S.parse_yyyymmddhhmm("at_text", S.ts_lit(as_of)).alias("transaction_at"),
+        F.coalesce(time, S.ts_lit(as_of)).alias("transaction_at"),
         is_public.alias("is_public"), "brand_text", "branch_text", "item_text",
         food_type.alias("food_type"),
         F.when(is_digits, k.try_cast("long")).alias("category_id"),
         price.alias("unit_price"), qty.alias("quantity"),
-        F.coalesce(S.normalize_digits(c("tax_text")).try_cast("double"),
-                   S.default_tax_rate(is_public, food_type)).alias("tax_rate"),
-        F.coalesce(S.normalize_digits(c("discount_text")).try_cast("double"), F.lit(0.0)).alias("discount_amount"),
+        F.coalesce(tax, S.default_tax_rate(is_public, food_type)).alias("tax_rate"),
+        F.coalesce(discount, F.lit(0.0)).alias("discount_amount"),
         dest.alias("destination"),
-        F.when(has_limit, S.parse_yyyymmdd("limit_text")).alias("limit_date"),
-        F.when(has_limit, F.when(F.trim(c("limit_kind_text")) == "2", "BEST_BEFORE").otherwise("CONSUMPTION"))
+        limit.alias("limit_date"),
+        F.when(limit.isNotNull(), F.when(F.trim(c("limit_kind_text")) == "2", "BEST_BEFORE").otherwise("CONSUMPTION"))
          .alias("limit_type"),
-    )
-    reason = (F.when(c("unit_price").isNull(), F.lit("BAD_PRICE"))
-              .when(c("quantity").isNull(), F.lit("BAD_QUANTITY")))
-    typed = typed.withColumn("reject_reason", reason)
+        reason.alias("reject_reason"))
     return {"lines": typed.filter(c("reject_reason").isNull()).drop("reject_reason"),
             "rejects": typed.filter(c("reject_reason").isNotNull())}
 
@@ -113,8 +123,12 @@ def record_purchases(raw: DataFrame, led, as_of) -> dict[str, DataFrame]:
 
     Stores and foods are bound by exact name (J-09); names without a hit
     are what J-10 would register.  One shuffle per receipt for the totals.
+    Details are numbered on from the largest id in use, by receipt, line and
+    content: (receipt, line) need not be unique, and places within ranges of
+    the receipt id, offset by the ranges before, are.
     """
     from ..operators.matching import existing_entity_match
+    from ..operators.windows import bucketed_row_number
 
     lines = ingest_receipts(raw, as_of)["lines"]
     m = existing_entity_match(lines, led)
@@ -123,14 +137,19 @@ def record_purchases(raw: DataFrame, led, as_of) -> dict[str, DataFrame]:
         F.min("transaction_at").alias("transaction_at"), F.min("is_public").alias("is_public"),
         F.min("brand_id").alias("brand_id"), F.min("branch_id").alias("branch_id"),
         F.sum(gross).cast("long").alias("total_amount_jpy"), F.count(F.lit(1)).alias("n_lines"))
-    details = m.select((c("receipt_id") * 100 + c("line_no")).alias("id"), c("receipt_id").alias("transaction_id"),
-                       "category_id", "food_type", "food_id", c("item_text").alias("item_name_receipt"),
-                       c("unit_price").cast("double").alias("unit_price_ex_tax"), "quantity", "tax_rate",
-                       "discount_amount", "destination", "limit_date", "limit_type")
-    lots = details.filter(c("destination").isin(*STOCK_PLACES)).join(
-        tx.select(c("receipt_id").alias("transaction_id"), "transaction_at"), "transaction_id").select(
+    content = ["receipt_id", "line_no", "item_text", "food_type", "category_id", "unit_price", "quantity", "tax_rate",
+               "discount_amount", "destination", "limit_date", "limit_type"]
+    numbered = bucketed_row_number(m.withColumn("__all", F.lit(0)), ["__all"], F.floor(c("receipt_id") / F.lit(RECEIPT_RANGE)),
+                                   [c(x).asc_nulls_first() for x in content], "__no")
+    last = led["t_transaction_details"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"), F.lit(0).alias("__all"))
+    details = numbered.join(last, "__all").select(
+        (c("__last") + c("__no")).cast("long").alias("id"), c("receipt_id").alias("transaction_id"), "line_no",
+        "category_id", "food_type", "food_id", c("item_text").alias("item_name_receipt"),
+        c("unit_price").cast("double").alias("unit_price_ex_tax"), "quantity", "tax_rate",
+        "discount_amount", "destination", "limit_date", "limit_type", "transaction_at")
+    lots = details.filter(c("destination").isin(*STOCK_PLACES)).select(
         c("id"), c("id").alias("detail_id"), c("quantity").alias("current_quantity"), c("transaction_at").alias("updated_at"))
-    return {"transactions": tx, "details": details, "lots": lots}
+    return {"transactions": tx, "details": details.drop("transaction_at"), "lots": lots}
 
 
 # S-02
