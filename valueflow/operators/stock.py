@@ -165,6 +165,9 @@ def ensure_consumption(led) -> dict[str, DataFrame]:
     ``meal_headers`` has every asked-for meal.  Joining items to it drops the
     meals without items, so plans with such a join need no second fold.
     """
+    if "t_meal_details" in led and "meal_headers" not in led:  # stored meals are read, not folded again
+        led["meal_headers"] = led["t_meal_logs"].select(c("id").alias("meal_id"), "eaten_at")
+        led["t_inventory_snapshot"] = led["t_inventory"]
     if "t_meal_details" not in led:
         out = record_consumption(led["consume_requests"], led["t_inventory"])
         led["consumption_decisions"] = out["decisions"]

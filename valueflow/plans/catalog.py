@@ -26,14 +26,14 @@ FUNDS_DAYS = 7
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
-def register(name: str, sql: str | None = None):
-    """Decorator: ``fn(led) -> DataFrame`` becomes ``(spark, sf_dir) -> DataFrame``."""
+def register(name: str, sql: str | None = None, views: list[tuple[str, str]] | None = None):
+    """Decorator: ``fn(led) -> DataFrame`` becomes ``(spark, sf_dir) -> DataFrame``; ``views`` are more CTEs for the oracle."""
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(Ledger.from_star(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__
-        REGISTRY[name] = (run, with_ledger(sql) if sql else None)
+        REGISTRY[name] = (run, with_ledger(sql, views) if sql else None)
         return fn
     return deco
 

@@ -1,8 +1,7 @@
 """Registered data-quality and report-level queries (V-01 … V-10, A-15, R-05).
 
-The oracle text of the generic checks is generated from the same rule
-metadata (enum lists, NOT NULL columns, keys, foreign-key edges) the Spark
-checks iterate over.
+V-01 … V-06 and V-10 run over a ledger with planted violations; their oracles
+write the rules out, apart from the lists the checks iterate over.
 """
 
 from __future__ import annotations
@@ -12,92 +11,94 @@ from pyspark.sql import functions as F
 from ..operators import quality as Q
 from ..operators import money as M
 from ..operators import stock as K
-from ..sources.schema import ENUMS, SCHEMAS
+from . import planted
 from .catalog import AS_OF, register
 from .queries_goods import CHECKOUT_LINE, TRUNC
 
 c = F.col
 
-# tables the star adapter provides (the ones the oracle knows as views)
-LEDGER_TABLES = [t for t in SCHEMAS]
-
-
 def _row(rule, table, column, key, value):
     k = f"cast({key} as varchar)" if key else "cast(null as varchar)"
     return (f"select '{rule}' as rule, '{table}' as table_name, '{column}' as column_name, {k} as row_key, "
             f"cast({value} as varchar) as value")
 
 
-def _has_id(table):
-    return "id" in SCHEMAS[table].fieldNames()
-
+def _outside(table, column, *allowed):
+    return f"{_row('ENUM', table, column, 'id', column)} from bad_{table} where {column} not in {allowed}"
 
-def _enum_sql():
-    parts = []
-    for (table, col), allowed in ENUMS.items():
-        if table in SCHEMAS and col in SCHEMAS[table].fieldNames():
-            vals = ", ".join(f"'{v}'" for v in allowed)
-            parts.append(f"{_row('ENUM', table, col, 'id' if _has_id(table) else None, col)} from {table} "
-                         f"where {col} is not null and {col} not in ({vals})")
-    return "\nunion all ".join(parts)
 
+def _null(table, key, *columns):
+    return "\nunion all ".join(f"{_row('NOT_NULL', table, col, key, 'null')} from bad_{table} where {col} is null" for col in columns)
 
-def _required_sql():
-    parts = []
-    for table, schema in SCHEMAS.items():
-        for f in schema.fields:
-            if not f.nullable:
-                parts.append(f"{_row('NOT_NULL', table, f.name, 'id' if _has_id(table) else None, 'null')} "
-                             f"from {table} where {f.name} is null")
-    return "\nunion all ".join(parts)
 
+def _twice(table, column="id"):
+    return f"{_row('UNIQUE', table, column, column, 'count(*)')} from bad_{table} group by {column} having count(*) > 1"
 
-def _unique_sql():
-    keys = [(t, "id") for t in SCHEMAS if _has_id(t)] + Q.UNIQUE_KEYS
-    return "\nunion all ".join(
-        f"{_row('UNIQUE', t, col, col, 'n')} from (select {col}, count(*) as n from {t} group by {col} having count(*) > 1) d"
-        for t, col in keys)
 
+def _orphan(child, column, parent, key="ch.id"):
+    return (f"{_row('FOREIGN_KEY', child, column, key, 'ch.' + column)} from bad_{child} ch where ch.{column} is not null "
+            f"and not exists (select 1 from bad_{parent} pa where pa.id = ch.{column})")
 
-def _fk_sql():
-    return "\nunion all ".join(
-        f"{_row('FOREIGN_KEY', ch, cc, 'ch.id' if _has_id(ch) else None, 'ch.' + cc)} from {ch} ch "
-        f"where ch.{cc} is not null and ch.{cc} not in (select {pc} from {pa} where {pc} is not null)"
-        for ch, cc, pa, pc in Q.FOREIGN_KEYS)
 
-
-@register("v01_check_enums", _enum_sql())
+@register("v01_check_enums", "\nunion all ".join([
+    _outside("t_currency_rates", "change_type", "VALUE_ADJUST", "QUANTITY_ADJUST"),
+    _outside("m_wallets", "wallet_group", "CASH", "BANK", "CREDIT", "PREPAID", "POINT"),
+    _outside("m_categories", "type", "EXPENSE", "INCOME"),
+    _outside("t_transaction_details", "food_type", "NONE", "ADJUSTMENT", "UNIVERSAL", "MEASURED", "PROCESSED", "OUT_EAT"),
+    _outside("t_transaction_details", "condition_rank", "A", "B", "C", "D", "J"),
+    _outside("t_transaction_details", "destination", "EAT_NOW", "FRIDGE", "FREEZER", "PANTRY", "GIFT"),
+    _outside("t_transaction_details", "limit_type", "CONSUMPTION", "BEST_BEFORE"),
+    _outside("t_meal_details", "consume_type", "SELF", "GIFT", "LOSS")]), planted.VIEWS)
 def v01(led):
-    return Q.check_enums(led)
-
-
-@register("v02_check_required", _required_sql())
+    return Q.check_enums(planted.ledger(led))
+
+
+@register("v02_check_required", "\nunion all ".join([
+    _null("m_currencies", "id", "id", "code", "name"), _null("t_currency_rates", "id", "id", "rate_to_jpy", "effective_at"),
+    _null("m_wallets", "id", "id", "name"), _null("m_foods", "id", "id", "name", "food_kind"), _null("m_brands", "id", "id", "name"),
+    _null("m_store_branches", "id", "id", "branch_name"), _null("m_categories", "id", "id", "name"),
+    _null("t_transactions", "id", "id", "transaction_at"), _null("t_transaction_details", "id", "id", "quantity", "tax_rate"),
+    _null("t_payments", "id", "id", "amount"), _null("t_inventory", "id", "id", "detail_id", "current_quantity", "updated_at"),
+    _null("t_meal_logs", "id", "id", "eaten_at"),
+    _null("t_meal_details", "id", "id", "meal_id", "inventory_id", "detail_id", "amount_consumed"),
+    _null("t_wallet_balances", None, "current_amount")]), planted.VIEWS)
 def v02(led):
-    return Q.check_required(led)
+    return Q.check_required(planted.ledger(led))
 
 
-@register("v03_check_unique", _unique_sql())
+@register("v03_check_unique", "\nunion all ".join([*map(_twice, [
+    "m_currencies", "t_currency_rates", "m_wallets", "m_foods", "m_brands", "m_store_branches", "m_categories", "t_transactions",
+    "t_transaction_details", "t_payments", "t_inventory", "t_meal_logs", "t_meal_details"]), _twice("m_currencies", "code")]), planted.VIEWS)
 def v03(led):
-    return Q.check_unique(led)
-
-
-@register("v04_check_foreign_keys", _fk_sql())
+    return Q.check_unique(planted.ledger(led))
+
+
+@register("v04_check_foreign_keys", "\nunion all ".join([
+    _orphan("m_currencies", "successor_id", "m_currencies"), _orphan("t_currency_rates", "currency_id", "m_currencies"),
+    _orphan("m_wallets", "currency_id", "m_currencies"), _orphan("m_store_branches", "brand_id", "m_brands"),
+    _orphan("t_transactions", "branch_id", "m_store_branches"), _orphan("t_transaction_details", "transaction_id", "t_transactions"),
+    _orphan("t_transaction_details", "category_id", "m_categories"), _orphan("t_payments", "transaction_id", "t_transactions"),
+    _orphan("t_payments", "wallet_id", "m_wallets"), _orphan("t_inventory", "detail_id", "t_transaction_details"),
+    _orphan("t_meal_details", "meal_id", "t_meal_logs"), _orphan("t_meal_details", "inventory_id", "t_inventory"),
+    _orphan("t_meal_details", "detail_id", "t_transaction_details"),
+    _orphan("t_wallet_balances", "wallet_id", "m_wallets", None), _orphan("t_wallet_balances", "origin_payment_id", "t_payments", None)]),
+    planted.VIEWS)
 def v04(led):
-    return Q.check_foreign_keys(led)
+    return Q.check_foreign_keys(planted.ledger(led))
 
 
 @register("v05_check_food_reference", f"""{_row('FOOD_REFERENCE', 't_transaction_details', 'food_id', 'd.id', 'd.food_id')}
-from t_transaction_details d where d.food_id is not null and not exists (
-  select 1 from m_foods f where f.id = d.food_id
-    and f.food_kind = case when d.food_type = 'OUT_EAT' then 'PROCESSED' else d.food_type end)""")
+from bad_t_transaction_details d where d.food_id is not null and not exists (
+  select 1 from bad_m_foods f where f.id = d.food_id
+    and f.food_kind = case when d.food_type = 'OUT_EAT' then 'PROCESSED' else d.food_type end)""", planted.VIEWS)
 def v05(led):
-    return Q.check_food_reference(led)
+    return Q.check_food_reference(planted.ledger(led))
 
 
 @register("v06_check_category_rule", f"""{_row('CATEGORY_NEEDS_NONE', 't_transaction_details', 'food_type', 'id', 'food_type')}
-from t_transaction_details where category_id is not null and coalesce(food_type, 'NONE') <> 'NONE'""")
+from bad_t_transaction_details where category_id is not null and coalesce(food_type, 'NONE') <> 'NONE'""", planted.VIEWS)
 def v06(led):
-    return Q.check_category_rule(led)
+    return Q.check_category_rule(planted.ledger(led))
 
 
 @register("v07_check_ranges", f"""{_row('RANGE', 't_transaction_details', 'reliability_level', 'id', 'reliability_level')}
@@ -117,21 +118,25 @@ def v09(led):
     return Q.reconcile_flows(led)
 
 
-@register("v10_reconcile_stock", """select * from (select s.id, s.current_quantity as stored,
+OFF = "case when id % 1097 = 0 then current_quantity + 1 else current_quantity end as current_quantity"
+
+
+@register("v10_reconcile_stock", f"""select * from (select s.id, s.current_quantity as stored,
   cast(cast(i.current_quantity as decimal(28,8)) - coalesce(u.used, 0) as double) as recomputed,
   s.current_quantity - cast(cast(i.current_quantity as decimal(28,8)) - coalesce(u.used, 0) as double) as difference
-from t_inventory_snapshot s join t_inventory i on s.id = i.id
+from (select id, {OFF} from t_inventory_snapshot) s join t_inventory i on s.id = i.id
 left join (select inventory_id, sum(cast(amount_consumed as decimal(28,8))) as used from t_meal_details
            group by inventory_id) u on i.id = u.inventory_id) x where abs(difference) > 1e-6""")
 def v10(led):
-    return Q.reconcile_stock(led)
+    """Against a stored snapshot in which some lots are off by one."""
+    stored = K.ensure_consumption(led)["t_inventory_snapshot"].selectExpr("id", OFF)
+    return Q.reconcile_stock(led, stored)
 
 
 @register("v10_reconcile_balances", """select * from (
-  select s.wallet_id, s.expiry_at, s.usage_restriction, s.current_amount as stored, r.recomputed
-  from (select p.wallet_id, p.expiry_at, p.usage_restriction, cast(sum(p.amount) as bigint) as current_amount
-        from t_payments p where p.wallet_id is not null and (p.expiry_at is not null or p.usage_restriction is not null)
-        group by 1, 2, 3) s
+  select coalesce(s.wallet_id, r.wallet_id) as wallet_id, coalesce(s.expiry_at, r.expiry_at) as expiry_at,
+    coalesce(s.usage_restriction, r.usage_restriction) as usage_restriction, s.current_amount as stored, r.recomputed
+  from (select * from bad_t_wallet_balances where expiry_at is not null or usage_restriction is not null) s
   full join (select wallet_id, expiry_at, usage_restriction,
                arg_max(cast(run as bigint), id) as recomputed
              from (select p.*, sum(p.amount) over (partition by p.wallet_id, p.expiry_at, p.usage_restriction order by p.id
@@ -141,9 +146,10 @@ def v10(led):
              group by 1, 2, 3) r
   on s.wallet_id = r.wallet_id and s.expiry_at is not distinct from r.expiry_at
      and s.usage_restriction is not distinct from r.usage_restriction) y
-where stored is distinct from recomputed""")
+where stored is distinct from recomputed""", planted.VIEWS)
 def v10b(led):
-    return Q.reconcile_balances(led)
+    """Against stored balances, some of them under another wallet or off by one."""
+    return Q.reconcile_balances(led, planted.ledger(led)["t_wallet_balances"])
 
 
 @register("a15_report_counts", """select 'transactions' as report, count(*) as n from t_transactions

@@ -5,18 +5,20 @@ AQE on (partition coalescing, skew-join splitting, runtime broadcast
 conversion that is bounded by a measured size), UTC session time zone,
 Arrow for pandas UDFs and the UI off.  ``checkpoint_dir`` reads
 ``spark.checkpoint.dir`` from the session and only falls back to a scratch
-folder when it is unset (tests, bench).
+folder in local mode when it is unset (tests, bench); on a cluster an unset
+folder is an error, as executors cannot share a machine-local one.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
-# Broadcast ceiling used by the size check in ``plans.sizing``; the same
-# figure is given to Spark's own static and adaptive thresholds.
+# Broadcast ceiling given to Spark's own static and adaptive thresholds.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 DEFAULT_CONF = {
@@ -57,12 +59,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points to shared storage and is
-    used as is.  Only when it is unset (local tests) a fresh scratch folder
-    is created and registered.
+    used as is.  Only in local mode a fresh scratch folder is created and
+    registered when it is unset.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder (master {master})")
         current = tempfile.mkdtemp(prefix="valueflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application (Spark distributes the file)."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="valueflow-pkg-"), "valueflow.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)

@@ -85,3 +85,4 @@ MEAL_DETAILS = _st(("id", L, False), ("meal_name", S, True), ("meal_id", L, Fals
 MEAL_LOGS = _st(("id", L, False), ("eaten_at", TS, False), ("note", S, True))
 WALLET_BALANCES = _st(("wallet_id", L, True), ("expiry_at", TS, True), ("usage_restriction", S, True),
                       ("origin_payment_id", L, True), ("current_amount", L, False), ("updated_at", TS, True))
+SCHEMAS |= {"t_meal_logs": MEAL_LOGS, "t_meal_details": MEAL_DETAILS, "t_wallet_balances": WALLET_BALANCES}
