@@ -58,7 +58,12 @@ def test_equals_all_pairs(spark):
     links = all_pairs(texts)
     root = roots(len(texts), links)
     degree = [sum(i in p for p in links) for i in range(len(texts))]
-    got = J.join(df).collect()
+    for hot, block in ((J.HOT, J.BLOCK), (3, 4), (2, 512)):  # pairs mostly, clusters of several blocks, clusters only
+        check(J.join(df, hot=hot, block=block).collect(), ids, texts, root, degree)
+    assert J.join(df.limit(0)).count() == 0
+
+
+def check(got, ids, texts, root, degree):
     assert len(got) == len(texts)
     for r in got:
         if r["doc_id"] is not None:
@@ -66,7 +71,6 @@ def test_equals_all_pairs(spark):
             least = min(ids[k] for k in range(len(texts)) if root[k] == root[i] and ids[k] is not None)
             assert (r["_near"]["class_id"], r["_near"]["n_links"]) == (least, degree[i]), texts[i]
     assert sum(r["_near"]["first"] for r in got) == len(set(root))
-    assert J.join(df.limit(0)).count() == 0
 
 
 def test_repeated_rows(spark):
@@ -103,10 +107,21 @@ def test_prefix_filter_keeps_every_pair(spark):
     sets = [set(J.shingles(t, cache).tolist()) for t in texts]
     want = {(a, b) for b in range(len(texts)) for a in range(b) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
     for table in (np.zeros(J.COUNTERS, np.int32), np.random.default_rng(1).integers(0, 50, J.COUNTERS).astype(np.int32)):
-        found = {tuple(r) for r in J.candidate_pairs(J.prefix_tokens(df, table, 0.8), 0.8).collect()}
+        found = {tuple(r)[:2] for r in J.candidates(J.prefix_tokens(df, table, 0.8), 0.8, 10_000).collect()}
         assert want <= found
 
 
+def test_tokens_of_many_documents_give_stars(spark):
+    """Over one partition with small batches: a star per hot token, whatever batches cut it."""
+    rows = [(1, i, 10, 0) for i in range(50)] + [(2, i, 10, 0) for i in range(3)] + [(3, i, 10, 0) for i in range(10, 40)] + [(4, 7, 10, 0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = sorted(tuple(r) for r in J.candidates(spark.createDataFrame(rows, "token long, rid long, n int, pos int"), 0.8, 10).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted([(0, i, True) for i in range(1, 50)] + [(0, 1, False), (0, 2, False), (1, 2, False)] + [(10, i, True) for i in range(11, 40)])
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(5)
     x = np.unique(rng.integers(0, 2**63, 1000, dtype=np.uint64))

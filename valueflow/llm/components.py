@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -37,7 +37,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
     before = None
     while True:
-        now = written(_small_star(_large_star(now)), "stars")
+        last, now = now, written(_small_star(_large_star(now)), "stars")
+        if before is not None:
+            discard(last)
         # a link set is told by its size and an order-free sum of hashes
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == before:

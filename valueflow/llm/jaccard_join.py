@@ -11,6 +11,9 @@ two are linked if their Jaccard similarity is ``threshold`` or more.
    ``COUNTERS`` hashed counts over all documents; any fixed order keeps the filter
    exact, and counts let shared passages and boilerplate come last.  Lengths and
    places bound the overlap further inside the join.
+   A prefix token of ``HOT`` or more documents ties them into a cluster instead of
+   giving pairs; a cluster's documents are compared in blocks, and a block gives a
+   row for each document, not for each pair.
 3. MinHash values of candidate pairs are compared ``STEP`` at a time; after each
    step a pair goes if the posterior probability of reaching the threshold (uniform
    prior) is below ``TOLERANCE``.
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, words, written
+from .common import discard, join_small, words, written
 from .components import components
 
 SHINGLE = 5
@@ -43,6 +46,8 @@ THRESHOLD = 0.8
 COUNTERS = 1 << 20
 HASHES = 128
 STEP = 32
+HOT = 32            # documents that share a prefix token, from which on they are a cluster
+BLOCK = 512         # documents of a cluster that are compared with as many in one group
 TOLERANCE = 1e-6
 _CACHE = 500_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -155,13 +160,60 @@ def prefix_tokens(reps: DataFrame, rarity: np.ndarray, threshold: float) -> Data
     return reps.select("rid", "text").mapInArrow(run, "token long, rid long, n int, pos int")
 
 
-def candidate_pairs(tokens: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b, that share a prefix token and can still reach the threshold."""
-    left = tokens.select("token", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = tokens.select("token", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    overlap = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    fits = (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (overlap * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-9)
-    return left.join(right, (left["token"] == right["token"]) & (F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+def _can_reach(threshold: float, na, nb, pa, pb) -> np.ndarray:
+    """Bounds by length and by place of a shared token: whether the pair can still reach the threshold."""
+    overlap = np.minimum(pa, pb) + 1 + np.minimum(na - pa - 1, nb - pb - 1)
+    return (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9) & (overlap * (1 + threshold) >= threshold * (na + nb) - 1e-9)
+
+
+def candidates(tokens: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
+    """(a, b, hot): pairs, a < b, that share a prefix token and can still reach the threshold.
+
+    A token of ``hot`` or more documents gives no pairs but a star: its first document with each of the others.
+    So there are at most ``hot`` / 2 rows for each row of ``tokens``, however many documents share one.
+    """
+
+    def pairs_of(t, r, n, p, star_token) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        starts = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1))
+        sizes = np.diff(np.append(starts, len(t)))
+        stars = (sizes >= hot) | (t[starts] == star_token if star_token is not None else False)
+        out = []
+        for m in np.unique(sizes[~stars & (sizes > 1)]).tolist():
+            i, j = np.triu_indices(m, 1)
+            base = starts[~stars & (sizes == m)][:, None]
+            x, y = (base + i).ravel(), (base + j).ravel()
+            fits = _can_reach(threshold, n[x], n[y], p[x], p[y])
+            out.append((r[x[fits]], r[y[fits]], np.zeros(int(fits.sum()), dtype=bool)))
+        for at, m in zip(starts[stars].tolist(), sizes[stars].tolist()):
+            out.append((np.full(m - 1, r[at]), r[at + 1 : at + m], np.ones(m - 1, dtype=bool)))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, star_token = None, None  # rows of the token last seen; of a star its first row only
+        for b in batches:
+            cur = [b.column(c).to_numpy() for c in ("token", "rid", "n", "pos")]
+            if held is not None:
+                cur = [np.concatenate(x) for x in zip(held, cur)]
+            if not len(cur[0]):
+                continue
+            cut = int(np.searchsorted(cur[0], cur[0][-1]))
+            out = pairs_of(*(x[:cut] for x in cur), star_token) if cut else []
+            held = [x[cut:] for x in cur]
+            if len(held[0]) >= hot or held[0][0] == star_token:
+                star_token = held[0][0]
+                out += pairs_of(*held, star_token)
+                held = [x[:1] for x in held]
+            yield from _pair_batches(out)
+        if held is not None:
+            yield from _pair_batches(pairs_of(*held, star_token))
+
+    by_token = tokens.repartition("token").sortWithinPartitions("token", "rid")
+    return by_token.mapInArrow(run, "a long, b long, hot boolean").distinct()
+
+
+def _pair_batches(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b", "hot"])
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
@@ -207,6 +259,69 @@ def verify(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame
     return _both(pairs, sketches, "sh").mapInArrow(run, "a long, b long, similarity double")
 
 
+def clusters(stars: DataFrame) -> DataFrame:
+    """(rid, cluster) of the documents that prefix tokens of many documents tie together."""
+    return components(stars).select(F.col("node").alias("rid"), F.col("root").alias("cluster"))
+
+
+def within_clusters(members: DataFrame, sketches: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(rid, links, root) for documents of clusters that have links in theirs.
+
+    ``members``: rid, cluster, size.  Every block of a cluster meets every other in one group of at most about two
+    blocks.  There all pairs are compared by their MinHash values in steps, and the rest on the whole sets, but what
+    leaves the group is a row for each document: how many documents it is linked with, and the least document that
+    links of this group tie it to.
+    """
+    fewest = fewest_matches(threshold)
+
+    def run(rows: pa.Table) -> pa.Table:
+        rids, sizes = rows["rid"].to_numpy(), rows["size"].to_numpy()
+        own, at_i, at_j = (rows[c].to_numpy() for c in ("block", "i", "j"))
+        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint16).reshape(-1, HASHES)
+        sets = [np.frombuffer(x, np.uint64) for x in rows["sh"].to_pylist()]
+        counts = np.array([len(x) for x in sets])
+        right = np.flatnonzero(own == at_j[0])
+        known, flat = np.unique(np.concatenate([sets[k] for k in right]), return_inverse=True) if len(right) else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        starts = np.concatenate(([0], np.cumsum(counts[right])))[:-1]
+        links, root = np.zeros(len(rids), dtype=np.int64), list(range(len(rids)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for k in np.flatnonzero(own == at_i[0]).tolist():
+            alive = np.flatnonzero((right > k) if at_i[0] == at_j[0] else np.ones(len(right), dtype=bool))
+            alive = alive[np.minimum(counts[right[alive]], counts[k]) >= threshold * np.maximum(counts[right[alive]], counts[k]) - 1e-9]
+            same = np.zeros(len(alive), dtype=np.int64)
+            for n, least in fewest.items():
+                same = same + (sig[right[alive], n - STEP : n] == sig[k, n - STEP : n]).sum(axis=1)
+                keep = same >= least
+                alive, same = alive[keep], same[keep]
+            if not len(alive):
+                continue
+            mine = np.zeros(len(known) + 1, dtype=np.int64)
+            at = np.searchsorted(known, sets[k])
+            mine[at[known[np.minimum(at, len(known) - 1)] == sets[k]]] = 1
+            both = np.add.reduceat(mine[flat], starts)[alive]
+            linked = right[alive[both >= (threshold - 1e-12) * (counts[k] + counts[right[alive]] - both)]]
+            links[k] += sizes[linked].sum()
+            links[linked] += sizes[k]
+            for x in linked.tolist():
+                u, v = find(k), find(x)
+                root[max(u, v)] = min(u, v)
+        some = np.flatnonzero(links)
+        return pa.table({"rid": pa.array(rids[some]), "links": pa.array(links[some]), "root": pa.array(rids[[find(x) for x in some.tolist()]] if len(some) else rids[some])})
+
+    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    placed = placed.join(sketches, "rid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    rows = placed.select("cluster", "i", "j", "block", "rid", "size", "sig", "sh")
+    return rows.groupBy("cluster", "i", "j").applyInArrow(run, "rid long, links long, root long")
+
+
 def _both(pairs: DataFrame, sketches: DataFrame, column: str) -> DataFrame:
     side = lambda s: sketches.select(F.col("rid").alias(s), F.col(column).alias(f"{column}_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b")
@@ -217,31 +332,42 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(docs.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__print", word_print(F.col("text").cast("string"))), "numbered")
 
 
-def links(stored: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): print, rid, size and least id of every class of copies; (a, b, similarity) between their rids."""
+def links(stored: DataFrame, threshold: float = THRESHOLD, hot: int = HOT, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, degree, edges): print, rid, size and least id of every class of copies; per rid the number of linked
+    documents; and (a, b) of enough links to connect what is connected."""
     spark = stored.sparkSession
     classes = written(stored.filter(F.col("__print").isNotNull()).groupBy(F.col("__print").alias("print")).agg(
         F.min("__rid").alias("rid"), F.count("*").alias("size"), F.min("doc_id").alias("least_id")), "classes")
+    sizes = classes.select("rid", "size")
     rows = stored.filter(F.col("__print").isNotNull() & ~F.col("__print").startswith("raw:")).select(F.col("__rid").alias("rid"), "__print", F.col("text").cast("string").alias("text"))
     many = classes.filter("size > 1").select(F.col("print").alias("p"), F.col("rid").alias("first"))
     reps = join_small(rows, many, F.col("__print") == F.col("p"), "left").filter("first is null or first = rid").select("rid", "text")
     tokens = prefix_tokens(reps, rarity_table(reps, 2 * spark.sparkContext.defaultParallelism), threshold)
-    pairs = written(candidate_pairs(tokens, threshold), "pairs")
-    ids = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
+    found = written(candidates(tokens, threshold, hot), "candidates")
+    ids = found.select(F.col("a").alias("i")).unionByName(found.select(F.col("b").alias("i"))).distinct()
     sketches = written(_sketched(join_small(rows.select("rid", "text"), ids, F.col("rid") == F.col("i")).select("rid", "text")), "sketches")
-    found = verify(written(prune(pairs, sketches, threshold), "likely"), sketches, threshold)
-    return classes, written(found, "links")
 
+    tied = written(clusters(found.filter("hot")), "clusters")
+    inside = written(within_clusters(tied.join(sizes, "rid"), sketches, threshold, block), "inside")
+    mark = lambda s: tied.select(F.col("rid").alias(s), F.col("cluster").alias(f"cluster_{s}"))
+    pairs = join_small(join_small(found.filter("not hot").select("a", "b"), mark("a"), "a", "left"), mark("b"), "b", "left")
+    pairs = pairs.filter("cluster_a is null or cluster_b is null or cluster_a <> cluster_b").select("a", "b")
+    likely = written(prune(pairs, sketches, threshold), "likely")
+    real = written(verify(likely, sketches, threshold), "links")
+    discard(found, sketches, tied, likely)
+
+    partner = lambda me, other: real.select(F.col(me).alias("me"), F.col(other).alias("rid"))
+    outside = partner("a", "b").unionByName(partner("b", "a")).join(sizes, "rid").select(F.col("me").alias("rid"), F.col("size").alias("links"))
+    degree = outside.unionByName(inside.select("rid", "links")).groupBy("rid").agg(F.sum("links").alias("links"))
+    return classes, degree, real.select("a", "b").unionByName(inside.select(F.col("root").alias("a"), F.col("rid").alias("b")))
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, out: str = "_near") -> DataFrame:
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, out: str = "_near", hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """Adds the struct ``out``: class_id (least id of the component), n_links (documents, copies included, that reach
     the threshold with this one), first (true for one row of each class)."""
     stored = numbered(docs.drop(out))
-    classes, found = links(stored, threshold)
-    sizes = classes.select("rid", "size")
-    partner = lambda me, other: found.select(F.col(me).alias("me"), F.col(other).alias("rid"))
-    degree = partner("a", "b").unionByName(partner("b", "a")).join(sizes, "rid").groupBy(F.col("me").alias("rid")).agg(F.sum("size").alias("links"))
-    roots = components(found).withColumnRenamed("node", "rid")
+    classes, degree, edges = links(stored, threshold, hot, block)
+    roots = components(edges).withColumnRenamed("node", "rid")
     classes = classes.join(degree, "rid", "left").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     names = classes.groupBy("root").agg(F.min("least_id").alias("class_id"), F.min("rid").alias("first_rid"))
     groups = classes.join(names, "root").filter("size > 1 or links > 0").select(
