@@ -98,7 +98,7 @@ def candidate_pairs(queries: DataFrame, names: DataFrame, block: str | None = No
     With ``block`` (a column of both sides, such as the master's kind or the
     brand) only pairs inside a block are made.  Shared prefix occurrences are
     counted in the join itself; what a pair shares beyond is at most the
-    shorter remainder, so most pairs go before any whole string is looked at.
+    longer remainder, so most pairs go before any whole string is looked at.
 
     ``ub`` = 2·(multiset character overlap)/(|q|+|n|), the matcher's own
     quick bound, computed in the JVM from per-string character maps (one
@@ -113,7 +113,8 @@ def candidate_pairs(queries: DataFrame, names: DataFrame, block: str | None = No
     pq = _prefixes(occ_q, freq, *by).withColumnRenamed("s", "query")
     pn = _prefixes(occ_n, freq, *by).withColumnRenamed("s", "name")
     lq, ln = F.length("query"), F.length("name")
-    reach = c("shared") + F.least(lq - _prefix_length(lq), ln - _prefix_length(ln))
+    # with one order for all, the prefix that ends first holds all its matches in the other's prefix
+    reach = c("shared") + F.greatest(lq - _prefix_length(lq), ln - _prefix_length(ln))
     pairs = (pq.join(pn, [*by, "ch", "k"]).filter((lq * 4 >= ln) & (ln * 4 >= lq))
              .groupBy("query", "name", *by).agg(F.count(F.lit(1)).alias("shared"))
              .filter(reach * 5 >= lq + ln))
@@ -180,16 +181,19 @@ def food_masters(led) -> DataFrame:
 
 
 # Z-01
-def find_food(queries: DataFrame, masters: DataFrame) -> DataFrame:
-    """Exact hit (first master in order wins), else up to 3 candidates from each master."""
+def exact_food(queries: DataFrame, masters: DataFrame) -> DataFrame:
+    """Exact hits only; the first master in order wins, then the smallest id."""
     q = queries.select("query").distinct()
-    exact = (q.join(masters, q["query"] == masters["name"])
-             .groupBy("query").agg(F.min_by(F.struct("kind", "id", "name"),
-                                            F.struct(_kind_rank(c("kind")), c("id"))).alias("hit")))
-    exact = exact.select("query", F.lit("EXACT").alias("match_type"), "hit.kind", "hit.id", "hit.name",
-                         F.lit(1.0).alias("score"), F.lit(1).cast("long").alias("rank"),
-                         F.lit(1).cast("long").alias("slots"))
-    rest = q.join(exact.select("query"), "query", "left_anti")
+    hits = (q.join(masters, q["query"] == masters["name"])
+            .groupBy("query").agg(F.min_by(F.struct("kind", "id", "name"), F.struct(_kind_rank(c("kind")), c("id"))).alias("hit")))
+    return hits.select("query", F.lit("EXACT").alias("match_type"), "hit.kind", "hit.id", "hit.name",
+                       F.lit(1.0).alias("score"), F.lit(1).cast("long").alias("rank"), F.lit(1).cast("long").alias("slots"))
+
+
+def find_food(queries: DataFrame, masters: DataFrame) -> DataFrame:
+    """Exact hit, else up to 3 candidates from each master."""
+    exact = exact_food(queries, masters)
+    rest = queries.select("query").distinct().join(exact.select("query"), "query", "left_anti")
     fuzzy = top_candidates(similarity_join(rest, masters), masters).select(
         "query", F.lit("FUZZY").alias("match_type"), "kind", "id", "name", "score", "rank", "slots")
     return exact.unionByName(fuzzy)

@@ -2,7 +2,8 @@
 
 The similarity scores are computed by the standard-library matcher inside a
 pandas UDF, so Z-* and W-04 have no SQL oracle (rows-only check); their
-exact-name steps (J-09, J-10) do.
+exact-name steps (J-09, J-10, ``z01_exact_food``) and the bound that decides
+which pairs are scored (``z05_similarity_bound``) do.
 """
 
 from __future__ import annotations
@@ -44,6 +45,29 @@ def j10(led):
     return Z.new_entities(_lines(led), led)
 
 
+FOOD_TEXTS = f"(select distinct item_text as query from receipt_lines where food_type in {FOOD_TYPES})"
+
+
+@register("z01_exact_food", f"""select query, 'EXACT' as match_type, kind, id, name from (
+  select q.query, f.food_kind as kind, f.id, f.name, row_number() over (partition by q.query
+    order by case f.food_kind when 'UNIVERSAL' then 1 when 'MEASURED' then 2 else 3 end, f.id) as rn
+  from {FOOD_TEXTS} q join m_foods f on q.query = f.name) x where rn = 1""")
+def z01_exact(led):
+    """The exact step of the lookup alone: the first master in order wins."""
+    return Z.exact_food(_food_queries(led), Z.food_masters(led)).select("query", "match_type", "kind", "id", "name")
+
+
+@register("z05_similarity_bound", f"""with q as (select query as s from {FOOD_TEXTS} t), n as (select distinct name as s from m_foods),
+qc as (select s, ch, count(*) as k from (select s, unnest(string_split(s, '')) as ch from q) c where ch <> '' group by all),
+nc as (select s, ch, count(*) as k from (select s, unnest(string_split(s, '')) as ch from n) c where ch <> '' group by all)
+select query, name, 2.0e0 * m / (length(query) + length(name)) as ub from (
+  select qc.s as query, nc.s as name, sum(least(qc.k, nc.k)) as m from qc join nc on qc.ch = nc.ch group by all) p
+where 2.0e0 * m / (length(query) + length(name)) >= 0.4e0""")
+def z05_bound(led):
+    """Pairs that are scored, with the matcher's upper bound: all pairs whose bound reaches the cutoff."""
+    return Z.candidate_pairs(_food_queries(led).select("query"), Z.food_masters(led)).select("query", "name", "ub")
+
+
 @register("z05_similarity_join")
 def z05(led):
     """Every (receipt food text, master, name) pair scoring >= 0.4."""

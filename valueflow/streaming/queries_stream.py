@@ -1,7 +1,7 @@
 """Registered streaming queries (T-01 … T-03), each checked against its batch twin's SQL.
 
-Each query writes a replay source derived from the ledger (Parquet chunks
-in time / id / sequence order under the checkpoint folder), runs the
+Each query writes a replay source derived from the ledger (a fixed number of
+waves, each written by all tasks, under the checkpoint folder), runs the
 stream to completion with ``availableNow`` and returns the sink's table.
 """
 
@@ -27,7 +27,7 @@ def t01(led):
     tx = led["t_transactions"].select(c("id").alias("transaction_id"), "transaction_at")
     timed = led["t_payments"].join(tx, "transaction_id", "left")
     src = scratch_path(spark, "payments-src")
-    ST.write_chunks(timed, src, F.floor(c("id") / 2500))
+    ST.write_waves(timed, src, [c("id") % 2 == 0, c("id") % 2 != 0])
     return ST.stream_balances(spark, src, timed.schema)
 
 
@@ -39,7 +39,7 @@ def t02(led):
     req = led["consume_requests"].join(lots, "inventory_id")
     req = req.select(*[f.name for f in ST.DECISION_SCHEMA.fields if f.name not in ("accepted", "reason", "remaining_after")])
     src = scratch_path(spark, "requests-src")
-    ST.write_chunks(req, src, c("seq"))
+    ST.write_waves(req, src, [c("seq") <= 1, c("seq") > 1], "inventory_id")
     return ST.stream_consumption(spark, src, req.schema)
 
 
@@ -49,5 +49,6 @@ def t03(led):
     ensure_consumption(led)
     ev = consumption_events(led)
     src = scratch_path(spark, "events-src")
-    ST.write_chunks(ev, src, F.year("eaten_at"))
-    return ST.stream_daily_nutrition(spark, src, ev.schema, led)
+    ST.write_waves(ev, src, [F.lit(True)])
+    # history is replayed in any order, so nothing may count as late
+    return ST.stream_daily_nutrition(spark, src, ev.schema, led, lateness="36525 days")

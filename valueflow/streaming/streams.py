@@ -13,14 +13,16 @@
   later than the watermark are dropped by the stream and re-done by the
   batch job (A-01), which stays the reference.
 
-Checkpoints and sink folders live under the session's
-``spark.checkpoint.dir`` (shared storage on a cluster).
+Sink and checkpoint paths are arguments: a stream that is called again with
+them goes on where it stopped.  By default they are fresh folders under the
+session's ``spark.checkpoint.dir`` (shared storage on a cluster).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,46 +32,53 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import scalars as S
 from ..operators.money import GROUP, is_limited
 from ..operators.nutrition import with_food
-from ..operators.stock import DECISION_SCHEMA
+from ..operators.stock import DECISION_SCHEMA, _accepted
 from ..sources.ingest import apply_updates, scratch_path
 from ..sources.schema import MEASURES
 
 c = F.col
 
 
-def write_chunks(df: DataFrame, path: str, chunk) -> None:
-    """Write ``df`` as a replay source: one append per chunk value, in chunk order.
+def write_waves(df: DataFrame, path: str, waves: list, by: str | None = None) -> None:
+    """Write ``df`` as a replay source in a fixed number of waves, each by all tasks in one job.
 
-    The file source replays files oldest first, so sequential appends make
-    arrival order follow the chunk key (time, id range or sequence).  Only
-    the few distinct chunk keys reach the driver.
+    The file source replays older files first, so a wave arrives before the
+    next.  ``waves`` are conditions that split the rows; with ``by`` rows of a
+    key share a file within a wave.
     """
-    d = df.withColumn("__chunk", chunk)
-    keys = sorted(r[0] for r in d.select("__chunk").distinct().collect())
-    for k in keys:
-        d.filter(F.col("__chunk") == k).drop("__chunk").coalesce(1).write.mode("append").parquet(path)
+    for rows in waves:
+        part = df.filter(rows)
+        (part.repartition(by) if by else part).write.mode("append").parquet(path)
 
 
-def _run(query_builder, name: str, spark: SparkSession):
-    q = query_builder.option("checkpointLocation", scratch_path(spark, f"{name}-ckpt")) \
-        .trigger(availableNow=True).start()
+def _run(query_builder, checkpoint: str):
+    q = query_builder.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
 
+def _paths(spark: SparkSession, name: str, sink: str | None, checkpoint: str | None) -> tuple[str, str]:
+    """Given paths make a stream resumable; missing ones are fresh scratch folders."""
+    return sink or scratch_path(spark, f"{name}-sink"), checkpoint or scratch_path(spark, f"{name}-ckpt")
+
+
+def _epoch_sink(sink: str, shape=lambda batch: batch):
+    def merge(batch: DataFrame, epoch: int) -> None:
+        shape(batch).withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+
+    return merge
+
+
 # T-01 -----------------------------------------------------------------------
-def stream_balances(spark: SparkSession, source: str, schema: T.StructType) -> DataFrame:
+def stream_balances(spark: SparkSession, source: str, schema: T.StructType, sink: str | None = None,
+                    checkpoint: str | None = None, files_per_trigger: int = 64) -> DataFrame:
     """Balance snapshot maintained by a streaming aggregate over timed payment files."""
-    sink = scratch_path(spark, "balances-sink")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    sink, checkpoint = _paths(spark, "balances", sink, checkpoint)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     agg = (stream.filter(c("wallet_id").isNotNull()).groupBy(*GROUP)
            .agg(F.sum("amount").cast("long").alias("current_amount"), F.max("id").alias("last_id"),
                 F.max("transaction_at").alias("updated_at")))
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
-
-    _run(agg.writeStream.outputMode("update").foreachBatch(merge), "balances", spark)
+    _run(agg.writeStream.outputMode("update").foreachBatch(_epoch_sink(sink)), checkpoint)
     rows = spark.read.parquet(sink)
     rows = rows.withColumn("__key", F.to_json(F.struct(*GROUP)))
     latest = apply_updates(rows.limit(0).drop("epoch"), rows.withColumnRenamed("epoch", "seq"), "__key")
@@ -82,54 +91,49 @@ STATE_SCHEMA = T.StructType([T.StructField("remaining", T.DoubleType())])
 
 
 def _consume_with_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rem = state.get[0] if state.exists else None
+    left = state.get[0] if state.exists else None
     parts = [p for p in pdfs if len(p)]
-    pdf = pd.concat(parts).sort_values(["seq", "request_id"]) if parts else None
-    if pdf is None or pdf.empty:
+    if not parts:
         return
-    if rem is None:
-        rem = float(pdf["lot_quantity"].iloc[0])
-    acc, after, reason = [], [], []
-    for a in pdf["amount"].to_numpy(dtype="float64", na_value=float("nan")):
-        if a != a or a < 0:
-            acc.append(False); reason.append("INVALID_AMOUNT")
-        elif a <= rem:
-            rem = rem - a
-            acc.append(True); reason.append(None)
-        else:
-            acc.append(False); reason.append("OVERDRAW")
-        after.append(rem)
-    state.update((rem,))
-    yield pdf.assign(accepted=acc, reason=reason, remaining_after=after)
-
-
-def stream_consumption(spark: SparkSession, source: str, schema: T.StructType) -> DataFrame:
+    pdf = pd.concat(parts).sort_values(["seq", "request_id"])
+    if left is None:
+        left = float(pdf["lot_quantity"].iloc[0])
+    amounts = pdf["amount"].to_numpy(dtype="float64", na_value=np.nan)
+    accepted, after = _accepted(amounts, left)
+    state.update((float(after[-1]),))
+    reason = np.where(accepted, None, np.where(~(amounts >= 0), "INVALID_AMOUNT", "OVERDRAW"))
+    yield pdf.assign(accepted=accepted, reason=reason, remaining_after=after)
+
+
+def stream_consumption(spark: SparkSession, source: str, schema: T.StructType, sink: str | None = None,
+                       checkpoint: str | None = None, files_per_trigger: int = 64) -> DataFrame:
     """Accept / reject consumption requests as they arrive; state = what is left of each lot."""
-    sink = scratch_path(spark, "consumption-sink")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    sink, checkpoint = _paths(spark, "consumption", sink, checkpoint)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     decided = stream.groupBy("inventory_id").applyInPandasWithState(
         _consume_with_state, DECISION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    _run(decided.writeStream.outputMode("append").format("parquet").option("path", sink), "consumption", spark)
+    _run(decided.writeStream.outputMode("append").format("parquet").option("path", sink), checkpoint)
     return spark.read.schema(DECISION_SCHEMA).parquet(sink)
 
 
 # T-03 -----------------------------------------------------------------------
-def stream_daily_nutrition(spark: SparkSession, source: str, schema: T.StructType, led,
-                           lateness: str = "7 days") -> DataFrame:
-    """Per-day measure sums from a stream of consumption events (update mode, latest wins)."""
-    sink = scratch_path(spark, "nutrition-sink")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+def stream_daily_nutrition(spark: SparkSession, source: str, schema: T.StructType, led, lateness: str = "7 days",
+                           sink: str | None = None, checkpoint: str | None = None, files_per_trigger: int = 64) -> DataFrame:
+    """Per-day measure sums from a stream of consumption events (update mode, latest wins).
+
+    The day is taken from the naive time and carried as that day's first
+    instant since the epoch, so windows and results do not depend on the
+    session's time zone.
+    """
+    sink, checkpoint = _paths(spark, "nutrition", sink, checkpoint)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     ev = with_food(stream, led)  # stream-static join to the food dimension
-    ev = ev.withColumn("eaten_ts", c("eaten_at").cast("timestamp")).withWatermark("eaten_ts", lateness)
-    agg = ev.groupBy(F.window("eaten_ts", "1 day").alias("w")).agg(
+    day = F.timestamp_seconds(F.unix_date(F.to_date("eaten_at")).cast("long") * 86400)
+    ev = ev.withColumn("day_at", day).withWatermark("day_at", lateness)
+    agg = ev.groupBy(F.window("day_at", "1 day").alias("w")).agg(
         *[S.decimal_sum(S.nutrient_amount("food_type", "qty", m)).alias(m) for m in MEASURES])
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        (batch.select(F.to_date(c("w.start")).alias("day"), *MEASURES)
-         .withColumn("epoch", F.lit(epoch).cast("long"))
-         .write.mode("overwrite").parquet(f"{sink}/epoch={epoch}"))
-
-    _run(agg.writeStream.outputMode("update").foreachBatch(merge), "nutrition", spark)
+    dated = lambda batch: batch.select(F.date_from_unix_date((F.unix_seconds("w.start") / 86400).cast("int")).alias("day"), *MEASURES)
+    _run(agg.writeStream.outputMode("update").foreachBatch(_epoch_sink(sink, dated)), checkpoint)
     rows = spark.read.parquet(sink)
     latest = apply_updates(rows.limit(0).drop("epoch"), rows.withColumnRenamed("epoch", "seq"), "day")
     return latest.select("day", *[c(m).cast("double").alias(m) for m in MEASURES])
