@@ -112,12 +112,6 @@ def recent_range(as_of, days: int = 30) -> tuple[Column, Column]:
     return F.timestamp_add("DAY", F.lit(-days), end), end
 
 
-def recent_days(as_of, days: int = 30) -> tuple[Column, Column]:
-    """Calendar days: the day of ``as_of`` and the ``days - 1`` before it."""
-    end = F.to_date(ts_lit(as_of) if isinstance(as_of, (str, _dt.datetime)) else _c(as_of))
-    return F.date_sub(end, days - 1), end
-
-
 # C-08
 def day_sequence(start_day, end_day) -> Column:
     return F.sequence(_c(start_day), _c(end_day), F.expr("interval 1 day"))
@@ -246,6 +240,12 @@ def one_decimal(x) -> Column:
     return F.format_string("%.1f", _c(x))
 
 
+def shortest(x) -> Column:
+    """Whole numbers without a point, others as they are."""
+    x = _c(x)
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+
+
 # C-21
 def food_master_of(food_type) -> Column:
     t = _c(food_type)

@@ -98,6 +98,16 @@ def limited_groups(payments: DataFrame) -> DataFrame:
         F.max("id").alias("last_payment_id"))
 
 
+def limited_members(payments: DataFrame) -> DataFrame:
+    """The members of the limited groups, a row each with its group's total."""
+    p = payments.filter(c("wallet_id").isNotNull() & is_limited())
+    g = p.groupBy(*GROUP).agg(F.sum("amount").cast("long").alias("total")).alias("g")
+    p = p.alias("p")
+    same = ((c("p.wallet_id") == c("g.wallet_id")) & c("p.expiry_at").eqNullSafe(c("g.expiry_at"))
+            & c("p.usage_restriction").eqNullSafe(c("g.usage_restriction")))
+    return p.join(g, same).select(c("p.id").alias("payment_id"), "p.transaction_id", *[f"p.{k}" for k in GROUP], "p.amount", "g.total")
+
+
 # W-05
 def latest_origin(payments: DataFrame) -> DataFrame:
     """Last movement id that touched each limited group."""

@@ -209,10 +209,6 @@ _NAMES = [n for n, _ in VIEWS]
 _BODY = dict(VIEWS)
 
 
-def _deps(sql: str) -> set[str]:
-    return {n for n in _NAMES if re.search(rf"\b{n}\b", sql)}
-
-
 def with_ledger(body: str, extra: list[tuple[str, str]] | None = None) -> str:
     """Prefix ``body`` with the (transitively) needed ledger CTEs."""
     extra = extra or []

@@ -377,6 +377,13 @@ def c20(led):
     return led["t_payments"].select("id", S.thousands("amount").alias("amount_text"))
 
 
+@register("c20_number_texts", """select id, printf('%.1f', quantity / 2) as one_decimal,
+  case when tax_rate = floor(tax_rate) then cast(cast(floor(tax_rate) as bigint) as varchar) else cast(tax_rate as varchar) end as shortest
+from t_transaction_details""")
+def c20_texts(led):
+    return led["t_transaction_details"].select("id", S.one_decimal(c("quantity") / 2).alias("one_decimal"), S.shortest("tax_rate").alias("shortest"))
+
+
 @register("c21_food_master_of", """select id, food_type, case when food_type = 'OUT_EAT' then 'PROCESSED'
   when food_type in ('UNIVERSAL','MEASURED','PROCESSED') then food_type end as master_kind from t_transaction_details""")
 def c21(led):

@@ -95,6 +95,13 @@ def a03(led):
     return M.limited_groups(led["t_payments"])
 
 
+@register("a03_limited_members", f"""select p.id as payment_id, p.transaction_id, p.wallet_id, p.expiry_at, p.usage_restriction, p.amount,
+  cast(sum(p.amount) over (partition by p.wallet_id, p.expiry_at, p.usage_restriction) as bigint) as total
+from t_payments p where p.wallet_id is not null and {LIMITED}""")
+def a03_members(led):
+    return M.limited_members(led["t_payments"])
+
+
 @register("w05_latest_origin", f"""select p.wallet_id, p.expiry_at, p.usage_restriction, max(p.id) as latest_origin_id
 from t_payments p where p.wallet_id is not null and {LIMITED}
 group by p.wallet_id, p.expiry_at, p.usage_restriction""")

@@ -35,6 +35,34 @@ def s04r(led):
     return I.ingest_receipts(led["raw_receipts"], AS_OF)["rejects"]
 
 
+CONSUMPTION_SQL = f"""(with raw as (
+  select request_id, inventory_id, meal_id, seq,
+    case when request_id % 211 = 0 then 'some' when request_id % 223 = 0 then '-1' else cast(cast(amount as decimal(18,2)) as varchar) end as amount_text,
+    case when request_id % 227 = 0 then '9' when request_id % 229 = 0 then '' else case consume_type when 'SELF' then '1' when 'LOSS' then '2' else '3' end end as kind_text,
+    case when request_id % 233 = 0 then '20011340' when request_id % 239 = 0 then ''
+      when request_id % 2 = 0 then strftime(requested_at, '%Y%m%d') else strftime(requested_at, '%Y%m%d%H%M') end as at_text
+  from consume_requests),
+typed as (
+  select *, try_cast(amount_text as double) as amount, case kind_text when '1' then 'SELF' when '2' then 'LOSS' when '3' then 'GIFT' end as kind,
+    case length(at_text) when 12 then try_strptime(at_text, '%Y%m%d%H%M') when 8 then try_strptime(at_text, '%Y%m%d') end as at_ts
+  from raw)
+select request_id, inventory_id, meal_id, amount, coalesce(kind, 'SELF') as consume_type, coalesce(at_ts, timestamp '{AS_OF}') as requested_at, seq,
+  case when amount is null or amount < 0 then 'BAD_AMOUNT' when kind_text <> '' and kind is null then 'BAD_KIND'
+    when at_text <> '' and at_ts is null then 'BAD_TIME' end as reject_reason
+from typed)"""
+
+
+@register("s04_consumption_batch", f"select * exclude (reject_reason) from {CONSUMPTION_SQL} x where reject_reason is null")
+def s04_consumption(led):
+    """Consumption entered as text: kind digits, 8 or 12 digit times."""
+    return I.ingest_consumption(I.raw_consumption(led["consume_requests"]), AS_OF)["requests"]
+
+
+@register("s04_consumption_rejects", f"select * from {CONSUMPTION_SQL} x where reject_reason is not null")
+def s04_consumption_rejects(led):
+    return I.ingest_consumption(I.raw_consumption(led["consume_requests"]), AS_OF)["rejects"]
+
+
 @register("s05_seed_rates", """select id as currency_id, 1.0e0 as rate_to_jpy, 'VALUE_ADJUST' as change_type,
   coalesce(start_at, timestamp '1899-12-30 00:00:00') as effective_at from m_currencies""")
 def s05(led):

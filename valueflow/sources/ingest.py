@@ -117,6 +117,34 @@ def ingest_receipts(raw: DataFrame, as_of) -> dict[str, DataFrame]:
             "rejects": typed.filter(c("reject_reason").isNotNull())}
 
 
+def raw_consumption(requests: DataFrame) -> DataFrame:
+    """Consumption requests as entered: amount, kind digit and time as text, some of them unreadable."""
+    digit = F.create_map(*[F.lit(x) for d, kind in S.CONSUME_DIGITS.items() for x in (kind, d)])
+    k = c("request_id")
+    return requests.select(
+        "request_id", "inventory_id", "meal_id", "seq",
+        F.when(k % 211 == 0, F.lit("some")).when(k % 223 == 0, F.lit("-1")).otherwise(c("amount").cast("decimal(18,2)").cast("string")).alias("amount_text"),
+        F.when(k % 227 == 0, F.lit("9")).when(k % 229 == 0, F.lit("")).otherwise(digit[c("consume_type")]).alias("kind_text"),
+        F.when(k % 233 == 0, F.lit("20011340")).when(k % 239 == 0, F.lit("")).when(k % 2 == 0, F.date_format("requested_at", "yyyyMMdd"))
+         .otherwise(F.date_format("requested_at", "yyyyMMddHHmm")).alias("at_text"))
+
+
+def ingest_consumption(raw: DataFrame, as_of) -> dict[str, DataFrame]:
+    """Raw consumption lines -> typed requests + rejects.
+
+    Amount: a number that is not negative; kind: digit 1, 2, 3 (empty = eaten
+    by oneself); time: 12 or 8 digits (empty = ``as_of``).
+    """
+    given = lambda col: F.coalesce(F.trim(c(col)) != "", F.lit(False))
+    amount, time = S.normalize_digits(c("amount_text")).try_cast("double"), S.parse_yyyymmddhhmm("at_text")
+    kind = S.label(S.normalize_digits(c("kind_text")), S.CONSUME_DIGITS, None)
+    reason = (F.when(amount.isNull() | (amount < 0), F.lit("BAD_AMOUNT")).when(given("kind_text") & kind.isNull(), F.lit("BAD_KIND"))
+              .when(given("at_text") & time.isNull(), F.lit("BAD_TIME")))
+    typed = raw.select("request_id", "inventory_id", "meal_id", amount.alias("amount"), F.coalesce(kind, F.lit("SELF")).alias("consume_type"),
+                       F.coalesce(time, S.ts_lit(as_of)).alias("requested_at"), "seq", reason.alias("reject_reason"))
+    return {"requests": typed.filter(c("reject_reason").isNull()).drop("reject_reason"), "rejects": typed.filter(c("reject_reason").isNotNull())}
+
+
 # R-09
 def record_purchases(raw: DataFrame, led, as_of) -> dict[str, DataFrame]:
     """Batch of raw receipts -> transactions (with checkout totals), details and lots.

@@ -81,10 +81,6 @@ class Ledger(dict):
     def __contains__(self, key) -> bool:
         return dict.__contains__(self, key) or key in getattr(self, "_builders", {})
 
-    def has_table(self, key) -> bool:
-        """True only for tables already built or stored (not for buildable ones)."""
-        return dict.__contains__(self, key)
-
     # ---------------------------------------------------------- conveniences
     def foods_of(self, kind: str) -> DataFrame:
         """One of the three food masters (universal / measured / processed)."""
