@@ -71,7 +71,8 @@ select ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppke
     when l_returnflag = 'N' then 'PANTRY' when l_linestatus = 'F' then 'EAT_NOW' else 'GIFT' end as destination,
   case when l_linenumber % 3 <> 0 then l_shipdate end as limit_date,
   case l_linenumber % 3 when 1 then 'CONSUMPTION' when 2 then 'BEST_BEFORE' end as limit_type,
-  cast(case when l_linenumber % 5 <> 0 then l_linenumber % 5 end as integer) as reliability_level
+  cast(case when l_linenumber % 5 <> 0 then l_linenumber % 5 end as integer) as reliability_level,
+  case l_linenumber when 1 then 'A' when 2 then 'B' when 3 then 'C' when 4 then 'D' when 5 then 'J' end as condition_rank
 from lineitem"""),
     ("t_payments", """
 select event_id as id, event_id as transaction_id,

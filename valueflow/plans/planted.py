@@ -35,7 +35,7 @@ PLANTED = {
         "food_id": "case when id % 1031 = 0 then food_id + 1000000 else food_id end",
         "transaction_id": "case when id % 1033 = 0 then -1 else transaction_id end",
         "category_id": "case when id % 1039 = 0 then 3 when id % 1049 = 0 then 999 else category_id end",
-        "condition_rank": "case when id % 1051 = 0 then 'Z' else 'B' end"},
+        "condition_rank": "case when id % 1051 = 0 then 'Z' else condition_rank end"},
     "t_payments": {"amount": "case when id % 223 = 0 then null else amount end",
                    "wallet_id": "case when id % 211 = 0 then -5 else wallet_id end",
                    "transaction_id": "case when id % 227 = 0 then -7 else transaction_id end"},

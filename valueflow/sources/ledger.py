@@ -188,6 +188,7 @@ def _star_builders(led: "Ledger") -> dict:
             F.when(ln % 3 != 0, c("l_shipdate")).alias("limit_date"),
             F.when(ln % 3 == 1, "CONSUMPTION").when(ln % 3 == 2, "BEST_BEFORE").alias("limit_type"),
             F.when(ln % 5 != 0, ln % 5).alias("reliability_level"),
+            F.when(ln == 1, "A").when(ln == 2, "B").when(ln == 3, "C").when(ln == 4, "D").when(ln == 5, "J").alias("condition_rank"),
         ), "t_transaction_details")
 
     def t_payments():

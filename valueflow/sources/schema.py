@@ -66,7 +66,8 @@ SCHEMAS: dict[str, T.StructType] = {
                                  ("food_type", S, True), ("food_id", L, True), ("item_name_receipt", S, True),
                                  ("unit_price_ex_tax", D, True), ("quantity", D, False), ("tax_rate", D, False),
                                  ("discount_amount", D, True), ("destination", S, True), ("limit_date", TS, True),
-                                 ("limit_type", S, True), ("reliability_level", T.IntegerType(), True)),
+                                 ("limit_type", S, True), ("reliability_level", T.IntegerType(), True),
+                                 ("condition_rank", S, True)),
     "t_payments": _st(("id", L, False), ("transaction_id", L, True), ("wallet_id", L, True), ("amount", L, False),
                       ("expiry_at", TS, True), ("usage_restriction", S, True)),
     "t_inventory": _st(("id", L, False), ("detail_id", L, False), ("current_quantity", D, False),
