@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, written
+from .common import discard, join_small, written
 
 #: A word of the size measure.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -96,8 +96,10 @@ def source_plan(docs: DataFrame, weights: DataFrame | None = None, cap: float =
         *[F.sum(F.col("size") * copies(F.col("rate"), F.col("hex"), j)).alias(f"taken{j}") for j in range(DRAWS)])
     best = F.array(*[F.abs(F.col(f"taken{j}") - F.col("target")) for j in range(DRAWS)])
     t = taken.withColumnRenamed("source", "t_source")
-    return rates.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select(
-        "source", "words", "target", "rate", (F.array_position(best, F.array_min(best)) - 1).cast("int").alias("pick"))
+    plan = written(rates.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select(
+        "source", "words", "target", "rate", (F.array_position(best, F.array_min(best)) - 1).cast("int").alias("pick")), "plan")
+    discard(base, rates)
+    return plan
 
 
 def copies(rate: Column, hex64: Column, pick: Column | int) -> Column:
@@ -107,7 +109,7 @@ def copies(rate: Column, hex64: Column, pick: Column | int) -> Column:
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, cap: float = CAP, out: str = "_mix") -> DataFrame:
     """Adds the struct ``out``: size, source_size, target, rate, copies.  Rows of sources without weight get no row."""
-    plan = written(source_plan(docs, weights, cap).select(F.struct("*").alias("__plan")), "plan")
+    plan = source_plan(docs, weights, cap).select(F.struct("*").alias("__plan"))
     keys = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__hex", draws(F.col("doc_id"), F.col("text")))
     joined = join_small(keys, plan, F.col("source").cast("string").eqNullSafe(F.col("__plan.source")))
     return joined.withColumn(out, F.struct(

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard
 from .training import SAMPLE_ROWS, fit_logistic, labelled_sample
 
 DIMS = 1 << 18
@@ -171,6 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict[s
 
     sample = labelled_sample(docs, labels, "quality", rows)
     parts = sample.select("text", F.col("label").cast("long").alias("label")).coalesce(1).mapInArrow(run, "name string, bytes binary").collect()
+    discard(sample)
     got = {p["name"]: bytes(p["bytes"]) for p in parts}
     return {k: np.frombuffer(v, np.float64 if k == "curve" else np.float32) for k, v in got.items()} if got else fit([], np.array([], dtype=int))
 

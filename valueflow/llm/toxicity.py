@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .training import SAMPLE_ROWS, fit_logistic, labelled_sample
 
 REACH = 4
@@ -231,6 +231,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     kept = first.join(near, "gram").withColumn("up", F.least("up", "near"))
     kept = kept.withColumn("strength", _beyond_chance(F.col("up"), F.col("down"), n_up, n_down, tested)).filter(F.col("strength").isNotNull())
     found = {r["gram"]: (r["up"], r["down"], r["strength"]) for r in kept.select("gram", "up", "down", "strength").collect()}
+    discard(counts)
     return lexicon | {g: found[g][2] for g in _of_their_own(found, n_up, n_down)}
 
 
@@ -268,6 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column("label")], ["x", "y"])
 
     got = sample.select("text", F.col("label").cast("long").alias("label")).mapInArrow(read, "x array<double>, y long").collect()
+    discard(sample)
     if len({r["y"] for r in got}) < 2:
         return Model(lexicon, PRIOR)
     x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], dtype=float)
