@@ -49,7 +49,8 @@ STEP = 32
 HOT = 32            # documents that share a prefix token, from which on they are a cluster
 BLOCK = 512         # documents of a cluster that are compared with as many in one group
 TOLERANCE = 1e-6
-_CACHE = 500_000
+SLICE = 1024        # documents whose shingle sets a worker holds at once
+_CACHE = 150_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20_250).integers(0, 2**63, HASHES, dtype=np.uint64)
 
@@ -112,7 +113,9 @@ def word_print(text: Column) -> Column:
 def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
     cache = _WordHashes()
     for b in batches:
-        yield b, [shingles(t.as_py(), cache) for t in b.column(column).cast(pa.binary())]
+        for at in range(0, b.num_rows, SLICE):
+            part = b.slice(at, SLICE)
+            yield part, [shingles(t.as_py(), cache) for t in part.column(column).cast(pa.binary())]
 
 
 def rarity_table(docs: DataFrame, tasks: int) -> np.ndarray:
