@@ -40,7 +40,7 @@ MIX = 0.75  # share of the fitted weights; the rest is the mean weight
 SHARES = np.array([1 / 16, 1 / 8, 1 / 4, 1 / 2])
 THRESHOLD = 0.3
 _EDGE = re.compile(r"[^\w\s]+$")
-_CACHE = 500_000
+_CACHE = 150_000
 
 
 def shape(word: str) -> str:

@@ -48,7 +48,7 @@ STEMS = (3, 4, 5, 6, 7, 8)
 MIN_LOG_ODDS = 2.0
 TOP_LOG_ODDS = 8.0
 THRESHOLD = 0.5
-_CACHE = 500_000
+_CACHE = 150_000
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Closed word lists (English, French, German, Spanish).
