@@ -1,5 +1,6 @@
 """Decontamination against a plain search for every window."""
 
+import pickle
 import random
 
 from valueflow.llm import decontaminate as D
@@ -53,3 +54,27 @@ def test_share_of_words(spark):
     rows = [(1, "one two three " + "z " * 57), (2, "one two three " + "z " * 58)]
     df = D.find_windows(spark.createDataFrame(rows, "doc_id long, text string"), bench)
     assert [r[0] for r in df.filter(D.is_contaminated(D.F.col("_bench"))).select("doc_id").collect()] == [1]
+
+
+def test_broadcasts_are_bounded_as_built(spark, monkeypatch):
+    """One long item, one item many times, one window of many items: no broadcast outgrows the bound."""
+    rng = random.Random(5)
+    long_item = " ".join(f"w{rng.randrange(3000)}" for _ in range(4000))
+    shared = " ".join(f"common{i}" for i in range(13))
+    items = [(1, long_item)] * 20 + [(i, shared) for i in range(100, 2100)]
+    docs = ["x " + " ".join(long_item.split()[700:760]) + " y", shared, long_item]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    sizes, plain_broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda v: (sizes.append(len(pickle.dumps(v))), plain_broadcast(v))[1])
+    limit = 200_000
+    got = {r["doc_id"]: r["_bench"] for r in D.find_windows(df, spark.createDataFrame(items, "item_id long, text string"), index_bytes=limit).collect()}
+    assert len(sizes) > 2 and max(sizes) <= 1.25 * limit, sizes
+    assert [(got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) for i in (0, 2)] == [(62, 60, ["1"]), (4000, 4000, ["1"])]
+    assert got[1]["n_hit"] == 13 and got[1]["items"] == sorted(str(i) for i in range(100, 2100))
+
+
+def test_words_longer_than_a_hashed_piece():
+    texts = [b"", b"a " + b"b" * (2 * D._PIECE) + b" c", b"c A", b"..."]
+    found = D.Words(texts)
+    assert found.bounds.tolist() == [0, 0, 3, 5, 5]
+    assert found.hashes[0] == found.hashes[4] and found.hashes[2] == found.hashes[3] and len(set(found.hashes.tolist())) == 3
