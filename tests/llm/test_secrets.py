@@ -48,6 +48,18 @@ def test_battery_tells_random_runs_from_text(spark):
             assert f"random:4:{4 + len(found[0])}" in r["_secrets"]["spans"] and r["_secrets"]["base"] == ""
 
 
+def test_short_secrets_without_a_digit(spark):
+    rng = random.Random(12)
+    secret = ["".join(rng.choices(string.ascii_letters, k=n)) for n in range(20, 33) for _ in range(8)]
+    text = ["getUserNameFromDatabaseConnection", "AbstractSingletonProxyFactoryBean", "readTheHeaderAndCloseFile", "internationalization", "counterrevolutionaries",
+            "usr/share/doc/packages/readme", "some_very_long_identifier_name", "state-of-the-art-technology", "INTERNATIONALIZATION", "MAXIMUM_NUMBER_OF_CONNECTIONS",
+            "DonaudampfschifffahrtsGesellschaft", "-" * 40, "=" * 30, "_" * 25, "abcdefghijklmnopqrstuvwxyz", "aaaaaaaaaaaaaaaaaaaaaaaa", "HttpServletRequestWrapper"]
+    rows = [(f"see {v} here", v in secret) for v in secret + text]
+    got = S.scan(spark.createDataFrame(rows, "text string, is_secret boolean")).select("text", "is_secret", F.size("_secrets.random").alias("n")).collect()
+    assert [r["text"] for r in got if r["n"] and not r["is_secret"]] == []
+    assert sum(r["n"] == 1 for r in got if r["is_secret"]) >= 0.95 * len(secret)
+
+
 def text_of(text, m):
     assert text[m["start"] : m["end"]] == m["value"]
     return m["value"]

@@ -5,7 +5,7 @@ leftmost matches are marked with a control character and the text is split at it
 so that the lengths of the pieces give every match's place in code points.
 
 The method adds spans by a battery of randomness tests.  Candidates are runs of
-``MIN_RUN`` or more letters, digits, ``+/_=-`` that hold a digit.  For each its
+``MIN_RUN`` or more letters, digits, ``+/_=-``, with or without a digit.  For each its
 encoding is inferred from its characters (decimal, hex, base32, letters and
 digits, base64), and three tests compare it with a uniform draw from that
 alphabet:
@@ -16,7 +16,8 @@ alphabet:
 
 A candidate that fails any of them at ``ALPHA_TEST`` is no secret.  For the
 rest the null hypothesis is text: the characters' log-likelihood ratio between
-the uniform alphabet and a text model (letter groups, changes of case and digits)
+the uniform alphabet and a text model (letter groups, changes of case and digits;
+a word may begin with a capital)
 bounds the chance that text looks like it by exp(-ratio) (Markov), which falls
 with the length.  Benjamini-Hochberg at level ``FDR`` over all distinct
 candidates of the corpus decides; p-values are counted in steps of 1/8 of their
@@ -102,8 +103,10 @@ def _pairs(values: Column) -> Column:
     return F.zip_with(F.slice(values, F.lit(1), n - 1), F.slice(values, F.lit(2), n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
-#: Text model: a character keeps its kind with 0.95; then vowels have 0.40, common consonants 0.52 and rare ones 0.08.
+#: Text model: a character keeps its kind with 0.95, but the first capital of a run goes on as _FIRST says (a small letter, a
+#: capital, a digit or another); then vowels have 0.40, common consonants 0.52 and rare ones 0.08.
 _KEEP = 0.95
+_FIRST = {1: 0.80, 2: 0.15, 0: 0.025, 3: 0.025}
 _LETTERS = (("aeiou", 0.40), ("tnsrhldcmpgb", 0.52), ("fwyvkxjqz", 0.08))
 
 
@@ -123,7 +126,11 @@ def _within_kind(c: Column) -> Column:
 
 def _text_log(chars: Column) -> Column:
     """Log-likelihood of the characters under the text model."""
-    moves = F.aggregate(_pairs(F.transform(chars, _kind)), F.lit(math.log(0.25)), lambda acc, p: acc + F.when(
+    first = lambda k: F.when(k == 1, math.log(_FIRST[1])).when(k == 2, math.log(_FIRST[2])).otherwise(math.log(_FIRST[0]))
+    # 4: a capital that no capital stands before
+    kinds = _let(F.transform(chars, _kind), lambda ks: F.transform(ks, lambda k, i: F.when(
+        (k == 2) & ~F.coalesce(F.get(ks, i - 1) == 2, F.lit(False)), 4).otherwise(k)))
+    moves = F.aggregate(_pairs(kinds), F.lit(math.log(0.25)), lambda acc, p: acc + F.when(p["a"] == 4, first(p["b"])).when(
         p["a"] == p["b"], math.log(_KEEP)).otherwise(math.log((1 - _KEEP) / 3)))
     return moves + F.aggregate(F.transform(chars, _within_kind), F.lit(0.0), lambda acc, v: acc + v)
 
@@ -141,13 +148,14 @@ def battery(value: Column) -> Column:
         chi = (size / n * squares - n) / free
         switches = F.size(F.filter(_pairs(places), lambda p: (p["a"] < size / 2) != (p["b"] < size / 2))).cast("double")
         mean, variance = free / 2, (size * size - 1) / 12
+        pairs = F.greatest(n - 1, F.lit(1.0))  # a run of padding alone has one character; _step rejects it
         product = F.aggregate(_pairs(places), F.lit(0.0), lambda acc, p: acc + (p["a"] - mean) * (p["b"] - mean))
         return F.struct(
             k["encoding"].alias("encoding"), n.alias("n"),
             # Wilson-Hilferty: the cube root of chi-squared / df is close to normal
             ((F.cbrt(chi) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))).alias("z_chi"),
-            ((switches - (n - 1) / 2) / (F.sqrt(n - 1) / 2)).alias("z_runs"),
-            (product / (variance * F.sqrt(n - 1))).alias("z_serial"),
+            ((switches - pairs / 2) / (F.sqrt(pairs) / 2)).alias("z_runs"),
+            (product / (variance * F.sqrt(pairs))).alias("z_serial"),
             F.greatest(F.lit(LEAST_LOG_P), F.least(F.lit(0.0), k["text"] + n * F.log(size) + F.log(F.lit(float(len(ENCODINGS)))))).alias("log_p"))
 
     chars = F.split(F.regexp_replace(value, "(?<=.)=+$", ""), "(?!^)(?!$)")
@@ -170,7 +178,7 @@ def _apart(found: Column, others: list[Column]) -> Column:
 def _candidates(docs: DataFrame, text: str) -> DataFrame:
     """Adds __assign, __access, __hex and __random: tested runs apart from these, each with its step."""
     found = docs.withColumns({f"__{k}": v for k, v in base_spans(F.col(text)).items()} | {"__run": matches(F.col(text), RUN)})
-    apart = F.filter(_apart(F.col("__run"), [F.col(f"__{k}") for k in BASE]), lambda m: m["value"].rlike("[0-9]"))
+    apart = _apart(F.col("__run"), [F.col(f"__{k}") for k in BASE])
     tested = F.transform(apart, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), battery(m["value"]).alias("tests")))
     return found.withColumn("__random", tested).drop("__run")
 
