@@ -137,4 +137,17 @@ degree as (select a as r, count(*) as n from ways group by a)
 select d.doc_id, c.class_id, coalesce(g.n, 0)::bigint as n_links from docs d join class c on c.r = d.r left join degree g on g.r = d.r
 """
 
-SQL: dict[str, str] = {"op1_url_filter": OP1, "op2_topk": OP2, "op4_mixing": OP4, "op6_decontamination": OP6, "op9_jaccard_join": OP9, "op10_chat": OP10}
+OP13 = """
+with hashed as (select row_number() over () as r, page_id, url, coalesce(html, '') as payload, sha1(coalesce(html, '')) as hex from pages),
+ranked as (
+  select *, row_number() over same as place, first_value(page_id) over same as first_id
+  from hashed window same as (partition by payload order by page_id nulls last, url nulls last, r))
+select page_id, strlen(payload)::bigint as payload_bytes,
+  array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(hex, (i // 4 * 5 + 1)::int, 5))::int >> (15 - 5 * (i % 4))::int) & 31) + 1)::int, 1)), '') as payload_digest,
+  case when place = 1 then 'response' else 'revisit' end as record_type,
+  case when place > 1 then first_id end as refers_to, url
+from ranked
+"""
+
+SQL: dict[str, str] = {"op13_warc": OP13, "op1_url_filter": OP1, "op2_topk": OP2, "op4_mixing": OP4, "op6_decontamination": OP6, "op9_jaccard_join": OP9, "op10_chat": OP10}

@@ -6,13 +6,15 @@ parameters and derives the contract's columns from what the operator returns.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, mixing, quality, secrets, sharding, topk, toxicity, url_filter
-from .common import holdout, table
+from . import (alignment, chat, decontaminate, jaccard_join, mixing, quality, secrets, sharding, topk, toxicity, url_filter, warc,
+               whitening)
+from .common import holdout, table, written
 
 #: Fixed values: (verdict, host, path).
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -85,7 +87,35 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership.join(chat.read_back(packs), "path_id").select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+#: Where the vocabularies of public tokenizers lie.
+TOKENIZERS = os.environ.get("VALUEFLOW_TOKENIZERS", "/opt/tokenizers")
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+    aligned = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), a, b)
+    digest = F.when(F.col("_align.n_groups") == 0, "").otherwise(F.sha2(F.col("_align.groups").cast("binary"), 256))
+    stored = written(aligned.select("doc_id", F.col("_align").dropFields("groups").alias("_align"), digest.alias("groups_sha256")), "aligned")
+    found = alignment.weighed(stored, alignment.pair_counts(stored), alignment.max_pairs(a, b))
+    return found.select("doc_id", "_align.n_a", "_align.n_b", "_align.n_groups", "_align.n_links", "_align.n_best", "_align.count_sum", "groups_sha256")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 4)
+    found = rows.select("vec_id", F.col("_white.deviation").try_cast("long").alias("deviation"), F.posexplode("_white.whitened").alias("place", "whitened"))
+    share = F.array(*(F.lit(e).cast("double") for e in model.explained)) if model.explained else F.array().cast("array<double>")
+    return found.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+                        F.get(share, "place").alias("explained"), F.lit(model.identity_error).cast("double").alias("identity_error"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = warc.read_archives(spark, folder)
+    return found.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        F.col("refers_to").cast("long").alias("refers_to"), "url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_topk, op3_sharding, op4_mixing, op5_toxicity, op6_decontamination, op7_secrets,
-        op8_quality, op9_jaccard_join, op10_chat)
+        op8_quality, op9_jaccard_join, op10_chat, op11_alignment, op12_whitening, op13_warc)
 }
