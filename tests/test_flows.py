@@ -128,6 +128,56 @@ def test_fold_in_steps_equals_row_by_row():
             assert list(zip(accepted.tolist(), after.tolist())) == by_row(amounts, 10.0)
 
 
+REQUESTS = "request_id long, inventory_id long, meal_id long, amount double, consume_type string, requested_at timestamp_ntz, seq long"
+LOTS = "id long, detail_id long, current_quantity double, updated_at timestamp_ntz"
+BIG = 2**53 + 1  # the first integer that a double cannot hold
+
+
+def consumption_case():
+    """Three lots with ids beyond 2^53, requests of unknown lots and of no lot between them."""
+    rng = random.Random(8)
+    lots = [(BIG + i, BIG + 100 + i, q, NOON) for i, q in enumerate((40.0, 7.3, 0.0))]
+    ids = [lot[0] for lot in lots] + [5, None]
+    amount = lambda: rng.choice([rng.random(), rng.random() * 9, None, -1.0, 0.0])
+    requests = [(BIG + 1000 + i, ids[0] if rng.random() < 0.6 else rng.choice(ids), BIG + i % 7, amount(), "SELF", NOON, i // 3) for i in range(600)]
+    decided, left = {}, {lot[0]: lot[2] for lot in lots}
+    for r in sorted(requests, key=lambda r: (r[6], r[0])):
+        if r[1] not in left:
+            decided[r[0]] = (r[1], None, False, "NO_LOT", None)
+            continue
+        (ok, left[r[1]]), = by_row([float("nan") if r[3] is None else r[3]], left[r[1]])
+        reason = None if ok else "INVALID_AMOUNT" if r[3] is None or r[3] < 0 else "OVERDRAW"
+        decided[r[0]] = (r[1], r[1] + 100, ok, reason, left[r[1]])
+    return lots, requests, decided
+
+
+def found_decisions(df):
+    return {r["request_id"]: (r["inventory_id"], r["detail_id"], r["accepted"], r["reason"], r["remaining_after"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("hot", [10**6, 50])
+def test_fold_keeps_ids_and_splits_hot_lots(spark, hot):
+    lots, requests, want = consumption_case()
+    df = spark.createDataFrame(requests, REQUESTS).repartition(5)
+    got = K.greedy_consumption(df, spark.createDataFrame(lots, LOTS), hot=hot, piece_bits=3)
+    assert found_decisions(got) == want
+    assert sorted(K.hot_lots(df, 50)) == sorted({i for i in {r[1] for r in requests} - {None} if sum(r[1] == i for r in requests) > 50})
+    if hot == 50:  # the hot lot's rows are folded by (lot, piece), only packs by lot
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert got.withColumn("task", F.spark_partition_id()).filter(F.col("inventory_id") == BIG).select("task").distinct().count() > 1
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_stream_answers_unknown_lots(spark, tmp_path):
+    lots, requests, want = consumption_case()
+    lot = {x[0]: (x[1], x[2]) for x in lots}
+    rows = [(r[0], r[1], r[2], lot.get(r[1], (None, None))[0], *r[3:], lot.get(r[1], (None, None))[1]) for r in requests]
+    df = spark.createDataFrame(rows, "request_id long, inventory_id long, meal_id long, detail_id long, amount double, consume_type string, requested_at timestamp_ntz, seq long, lot_quantity double")
+    source = str(tmp_path / "in")
+    ST.write_waves(df, source, [F.col("seq") < 90, F.col("seq") >= 90], "inventory_id")
+    assert found_decisions(ST.stream_consumption(spark, source, df.schema, str(tmp_path / "out"), str(tmp_path / "check"), files_per_trigger=4)) == want
+
+
 def test_candidate_pairs_lose_nothing(spark):
     rng = random.Random(3)
     names = ["".join(rng.choices("abcdeXYZ 0", k=rng.randint(1, 14))) for _ in range(60)]

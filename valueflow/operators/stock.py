@@ -5,13 +5,17 @@ Inventory rows: S-03, J-04, J-05, J-13, W-06, A-11, A-13, V-08, R-04, R-11.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from ..session import ensure_checkpoint_dir
 from ..sources.schema import STOCK_PLACES
 
 c = F.col
@@ -81,46 +85,158 @@ def _accepted(amounts: np.ndarray, left: float) -> tuple[np.ndarray, np.ndarray]
     return accepted, after
 
 
-def _fold_sorted(batches):
-    """Greedy accept/reject over rows sorted by (lot, seq).
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Doubles with NaN for null."""
+    return np.asarray(column.cast(pa.float64()).fill_null(np.nan))
+
+
+def _runs(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
+    """Where a new key begins in a sorted batch, and the batch's end; null is a key of its own."""
+    new = np.zeros(max(batch.num_rows - 1, 0), dtype=bool)
+    for key in keys:
+        values, null = np.asarray(batch.column(key).fill_null(0)), np.asarray(batch.column(key).is_null())
+        new |= (values[1:] != values[:-1]) | (null[1:] != null[:-1])
+    return [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+
 
-    State (current lot, remaining quantity) carries across Arrow batches, so
-    a lot's requests are streamed, never gathered into one array.  A request
-    is accepted only when 0 <= amount <= remaining; rejected requests change
-    nothing.  Same double arithmetic, same order, as the row-at-a-time rule.
-    Rows without a lot are rejected.
+def _fold_sorted(keys: list[str], start: str):
+    """Greedy accept / reject over Arrow rows sorted by ``keys`` and order (ids stay 64-bit integers).
+
+    ``start`` names what a key's first row finds in stock.  State (current key,
+    remaining quantity) carries across batches, so a lot's requests are
+    streamed, never gathered.  A request is accepted only when 0 <= amount <=
+    remaining; rejected requests change nothing.  Same double arithmetic, same
+    order, as the row-at-a-time rule.  Rows without a lot are rejected.
+    """
+    names = [f.name for f in DECISION_SCHEMA.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, left = None, 0.0
+        for batch in batches:
+            amounts, qty = _numbers(batch.column("amount")), _numbers(batch.column(start))
+            accepted, after = np.zeros(batch.num_rows, dtype=bool), np.full(batch.num_rows, np.nan)
+            bounds = _runs(batch, keys)
+            if len(bounds) > 1:
+                firsts = [batch.column(k).take(pa.array(bounds[:-1])).to_pylist() for k in keys]
+                for lo, hi, key in zip(bounds, bounds[1:], zip(*firsts)):
+                    if key != current:
+                        current, left = key, qty[lo]
+                    if qty[lo] == qty[lo]:
+                        accepted[lo:hi], after[lo:hi] = _accepted(amounts[lo:hi], left)
+                        left = after[hi - 1]
+            reason = np.where(accepted, None, np.where(qty != qty, "NO_LOT", np.where(~(amounts >= 0), "INVALID_AMOUNT", "OVERDRAW")))
+            made = {"accepted": pa.array(accepted), "reason": pa.array(reason, pa.string()), "remaining_after": pa.array(after, from_pandas=True)}
+            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in names], names=names)
+
+    return run
+
+
+# Requests of one lot beyond which its fold is split over tasks, and requests in one piece of it (a power of two).
+HOT_REQUESTS = 1_000_000
+PIECE_BITS = 16
+# Lots that may be named as hot; beyond, ``HOT_REQUESTS`` rises with the table.
+MAX_HOT = 10_000
+_COARSE = 4096
+
+
+def hot_lots(requests: DataFrame, hot: int = HOT_REQUESTS) -> list[int]:
+    """Ids of the lots with more than ``hot`` requests, ``MAX_HOT`` at most.
+
+    Sums over buckets of the id are enough to see that no lot is hot.
+    """
+    ids = requests.select("inventory_id").filter(c("inventory_id").isNotNull()).withColumn("bucket", F.pmod(F.xxhash64("inventory_id"), F.lit(_COARSE)))
+    sums = ids.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    total, full = sums.agg(F.sum("n"), F.collect_list(F.when(c("n") > hot, c("bucket")))).first()
+    if not full:
+        return []
+    counts = ids.filter(c("bucket").isin(full)).groupBy("inventory_id").agg(F.count(F.lit(1)).alias("n"))
+    return [r[0] for r in counts.filter(c("n") > max(hot, -(-total // MAX_HOT))).select("inventory_id").collect()]
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per piece of sorted rows: lot, piece, the lot's quantity, its smallest valid amount, all amounts as bytes
+    (none if even the smallest exceeds the whole lot)."""
+    key, held, qty = None, [], 0.0
+
+    def row() -> pa.RecordBatch:
+        amounts = np.concatenate(held)
+        least = float(amounts[amounts >= 0].min(initial=np.inf))
+        values = [key[0], key[1], qty, least, amounts.tobytes() if least <= qty else None]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=["inventory_id", "piece", "qty", "least", "amounts"])
+
+    for batch in batches:
+        amounts, bounds = _numbers(batch.column("amount")), _runs(batch, ["inventory_id", "piece"])
+        for lo, hi in zip(bounds, bounds[1:]):
+            here = (batch.column("inventory_id")[lo].as_py(), batch.column("piece")[lo].as_py())
+            if here != key:
+                if held:
+                    yield row()
+                key, held, qty = here, [], batch.column("lot_quantity")[lo].as_py()
+            held.append(amounts[lo:hi])
+    if held:
+        yield row()
+
+
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What every piece finds in stock, over pieces sorted by lot and place.  A piece whose smallest amount exceeds what
+    is left is refused whole, unseen; the others are folded again."""
+    lot, left = None, 0.0
+    for batch in batches:
+        out = []
+        for here, qty, least, amounts in zip(*(batch.column(n).to_pylist() for n in ("inventory_id", "qty", "least")), batch.column("amounts")):
+            if here != lot:
+                lot, left = here, qty
+            out.append(left)
+            if least <= left:
+                left = float(_accepted(np.frombuffer(amounts.as_buffer(), dtype=np.float64), left)[1][-1])
+        yield pa.RecordBatch.from_arrays([batch.column("inventory_id"), batch.column("piece"), pa.array(out, pa.float64())], names=["lot", "place", "found"])
+
+
+def _fold_hot(rows: DataFrame, piece_bits: int) -> DataFrame:
+    """The fold of lots with very many requests, spread over tasks.
+
+    Their rows are put in order by ranges and cut into pieces.  Only the
+    amounts, packed, pass through one task per lot, which tells every piece
+    what it finds in stock; then the pieces' rows are folded side by side.
     """
-    cur, rem = None, 0.0
-    for pdf in batches:
-        n = len(pdf)
-        lots = pdf["inventory_id"].to_numpy(dtype="float64", na_value=np.nan) if pdf["inventory_id"].isna().any() else pdf["inventory_id"].to_numpy()
-        amounts = pdf["amount"].to_numpy(dtype="float64", na_value=np.nan)
-        qty = pdf["lot_quantity"].to_numpy(dtype="float64", na_value=np.nan)
-        acc, after = np.zeros(n, dtype=bool), np.full(n, np.nan)
-        starts = np.concatenate(([0], np.flatnonzero(lots[1:] != lots[:-1]) + 1)) if n else np.empty(0, dtype=int)
-        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), n]):
-            if lots[lo] != cur:
-                cur, rem = lots[lo], qty[lo]
-            if qty[lo] == qty[lo]:
-                acc[lo:hi], after[lo:hi] = _accepted(amounts[lo:hi], rem)
-                rem = after[hi - 1]
-        reason = np.where(acc, None, np.where(qty != qty, "NO_LOT", np.where(~(amounts >= 0), "INVALID_AMOUNT", "OVERDRAW")))
-        yield pdf.assign(accepted=acc, reason=pd.Series(reason, index=pdf.index, dtype=object),
-                         remaining_after=pd.Series(after, index=pdf.index).astype(object).where(~np.isnan(after), None))
-
-
-def greedy_consumption(requests: DataFrame, lots: DataFrame) -> DataFrame:
+    spark = rows.sparkSession
+    order = ["inventory_id", "piece", "seq", "request_id"]
+    ranged = rows.repartitionByRange("inventory_id", "seq", "request_id").sortWithinPartitions("inventory_id", "seq", "request_id")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hot-lots-{uuid.uuid4().hex}"
+    # ids grow by one along a range, so their upper bits number the pieces in order
+    ranged.withColumn("piece", F.shiftright(F.monotonically_increasing_id(), piece_bits)).write.parquet(path)
+    stored = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("piece", T.LongType())])).parquet(path)
+    narrow = stored.select("inventory_id", "piece", "seq", "request_id", "amount", "lot_quantity")
+    packs = narrow.repartition("inventory_id", "piece").sortWithinPartitions(*order).mapInArrow(
+        _packs, "inventory_id long, piece long, qty double, least double, amounts binary")
+    starts = packs.repartition("inventory_id").sortWithinPartitions("inventory_id", "piece").mapInArrow(_starts, "lot long, place long, found double")
+    placed = stored.join(starts, (c("inventory_id") == c("lot")) & (c("piece") == c("place"))).drop("lot", "place")
+    return placed.repartition("inventory_id", "piece").sortWithinPartitions(*order).mapInArrow(_fold_sorted(["inventory_id", "piece"], "found"), DECISION_SCHEMA)
+
+
+def greedy_consumption(requests: DataFrame, lots: DataFrame, hot: int = HOT_REQUESTS, piece_bits: int = PIECE_BITS) -> DataFrame:
     """Decide each consumption request against what is left in its lot.
 
     Requests naming an unknown lot are rejected (``NO_LOT``).  One shuffle on
-    the lot id; inside a partition rows are sorted by (lot, seq) and folded
-    by a streaming ``mapInPandas``.
+    the lot id (requests without a known lot are dealt by themselves); inside
+    a partition rows are sorted by (lot, seq) and folded by a streaming
+    ``mapInArrow``.  Lots with more than ``hot`` requests are folded in pieces.
     """
     lot_cols = lots.select(c("id").alias("inventory_id"), "detail_id", c("current_quantity").alias("lot_quantity"))
     cols = [f.name for f in DECISION_SCHEMA.fields if f.name not in ("accepted", "reason", "remaining_after")]
-    return (requests.join(lot_cols, "inventory_id", "left").select(*cols)
-            .repartition("inventory_id").sortWithinPartitions("inventory_id", "seq", "request_id")
-            .mapInPandas(_fold_sorted, DECISION_SCHEMA))
+    rows = requests.join(lot_cols, "inventory_id", "left").select(*cols)
+    many = hot_lots(requests, hot)
+    known = c("lot_quantity").isNotNull()
+    usual, parts = rows, []
+    if many:
+        named = F.broadcast(requests.sparkSession.createDataFrame([(i,) for i in many], "inventory_id long"))
+        parts = [_fold_hot(rows.filter(known).join(named, "inventory_id", "left_semi"), piece_bits)]
+        usual = rows.join(named.withColumn("hot", F.lit(True)), "inventory_id", "left").filter(c("hot").isNull() | ~known).drop("hot")
+    spread = F.when(known, F.lit(0)).otherwise(F.pmod(F.xxhash64("request_id", "seq"), F.lit(1024)))
+    folded = (usual.repartition(c("inventory_id"), spread).sortWithinPartitions("inventory_id", "seq", "request_id")
+              .mapInArrow(_fold_sorted(["inventory_id"], "lot_quantity"), DECISION_SCHEMA))
+    return folded.unionByName(parts[0]) if parts else folded
 
 
 # R-11 ---------------------------------------------------------------------

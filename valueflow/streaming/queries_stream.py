@@ -36,7 +36,7 @@ def t02(led):
     spark = led.spark
     lots = led["t_inventory"].select(c("id").alias("inventory_id"), "detail_id",
                                      c("current_quantity").alias("lot_quantity"))
-    req = led["consume_requests"].join(lots, "inventory_id")
+    req = led["consume_requests"].join(lots, "inventory_id", "left")
     req = req.select(*[f.name for f in ST.DECISION_SCHEMA.fields if f.name not in ("accepted", "reason", "remaining_after")])
     src = scratch_path(spark, "requests-src")
     ST.write_waves(req, src, [c("seq") <= 1, c("seq") > 1], "inventory_id")

@@ -90,28 +90,51 @@ def stream_balances(spark: SparkSession, source: str, schema: T.StructType, sink
 STATE_SCHEMA = T.StructType([T.StructField("remaining", T.DoubleType())])
 
 
+#: Long columns travel as text: pandas would make doubles of a column with a null.
+_LONGS = [f.name for f in DECISION_SCHEMA.fields if isinstance(f.dataType, T.LongType)]
+_AS_TEXT = T.StructType([T.StructField(f.name, T.StringType() if f.name in _LONGS else f.dataType) for f in DECISION_SCHEMA.fields])
+
+
+def _place(pdf: pd.DataFrame) -> list[tuple]:
+    """Sorts rows by (seq, request_id), nulls first."""
+    number = lambda v: (v is not None, int(v) if v is not None else 0)
+    return [(number(s), number(r)) for s, r in zip(pdf["seq"], pdf["request_id"])]
+
+
 def _consume_with_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     left = state.get[0] if state.exists else None
     parts = [p for p in pdfs if len(p)]
     if not parts:
         return
-    pdf = pd.concat(parts).sort_values(["seq", "request_id"])
-    if left is None:
-        left = float(pdf["lot_quantity"].iloc[0])
+    pdf = pd.concat(parts)
+    places = _place(pdf)
+    pdf = pdf.iloc[sorted(range(len(places)), key=places.__getitem__)]
+    known = pdf["lot_quantity"].first_valid_index() is not None
+    if left is None and known:
+        left = float(pdf["lot_quantity"].dropna().iloc[0])
     amounts = pdf["amount"].to_numpy(dtype="float64", na_value=np.nan)
+    if left is None:  # an unknown lot: nothing to take from, and no state until it is known
+        yield pdf.assign(accepted=False, reason="NO_LOT", remaining_after=None)[_AS_TEXT.names]
+        return
     accepted, after = _accepted(amounts, left)
     state.update((float(after[-1]),))
     reason = np.where(accepted, None, np.where(~(amounts >= 0), "INVALID_AMOUNT", "OVERDRAW"))
-    yield pdf.assign(accepted=accepted, reason=reason, remaining_after=after)
+    yield pdf.assign(accepted=accepted, reason=reason, remaining_after=after)[_AS_TEXT.names]
 
 
 def stream_consumption(spark: SparkSession, source: str, schema: T.StructType, sink: str | None = None,
                        checkpoint: str | None = None, files_per_trigger: int = 64) -> DataFrame:
-    """Accept / reject consumption requests as they arrive; state = what is left of each lot."""
+    """Accept / reject consumption requests as they arrive; state = what is left of each lot.
+
+    Rows carry their lot's quantity; without one (the lot is unknown when they arrive) they are rejected as ``NO_LOT``.
+    """
     sink, checkpoint = _paths(spark, "consumption", sink, checkpoint)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-    decided = stream.groupBy("inventory_id").applyInPandasWithState(
-        _consume_with_state, DECISION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    # requests of unknown lots need no state: they are dealt by themselves
+    lot = F.struct("inventory_id", F.when(c("lot_quantity").isNull(), c("request_id")).alias("alone"))
+    text = stream.select(lot.alias("lot"), *[c(n).cast("string").alias(n) if n in _LONGS else c(n) for n in stream.columns])
+    decided = text.groupBy("lot").applyInPandasWithState(_consume_with_state, _AS_TEXT, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    decided = decided.select(*[c(f.name).cast(f.dataType) for f in DECISION_SCHEMA.fields])
     _run(decided.writeStream.outputMode("append").format("parquet").option("path", sink), checkpoint)
     return spark.read.schema(DECISION_SCHEMA).parquet(sink)
 
