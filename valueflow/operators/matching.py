@@ -8,30 +8,36 @@ master name as the first sequence and the query as the second.
 
 Set-based plan, no all-pairs join:
 
-1. dedupe query texts and master names;
-2. candidate pairs from a *prefix filter*: every string is cut into
-   character occurrences ``(char, k)`` ordered rarest-first over all
-   strings; a pair whose score can reach the cutoff must share
-   ``M >= 0.2·(|a|+|b|) >= ceil(|s|/4)`` occurrences, hence shares one of
-   the first ``|s| - ceil(|s|/4) + 1`` occurrences of each string.  Only
-   prefix occurrences are joined (equi-join on ``(char, k)``), which is
-   lossless and skips the most common characters;
-3. the length bound (partner length within 4×) in the JVM, then the exact
-   ratio in an Arrow-batched pandas UDF for the surviving pairs only;
-4. top-3 per (query, master) with a window over the few candidates of a
-   query; duplicate master names occupy one slot per row, as the listing
-   does.
+1. every string is cut into character occurrences ``(char, k)``, ordered
+   rarest-first over the names;
+2. a *prefix filter* for a threshold t: a pair that reaches t shares
+   ``M >= t/2·(|a|+|b|)`` occurrences, hence one of the first
+   ``|s| - ceil(t/(2-t)·|s|) + 1`` of each string.  Only those are joined,
+   and a joined occurrence must leave enough before and after it in both
+   strings (position bound) for lengths that can reach t (length bound);
+3. the matcher's own quick bound (shared occurrences of the whole strings)
+   in the JVM;
+4. the exact ratio in Python, by query in order of falling bound.
+
+The top three come from a *threshold algorithm*: steps 2 to 4 run for
+t = 0.8, then 0.6, then 0.4 only for queries with open places, and within a
+query scoring stops once the bound falls below the third score.  The
+similarity join (all pairs of 0.4) runs them once and scores every pair.
 """
 
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
+
 c = F.col
 
 # --- fixed values: cutoff and list length of the candidate lookup ---
@@ -40,9 +46,13 @@ TOP_N = 3
 MASTER_ORDER = ["UNIVERSAL", "MEASURED", "PROCESSED"]
 
 
+#: Thresholds of the top-three search, in tenths; the last is the cutoff.
+STAGES = (8, 6, 4)
+
+
 @F.pandas_udf(T.DoubleType())
 def match_ratio(candidate: pd.Series, query: pd.Series) -> pd.Series:
-    """Sequence-matcher ratio when it reaches the cutoff (quick bounds first), else NULL."""
+    """Sequence-matcher ratio when it reaches the cutoff, else NULL."""
     out = []
     sm = difflib.SequenceMatcher()
     last_q = None
@@ -51,11 +61,8 @@ def match_ratio(candidate: pd.Series, query: pd.Series) -> pd.Series:
             sm.set_seq2(q)
             last_q = q
         sm.set_seq1(cand)
-        if sm.real_quick_ratio() >= CUTOFF and sm.quick_ratio() >= CUTOFF:
-            r = sm.ratio()
-            out.append(r if r >= CUTOFF else None)
-        else:
-            out.append(None)
+        r = sm.ratio()
+        out.append(r if r >= CUTOFF else None)
     return pd.Series(out, dtype="float64")
 
 
@@ -65,66 +72,74 @@ def match_ratio(candidate: pd.Series, query: pd.Series) -> pd.Series:
 match_ratio = match_ratio.asNondeterministic()
 
 
-def _occurrences(strings: DataFrame, *block: str) -> DataFrame:
-    """(s, block, ch, k): the k-th occurrence of character ch in string s."""
-    chars = strings.select("s", *block, F.explode(F.split(c("s"), "")).alias("ch")).filter(c("ch") != "")
-    counts = chars.groupBy("s", *block, "ch").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("s", *block, "ch", F.explode(F.sequence(F.lit(1), c("n").cast("int"))).alias("k"))
-
+def _occurrences(strings: DataFrame) -> DataFrame:
+    """(s, ch, k): the k-th occurrence of character ch in each string of the column ``s``."""
+    chars = strings.select("s").distinct().select("s", F.explode(F.split(c("s"), "")).alias("ch")).filter(c("ch") != "")
+    counts = chars.groupBy("s", "ch").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("s", "ch", F.explode(F.sequence(F.lit(1), c("n").cast("int"))).alias("k"))
 
-def _prefix_length(length):
-    return length - F.floor((length + 3) / 4) + 1
 
+def _ordered(occ: DataFrame, freq: DataFrame) -> DataFrame:
+    """(s, length, occ, ranked): all occurrence numbers of a string, and its occurrences rarest first.
 
-def _prefixes(occ: DataFrame, freq: DataFrame, *block: str) -> DataFrame:
-    """Rarest-first prefix of each string, long enough for the cutoff's overlap bound."""
-    o = occ.join(freq, ["ch", "k"])
-    w = Window.partitionBy("s", *block).orderBy("df", "ch", "k")
-    o = o.withColumn("pos", F.row_number().over(w))
-    return o.filter(c("pos") <= _prefix_length(F.length("s"))).select("s", *block, "ch", "k")
-
-
-def _char_counts(strings: DataFrame, col: str) -> DataFrame:
-    """string -> map(char -> count)."""
-    occ = (strings.select(c(col).alias("s")).distinct()
-           .select("s", F.explode(F.split(c("s"), "")).alias("ch")).filter(c("ch") != "")
-           .groupBy("s", "ch").agg(F.count(F.lit(1)).cast("int").alias("n")))
-    return occ.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("ch", "n"))).alias("counts"))
+    A row per string, its arrays bounded by the string's length.  Occurrences that no name has come first.
+    """
+    o = occ.join(freq, ["ch", "k"], "left")
+    item = F.struct(F.coalesce(c("df"), F.lit(0)).alias("df"), "ch", "k", (F.ascii("ch").cast("long") * 65536 + c("k")).alias("no"))
+    ranked = o.groupBy("s").agg(F.sort_array(F.collect_list(item)).alias("ranked"))
+    return ranked.select("s", F.length("s").alias("length"), F.transform("ranked", lambda x: x["no"]).alias("occ"))
+
+
+def _indexed(queries: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ordered occurrences of both sides, with one order for all; stored, as every stage reads them."""
+    occ_n = _occurrences(names)
+    freq = occ_n.groupBy("ch", "k").agg(F.count(F.lit(1)).alias("df"))
+    return stored(_ordered(_occurrences(queries), freq), "match-queries"), stored(_ordered(occ_n, freq), "match-names")
+
+
+def _needed(length: Column, tenths: int) -> Column:
+    """Occurrences that a string of this length shares at least with any partner that reaches the threshold."""
+    return F.ceil(F.lit(tenths) * length / F.lit(20 - tenths))
+
+
+def _pairs(iq: DataFrame, i_n: DataFrame, tenths: int, blocks: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(query, name, ub): all pairs whose quick bound reaches the threshold; with ``blocks`` (query, block) and
+    (name, block) only those that share a block, which comes out too."""
+    by = ["block"] if blocks else []
+
+    def side(index: DataFrame, what: str, block: DataFrame | None) -> DataFrame:
+        rows = index.select(c("s").alias(what), c("length").alias(f"l_{what}"), "occ")
+        rows = rows.join(block, what) if block is not None else rows
+        prefix = F.slice("occ", 1, (c(f"l_{what}") - _needed(c(f"l_{what}"), tenths) + 1).cast("int"))
+        return rows.select(what, f"l_{what}", *by, F.posexplode(prefix).alias(f"p_{what}", "no"))
+
+    lq, ln, i, j = c("l_query"), c("l_name"), c("p_query") + 1, c("p_name") + 1
+    least = F.ceil(F.lit(tenths) * (lq + ln) / F.lit(20))
+    in_reach = (lq * tenths <= ln * (20 - tenths)) & (ln * tenths <= lq * (20 - tenths))
+    placed = F.least(i, j) + F.least(lq - i, ln - j) >= least
+    met = side(iq, "query", blocks[0] if blocks else None).join(side(i_n, "name", blocks[1] if blocks else None), [*by, "no"])
+    found = met.filter(in_reach & placed).groupBy("query", "name", *by).agg(
+        F.count(F.lit(1)).alias("shared"), F.first("l_query").alias("l_query"), F.first("l_name").alias("l_name"))
+    # with one order for all, the prefix that ends first holds all its matches in the other's prefix
+    rest = F.greatest(_needed(lq, tenths), _needed(ln, tenths)) - 1
+    found = found.filter(c("shared") + rest >= least).drop("shared")
+    whole = found.join(iq.select(c("s").alias("query"), c("occ").alias("q_occ")), "query").join(
+        i_n.select(c("s").alias("name"), c("occ").alias("n_occ")), "name")
+    ub = F.lit(2.0) * F.size(F.array_intersect("q_occ", "n_occ")) / (lq + ln)
+    return whole.select("query", "name", *by, ub.alias("ub")).filter(c("ub") >= F.lit(tenths / 10))
 
 
 def candidate_pairs(queries: DataFrame, names: DataFrame, block: str | None = None) -> DataFrame:
     """Lossless candidate (query, name) pairs for the 0.4 cutoff, with an upper bound.
 
     With ``block`` (a column of both sides, such as the master's kind or the
-    brand) only pairs inside a block are made.  Shared prefix occurrences are
-    counted in the join itself; what a pair shares beyond is at most the
-    longer remainder, so most pairs go before any whole string is looked at.
-
-    ``ub`` = 2·(multiset character overlap)/(|q|+|n|), the matcher's own
-    quick bound, computed in the JVM from per-string character maps (one
-    row per distinct string, so the map is bounded by the string length).
-    Pairs with ``ub`` below the cutoff are dropped.
+    brand) only pairs inside a block are made.  ``ub`` = 2·(multiset character
+    overlap)/(|q|+|n|), the matcher's own quick bound.
     """
-    by = [block] if block else []
-    q = queries.select(c("query").alias("s"), *by).distinct()
-    n = names.select(c("name").alias("s"), *by).distinct()
-    occ_q, occ_n = _occurrences(q, *by), _occurrences(n, *by)
-    freq = occ_q.unionByName(occ_n).groupBy("ch", "k").agg(F.count(F.lit(1)).alias("df"))
-    pq = _prefixes(occ_q, freq, *by).withColumnRenamed("s", "query")
-    pn = _prefixes(occ_n, freq, *by).withColumnRenamed("s", "name")
-    lq, ln = F.length("query"), F.length("name")
-    # with one order for all, the prefix that ends first holds all its matches in the other's prefix
-    reach = c("shared") + F.greatest(lq - _prefix_length(lq), ln - _prefix_length(ln))
-    pairs = (pq.join(pn, [*by, "ch", "k"]).filter((lq * 4 >= ln) & (ln * 4 >= lq))
-             .groupBy("query", "name", *by).agg(F.count(F.lit(1)).alias("shared"))
-             .filter(reach * 5 >= lq + ln))
-    cq = _char_counts(q, "s").select(c("s").alias("query"), c("counts").alias("cq"))
-    cn = _char_counts(n, "s").select(c("s").alias("name"), c("counts").alias("cn"))
-    p = pairs.join(cq, "query").join(cn, "name")
-    overlap = F.aggregate(F.map_keys("cq"), F.lit(0),
-                          lambda acc, k: acc + F.least(F.element_at("cq", k), F.coalesce(F.try_element_at("cn", k), F.lit(0))))
-    ub = (F.lit(2.0) * overlap) / (lq + ln)
-    return p.select("query", "name", *by, ub.alias("ub")).filter(c("ub") >= CUTOFF)
+    sides = [queries.select("query", *([c(block).alias("block")] if block else [])).distinct(), names.select("name", *([c(block).alias("block")] if block else [])).distinct()]
+    iq, i_n = _indexed(sides[0].select(c("query").alias("s")), sides[1].select(c("name").alias("s")))
+    pairs = _pairs(iq, i_n, STAGES[-1], tuple(sides) if block else None)
+    return pairs.withColumnRenamed("block", block) if block else pairs
 
 
 def _score(pairs: DataFrame) -> DataFrame:
@@ -154,17 +169,111 @@ def similarity_join(queries: DataFrame, masters: DataFrame) -> DataFrame:
     return scored.join(names, "name").select("query", "kind", "name", "score")
 
 
+class _Best:
+    """The best places of one query: per kind its (score, name, copies), best first."""
+
+    def __init__(self, n: int):
+        self.n, self.kinds, self.scored = n, {}, 0
+
+    def third(self, kind: str) -> float | None:
+        """Score of the last place, once all places are taken."""
+        places = self.kinds.get(kind, ())
+        return places[-1][0] if sum(p[2] for p in places) >= self.n else None
+
+    def wants(self, ub: float, kinds: list[dict]) -> bool:
+        return any(last is None or ub >= last for last in (self.third(k["kind"]) for k in kinds))
+
+    def add(self, score: float, name: str, kinds: list[dict]) -> None:
+        for k in kinds:
+            places = sorted([*self.kinds.get(k["kind"], ()), (score, name, k["copies"])], reverse=True)
+            while sum(p[2] for p in places[:-1]) >= self.n:
+                places.pop()
+            self.kinds[k["kind"]] = places
+
+
+_PLACES = "query string, block string, kind string, name string, score double, scored long, closed boolean"
+
+
+def _best_of(pairs: DataFrame, tenths: int, n: int, all_kinds: int) -> DataFrame:
+    """The best places of every (query, block) at or above the threshold, from pairs with ``ub`` and ``kinds``.
+
+    ``closed`` marks those whose every kind has all its places taken; ``scored`` counts the pairs that were scored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, key, best = difflib.SequenceMatcher(), None, _Best(n)
+        columns: list[list] = [[] for _ in range(7)]
+
+        def close() -> None:
+            closed = len(best.kinds) == all_kinds and all(best.third(k) is not None for k in best.kinds)
+            for at, (kind, places) in enumerate(best.kinds.items()):
+                for row, (score, name, _) in enumerate(places):
+                    for column, value in zip(columns, (key[0], key[1], kind, name, score, best.scored if at == row == 0 else 0, closed)):
+                        column.append(value)
+
+        def taken() -> pa.RecordBatch:
+            kinds = [pa.string()] * 4 + [pa.float64(), pa.int64(), pa.bool_()]
+            batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names=[f.split()[0] for f in _PLACES.split(", ")])
+            for column in columns:
+                column.clear()
+            return batch
+
+        for batch in batches:
+            for query, block, name, ub, kinds in zip(*(batch.column(x).to_pylist() for x in ("query", "block", "name", "ub", "kinds"))):
+                if (query, block) != key:
+                    if key:
+                        close()
+                    key, best = (query, block), _Best(n)
+                    matcher.set_seq2(query)
+                if best.wants(ub, kinds):
+                    matcher.set_seq1(name)
+                    score = matcher.ratio()
+                    best.scored += 1
+                    if score >= tenths / 10:
+                        best.add(score, name, kinds)
+            yield taken()
+        if key:
+            close()
+        yield taken()
+
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.repartition(parts, "query", "block").sortWithinPartitions("block", "query", c("ub").desc(), "name")
+    return dealt.select("query", "block", "name", "ub", "kinds").mapInArrow(run, _PLACES)
+
+
 # W-04
-def top_candidates(scored: DataFrame, masters: DataFrame, n: int = TOP_N) -> DataFrame:
-    """Best ``n`` listing slots per (query, kind): score desc, then name desc.
+def top_candidates(queries: DataFrame, masters: DataFrame, n: int = TOP_N) -> DataFrame:
+    """Best ``n`` listing places per (query, kind): score desc, then name desc.
 
-    A name held by several master rows takes one slot per row (the id shown
-    is the first row with that name).  The window covers only one query's
-    candidates in one master.
+    ``queries``: column ``query``, and ``kind`` if each asks one master only.
+    A name held by several master rows takes one place per row (the id shown
+    is the first row with that name).  Runs the stages described above; a
+    stage's result is stored, as later ones leave out what it closed.
     """
+    one = "kind" in queries.columns
     names = masters.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"))
-    s = scored.join(names, ["kind", "name"])
-    w = Window.partitionBy("query", "kind").orderBy(c("score").desc(), c("name").desc())
+    block = c("kind").cast("string") if one else F.lit("")
+    held = names.withColumn("block", block).groupBy("name", "block").agg(
+        F.collect_list(F.struct(c("kind").cast("string").alias("kind"), c("copies").cast("long").alias("copies"))).alias("kinds"))
+    asked = stored(queries.filter(c("query") != "").select("query", block.alias("block")).distinct(), "match-asked")
+    all_kinds = 1 if one else masters.select("kind").distinct().count()
+    iq, i_n = _indexed(asked.select(c("query").alias("s")), names.select(c("name").alias("s")))
+    done = []
+    for tenths in STAGES:
+        still = asked
+        for table in done:
+            still = still.join(table.filter("closed").select("query", "block").distinct(), ["query", "block"], "left_anti")
+        if done and still.isEmpty():
+            break
+        index = iq.join(still.select(c("query").alias("s")), "s", "left_semi") if done else iq
+        pairs = _pairs(index, i_n, tenths, (still, held.select("name", "block")) if one else None)
+        pairs = pairs if one else pairs.withColumn("block", F.lit(""))
+        done.append(stored(_best_of(pairs.join(held, ["name", "block"]), tenths, n, all_kinds), "match-places"))
+    places = done[0].filter("closed") if len(done) > 1 else done[0]
+    for table in done[1:]:
+        places = places.unionByName(table if table is done[-1] else table.filter("closed"))
+    s = places.select("query", c("kind").alias("k"), c("name").alias("held"), "score").join(
+        names, (c("k") == c("kind").cast("string")) & (c("held") == c("name"))).drop("k", "held")
+    w = Window.partitionBy("query", "kind").orderBy(c("score").desc(), c("name").desc())  # over the few places of a query
     s = s.withColumn("before", F.coalesce(F.sum("copies").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                                           F.lit(0)))
     s = s.filter(c("before") < n)
@@ -194,14 +303,14 @@ def find_food(queries: DataFrame, masters: DataFrame) -> DataFrame:
     """Exact hit, else up to 3 candidates from each master."""
     exact = exact_food(queries, masters)
     rest = queries.select("query").distinct().join(exact.select("query"), "query", "left_anti")
-    fuzzy = top_candidates(similarity_join(rest, masters), masters).select(
+    fuzzy = top_candidates(rest, masters).select(
         "query", F.lit("FUZZY").alias("match_type"), "kind", "id", "name", "score", "rank", "slots")
     return exact.unionByName(fuzzy)
 
 
 # Z-02
 def find_food_candidates(queries: DataFrame, masters: DataFrame) -> DataFrame:
-    return top_candidates(similarity_join(queries.select("query").distinct(), masters), masters)
+    return top_candidates(queries.select("query").distinct(), masters)
 
 
 # Z-03
@@ -214,8 +323,7 @@ def find_food_in(requests: DataFrame, masters: DataFrame) -> DataFrame:
     r = requests.select("query", "food_type").distinct().withColumn(
         "kind", F.when(c("food_type") == "OUT_EAT", F.lit("PROCESSED")).otherwise(c("food_type")))
     r = r.filter(c("kind").isin(*MASTER_ORDER))
-    scored = similarity_join(r.select("query", "kind"), masters)
-    top = top_candidates(scored, masters).select("query", "kind", "name", "score")
+    top = top_candidates(r.select("query", "kind"), masters).select("query", "kind", "name", "score")
     rows = top.join(masters, ["kind", "name"]).join(r, ["query", "kind"])
     return rows.select("query", "food_type", "id", "name", "score")
 
@@ -231,28 +339,21 @@ def match_store(requests: DataFrame, brands: DataFrame, branches: DataFrame) ->
     bm = brands.select("id", "name", F.lit("BRAND").alias("kind"))
     bq = req.select(c("brand_text").alias("query")).distinct()
     exact_b = bq.join(bm, bq["query"] == bm["name"]).groupBy("query").agg(F.min("id").alias("brand_id"))
-    fuzzy_b = (top_candidates(similarity_join(bq.join(exact_b, "query", "left_anti"), bm), bm)
+    fuzzy_b = (top_candidates(bq.join(exact_b, "query", "left_anti"), bm)
                .filter(c("rank") == 1).select("query", c("id").alias("brand_id")))
     brand_of = exact_b.select("query", "brand_id", F.lit("EXACT").alias("brand_match")).unionByName(
         fuzzy_b.withColumn("brand_match", F.lit("FUZZY")))
     r = req.join(brand_of, req["brand_text"] == brand_of["query"], "left").drop("query")
-    # branch within brand: the brand id becomes part of the master "kind"
+    # branch within brand: the brand's id is the master's kind
     br = branches.select("id", c("branch_name").alias("name"), c("brand_id").cast("string").alias("kind"))
-    rq = r.filter(c("brand_id").isNotNull()).select(
-        F.concat_ws("\u0001", c("brand_id").cast("string"), c("branch_text")).alias("query"),
-        c("brand_id").cast("string").alias("kind"), "branch_text")
-    exact_s = (rq.join(br, (rq["kind"] == br["kind"]) & (rq["branch_text"] == br["name"]))
-               .groupBy(rq["query"]).agg(F.min("id").alias("branch_id")))
-    rest = rq.join(exact_s, "query", "left_anti")
-    sj = similarity_join(rest.select(c("branch_text").alias("query"), "kind").distinct(), br)
-    sj = sj.join(rest.select(c("branch_text").alias("q2"), c("kind").alias("k2"), c("query").alias("key")),
-                 (c("query") == c("q2")) & (c("kind") == c("k2"))).select(
-        c("key").alias("query"), "kind", "name", "score")
-    fuzzy_s = top_candidates(sj, br).filter(c("rank") == 1).select("query", c("id").alias("branch_id"))
+    rq = r.filter(c("brand_id").isNotNull()).select(c("branch_text").alias("query"), c("brand_id").cast("string").alias("kind")).distinct()
+    exact_s = (rq.join(br.withColumnRenamed("name", "query"), ["query", "kind"])
+               .groupBy("query", "kind").agg(F.min("id").alias("branch_id")))
+    fuzzy_s = (top_candidates(rq.join(exact_s, ["query", "kind"], "left_anti"), br)
+               .filter(c("rank") == 1).select("query", "kind", c("id").alias("branch_id")))
     branch_of = exact_s.withColumn("branch_match", F.lit("EXACT")).unionByName(
         fuzzy_s.withColumn("branch_match", F.lit("FUZZY")))
-    key = F.concat_ws("\u0001", c("brand_id").cast("string"), c("branch_text"))
-    out = r.withColumn("__key", key).join(branch_of, c("__key") == branch_of["query"], "left")
+    out = r.join(branch_of, (c("branch_text") == c("query")) & (c("brand_id").cast("string") == c("kind")), "left")
     return out.select("brand_text", "branch_text", "brand_id", "brand_match", "branch_id", "branch_match")
 
 

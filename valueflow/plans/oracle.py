@@ -106,10 +106,13 @@ from orders group by o_custkey, o_orderkey % 4"""),
 select l_orderkey as receipt_id,
   case when o_orderkey % 97 = 0 then '202613011200' when o_orderkey % 4 = 0 then strftime(o_orderdate, '%Y%m%d') else strftime(o_orderdate, '%Y%m%d%H%M') end as at_text,
   case when o_orderpriority = '5-LOW' then 'n' else 'y' end as public_text,
-  case when o_orderkey % 9 = 0 then lower(n_name) else n_name end as brand_text,
+  case when o_orderkey % 9 = 0 then lower(n_name) when o_orderkey % 13 = 0 then substr(n_name, 1, 2) || substr(n_name, 4) else n_name end as brand_text,
   case when o_orderkey % 11 = 0 then replace(s_name, 'Supplier#', 'Sup ') else s_name end as branch_text,
   cast(l_linenumber as bigint) as line_no,
-  case when l_partkey % 6 >= 2 then case when l_linenumber = 3 then upper(p_name || ' ' || p_brand)
+  case when l_partkey % 6 >= 2 then case l_linenumber when 3 then upper(p_name || ' ' || p_brand)
+    when 5 then substr(p_name || ' ' || p_brand, 1, 2) || substr(p_name || ' ' || p_brand, 4)
+    when 7 then substr(p_name || ' ' || p_brand, 1, 2) || substr(p_name || ' ' || p_brand, 4, 1) || substr(p_name || ' ' || p_brand, 3, 1)
+      || substr(p_name || ' ' || p_brand, 5)
     else p_name || ' ' || p_brand end else 'item ' || cast(l_partkey as varchar) end as item_text,
   case l_partkey % 6 when 0 then cast(l_suppkey % 15 as varchar) when 1 then 'a' when 2 then 'u' when 3 then 'm'
     when 4 then 'p' else 'o' end as kind_text,

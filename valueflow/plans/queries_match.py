@@ -1,9 +1,7 @@
 """Registered matching queries (J-09, J-10, Z-01 … Z-05, W-04).
 
-The similarity scores are computed by the standard-library matcher inside a
-pandas UDF, so Z-* and W-04 have no SQL oracle (rows-only check); their
-exact-name steps (J-09, J-10, ``z01_exact_food``) and the bound that decides
-which pairs are scored (``z05_similarity_bound``) do.
+Their oracles compute the matcher's ratio in SQL (``similarity.ratio_views``),
+over all pairs that the quick bound lets through.
 """
 
 from __future__ import annotations
@@ -14,6 +12,7 @@ from ..operators import matching as Z
 from ..sources.ingest import ingest_receipts
 from .catalog import AS_OF, register
 from .queries_sources import MATCH_SQL
+from .similarity import BRAND_VIEWS, FOOD_TEXTS, FOOD_VIEWS, places_sql
 
 c = F.col
 FOOD_TYPES = ("UNIVERSAL", "MEASURED", "PROCESSED", "OUT_EAT")
@@ -45,9 +44,6 @@ def j10(led):
     return Z.new_entities(_lines(led), led)
 
 
-FOOD_TEXTS = f"(select distinct item_text as query from receipt_lines where food_type in {FOOD_TYPES})"
-
-
 @register("z01_exact_food", f"""select query, 'EXACT' as match_type, kind, id, name from (
   select q.query, f.food_kind as kind, f.id, f.name, row_number() over (partition by q.query
     order by case f.food_kind when 'UNIVERSAL' then 1 when 'MEASURED' then 2 else 3 end, f.id) as rn
@@ -68,33 +64,46 @@ def z05_bound(led):
     return Z.candidate_pairs(_food_queries(led).select("query"), Z.food_masters(led)).select("query", "name", "ub")
 
 
-@register("z05_similarity_join")
+@register("z05_similarity_join", "select query, kind, name, score from food_scored join food_names using (name)", FOOD_VIEWS)
 def z05(led):
     """Every (receipt food text, master, name) pair scoring >= 0.4."""
     return Z.similarity_join(_food_queries(led).select("query"), Z.food_masters(led))
 
 
-@register("w04_top3_candidates")
+@register("w04_top3_candidates", places_sql("food_scored join food_names using (name)"), FOOD_VIEWS)
 def w04(led):
-    masters = Z.food_masters(led)
-    return Z.top_candidates(Z.similarity_join(_food_queries(led).select("query"), masters), masters)
+    return Z.top_candidates(_food_queries(led).select("query").distinct(), Z.food_masters(led))
 
 
-@register("z01_find_food")
+EXACT_FOOD = f"""(select query, kind, id, name from (select q.query, f.food_kind as kind, f.id, f.name, row_number() over (partition by q.query
+    order by case f.food_kind when 'UNIVERSAL' then 1 when 'MEASURED' then 2 else 3 end, f.id) as rn
+  from {FOOD_TEXTS} q join m_foods f on q.query = f.name) e where rn = 1)"""
+
+
+@register("z01_find_food", f"""select query, 'EXACT' as match_type, kind, id, name, 1.0e0 as score, 1::bigint as rank, 1::bigint as slots from {EXACT_FOOD} x
+union all select query, 'FUZZY' as match_type, kind, id, name, score, rank, slots
+from ({places_sql("food_scored join food_names using (name)")}) p where query not in (select name from m_foods)""", FOOD_VIEWS)
 def z01(led):
     return Z.find_food(_food_queries(led), Z.food_masters(led))
 
 
-@register("z02_find_food_candidates")
+@register("z02_find_food_candidates", places_sql("food_scored join food_names using (name)"), FOOD_VIEWS)
 def z02(led):
     return Z.find_food_candidates(_food_queries(led), Z.food_masters(led))
 
 
-@register("z03_find_food_in")
+ASKED = f"(select distinct item_text as query, food_type, case food_type when 'OUT_EAT' then 'PROCESSED' else food_type end as kind from receipt_lines where food_type in {FOOD_TYPES})"
+
+
+@register("z03_find_food_in", f"""select a.query, a.food_type, m.id, m.name, p.score
+from ({places_sql("food_scored join food_names using (name)")}) p join {ASKED} a on a.query = p.query and a.kind = p.kind
+join m_foods m on m.food_kind = p.kind and m.name = p.name""", FOOD_VIEWS)
 def z03(led):
     return Z.find_food_in(_food_queries(led), Z.food_masters(led))
 
 
-@register("z04_match_store")
+@register("z04_match_store", """select distinct l.brand_text, l.branch_text, b.brand_id, b.brand_match, s.branch_id, s.branch_match
+from receipt_lines l left join brand_of b on b.query = l.brand_text left join branch_of s on s.kind = cast(b.brand_id as varchar) and s.query = l.branch_text""",
+          BRAND_VIEWS)
 def z04(led):
     return Z.match_store(_lines(led), led["m_brands"], led["m_store_branches"])

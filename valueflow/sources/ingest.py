@@ -28,8 +28,9 @@ def raw_receipts(star: dict[str, DataFrame]) -> DataFrame:
 
     Store = the transaction's branch (supplier ``o_custkey % 10``) and its
     brand (the supplier's nation); item text = the food master name for food
-    lines.  Some fields carry noise on purpose: a lower-case brand, a
-    shortened branch, an upper-case item, an invalid time, a non-numeric
+    lines.  Some fields carry noise on purpose: a brand in lower case or
+    without a letter, a shortened branch, an item in upper case, without a
+    letter or with two letters swapped, an invalid time, a non-numeric
     price, tax or discount, a negative quantity, an invalid limit date.
     """
     li, o, p = star["lineitem"], star["orders"], star["part"]
@@ -40,17 +41,21 @@ def raw_receipts(star: dict[str, DataFrame]) -> DataFrame:
     j = (li.join(hdr, c("l_orderkey") == c("o_orderkey"))
          .join(p.select("p_partkey", "p_name", "p_brand"), c("l_partkey") == c("p_partkey"), "left"))
     lp, ln, ok = c("l_partkey"), c("l_linenumber"), c("o_orderkey")
-    food_name = F.concat_ws(" ", c("p_name"), c("p_brand"))
+    j = j.withColumn("food_name", F.concat_ws(" ", c("p_name"), c("p_brand")))
+    food_name = c("food_name")
+    without_third = lambda x: F.concat(F.substring(x, 1, 2), F.expr(f"substring({x}, 4)"))
+    swapped = lambda x: F.concat(F.substring(x, 1, 2), F.substring(x, 4, 1), F.substring(x, 3, 1), F.expr(f"substring({x}, 5)"))
     price = F.floor(c("l_extendedprice") / c("l_quantity")).cast("string")
     return j.select(
         c("l_orderkey").alias("receipt_id"),
         F.when(ok % 97 == 0, F.lit("202613011200")).when(ok % 4 == 0, F.date_format("o_orderdate", "yyyyMMdd"))
          .otherwise(F.date_format("o_orderdate", "yyyyMMddHHmm")).alias("at_text"),
         F.when(c("o_orderpriority") == "5-LOW", "n").otherwise("y").alias("public_text"),
-        F.when(ok % 9 == 0, F.lower("n_name")).otherwise(c("n_name")).alias("brand_text"),
+        F.when(ok % 9 == 0, F.lower("n_name")).when(ok % 13 == 0, without_third("n_name")).otherwise(c("n_name")).alias("brand_text"),
         F.when(ok % 11 == 0, F.regexp_replace("s_name", "Supplier#", "Sup ")).otherwise(c("s_name")).alias("branch_text"),
         ln.cast("long").alias("line_no"),
-        F.when(lp % 6 >= 2, F.when(ln == 3, F.upper(food_name)).otherwise(food_name))
+        F.when(lp % 6 >= 2, F.when(ln == 3, F.upper(food_name)).when(ln == 5, without_third("food_name"))
+               .when(ln == 7, swapped("food_name")).otherwise(c("food_name")))
          .otherwise(F.concat(F.lit("item "), lp.cast("string"))).alias("item_text"),
         F.when(lp % 6 == 0, (c("l_suppkey") % 15).cast("string")).when(lp % 6 == 1, "a").when(lp % 6 == 2, "u")
          .when(lp % 6 == 3, "m").when(lp % 6 == 4, "p").otherwise("o").alias("kind_text"),
