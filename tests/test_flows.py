@@ -190,6 +190,70 @@ def test_candidate_pairs_lose_nothing(spark):
             assert m.ratio() < Z.CUTOFF or (q, n) in got, (q, n)
 
 
+@pytest.mark.parametrize("few", [Z.FEW_PAIRS, 0])
+def test_top_three_equal_full_scoring(spark, monkeypatch, few):
+    """All stages, or the last alone: the same places as scoring every pair, at a small part of the scorings."""
+    monkeypatch.setattr(Z, "FEW_PAIRS", few)
+    rng = random.Random(12)
+    words = ["cold", "small", "blue", "widget", "ring", "plate", "bolt", "Brand"]
+    names = [f"{rng.choice(words)} {rng.choice(words)} #{rng.randrange(30)}" for _ in range(220)]
+    masters = [(i, n, ("A", "B")[i % 2]) for i, n in enumerate(names)] + [(900, names[0], "A"), (901, "zz", "B")]
+    typo = lambda n: n[:2] + n[3:] if len(n) % 2 else n[1::-1] + n[2:]
+    queries = [typo(n) for n in names[:40]] + [n.upper() for n in names[40:50]] + names[50:60] + ["", "qqq", "zzz", "#1"]
+    df = spark.createDataFrame([(q,) for q in queries], "query string")
+    seen = []
+    keep = Z.stored
+    monkeypatch.setattr(Z, "stored", lambda t, name: (seen.append((name, keep(t, name))), seen[-1][1])[1])
+    got = {}
+    for r in Z.top_candidates(df, spark.createDataFrame(masters, "id long, name string, kind string")).collect():
+        got.setdefault((r["query"], r["kind"]), []).append((r["rank"], r["name"], r["score"], r["slots"]))
+    total = 0
+    for q in {q for q in queries if q}:
+        for kind in "AB":
+            held = [m[1] for m in masters if m[2] == kind]
+            want = difflib.get_close_matches(q, held, n=3, cutoff=0.4)
+            total += len(held)
+            assert [n for _, n, _, slots in sorted(got.get((q, kind), [])) for _ in range(slots)] == want, (q, kind)
+    if not few:
+        scored = sum(t.agg(F.sum("scored")).first()[0] or 0 for name, t in seen if name == "match-places")
+        assert 0 < scored < 0.25 * total
+
+
+def receipts_of(spark, texts):
+    return spark.createDataFrame([raw(receipt_id=i, line_no=1, brand_text=b, branch_text=s, item_text=item, kind_text=kind) for i, (b, s, item, kind) in enumerate(texts)])
+
+
+def test_purchases_bind_and_register(spark, ledger):
+    """Exact, then fuzzy, then new ids; new branches under new brands; nothing named stays without an id."""
+    ledger["m_brands"] = spark.createDataFrame([(3, "Corner Shop"), (9, "Market")], "id long, name string")
+    ledger["m_store_branches"] = spark.createDataFrame([(1, 3, "North"), (2, 9, "North")], "id long, brand_id long, branch_name string")
+    ledger["m_foods"] = spark.createDataFrame([(4, "rice", "UNIVERSAL"), (5, "rice", "PROCESSED"), (8, "green tea", "PROCESSED")], "id long, name string, food_kind string")
+    ledger["t_transaction_details"] = spark.createDataFrame([(70,)], "id long")
+    texts = [("Corner Shop", "North", "rice", "u"), ("Corner Shp", "Nrth", "rize", "p"), ("Zyx", "North", "green tea", "o"), ("Zyx", None, "kumquat", "m"),
+             ("Abc", "West", "kumquat", "u"), ("Market", "Qqq", "x", "a"), ("", "North", " ", "u"), (None, None, "kumquat", "m")]
+    out = I.record_purchases(receipts_of(spark, texts), ledger, NOON)
+    rows = lambda name, *cols: sorted(tuple(r) for r in out[name].select(*cols).collect())
+    assert rows("m_brands", "id", "name") == [(10, "Abc"), (11, "Zyx")]
+    assert rows("m_store_branches", "id", "brand_id", "branch_name") == [(3, 9, "Qqq"), (4, 10, "West"), (5, 11, "North")]
+    assert rows("m_foods", "id", "name", "food_kind") == [(9, "kumquat", "MEASURED"), (10, "kumquat", "UNIVERSAL")]
+    assert rows("transactions", "receipt_id", "brand_id", "branch_id") == [
+        (0, 3, 1), (1, 3, 1), (2, 11, 5), (3, 11, None), (4, 10, 4), (5, 9, 3), (6, None, None), (7, None, None)]
+    assert [(i, t, f) for i, t, f in rows("details", "id", "transaction_id", "food_id")] == [
+        (71, 0, 4), (72, 1, 5), (73, 2, 8), (74, 3, 9), (75, 4, 10), (76, 5, None), (77, 6, None), (78, 7, 9)]
+    again = I.record_purchases(receipts_of(spark, texts[:1]), ledger, NOON)
+    assert again["m_brands"].count() == again["m_store_branches"].count() == again["m_foods"].count() == 0
+
+
+def test_positions_over_ranges(spark):
+    from valueflow.operators.windows import range_numbered
+
+    rows = [(i % 5, i) for i in range(1000)] + [(3, None)] * 7
+    got = range_numbered(spark.createDataFrame(rows, "a long, b long"), [F.col("a"), F.col("b").asc_nulls_first()], "no").collect()
+    assert sorted(r["no"] for r in got) == list(range(1, 1008))
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["no"])] == sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+    assert range_numbered(spark.createDataFrame([], "a long"), [F.col("a")], "no").count() == 0
+
+
 def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     rows = [(i, i % 3, 10 * (i + 1), None, "R" if i % 2 else None, NOON) for i in range(12)]
     df = spark.createDataFrame(rows, "id long, wallet_id long, amount long, expiry_at timestamp_ntz, usage_restriction string, transaction_at timestamp_ntz")

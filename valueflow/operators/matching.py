@@ -20,7 +20,7 @@ Set-based plan, no all-pairs join:
 4. the exact ratio in Python, by query in order of falling bound.
 
 The top three come from a *threshold algorithm*: steps 2 to 4 run for
-t = 0.8, then 0.6, then 0.4 only for queries with open places, and within a
+t = 0.9, 0.8, 0.4, the later ones only for queries with open places, and within a
 query scoring stops once the bound falls below the third score.  The
 similarity join (all pairs of 0.4) runs them once and scores every pair.
 """
@@ -28,7 +28,9 @@ similarity join (all pairs of 0.4) runs them once and scores every pair.
 from __future__ import annotations
 
 import difflib
+import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -47,7 +49,9 @@ MASTER_ORDER = ["UNIVERSAL", "MEASURED", "PROCESSED"]
 
 
 #: Thresholds of the top-three search, in tenths; the last is the cutoff.
-STAGES = (8, 6, 4)
+STAGES = (9, 8, 4)
+#: Up to so many (query, name) combinations the last stage alone is cheaper.
+FEW_PAIRS = 1 << 18
 
 
 @F.pandas_udf(T.DoubleType())
@@ -90,11 +94,12 @@ def _ordered(occ: DataFrame, freq: DataFrame) -> DataFrame:
     return ranked.select("s", F.length("s").alias("length"), F.transform("ranked", lambda x: x["no"]).alias("occ"))
 
 
-def _indexed(queries: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The ordered occurrences of both sides, with one order for all; stored, as every stage reads them."""
+def _indexed(queries: DataFrame, names: DataFrame, keep: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The ordered occurrences of both sides, with one order for all; stored if several stages read them."""
     occ_n = _occurrences(names)
     freq = occ_n.groupBy("ch", "k").agg(F.count(F.lit(1)).alias("df"))
-    return stored(_ordered(_occurrences(queries), freq), "match-queries"), stored(_ordered(occ_n, freq), "match-names")
+    both = _ordered(_occurrences(queries), freq), _ordered(occ_n, freq)
+    return (stored(both[0], "match-queries"), stored(both[1], "match-names")) if keep else both
 
 
 def _needed(length: Column, tenths: int) -> Column:
@@ -104,29 +109,28 @@ def _needed(length: Column, tenths: int) -> Column:
 
 def _pairs(iq: DataFrame, i_n: DataFrame, tenths: int, blocks: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query, name, ub): all pairs whose quick bound reaches the threshold; with ``blocks`` (query, block) and
-    (name, block) only those that share a block, which comes out too."""
+    (name, block) only those that share a block, which comes out too.
+
+    A pair is kept where its first common occurrence meets; nothing is common before, so what may follow bounds it.
+    """
     by = ["block"] if blocks else []
 
     def side(index: DataFrame, what: str, block: DataFrame | None) -> DataFrame:
-        rows = index.select(c("s").alias(what), c("length").alias(f"l_{what}"), "occ")
+        rows = index.select(c("s").alias(what), c("length").alias(f"l_{what}"), c("occ").alias(f"o_{what}"))
         rows = rows.join(block, what) if block is not None else rows
-        prefix = F.slice("occ", 1, (c(f"l_{what}") - _needed(c(f"l_{what}"), tenths) + 1).cast("int"))
-        return rows.select(what, f"l_{what}", *by, F.posexplode(prefix).alias(f"p_{what}", "no"))
+        prefix = F.slice(f"o_{what}", 1, (c(f"l_{what}") - _needed(c(f"l_{what}"), tenths) + 1).cast("int"))
+        return rows.select(what, f"l_{what}", f"o_{what}", *by, F.posexplode(prefix).alias(f"p_{what}", "no"))
 
-    lq, ln, i, j = c("l_query"), c("l_name"), c("p_query") + 1, c("p_name") + 1
+    lq, ln = c("l_query"), c("l_name")
     least = F.ceil(F.lit(tenths) * (lq + ln) / F.lit(20))
     in_reach = (lq * tenths <= ln * (20 - tenths)) & (ln * tenths <= lq * (20 - tenths))
-    placed = F.least(i, j) + F.least(lq - i, ln - j) >= least
-    met = side(iq, "query", blocks[0] if blocks else None).join(side(i_n, "name", blocks[1] if blocks else None), [*by, "no"])
-    found = met.filter(in_reach & placed).groupBy("query", "name", *by).agg(
-        F.count(F.lit(1)).alias("shared"), F.first("l_query").alias("l_query"), F.first("l_name").alias("l_name"))
-    # with one order for all, the prefix that ends first holds all its matches in the other's prefix
-    rest = F.greatest(_needed(lq, tenths), _needed(ln, tenths)) - 1
-    found = found.filter(c("shared") + rest >= least).drop("shared")
-    whole = found.join(iq.select(c("s").alias("query"), c("occ").alias("q_occ")), "query").join(
-        i_n.select(c("s").alias("name"), c("occ").alias("n_occ")), "name")
-    ub = F.lit(2.0) * F.size(F.array_intersect("q_occ", "n_occ")) / (lq + ln)
-    return whole.select("query", "name", *by, ub.alias("ub")).filter(c("ub") >= F.lit(tenths / 10))
+    enough = F.least(lq - c("p_query"), ln - c("p_name")) >= least
+    parts = int(iq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = side(iq, "query", blocks[0] if blocks else None).repartition(parts, "query", "no")  # by work: rows are few and small
+    met = asked.join(side(i_n, "name", blocks[1] if blocks else None), [*by, "no"]).filter(in_reach & enough)
+    met = met.withColumn("common", F.array_intersect("o_query", "o_name")).filter(F.get("common", F.lit(0)) == c("no"))
+    ub = F.lit(2.0) * F.size("common") / (lq + ln)
+    return met.select("query", "name", *by, ub.alias("ub")).filter(c("ub") >= F.lit(tenths / 10))
 
 
 def candidate_pairs(queries: DataFrame, names: DataFrame, block: str | None = None) -> DataFrame:
@@ -180,28 +184,29 @@ class _Best:
         places = self.kinds.get(kind, ())
         return places[-1][0] if sum(p[2] for p in places) >= self.n else None
 
-    def wants(self, ub: float, kinds: list[dict]) -> bool:
-        return any(last is None or ub >= last for last in (self.third(k["kind"]) for k in kinds))
+    def wants(self, ub: float, kinds: dict[str, int]) -> bool:
+        return any(last is None or ub >= last for last in map(self.third, kinds))
 
-    def add(self, score: float, name: str, kinds: list[dict]) -> None:
-        for k in kinds:
-            places = sorted([*self.kinds.get(k["kind"], ()), (score, name, k["copies"])], reverse=True)
+    def add(self, score: float, name: str, kinds: dict[str, int]) -> None:
+        for kind, copies in kinds.items():
+            places = sorted([*self.kinds.get(kind, ()), (score, name, copies)], reverse=True)
             while sum(p[2] for p in places[:-1]) >= self.n:
                 places.pop()
-            self.kinds[k["kind"]] = places
+            self.kinds[kind] = places
 
 
 _PLACES = "query string, block string, kind string, name string, score double, scored long, closed boolean"
 
 
 def _best_of(pairs: DataFrame, tenths: int, n: int, all_kinds: int) -> DataFrame:
-    """The best places of every (query, block) at or above the threshold, from pairs with ``ub`` and ``kinds``.
+    """The best places of every (query, block) at or above the threshold, from pairs with ``ub`` and ``kinds`` (JSON: copies by kind).
 
     ``closed`` marks those whose every kind has all its places taken; ``scored`` counts the pairs that were scored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, key, best = difflib.SequenceMatcher(), None, _Best(n)
         columns: list[list] = [[] for _ in range(7)]
+        read = lru_cache(4096)(json.loads)
 
         def close() -> None:
             closed = len(best.kinds) == all_kinds and all(best.third(k) is not None for k in best.kinds)
@@ -224,6 +229,7 @@ def _best_of(pairs: DataFrame, tenths: int, n: int, all_kinds: int) -> DataFrame
                         close()
                     key, best = (query, block), _Best(n)
                     matcher.set_seq2(query)
+                kinds = read(kinds)
                 if best.wants(ub, kinds):
                     matcher.set_seq1(name)
                     score = matcher.ratio()
@@ -253,24 +259,30 @@ def top_candidates(queries: DataFrame, masters: DataFrame, n: int = TOP_N) -> Da
     names = masters.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"))
     block = c("kind").cast("string") if one else F.lit("")
     held = names.withColumn("block", block).groupBy("name", "block").agg(
-        F.collect_list(F.struct(c("kind").cast("string").alias("kind"), c("copies").cast("long").alias("copies"))).alias("kinds"))
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c("kind").cast("string"), c("copies")))))).alias("kinds"))
     asked = stored(queries.filter(c("query") != "").select("query", block.alias("block")).distinct(), "match-asked")
-    all_kinds = 1 if one else masters.select("kind").distinct().count()
-    iq, i_n = _indexed(asked.select(c("query").alias("s")), names.select(c("name").alias("s")))
+    texts, listed = asked.select(c("query").alias("s")), names.select(c("name").alias("s"))
+    rows, all_kinds = masters.agg(F.count(F.lit(1)), F.lit(1) if one else F.count_distinct("kind")).first()
+    few = asked.count() * rows <= FEW_PAIRS
+    iq, i_n = _indexed(texts, listed, keep=not few)
+
+    def stage(tenths: int, still: DataFrame, index: DataFrame) -> DataFrame:
+        pairs = _pairs(index, i_n, tenths, (still, held.select("name", "block")) if one else None)
+        pairs = pairs if one else pairs.withColumn("block", F.lit(""))
+        return _best_of(pairs.join(held, ["name", "block"]), tenths, n, all_kinds)
+
     done = []
-    for tenths in STAGES:
+    for tenths in () if few else STAGES:
         still = asked
         for table in done:
             still = still.join(table.filter("closed").select("query", "block").distinct(), ["query", "block"], "left_anti")
         if done and still.isEmpty():
             break
         index = iq.join(still.select(c("query").alias("s")), "s", "left_semi") if done else iq
-        pairs = _pairs(index, i_n, tenths, (still, held.select("name", "block")) if one else None)
-        pairs = pairs if one else pairs.withColumn("block", F.lit(""))
-        done.append(stored(_best_of(pairs.join(held, ["name", "block"]), tenths, n, all_kinds), "match-places"))
-    places = done[0].filter("closed") if len(done) > 1 else done[0]
-    for table in done[1:]:
-        places = places.unionByName(table if table is done[-1] else table.filter("closed"))
+        done.append(stored(stage(tenths, still, index), "match-places"))
+    places = stage(STAGES[-1], asked, iq) if few else done[-1]  # what the last stage finds is final
+    for table in done[:-1]:
+        places = places.unionByName(table.filter("closed"))
     s = places.select("query", c("kind").alias("k"), c("name").alias("held"), "score").join(
         names, (c("k") == c("kind").cast("string")) & (c("held") == c("name"))).drop("k", "held")
     w = Window.partitionBy("query", "kind").orderBy(c("score").desc(), c("name").desc())  # over the few places of a query
@@ -285,6 +297,11 @@ def _kind_rank(kind_col):
     return F.array_position(F.array(*[F.lit(k) for k in MASTER_ORDER]), kind_col)
 
 
+def kind_of(food_type: Column) -> Column:
+    """The master that a line's type names: its own, the processed one for eating out; NULL for other lines."""
+    return F.when(food_type == "OUT_EAT", F.lit("PROCESSED")).when(food_type.isin(*MASTER_ORDER), food_type)
+
+
 def food_masters(led) -> DataFrame:
     return led["m_foods"].select("id", "name", c("food_kind").alias("kind"))
 
@@ -301,8 +318,9 @@ def exact_food(queries: DataFrame, masters: DataFrame) -> DataFrame:
 
 def find_food(queries: DataFrame, masters: DataFrame) -> DataFrame:
     """Exact hit, else up to 3 candidates from each master."""
+    queries = stored(queries.select("query").distinct(), "match-texts")
     exact = exact_food(queries, masters)
-    rest = queries.select("query").distinct().join(exact.select("query"), "query", "left_anti")
+    rest = queries.join(exact.select("query"), "query", "left_anti")
     fuzzy = top_candidates(rest, masters).select(
         "query", F.lit("FUZZY").alias("match_type"), "kind", "id", "name", "score", "rank", "slots")
     return exact.unionByName(fuzzy)
@@ -335,14 +353,14 @@ def match_store(requests: DataFrame, brands: DataFrame, branches: DataFrame) ->
     For a fuzzy brand the best candidate (rank 1) is taken, the batch
     stand-in for the interactive pick.
     """
-    req = requests.select(c("brand_text"), c("branch_text")).distinct()
+    req = stored(requests.select(c("brand_text"), c("branch_text")).distinct(), "match-stores")
     bm = brands.select("id", "name", F.lit("BRAND").alias("kind"))
     bq = req.select(c("brand_text").alias("query")).distinct()
     exact_b = bq.join(bm, bq["query"] == bm["name"]).groupBy("query").agg(F.min("id").alias("brand_id"))
     fuzzy_b = (top_candidates(bq.join(exact_b, "query", "left_anti"), bm)
                .filter(c("rank") == 1).select("query", c("id").alias("brand_id")))
-    brand_of = exact_b.select("query", "brand_id", F.lit("EXACT").alias("brand_match")).unionByName(
-        fuzzy_b.withColumn("brand_match", F.lit("FUZZY")))
+    brand_of = stored(exact_b.select("query", "brand_id", F.lit("EXACT").alias("brand_match")).unionByName(
+        fuzzy_b.withColumn("brand_match", F.lit("FUZZY"))), "match-brands")
     r = req.join(brand_of, req["brand_text"] == brand_of["query"], "left").drop("query")
     # branch within brand: the brand's id is the master's kind
     br = branches.select("id", c("branch_name").alias("name"), c("brand_id").cast("string").alias("kind"))

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 _BUCKET = "__bucket"
 
 
@@ -71,3 +73,22 @@ def bucketed_row_number(df: DataFrame, keys: list[str], bucket_col: Column, orde
     return (joined.select("__l.*", F.col("__o.__before"))
             .withColumn(out_col, (F.col("__before") + F.col("__rn")).cast("long"))
             .drop("__before", "__rn", _BUCKET))
+
+
+def range_numbered(df: DataFrame, order: list[Column], out_col: str) -> DataFrame:
+    """1-based position of every row in one order over the whole table.
+
+    Rows are dealt into ranges of the order (Spark samples the bounds, so a
+    value that fills much of the table is split by the columns after it),
+    sorted and stored; a range's rows are offset by the rows of the ranges
+    before it.  The only window over all runs over a row per range.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    rows = stored(ranged, "numbered")
+    # the upper bits of the generated id are the range, the lower 33 the place in it
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy(part.alias("__range")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(counts.select("__range", before.alias("__before")))
+    return (rows.withColumn("__range", part).join(offsets, "__range")
+            .withColumn(out_col, (F.col("__before") + place + 1).cast("long")).drop("__at", "__range", "__before"))

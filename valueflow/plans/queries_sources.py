@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import ingest as I
 from ..sources.ledger import Ledger
 from .catalog import AS_OF, register
+from .similarity import BRAND_VIEWS, places_sql, ratio_views
 
 c = F.col
 
@@ -107,31 +108,76 @@ MATCH_SQL = """(select l.*, b.brand_id, sb.branch_id, f.food_id
     and f.name = l.item_text)"""
 
 
-@register("r09_record_purchases", f"""select receipt_id, min(transaction_at) as transaction_at, min(is_public) as is_public,
+NEW_BRANDS = """(select (select coalesce(max(id), 0) from m_brands) + row_number() over (order by name) as id, name
+  from (select distinct brand_text as name from receipt_lines where trim(brand_text) <> '' and brand_text not in (select query from brand_of)) x)"""
+STORES = f"""(select l.brand_text, l.branch_text, coalesce(b.brand_id, n.id) as brand_id, s.branch_id
+  from (select distinct brand_text, branch_text from receipt_lines where trim(brand_text) <> '') l
+  left join brand_of b on b.query = l.brand_text left join {NEW_BRANDS} n on n.name = l.brand_text
+  left join branch_of s on s.kind = cast(b.brand_id as varchar) and s.query = l.branch_text)"""
+NEW_BRANCHES = f"""(select (select coalesce(max(id), 0) from m_store_branches) + row_number() over (order by brand_id, branch_name) as id, brand_id, branch_name
+  from (select distinct brand_id, branch_text as branch_name from {STORES} s where branch_id is null and trim(branch_text) <> '') x)"""
+BOUND_VIEWS = [*BRAND_VIEWS, ("bound_stores", f"""select s.brand_text, s.branch_text, s.brand_id, coalesce(s.branch_id, n.id) as branch_id
+from {STORES} s left join {NEW_BRANCHES} n on n.brand_id = s.brand_id and n.branch_name = s.branch_text""")]
+
+
+@register("r09_new_brands", f"select * from {NEW_BRANDS} n", BRAND_VIEWS)
+def r09_brands(led):
+    """Brands that a batch adds: no exact and no fuzzy hit."""
+    return I.record_purchases(led["raw_receipts"], led, AS_OF)["m_brands"]
+
+
+@register("r09_new_branches", f"select * from {NEW_BRANCHES} n", BRAND_VIEWS)
+def r09_branches(led):
+    """Branches that a batch adds, under old and new brands."""
+    return I.record_purchases(led["raw_receipts"], led, AS_OF)["m_store_branches"]
+
+
+@register("r09_record_purchases", """select receipt_id, min(transaction_at) as transaction_at, min(is_public) as is_public,
   min(brand_id) as brand_id, min(branch_id) as branch_id,
   cast(sum(case when x >= 0 then floor(x) else ceil(x) end) as bigint) as total_amount_jpy, count(*) as n_lines
-from (select *, greatest(unit_price * quantity - discount_amount, 0.0e0) * (1.0e0 + tax_rate) as x from {MATCH_SQL} m) y
-group by receipt_id""")
+from (select l.*, s.brand_id, s.branch_id, greatest(unit_price * quantity - discount_amount, 0.0e0) * (1.0e0 + tax_rate) as x
+  from receipt_lines l left join bound_stores s on s.brand_text = l.brand_text and s.branch_text is not distinct from l.branch_text) y
+group by receipt_id""", BOUND_VIEWS)
 def r09(led):
     return I.record_purchases(led["raw_receipts"], led, AS_OF)["transactions"]
 
 
-DETAILS_SQL = f"""(select (select coalesce(max(id), 0) from t_transaction_details) + row_number() over (order by receipt_id nulls first,
+BIND_VIEWS = [
+    ("bind_asked", """select distinct item_text as query, case food_type when 'OUT_EAT' then 'PROCESSED' else food_type end as kind
+from receipt_lines where food_type in ('UNIVERSAL','MEASURED','PROCESSED','OUT_EAT') and trim(item_text) <> ''"""),
+    ("bind_names", "select food_kind as kind, name, count(*) as copies, min(id) as id from m_foods group by food_kind, name"),
+    *ratio_views("bind", "(select a.* from bind_asked a anti join bind_names n on n.kind = a.kind and n.name = a.query)", "bind_names", "n.kind = q.kind", "q.kind"),
+    ("bind_places", places_sql("bind_scored join bind_names using (kind, name)")),
+    ("bind_found", """select a.query, a.kind, n.id as food_id from bind_asked a join bind_names n on n.kind = a.kind and n.name = a.query
+union all select query, kind, id from bind_places where rank = 1"""),
+    ("bind_new", """select (select coalesce(max(id), 0) from m_foods) + row_number() over (order by food_kind, name) as id, name, food_kind
+from (select query as name, kind as food_kind from bind_asked a anti join bind_found f using (query, kind)) x"""),
+    ("bind_foods", "select query, kind, food_id from bind_found union all select name, food_kind, id from bind_new"),
+]
+
+
+@register("r09_new_foods", "select * from bind_new", BIND_VIEWS)
+def r09_foods(led):
+    """Foods that a batch adds, each to the master that its line names."""
+    return I.record_purchases(led["raw_receipts"], led, AS_OF)["m_foods"]
+
+
+NUMBERED_SQL = """(select *, (select coalesce(max(id), 0) from t_transaction_details) + row_number() over (order by receipt_id nulls first,
     line_no nulls first, item_text nulls first, food_type nulls first, category_id nulls first, unit_price nulls first,
     quantity nulls first, tax_rate nulls first, discount_amount nulls first, destination nulls first, limit_date nulls first,
-    limit_type nulls first) as id,
-  receipt_id as transaction_id, line_no, category_id, food_type, food_id, item_text as item_name_receipt,
-  cast(unit_price as double) as unit_price_ex_tax, quantity, tax_rate, discount_amount, destination, limit_date, limit_type,
-  transaction_at from {MATCH_SQL} m)"""
+    limit_type nulls first) as id from receipt_lines)"""
 
 
-@register("r09_purchase_details", f"select * exclude (transaction_at) from {DETAILS_SQL} d")
+@register("r09_purchase_details", f"""select id, receipt_id as transaction_id, line_no, category_id, food_type, food_id, item_text as item_name_receipt,
+  cast(unit_price as double) as unit_price_ex_tax, quantity, tax_rate, discount_amount, destination, limit_date, limit_type
+from {NUMBERED_SQL} l left join bind_foods f on f.query = l.item_text
+  and f.kind = case l.food_type when 'OUT_EAT' then 'PROCESSED' else l.food_type end""", BIND_VIEWS)
 def r09_details(led):
     return I.record_purchases(led["raw_receipts"], led, AS_OF)["details"]
 
 
 @register("r09_purchase_lots", f"""select id, id as detail_id, quantity as current_quantity, transaction_at as updated_at
-from {DETAILS_SQL} d where destination in ('FRIDGE','FREEZER','PANTRY')""")
+from {NUMBERED_SQL} d where destination in ('FRIDGE','FREEZER','PANTRY')""")
 def r09_lots(led):
     return I.record_purchases(led["raw_receipts"], led, AS_OF)["lots"]
 

@@ -9,19 +9,17 @@ and bad rows go to a reject DataFrame instead of a re-prompt.
 from __future__ import annotations
 
 import uuid
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from .schema import FOOD_KINDS, STOCK_PLACES
 
 c = F.col
 
-# Receipt ids whose lines are numbered together in one task.
-RECEIPT_RANGE = 1 << 14
-
 
 def raw_receipts(star: dict[str, DataFrame]) -> DataFrame:
     """Raw receipt lines (all text) derived from the star tables.
@@ -37,24 +35,24 @@ def raw_receipts(star: dict[str, DataFrame]) -> DataFrame:
     sup, nat = star["supplier"], star["nation"]
     store = sup.join(nat, c("s_nationkey") == c("n_nationkey")).select(
         c("s_suppkey").alias("__store"), "s_name", "n_name")
-    hdr = o.withColumn("__store", c("o_custkey") % 10).join(store, "__store", "left")
-    j = (li.join(hdr, c("l_orderkey") == c("o_orderkey"))
-         .join(p.select("p_partkey", "p_name", "p_brand"), c("l_partkey") == c("p_partkey"), "left"))
     lp, ln, ok = c("l_partkey"), c("l_linenumber"), c("o_orderkey")
-    j = j.withColumn("food_name", F.concat_ws(" ", c("p_name"), c("p_brand")))
-    food_name = c("food_name")
     without_third = lambda x: F.concat(F.substring(x, 1, 2), F.expr(f"substring({x}, 4)"))
     swapped = lambda x: F.concat(F.substring(x, 1, 2), F.substring(x, 4, 1), F.substring(x, 3, 1), F.expr(f"substring({x}, 5)"))
-    price = F.floor(c("l_extendedprice") / c("l_quantity")).cast("string")
-    return j.select(
-        c("l_orderkey").alias("receipt_id"),
+    hdr = o.withColumn("__store", c("o_custkey") % 10).join(store, "__store", "left").select(
+        "o_orderkey",
         F.when(ok % 97 == 0, F.lit("202613011200")).when(ok % 4 == 0, F.date_format("o_orderdate", "yyyyMMdd"))
          .otherwise(F.date_format("o_orderdate", "yyyyMMddHHmm")).alias("at_text"),
         F.when(c("o_orderpriority") == "5-LOW", "n").otherwise("y").alias("public_text"),
         F.when(ok % 9 == 0, F.lower("n_name")).when(ok % 13 == 0, without_third("n_name")).otherwise(c("n_name")).alias("brand_text"),
-        F.when(ok % 11 == 0, F.regexp_replace("s_name", "Supplier#", "Sup ")).otherwise(c("s_name")).alias("branch_text"),
+        F.when(ok % 11 == 0, F.regexp_replace("s_name", "Supplier#", "Sup ")).otherwise(c("s_name")).alias("branch_text"))
+    j = (li.join(hdr, c("l_orderkey") == c("o_orderkey"))
+         .join(p.select("p_partkey", F.concat_ws(" ", c("p_name"), c("p_brand")).alias("food_name")), c("l_partkey") == c("p_partkey"), "left"))
+    price = F.floor(c("l_extendedprice") / c("l_quantity")).cast("string")
+    return j.select(
+        c("l_orderkey").alias("receipt_id"),
+        "at_text", "public_text", "brand_text", "branch_text",
         ln.cast("long").alias("line_no"),
-        F.when(lp % 6 >= 2, F.when(ln == 3, F.upper(food_name)).when(ln == 5, without_third("food_name"))
+        F.when(lp % 6 >= 2, F.when(ln == 3, F.upper("food_name")).when(ln == 5, without_third("food_name"))
                .when(ln == 7, swapped("food_name")).otherwise(c("food_name")))
          .otherwise(F.concat(F.lit("item "), lp.cast("string"))).alias("item_text"),
         F.when(lp % 6 == 0, (c("l_suppkey") % 15).cast("string")).when(lp % 6 == 1, "a").when(lp % 6 == 2, "u")
@@ -87,37 +85,37 @@ def ingest_receipts(raw: DataFrame, as_of) -> dict[str, DataFrame]:
     A text that is given and cannot be read rejects the line; the reason names
     the first such field.
     """
-    k = F.lower(F.trim(c("kind_text")))
-    is_digits = k.rlike("^[0-9]+$")
-    food_type = F.when(is_digits, F.lit("NONE")).otherwise(S.label(k, S.KIND_LETTERS, "NONE"))
-    is_public = F.coalesce(F.lower(F.trim(c("public_text"))) != "n", F.lit(True))
-    pt = S.normalize_digits(c("price_text"))
-    price = F.when(pt.rlike("^-?[0-9]+$"), pt.try_cast("long"))
     given = lambda col: F.coalesce(F.trim(c(col)) != "", F.lit(False))
     number = lambda col: S.normalize_digits(c(col)).try_cast("double")
-    time, qty, tax, discount = S.parse_yyyymmddhhmm("at_text"), number("qty_text"), number("tax_text"), number("discount_text")
-    dest = F.when(food_type.isin(*FOOD_KINDS), S.label(F.trim(c("dest_text")), S.DEST_DIGITS, "EAT_NOW")) \
-        .otherwise(F.lit("EAT_NOW"))
-    limit = F.when(dest.isin(*STOCK_PLACES) & given("limit_text"), S.parse_yyyymmdd("limit_text"))
-    reason = (F.when(given("at_text") & time.isNull(), F.lit("BAD_TIME"))
-              .when(price.isNull(), F.lit("BAD_PRICE"))
-              .when(qty.isNull() | (qty < 0), F.lit("BAD_QUANTITY"))
-              .when(given("tax_text") & (tax.isNull() | (tax < 0)), F.lit("BAD_TAX"))
-              .when(given("discount_text") & (discount.isNull() | (discount < 0)), F.lit("BAD_DISCOUNT")))
-    typed = raw.select(
-        "receipt_id", "line_no",
-        F.coalesce(time, S.ts_lit(as_of)).alias("transaction_at"),
-        is_public.alias("is_public"), "brand_text", "branch_text", "item_text",
-        food_type.alias("food_type"),
-        F.when(is_digits, k.try_cast("long")).alias("category_id"),
-        price.alias("unit_price"), qty.alias("quantity"),
-        F.coalesce(tax, S.default_tax_rate(is_public, food_type)).alias("tax_rate"),
-        F.coalesce(discount, F.lit(0.0)).alias("discount_amount"),
-        dest.alias("destination"),
-        limit.alias("limit_date"),
-        F.when(limit.isNotNull(), F.when(F.trim(c("limit_kind_text")) == "2", "BEST_BEFORE").otherwise("CONSUMPTION"))
-         .alias("limit_type"),
+    # each field is read once, in a projection of its own; the decisions only name what was read
+    read = raw.select(
+        "receipt_id", "line_no", "brand_text", "branch_text", "item_text", F.trim(c("dest_text")).alias("dest"),
+        F.trim(c("limit_kind_text")).alias("limit_kind"), F.lower(F.trim(c("kind_text"))).alias("kind"),
+        S.parse_yyyymmddhhmm("at_text").alias("time"), given("at_text").alias("has_time"),
+        F.coalesce(F.lower(F.trim(c("public_text"))) != "n", F.lit(True)).alias("is_public"),
+        S.normalize_digits(c("price_text")).alias("price_digits"), number("qty_text").alias("quantity"),
+        number("tax_text").alias("tax"), given("tax_text").alias("has_tax"),
+        number("discount_text").alias("discount"), given("discount_text").alias("has_discount"),
+        F.when(given("limit_text"), S.parse_yyyymmdd("limit_text")).alias("limit"))
+    is_digits = c("kind").rlike("^[0-9]+$")
+    read = read.select("*", F.when(is_digits, F.lit("NONE")).otherwise(S.label(c("kind"), S.KIND_LETTERS, "NONE")).alias("food_type"),
+                       F.when(is_digits, c("kind").try_cast("long")).alias("category_id"),
+                       F.when(c("price_digits").rlike("^-?[0-9]+$"), c("price_digits").try_cast("long")).alias("unit_price"))
+    read = read.withColumn("destination", F.when(c("food_type").isin(*FOOD_KINDS), S.label(c("dest"), S.DEST_DIGITS, "EAT_NOW")).otherwise(F.lit("EAT_NOW")))
+    read = read.withColumn("limit_date", F.when(c("destination").isin(*STOCK_PLACES), c("limit")))
+    reason = (F.when(c("has_time") & c("time").isNull(), F.lit("BAD_TIME"))
+              .when(c("unit_price").isNull(), F.lit("BAD_PRICE"))
+              .when(c("quantity").isNull() | (c("quantity") < 0), F.lit("BAD_QUANTITY"))
+              .when(c("has_tax") & (c("tax").isNull() | (c("tax") < 0)), F.lit("BAD_TAX"))
+              .when(c("has_discount") & (c("discount").isNull() | (c("discount") < 0)), F.lit("BAD_DISCOUNT")))
+    typed = read.select(
+        "receipt_id", "line_no", F.coalesce(c("time"), S.ts_lit(as_of)).alias("transaction_at"), "is_public",
+        "brand_text", "branch_text", "item_text", "food_type", "category_id", "unit_price", "quantity",
+        F.coalesce(c("tax"), S.default_tax_rate(c("is_public"), c("food_type"))).alias("tax_rate"),
+        F.coalesce(c("discount"), F.lit(0.0)).alias("discount_amount"), "destination", "limit_date",
+        F.when(c("limit_date").isNotNull(), F.when(c("limit_kind") == "2", "BEST_BEFORE").otherwise("CONSUMPTION")).alias("limit_type"),
         reason.alias("reject_reason"))
+    typed = stored(typed, "receipt-lines")  # else every use would parse again, and a filter on the reason repeat each parse
     return {"lines": typed.filter(c("reject_reason").isNull()).drop("reject_reason"),
             "rejects": typed.filter(c("reject_reason").isNotNull())}
 
@@ -151,38 +149,134 @@ def ingest_consumption(raw: DataFrame, as_of) -> dict[str, DataFrame]:
 
 
 # R-09
-def record_purchases(raw: DataFrame, led, as_of) -> dict[str, DataFrame]:
-    """Batch of raw receipts -> transactions (with checkout totals), details and lots.
-
-    Stores and foods are bound by exact name (J-09); names without a hit
-    are what J-10 would register.  One shuffle per receipt for the totals.
-    Details are numbered on from the largest id in use, by receipt, line and
-    content: (receipt, line) need not be unique, and places within ranges of
-    the receipt id, offset by the ranges before, are.
+def _named(col: str) -> Column:
+    return F.coalesce(F.trim(c(col)) != "", F.lit(False))
+
+
+def _following(new: DataFrame, order: list[str], table: DataFrame) -> DataFrame:
+    """The rows with ``id``: numbered on from the largest id of ``table``, in this order."""
+    from ..operators.windows import range_numbered
+
+    last = table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return range_numbered(new, [c(x).asc_nulls_first() for x in order], "__no").select((F.lit(last) + c("__no")).cast("long").alias("id"), *new.columns)
+
+
+class Purchases:
+    """A batch of raw receipts, bound to the masters and recorded (R-09).
+
+    The batch is parsed once and stored.  Every other table
+    is worked out when it is first asked for, by name (``batch["details"]``):
+
+    * ``transactions`` (with checkout totals), ``details``, ``lots``;
+    * ``m_brands``, ``m_store_branches``, ``m_foods``: rows to add to the masters.
+
+    An exact name binds first, then the best candidate of the fuzzy lookup
+    (Z-04 for stores; for foods the master that the line's type names).  What
+    is left is new and numbered on from the largest id in use: brands,
+    branches under old and new brands, foods in their kind's master.  A blank
+    text names nothing.  All lookups work on distinct texts.
     """
-    from ..operators.matching import existing_entity_match
-    from ..operators.windows import bucketed_row_number
-
-    lines = ingest_receipts(raw, as_of)["lines"]
-    m = existing_entity_match(lines, led)
-    gross = S.line_gross("unit_price", "quantity", "tax_rate", "discount_amount")
-    tx = m.groupBy("receipt_id").agg(
-        F.min("transaction_at").alias("transaction_at"), F.min("is_public").alias("is_public"),
-        F.min("brand_id").alias("brand_id"), F.min("branch_id").alias("branch_id"),
-        F.sum(gross).cast("long").alias("total_amount_jpy"), F.count(F.lit(1)).alias("n_lines"))
-    content = ["receipt_id", "line_no", "item_text", "food_type", "category_id", "unit_price", "quantity", "tax_rate",
-               "discount_amount", "destination", "limit_date", "limit_type"]
-    numbered = bucketed_row_number(m.withColumn("__all", F.lit(0)), ["__all"], F.floor(c("receipt_id") / F.lit(RECEIPT_RANGE)),
-                                   [c(x).asc_nulls_first() for x in content], "__no")
-    last = led["t_transaction_details"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"), F.lit(0).alias("__all"))
-    details = numbered.join(last, "__all").select(
-        (c("__last") + c("__no")).cast("long").alias("id"), c("receipt_id").alias("transaction_id"), "line_no",
-        "category_id", "food_type", "food_id", c("item_text").alias("item_name_receipt"),
-        c("unit_price").cast("double").alias("unit_price_ex_tax"), "quantity", "tax_rate",
-        "discount_amount", "destination", "limit_date", "limit_type", "transaction_at")
-    lots = details.filter(c("destination").isin(*STOCK_PLACES)).select(
-        c("id"), c("id").alias("detail_id"), c("quantity").alias("current_quantity"), c("transaction_at").alias("updated_at"))
-    return {"transactions": tx, "details": details.drop("transaction_at"), "lots": lots}
+
+    def __init__(self, raw: DataFrame, led, as_of):
+        self.led = led
+        self.lines = ingest_receipts(raw, as_of)["lines"]
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)
+
+    @cached_property
+    def _matched(self) -> DataFrame:
+        from ..operators.matching import match_store
+
+        texts = self.lines.filter(_named("brand_text")).select("brand_text", "branch_text").distinct()
+        return stored(match_store(texts, self.led["m_brands"], self.led["m_store_branches"]), "stores")
+
+    @cached_property
+    def m_brands(self) -> DataFrame:
+        new = self._matched.filter(c("brand_id").isNull()).select(c("brand_text").alias("name")).distinct()
+        return stored(_following(new, ["name"], self.led["m_brands"]), "new-brands")
+
+    @cached_property
+    def _placed(self) -> DataFrame:
+        new = self.m_brands.select(c("name").alias("brand_text"), c("id").alias("new_id"))
+        return self._matched.join(new, "brand_text", "left").withColumn("brand_id", F.coalesce("brand_id", "new_id")).drop("new_id")
+
+    @cached_property
+    def m_store_branches(self) -> DataFrame:
+        new = self._placed.filter(c("branch_id").isNull() & _named("branch_text")).select("brand_id", c("branch_text").alias("branch_name")).distinct()
+        return stored(_following(new, ["brand_id", "branch_name"], self.led["m_store_branches"]), "new-branches")
+
+    @cached_property
+    def stores(self) -> DataFrame:
+        """(brand_text, branch_text, brand_id, branch_id) of every store that the lines name."""
+        new = self.m_store_branches.select("brand_id", c("branch_name").alias("branch_text"), c("id").alias("new_id"))
+        return self._placed.join(new, ["brand_id", "branch_text"], "left").select(
+            "brand_text", "branch_text", "brand_id", F.coalesce("branch_id", "new_id").alias("branch_id"))
+
+    @cached_property
+    def _asked(self) -> DataFrame:
+        from ..operators.matching import kind_of
+
+        kind = kind_of(c("food_type"))
+        return stored(self.lines.filter(kind.isNotNull() & _named("item_text")).select(c("item_text").alias("query"), kind.alias("kind")).distinct(), "foods-asked")
+
+    @cached_property
+    def _found(self) -> DataFrame:
+        from ..operators.matching import food_masters, top_candidates
+
+        masters = food_masters(self.led)
+        names = masters.groupBy(c("name").alias("query"), "kind").agg(F.min("id").alias("food_id"))
+        exact = stored(self._asked.join(names, ["query", "kind"]), "foods-exact")
+        best = top_candidates(self._asked.join(exact, ["query", "kind"], "left_anti"), masters).filter(c("rank") == 1)
+        return stored(exact.unionByName(best.select("query", "kind", c("id").alias("food_id"))), "foods-found")
+
+    @cached_property
+    def m_foods(self) -> DataFrame:
+        new = self._asked.join(self._found, ["query", "kind"], "left_anti").select(c("query").alias("name"), c("kind").alias("food_kind"))
+        return stored(_following(new, ["food_kind", "name"], self.led["m_foods"]), "new-foods")
+
+    @cached_property
+    def foods(self) -> DataFrame:
+        """(query, kind, food_id) of every food that the lines name."""
+        return self._found.unionByName(self.m_foods.select(c("name").alias("query"), c("food_kind").alias("kind"), c("id").alias("food_id")))
+
+    @cached_property
+    def transactions(self) -> DataFrame:
+        stores = self.stores.select(c("brand_text").alias("brand"), c("branch_text").alias("branch"), "brand_id", "branch_id")
+        lines = self.lines.join(stores, (c("brand_text") == c("brand")) & c("branch_text").eqNullSafe(c("branch")), "left")
+        gross = S.line_gross("unit_price", "quantity", "tax_rate", "discount_amount")
+        return lines.groupBy("receipt_id").agg(
+            F.min("transaction_at").alias("transaction_at"), F.min("is_public").alias("is_public"),
+            F.min("brand_id").alias("brand_id"), F.min("branch_id").alias("branch_id"),
+            F.sum(gross).cast("long").alias("total_amount_jpy"), F.count(F.lit(1)).alias("n_lines"))
+
+    @cached_property
+    def _numbered(self) -> DataFrame:
+        # by receipt, line and content: (receipt, line) need not be unique
+        content = ["receipt_id", "line_no", "item_text", "food_type", "category_id", "unit_price", "quantity", "tax_rate",
+                   "discount_amount", "destination", "limit_date", "limit_type"]
+        return _following(self.lines, content, self.led["t_transaction_details"])
+
+    @cached_property
+    def details(self) -> DataFrame:
+        from ..operators.matching import kind_of
+
+        foods = self.foods.select(c("query").alias("food"), "kind", "food_id")
+        lines = self._numbered.join(foods, (c("item_text") == c("food")) & (kind_of(c("food_type")) == c("kind")), "left")
+        return lines.select(
+            "id", c("receipt_id").alias("transaction_id"), "line_no", "category_id", "food_type", "food_id",
+            c("item_text").alias("item_name_receipt"), c("unit_price").cast("double").alias("unit_price_ex_tax"), "quantity",
+            "tax_rate", "discount_amount", "destination", "limit_date", "limit_type")
+
+    @cached_property
+    def lots(self) -> DataFrame:
+        return self._numbered.filter(c("destination").isin(*STOCK_PLACES)).select(
+            "id", c("id").alias("detail_id"), c("quantity").alias("current_quantity"), c("transaction_at").alias("updated_at"))
+
+
+def record_purchases(raw: DataFrame, led, as_of) -> Purchases:
+    """Batch of raw receipts -> transactions, details, lots and the masters' new rows, by name."""
+    return Purchases(raw, led, as_of)
 
 
 # S-02

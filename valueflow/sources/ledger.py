@@ -211,7 +211,8 @@ def _star_builders(led: "Ledger") -> dict:
 
     def raw_receipts():
         from .ingest import raw_receipts as build
-        return build({t: st(t) for t in ("lineitem", "orders", "part", "supplier", "nation")})
+        # one row group of a star file is read by one task: deal the lines out before they are parsed
+        return build({t: st(t) for t in ("lineitem", "orders", "part", "supplier", "nation")}).repartition("receipt_id")
 
     def raw_movements():
         # Up to four settlement movements per wallet: the customer's latest order of each remainder by four.
