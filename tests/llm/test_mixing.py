@@ -71,3 +71,29 @@ def test_draws_are_uniform(spark):
     u = spark.range(4000).select(*[mixing.uniform(mixing.draws(F.col("id"), F.lit("t")), j).alias(f"u{j}") for j in range(8)])
     for v in u.agg(*[F.avg(c) for c in u.columns]).first():
         assert abs(v - 0.5) < 0.03
+
+
+def test_equal_rows_share_their_copies_out(spark):
+    rows = [(1, "ten words " * 5, "hot", str(i)) for i in range(1000)] + [(i, "word " * 20, f"s{i % 2}", "x") for i in range(2, 1002)] + [(None, None, None, "n")] * 50
+    rows += [(7, "same in two sources", s, "x") for s in ("hot", "s0", "s0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __size string").repartition(7)
+    sums = []
+    for part in (df, df.repartition(3)):
+        got = mixing.mix(part).collect()
+        assert len(got) == len(rows) and sorted(r["__size"] for r in got) == sorted(r[3] for r in rows)
+        taken, target = {}, {}
+        for r in got:
+            m = r["_mix"]
+            assert int(m["rate"]) <= m["copies"] <= min(3, int(m["rate"]) + 1)
+            taken[r["source"]] = taken.get(r["source"], 0) + m["size"] * m["copies"]
+            target[r["source"]] = m["target"]
+        assert all(abs(taken[s] - target[s]) <= 0.03 * target[s] + 20 for s in taken), (taken, target)
+        sums.append(sorted((str(r["doc_id"]), str(r["source"]), r["_mix"]["copies"]) for r in got))
+    assert sums[0] == sums[1]
+
+
+def test_columns_named_like_helpers_stay(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 4, 5, 6)], "doc_id long, text string, source string, __hex long, __plan long, __copy long")
+    mixed = mixing.mix(df)
+    assert mixed.columns == [*df.columns, "_mix"] and tuple(mixed.first())[:6] == (1, "a b", "s", 4, 5, 6)
+    assert [tuple(r) for r in mixing.emit(mixed).collect()] == [(1, "a b", "s", 4, 5, 6)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,19 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def set_aside(df: DataFrame, helpers: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with columns renamed that clash with helper columns, and what gives them their names again."""
+    used, fresh = {c.lower() for c in df.columns} | {h.lower() for h in helpers}, {}
+    for column in df.columns:
+        if column.lower() in {h.lower() for h in helpers}:
+            name = column
+            while name.lower() in used:
+                name += "_"
+            fresh[column] = name
+            used.add(name.lower())
+    return df.withColumnsRenamed(fresh), lambda out: out.withColumnsRenamed({new: old for old, new in fresh.items()})
+
+
 def join_small(df: DataFrame, small: DataFrame, on: Column | str | list[str], how: str = "inner",
                rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a derived table: broadcast behind a count of its rows, else left to Spark."""

@@ -13,8 +13,9 @@
 
 Defined cases: null text has 0 words; the null source is a source of its own
 (last in order); a source without words, and an empty table, take nothing;
-repeated rows (same id and text) share their draw; a column named like the
-result column is replaced.
+n repeated rows (same id and text) share floor(n * fraction) more copies out
+among them, plus one by the draw; a column named like the result column is
+replaced, other columns stay whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, join_small, written
+from .common import discard, join_small, set_aside, written
 
 #: A word of the size measure.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -75,8 +76,8 @@ def fill_targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
     )
 
 
-def source_plan(docs: DataFrame, weights: DataFrame | None = None, cap: float = CAP) -> DataFrame:
-    """Per source: words, target, rate, and ``pick``, the draw whose words come nearest the target.
+def source_plan(docs: DataFrame, weights: DataFrame | None = None, cap: float = CAP) -> tuple[DataFrame, bool]:
+    """Per source: words, target, rate, and ``pick``, the draw whose words come nearest the target; and whether rows repeat.
 
     ``weights``: (source, weight); by default 1, 2, 3 repeating in order of the source.
     Sources without a positive weight are not taken.
@@ -92,33 +93,62 @@ def source_plan(docs: DataFrame, weights: DataFrame | None = None, cap: float =
     rates = written(fill_targets(sizes, cap).withColumn(
         "rate", F.when(F.col("words") > 0, F.least(F.col("target") / F.col("words"), F.lit(float(cap)))).otherwise(0.0)), "rates")
     r = rates.select(F.col("source").alias("r_source"), "rate")
-    taken = join_small(base, r, F.col("source").eqNullSafe(F.col("r_source"))).groupBy("source").agg(
-        *[F.sum(F.col("size") * copies(F.col("rate"), F.col("hex"), j)).alias(f"taken{j}") for j in range(DRAWS)])
+    repeats = not base.groupBy(F.xxhash64("source", "hex")).count().filter("count > 1").isEmpty()
+    rows = base.groupBy("source", "size", "hex").agg(F.count("*").alias("n")) if repeats else base.withColumn("n", F.lit(1).cast("long"))
+    taken = join_small(rows, r, F.col("source").eqNullSafe(F.col("r_source"))).groupBy("source").agg(
+        *[F.sum(F.col("size") * (F.col("n") * F.floor("rate") + extras(F.col("n"), F.col("rate"), F.col("hex"), j))).alias(f"taken{j}") for j in range(DRAWS)])
     best = F.array(*[F.abs(F.col(f"taken{j}") - F.col("target")) for j in range(DRAWS)])
     t = taken.withColumnRenamed("source", "t_source")
     plan = written(rates.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select(
         "source", "words", "target", "rate", (F.array_position(best, F.array_min(best)) - 1).cast("int").alias("pick")), "plan")
     discard(base, rates)
-    return plan
+    return plan, repeats
 
 
-def copies(rate: Column, hex64: Column, pick: Column | int) -> Column:
-    """floor(rate), plus one if the draw is below the fraction."""
-    return (F.floor(rate) + (uniform(hex64, pick) < rate - F.floor(rate)).cast("long")).cast("long")
+def extras(n: Column, rate: Column, hex64: Column, pick: Column | int) -> Column:
+    """Copies beyond floor(rate) each that ``n`` equal rows get together: floor(n * fraction), plus one if the draw is below the rest."""
+    share = n * (rate - F.floor(rate))
+    return (F.floor(share) + (uniform(hex64, pick) < share - F.floor(share)).cast("long")).cast("long")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Adds __n, how many rows are equal (by __hex and source), and __place, the row's place among them (from 0).
+
+    The rows are written first, so that their numbers hold; places are counted within ranges of the
+    numbers and offset by the ranges before, so no group meets in one task."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    same, part = [F.col("source").cast("string"), F.col("__hex")], F.shiftright("__row", 33)
+    counts = rows.groupBy(same[0].alias("__s"), F.col("__hex").alias("__h"), part.alias("__p")).agg(F.count("*").alias("__k"))
+    group = Window.partitionBy("__s", "__h")
+    before = F.sum("__k").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("*", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__k").over(group).alias("__n"))
+    local = rows.withColumn("__p2", part).withColumn("__local", F.row_number().over(Window.partitionBy(same[0], "__hex", "__p2").orderBy("__row")) - 1)
+    on = same[0].eqNullSafe(F.col("__s")) & (F.col("__hex") == F.col("__h")) & (F.col("__p2") == F.col("__p"))
+    return local.join(counts, on).withColumn("__place", F.col("__before") + F.col("__local")).drop(
+        "__row", "__p", "__p2", "__s", "__h", "__k", "__before", "__local")
+
+
+_HELPERS = [f"__{n}" for n in ("size", "hex", "plan", "copy", "n", "place", "row", "p", "p2", "s", "h", "k", "before", "local")]
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, cap: float = CAP, out: str = "_mix") -> DataFrame:
     """Adds the struct ``out``: size, source_size, target, rate, copies.  Rows of sources without weight get no row."""
-    plan = source_plan(docs, weights, cap).select(F.struct("*").alias("__plan"))
-    keys = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__hex", draws(F.col("doc_id"), F.col("text")))
-    joined = join_small(keys, plan, F.col("source").cast("string").eqNullSafe(F.col("__plan.source")))
-    return joined.withColumn(out, F.struct(
+    docs, back = set_aside(docs.drop(out), _HELPERS)
+    plan, repeats = source_plan(docs, weights, cap)
+    keys = docs.withColumn("__hex", draws(F.col("doc_id"), F.col("text")))
+    keys = _numbered(keys) if repeats else keys.withColumns({"__n": F.lit(1).cast("long"), "__place": F.lit(0).cast("long")})
+    keys = keys.withColumn("__size", word_count(F.col("text")))
+    joined = join_small(keys, plan.select(F.struct("*").alias("__plan")), F.col("source").cast("string").eqNullSafe(F.col("__plan.source")))
+    rate = F.col("__plan.rate")
+    more = F.col("__place") < extras(F.col("__n"), rate, F.col("__hex"), F.col("__plan.pick"))
+    return back(joined.withColumn(out, F.struct(
         F.col("__size").alias("size"), F.col("__plan.words").alias("source_size"), F.col("__plan.target").alias("target"),
-        F.col("__plan.rate").alias("rate"), copies(F.col("__plan.rate"), F.col("__hex"), F.col("__plan.pick")).alias("copies"),
-    )).drop("__size", "__hex", "__plan")
+        rate.alias("rate"), (F.floor(rate) + more.cast("long")).cast("long").alias("copies"),
+    )).drop("__size", "__hex", "__plan", "__n", "__place"))
 
 
 def emit(mixed: DataFrame, out: str = "_mix") -> DataFrame:
     """One row per copy, with the columns the documents had."""
     n = F.col(out)["copies"]
-    return mixed.filter(n > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).drop("__copy", out)
+    mixed, back = set_aside(mixed, _HELPERS)
+    return back(mixed.filter(n > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).drop("__copy", out))
