@@ -48,3 +48,15 @@ def test_write(spark, tmp_path):
     df = spark.createDataFrame([(i, str(i)) for i in range(20)], "doc_id long, text string")
     sharding.write_shards(df, str(tmp_path / "out"), 4)
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().agg(F.min("count"), F.max("count"), F.count("*")).first()[:] == (5, 5, 4)
+
+
+def test_columns_named_like_helpers_stay_and_equal_rows_are_split(spark):
+    rows = [(1, "same text " * 20, i, i) for i in range(400)] + [(i, f"text {i}", i, i) for i in range(500, 600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key long, __bucket long").repartition(4)
+    placed = sharding.shard(df, 4, bucket_bytes=4000)
+    assert placed.columns == ["doc_id", "text", "__key", "__bucket", "_shard"]
+    got = placed.collect()
+    assert sorted((r["__key"], r["__bucket"]) for r in got) == sorted((r[2], r[3]) for r in rows)
+    for s in range(4):
+        slots = sorted(r["_shard"]["slot"] for r in got if r["_shard"]["shard"] == s)
+        assert slots == list(range(len(slots))) and abs(len(slots) - len(rows) / 4) <= 1

@@ -13,7 +13,7 @@ nothing in the result as they cannot be told apart.
 The order depends on seed, records and number of buckets only, not on files,
 partitions or tasks.  Defined cases: null text has no bytes; null ids are
 scattered by their text; an empty table gives no row; repeated rows each get a
-slot; a column named like the result column is replaced.
+slot; a column named like the result column is replaced, others stay whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, join_small, scratch
+from .common import BROADCAST_ROWS, join_small, scratch, set_aside, written
 
 BUCKET_BYTES = 8 << 20
 SEED = 20_240
@@ -67,9 +67,11 @@ def shuffled_buckets(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCK
     buckets = max(1, -(-(total or 0) // bucket_bytes))
     if hot:
         heavy = per_key.filter((F.col("n") > 1) & (F.col("b") > bucket_bytes // 4)).select(F.col("__key").alias("__heavy"))
-        keyed = join_small(keyed, heavy, F.col("__key") == F.col("__heavy"), "left", BROADCAST_ROWS)
-        salt = F.when(F.col("__heavy").isNotNull(), F.monotonically_increasing_id()).otherwise(0)
-        keyed = keyed.withColumn("__bucket", F.pmod(F.xxhash64("__key", salt), F.lit(buckets))).drop("__heavy")
+        # numbers of written rows: a task that runs again finds the same salts
+        keyed = join_small(written(keyed.withColumn("__row", F.monotonically_increasing_id()), "numbered"), heavy,
+                           F.col("__key") == F.col("__heavy"), "left", BROADCAST_ROWS)
+        salt = F.when(F.col("__heavy").isNotNull(), F.col("__row")).otherwise(0)
+        keyed = keyed.withColumn("__bucket", F.pmod(F.xxhash64("__key", salt), F.lit(buckets))).drop("__heavy", "__row")
     else:
         keyed = keyed.withColumn("__bucket", F.pmod(F.xxhash64("__key", F.lit(0).cast("long")), F.lit(buckets)))
     schema = T.StructType([*keyed.schema.fields, T.StructField("__pos", T.LongType())])
@@ -83,7 +85,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = SEED, bucket_bytes: int
     ``bucket_bytes`` of input) give each bucket its offset in the whole order.
     """
     spark = docs.sparkSession
-    base = docs.drop(out)
+    base, back = set_aside(docs.drop(out), ["__key", "__bucket", "__pos", "__heavy", "__row", "__b", "__n", "__offset"])
     path = scratch(spark, "buckets")
     done = shuffled_buckets(base, seed, bucket_bytes)
     done.write.parquet(path)
@@ -91,9 +93,9 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = SEED, bucket_bytes: int
     offsets = stored.groupBy(F.col("__bucket").alias("__b")).agg(F.count("*").alias("__n")).withColumn(
         "__offset", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     place = F.col("__offset") + F.col("__pos")
-    return join_small(stored, offsets, F.col("__bucket") == F.col("__b")).withColumn(
+    return back(join_small(stored, offsets, F.col("__bucket") == F.col("__b")).withColumn(
         out, F.struct((place % shards).cast("int").alias("shard"), F.floor(place / F.lit(shards)).cast("long").alias("slot"))
-    ).drop("__b", "__offset", "__bucket", "__pos", "__key")
+    ).drop("__b", "__offset", "__bucket", "__pos", "__key"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
