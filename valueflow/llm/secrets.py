@@ -2,10 +2,13 @@
 
 Base kinds are regular expressions (assignments, access keys, hex runs); their
 leftmost matches are marked with a control character and the text is split at it,
-so that the lengths of the pieces give every match's place in code points.
+so that the lengths of the pieces give every match's place in code points.  The
+lengths are summed in blocks of about the root of their number, as an array that
+grows inside a fold is copied at every step.
 
 The method adds spans by a battery of randomness tests.  Candidates are runs of
-``MIN_RUN`` or more letters, digits, ``+/_=-``, with or without a digit.  For each its
+``MIN_RUN`` or more letters, digits, ``+/_=-``, with or without a digit, that touch no
+base span (those are hidden before the runs are looked for).  For each its
 encoding is inferred from its characters (decimal, hex, base32, letters and
 digits, base64), and three tests compare it with a uniform draw from that
 alphabet:
@@ -25,7 +28,8 @@ logarithm, rounded up, so the counts stay a small table.
 
 Defined cases: null text is empty; an empty table gives no row; ties in start are
 ordered by kind; repeated rows are judged each; texts of any length are read
-whole; a column named like the result column is replaced.
+whole; a column named like the result column is replaced, others stay whatever
+their names.
 """
 
 from __future__ import annotations
@@ -35,7 +39,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MARK, OTHER = "\x01", "\x03"  # a text's own marks are read as the other control character
+from .common import set_aside
+
+MARK, HIDE, OTHER = "\x01", "\x02", "\x03"  # a text's own marks are read as the other control character
 #: Base kinds, in order.
 ASSIGN = (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
           r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -44,12 +50,14 @@ KINDS = ["assign", "access", "hex", "random"]
 MIN_VALUE = 6
 MIN_RUN = 20
 RUN = rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
+RUN_OR_HIDDEN = rf"[A-Za-z0-9+/_={HIDE}-]{{{MIN_RUN},}}"
 ALPHA_TEST = 1e-4
 FDR = 0.01
 #: Two-sided limit of a standard normal value at ALPHA_TEST.
 Z_LIMIT = 3.89
 #: p-values are counted by their logarithm times STEPS, cut at LEAST_LOG_P.
 STEPS = 8
+_HELPERS = [f"__{k}" for k in (*KINDS, "run")]
 LEAST_LOG_P = -400.0
 
 #: Alphabets by name, smallest first: pattern and size.
@@ -57,31 +65,76 @@ ENCODINGS = [("decimal", "^[0-9]+$", 10), ("hex", "^([0-9a-f]+|[0-9A-F]+)$", 16)
              ("base62", "^[A-Za-z0-9]+$", 62), ("base64", "^[A-Za-z0-9+/_-]+=*$", 64)]
 
 
+_SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(values: Column, first: Column) -> Column:
+    """``first`` plus the sum of all values before each; for short arrays."""
+    step = lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(values, F.struct(first.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")), step)["out"]
+
+
+def places_of(pieces: Column) -> Column:
+    """Where each piece begins in the joined text."""
+
+    def blocks(k: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(k["n"]) - 1) / k["width"]).cast("int")), lambda i: F.slice(k["n"], i * k["width"] + 1, k["width"]))
+        sums = lambda p: F.transform(p, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda acc, v: acc + v))
+        return _let(parts, lambda p: F.flatten(F.zip_with(p, _before(sums(p), F.lit(0)), _before)))
+
+    lengths = F.transform(pieces, lambda x: F.length(x).cast("long"))
+    return _let(_let(lengths, lambda n: F.struct(n.alias("n"), F.ceil(F.sqrt(F.size(n))).cast("int").alias("width"))), blocks)
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """The text cut up: between, match, between, match, ..., between."""
+    return F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+
+
+def _matched(pieces: Column) -> Column:
+    """Spans of every second piece."""
+
+    def spans(k: Column) -> Column:
+        one = lambda i: F.struct(F.get(k["at"], i).alias("start"), (F.get(k["at"], i) + F.length(F.get(k["p"], i))).alias("end"), F.get(k["p"], i).alias("value"))
+        found = F.transform(F.sequence(F.lit(1), F.size(k["p"]) - 2, F.lit(2)), one)
+        return F.when(F.size(k["p"]) > 1, found).otherwise(F.array().cast(_SPANS))
+
+    return _let(_let(pieces, lambda p: F.struct(p.alias("p"), F.when(F.size(p) > 1, places_of(p)).alias("at"))), spans)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost matches that do not overlap: array of (start, end, text), code points, end exclusive."""
-    clean = F.translate(F.coalesce(text, F.lit("")), MARK, OTHER)
-    pieces = F.split(F.regexp_replace(clean, pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    # pieces: between, match, between, match, ..., between; a fold keeps the running place
-    found = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("inside"), F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("out")),
-        lambda acc, piece: F.struct(
-            (acc["at"] + F.length(piece)).alias("at"), (~acc["inside"]).alias("inside"),
-            F.when(acc["inside"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(piece)).alias("end"), piece.alias("value")))))
-            .otherwise(acc["out"]).alias("out")),
-    )["out"]
-    return F.when(F.size(pieces) > 1, found).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))
+    return _matched(_pieces(F.translate(F.coalesce(text, F.lit("")), MARK, OTHER), pattern))
+
+
+def hidden(text: Column, pattern: str, keep=lambda value: F.lit(True)) -> Column:
+    """The text with every kept match replaced by as many hiding characters."""
+    cover = lambda x, i: F.when((i % 2 == 1) & keep(x), F.repeat(F.lit(HIDE), F.length(x))).otherwise(x)
+    return F.array_join(F.transform(_pieces(text, pattern), cover), "")
+
+
+def _long_enough(value: Column) -> Column:
+    return F.length(F.regexp_extract(value, ASSIGN, 2)) >= MIN_VALUE
 
 
 def base_spans(text: Column) -> dict[str, Column]:
     found = {k: matches(text, p) for k, p in BASE.items()}
-    found["assign"] = F.filter(found["assign"], lambda m: F.length(F.regexp_extract(m["value"], ASSIGN, 2)) >= MIN_VALUE)
+    found["assign"] = F.filter(found["assign"], lambda m: _long_enough(m["value"]))
     return found
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+def runs_apart(text: Column) -> Column:
+    """Runs that touch no base span: base spans are hidden, and what is longer with hidden characters is dropped."""
+    text = F.translate(F.coalesce(text, F.lit("")), MARK + HIDE, OTHER + OTHER)
+    for kind, pattern in BASE.items():
+        text = hidden(text, pattern, _long_enough) if kind == "assign" else hidden(text, pattern)
+    found = _matched(F.split(F.regexp_replace(text, RUN_OR_HIDDEN, f"{MARK}$0{MARK}"), MARK, -1))
+    return F.filter(found, lambda m: ~F.contains(m["value"], F.lit(HIDE)))
 
 
 def _place(c: Column) -> Column:
@@ -170,16 +223,10 @@ def _step(b: Column) -> Column:
     return F.when(random, F.ceil(b["log_p"] * STEPS)).otherwise(0).cast("long")
 
 
-def _apart(found: Column, others: list[Column]) -> Column:
-    """Matches that touch no span of the others."""
-    return F.filter(found, lambda m: ~F.exists(F.concat(*others), lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"])))
-
-
 def _candidates(docs: DataFrame, text: str) -> DataFrame:
     """Adds __assign, __access, __hex and __random: tested runs apart from these, each with its step."""
-    found = docs.withColumns({f"__{k}": v for k, v in base_spans(F.col(text)).items()} | {"__run": matches(F.col(text), RUN)})
-    apart = _apart(F.col("__run"), [F.col(f"__{k}") for k in BASE])
-    tested = F.transform(apart, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), battery(m["value"]).alias("tests")))
+    found = docs.withColumns({f"__{k}": v for k, v in base_spans(F.col(text)).items()} | {"__run": runs_apart(F.col(text))})
+    tested = F.transform("__run", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), battery(m["value"]).alias("tests")))
     return found.withColumn("__random", tested).drop("__run")
 
 
@@ -209,9 +256,10 @@ def joined(spans: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", level: float = FDR, out: str = "_secrets") -> DataFrame:
     """Adds the struct ``out``: assign, access, hex, random (arrays of start, end, value), base and spans (strings of all spans)."""
-    limit = false_discovery_limit(docs, text, level)
+    docs, back = set_aside(docs.drop(out), _HELPERS)
+    limit = false_discovery_limit(docs.select(text), text, level)
     found = _candidates(docs, text)
     found = found.withColumn("__random", F.transform(F.filter("__random", lambda m: _step(m["tests"]) <= limit), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"))))
     named = [_named(k, F.col(f"__{k}")) for k in KINDS]
-    return found.withColumn(out, F.struct(*[F.col(f"__{k}").alias(k) for k in KINDS], joined(F.concat(*named[:-1])).alias("base"), joined(F.concat(*named)).alias("spans"))
-                            ).drop(*[f"__{k}" for k in KINDS])
+    return back(found.withColumn(out, F.struct(*[F.col(f"__{k}").alias(k) for k in KINDS], joined(F.concat(*named[:-1])).alias("base"), joined(F.concat(*named)).alias("spans"))
+                                 ).drop(*[f"__{k}" for k in KINDS]))
