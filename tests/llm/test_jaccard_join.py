@@ -140,3 +140,10 @@ def test_components(spark):
         at = {n: min(x, y) if v in (x, y) else v for n, v in at.items()}
     alone = {a for a, b in links if a == b} - {n for a, b in links if a != b for n in (a, b)}
     assert got == {n: v for n, v in at.items() if n not in alone}
+
+
+def test_columns_named_like_helpers_stay(spark):
+    df = spark.createDataFrame([(1, "one two three four five six", "a", "b"), (2, "one two three four five six", "c", "d")], "doc_id long, text string, __rid string, __print string")
+    got = J.join(df)
+    assert got.columns == ["doc_id", "text", "__rid", "__print", "_near"]
+    assert sorted((r["doc_id"], r["__rid"], r["__print"], r["_near"]["class_id"], r["_near"]["n_links"]) for r in got.collect()) == [(1, "a", "b", 1, 1), (2, "c", "d", 1, 1)]

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_small, words, written
+from .common import discard, join_small, set_aside, words, written
 from .components import components
 
 SHINGLE = 5
@@ -368,14 +368,17 @@ def links(stored: DataFrame, threshold: float = THRESHOLD, hot: int = HOT, block
 def join(docs: DataFrame, threshold: float = THRESHOLD, out: str = "_near", hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """Adds the struct ``out``: class_id (least id of the component), n_links (documents, copies included, that reach
     the threshold with this one), first (true for one row of each class)."""
-    stored = numbered(docs.drop(out))
+    docs, back = set_aside(docs.drop(out), ["__rid", "__print", "__p", "__g"])
+    stored = numbered(docs)
     classes, degree, edges = links(stored, threshold, hot, block)
     roots = components(edges).withColumnRenamed("node", "rid")
     classes = classes.join(degree, "rid", "left").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    names = classes.groupBy("root").agg(F.min("least_id").alias("class_id"), F.min("rid").alias("first_rid"))
-    groups = classes.join(names, "root").filter("size > 1 or links > 0").select(
+    # a component of one class is its own; only the others look their names up, so one large component fills no task
+    names = written(classes.groupBy("root").agg(F.min("least_id").alias("class_id"), F.min("rid").alias("first_rid"), F.count("*").alias("members")).filter("members > 1"), "names")
+    named = join_small(classes, names, "root", "left").withColumns({"class_id": F.coalesce("class_id", "least_id"), "first_rid": F.coalesce("first_rid", "rid")})
+    groups = named.filter("size > 1 or links > 0").select(
         F.col("print").alias("__p"), F.struct("class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("first_rid")).alias("__g"))
     placed = stored.join(groups, F.col("__print") == F.col("__p"), "left")
-    return placed.withColumn(out, F.struct(
+    return back(placed.withColumn(out, F.struct(
         F.coalesce(F.col("__g.class_id"), F.col("doc_id")).alias("class_id"), F.coalesce(F.col("__g.n_links"), F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce(F.col("__g.first_rid") == F.col("__rid"), F.lit(True)).alias("first"))).drop("__rid", "__print", "__p", "__g")
+        F.coalesce(F.col("__g.first_rid") == F.col("__rid"), F.lit(True)).alias("first"))).drop("__rid", "__print", "__p", "__g"))
