@@ -49,6 +49,33 @@ def test_several_movements_never_spend_a_lot_twice(spark, cap):
         assert sum(r["amount"] for r in got if r["movement_id"] == m) == -amount
 
 
+def test_a_hot_wallet_is_settled_by_ranges(spark):
+    """No window over a whole wallet: same offsets as the plain twin with the wallet's rows in many ranges."""
+    rng = random.Random(14)
+    lots = {1: [rng.randint(1, 40) for _ in range(500)], 2: [7, 9]}
+    moves = [(1000 + i, 1 if i % 20 else 2, rng.randint(1, 30), rng.choice([None, None, 5, 0])) for i in range(700)]
+    pay = [(w * 1000 + i, w * 1000 + i, w, size, NOON, f"R{i}") for w, v in lots.items() for i, size in enumerate(v)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    found = M.offset_limited_funds(spark.createDataFrame(pay, PAYS), spark.createDataFrame([(m, m, w, a, r, None, None) for m, w, a, r in moves], MOVES))
+    offs = {(r["movement_id"], r["lot_no"]): -r["amount"] for r in found.collect() if r["kind"] == "OFFSET"}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert offs == settle(moves, lots, True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    whole = [line for line in plan.splitlines() if "windowspecdefinition(wallet_id" in line and "__range" not in line]
+    assert not whole
+
+
+def test_listing_numbers_a_busy_day_by_ranges(spark):
+    from valueflow.operators import goods as G
+
+    rows = [(i, NOON if i % 2 else NOON + dt.timedelta(days=i % 40), i % 3) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, transaction_at timestamp_ntz, month long")
+    newest = sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)
+    assert {r["id"]: r["position"] for r in G.list_numbering(df).collect()} == {r[0]: i + 1 for i, r in enumerate(newest)}
+    want = {r[0]: i + 1 for m in range(3) for i, r in enumerate(x for x in newest if x[2] == m)}
+    assert {r["id"]: r["position"] for r in G.list_numbering(df, ["month"]).collect()} == want
+
+
 def test_successor_marks_cycles(spark):
     old = dt.datetime(2000, 1, 1)
     rows = [(1, old, 2), (2, old, 1), (3, old, 4), (4, old, 5), (5, old, 6), (6, None, None), (7, old, 3), (8, old, None), (9, dt.datetime(2100, 1, 1), 6), (10, old, 1)]
@@ -101,6 +128,17 @@ def test_details_are_numbered_without_collisions(spark, shops):
     assert {r["detail_id"] for r in out["lots"].collect()} == set(ids)
 
 
+def test_a_batch_is_appended_once(spark, tmp_path):
+    df = spark.createDataFrame([(i, i % 3) for i in range(300)], "id long, month long").repartition(8)
+    path = str(tmp_path / "facts")
+    assert I.append_facts(df.filter("id < 200"), path, "a", ["month"]) and I.append_facts(df.filter("id >= 200"), path, "b", ["month"])
+    assert not I.append_facts(df.filter("id < 200"), path, "a", ["month"])
+    (tmp_path / "facts" / "_aside" / "c-1").mkdir(parents=True)  # a batch that failed half way
+    got = I.read_facts(spark, path, df.schema)
+    assert sorted(r["id"] for r in got.collect()) == list(range(300)) and got.columns == ["id", "month"]
+    assert all(len(list(d.glob("*.parquet"))) <= 2 for d in (tmp_path / "facts" / "batch=a").glob("month=*"))
+
+
 def test_updates_and_missing_columns(spark):
     base = spark.createDataFrame([(1, "a", 1), (2, None, 2), (3, "c", 3)], "id long, name string, n long")
     updates = spark.createDataFrame([(2, "x", 9, 1), (2, "y", 8, 3), (2, "z", 7, 2), (4, "new", 4, 1), (3, None, 5, 1)], "id long, name string, n long, seq long")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .windows import bucketed_row_number
+from .windows import range_numbered, ranged_sums
 
 c = F.col
 
@@ -64,11 +64,13 @@ def transaction_list(led, start=None, end=None, before=None) -> DataFrame:
 def list_numbering(listing: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """1-based position in a newest-first listing, per ``keys`` (e.g. month).
 
-    Positions are rows of later days + ``row_number`` inside the day, so no
-    single task numbers a whole period.
+    Positions are counted by ranges of the listing's order, so neither a whole
+    period nor a busy day is numbered by one task.
     """
-    return bucketed_row_number(listing, keys or [], F.to_date("transaction_at"),
-                               [c("transaction_at").desc(), c("id").desc()], "position", bucket_ascending=False)
+    order = [c("transaction_at").desc(), c("id").desc()]
+    if not keys:
+        return range_numbered(listing, order, "position")
+    return ranged_sums(listing, keys, order, {"position": F.lit(1)})
 
 
 # R-01

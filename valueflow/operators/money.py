@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .windows import bucketed_row_number, bucketed_running_sum
+from .windows import bucketed_running_sum, range_numbered, ranged_neighbours, ranged_sums
 
 c = F.col
 GROUP = ["wallet_id", "expiry_at", "usage_restriction"]
@@ -156,7 +156,9 @@ def offset_limited_funds(payments: DataFrame, movements: DataFrame, cap: bool =
     offset is taken as asked.  Movements and lots lie end to end on one line
     per wallet and sign: a movement takes from a lot where their stretches
     overlap, so the ends of both, put in order, are all that is needed (rows
-    grow with movements + lots, not their product).
+    grow with movements + lots, not their product).  Running sums and
+    neighbours are taken by ranges, so a wallet with very many lots or
+    movements is spread over tasks.
 
     The remainder, if not zero, is one residual row; it becomes a new limited
     lot when the movement names an expiry or restriction.
@@ -172,24 +174,18 @@ def offset_limited_funds(payments: DataFrame, movements: DataFrame, cap: bool =
     else:
         lot_order = [c("first_transaction_id"), c("expiry_at").asc_nulls_last(), c("usage_restriction").asc_nulls_first()]
     line = ["wallet_id", "spends"]
-    up_to = lambda *o: Window.partitionBy(*line).orderBy(*o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lots = (lots.filter(c("total") != 0).withColumn("spends", c("total") > 0)
-            .withColumn("lot_no", F.row_number().over(Window.partitionBy(*line).orderBy(*lot_order)))
-            .withColumn("end", F.sum(F.abs("total")).over(up_to(*lot_order))))
+    lots = ranged_sums(lots.filter(c("total") != 0).withColumn("spends", c("total") > 0), line, lot_order,
+                       {"lot_no": F.lit(1), "end": F.abs("total")})
     held = lots.groupBy(*line).agg(F.max("end").alias("held"))
     need = F.coalesce(c("requested_offset"), F.abs("move") if cap else c("held"))
     wants = (mv.filter(c("move") != 0).withColumn("spends", c("move") < 0).join(held, line)
-             .withColumn("need", F.least(F.greatest(need, F.lit(0)), c("held")).cast("long")).filter(c("need") > 0)
-             .withColumn("end", F.sum("need").over(up_to("movement_id"))))
+             .withColumn("need", F.least(F.greatest(need, F.lit(0)), c("held")).cast("long")).filter(c("need") > 0))
+    wants = ranged_sums(wants, line, [c("movement_id")], {"end": c("need")})
     ends = wants.select(*line, "end", F.struct("movement_id", "transaction_id").alias("movement"), F.lit(None).alias("lot")).unionByName(
         lots.select(*line, "end", F.lit(None).alias("movement"), F.struct("lot_no", "expiry_at", "usage_restriction", "total", "end").alias("lot")))
     # equal ends are one place: keep the movement and the lot that end there
     places = ends.groupBy(*line, "end").agg(F.max("movement").alias("movement"), F.max("lot").alias("lot"))
-    along = Window.partitionBy(*line).orderBy("end")
-    ahead = along.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    cut = (places.withColumn("from", F.coalesce(F.lag("end").over(along), F.lit(0)))
-           .withColumn("movement", F.first("movement", ignorenulls=True).over(ahead))
-           .withColumn("lot", F.first("lot", ignorenulls=True).over(ahead))
+    cut = (ranged_neighbours(places, line, "end", ["movement", "lot"], "from").withColumn("from", F.coalesce("from", F.lit(0)))
            .filter(c("movement").isNotNull() & c("lot").isNotNull() & (c("end") > c("from"))))
     taken = F.when(c("lot.total") < 0, c("end") - c("from")).otherwise(c("from") - c("end"))
     left = F.when(c("lot.total") < 0, c("end") - c("lot.end")).otherwise(c("lot.end") - c("end"))
@@ -214,16 +210,14 @@ def settle_payments(led, cap: bool = True) -> dict[str, DataFrame]:
     """Batch of movements -> new payment rows (offsets + residuals) -> new balance snapshot.
 
     New payments are numbered on from the largest id in use, by movement and
-    lot (residual last): places within ranges of the movement id, offset by
-    the ranges before, so no id can meet another.
+    lot (residual last).
     """
     pay = led["t_payments"]
     rows = offset_limited_funds(pay, led["raw_movements"], cap=cap)
-    numbered = bucketed_row_number(rows.withColumn("__all", F.lit(0)), ["__all"], F.floor(c("movement_id") / F.lit(1 << 16)),
-                                   [c("movement_id"), c("lot_no").asc_nulls_last()], "__no")
-    last = pay.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"), F.lit(0).alias("__all"))
-    new_pay = numbered.join(last, "__all").select(
-        (c("__last") + c("__no")).cast("long").alias("id"),
+    last = pay.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    numbered = range_numbered(rows, [c("movement_id"), c("lot_no").asc_nulls_last()], "__no")
+    new_pay = numbered.select(
+        (F.lit(last) + c("__no")).cast("long").alias("id"),
         "transaction_id", "wallet_id", "amount", "remaining_amount", "expiry_at", "usage_restriction")
     tx = led["t_transactions"].select(c("id").alias("transaction_id"), "transaction_at")
     all_pay = pay.unionByName(new_pay.drop("remaining_amount")).join(tx, "transaction_id", "left")

@@ -53,42 +53,71 @@ def bucketed_running_sum(df: DataFrame, keys: list[str], order_col: str, value_c
             .drop("__offset", "__local", _BUCKET))
 
 
-def bucketed_row_number(df: DataFrame, keys: list[str], bucket_col: Column, order_cols: list[Column],
-                        out_col: str, bucket_ascending: bool = True) -> DataFrame:
-    """1-based position per ``keys`` without one task per key.
+def in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows with ``__range`` and ``__at``: dealt into ranges of one order over the whole table, sorted and stored.
 
-    ``bucket_col`` must be monotone in the listing order (e.g. the day of a
-    time-ordered listing); positions = rows in earlier buckets + row_number
-    inside the bucket.
+    Spark samples the bounds, so a key that fills much of the table is split
+    by the order columns after it.  Ranges and places follow the order;
+    ``__at`` grows along it.  Stored, as rows and their summaries must see the
+    same ranges.
     """
-    b = df.withColumn(_BUCKET, bucket_col)
-    w = Window.partitionBy(*keys, _BUCKET).orderBy(*order_cols)
-    local = b.withColumn("__rn", F.row_number().over(w))
-    counts = b.groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-    order = F.col(_BUCKET).asc() if bucket_ascending else F.col(_BUCKET).desc()
-    wt = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, _BUCKET, F.coalesce(F.sum("__n").over(wt), F.lit(0)).alias("__before"))
-    o = offsets.alias("__o")
-    joined = local.alias("__l").join(o, _null_safe_on(local.alias("__l"), o, keys + [_BUCKET]), "inner")
-    return (joined.select("__l.*", F.col("__o.__before"))
-            .withColumn(out_col, (F.col("__before") + F.col("__rn")).cast("long"))
-            .drop("__before", "__rn", _BUCKET))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    # the upper bits of the generated id are the range, the lower 33 the place in it
+    return stored(ranged, "ranges").withColumn("__range", F.shiftright("__at", 33))
 
 
-def range_numbered(df: DataFrame, order: list[Column], out_col: str) -> DataFrame:
-    """1-based position of every row in one order over the whole table.
+def _beside(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the summary of their (keys, range)."""
+    names = {k: f"__of_{k}" for k in [*keys, "__range"]}
+    s = summary.withColumnsRenamed(names)
+    cond = rows["__range"] == s["__of___range"]
+    for k in keys:
+        cond = cond & rows[k].eqNullSafe(s[names[k]])
+    return rows.join(s, cond).drop(*names.values())
+
 
-    Rows are dealt into ranges of the order (Spark samples the bounds, so a
-    value that fills much of the table is split by the columns after it),
-    sorted and stored; a range's rows are offset by the rows of the ranges
-    before it.  The only window over all runs over a row per range.
+def ranged_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Running sums (this row included) per ``keys`` in ``order``: {new column: value}; integers stay exact.
+
+    A window covers one key inside one range; a key's ranges are offset by
+    what the ranges before hold, a row per key and range.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    rows = stored(ranged, "numbered")
-    # the upper bits of the generated id are the range, the lower 33 the place in it
-    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = rows.groupBy(part.alias("__range")).agg(F.count(F.lit(1)).alias("__n"))
+    rows = in_ranges(df.withColumns({f"__v_{n}": v for n, v in sums.items()}), [*(c.asc_nulls_first() for c in map(F.col, keys)), *order])
+    local = Window.partitionBy(*keys, "__range").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "__range").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
+    offsets = totals.select(*keys, "__range", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
+    out = _beside(rows.withColumns({n: F.sum(f"__v_{n}").over(local) for n in sums}), offsets, keys)
+    return out.withColumns({n: (F.col(n) + F.col(f"__o_{n}")).cast("long") for n in sums}).drop(
+        "__at", "__range", *[f"__{x}_{n}" for n in sums for x in "vo"])
+
+
+def ranged_neighbours(df: DataFrame, keys: list[str], by: str, following: list[str], previous: str) -> DataFrame:
+    """Along ``by`` per ``keys``: each of ``following`` becomes its own or the next value that is not null, and the new
+    column ``previous`` is ``by`` of the row before (null for the first).
+
+    As ``ranged_sums``: windows inside ranges, and a row per key and range for what crosses them.
+    """
+    rows = in_ranges(df, [*(c.asc_nulls_first() for c in map(F.col, keys)), F.col(by)])
+    along = Window.partitionBy(*keys, "__range").orderBy("__at")
+    ahead = along.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ends = rows.groupBy(*keys, "__range").agg(
+        F.max(by).alias("__last"), *[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("__at"))).alias(f"__first_{f}") for f in following])
+    over = Window.partitionBy(*keys).orderBy("__range")
+    later = over.rowsBetween(1, Window.unboundedFollowing)
+    carried = ends.select(*keys, "__range", F.lag("__last").over(over).alias("__before"),
+                          *[F.first(f"__first_{f}", ignorenulls=True).over(later).alias(f"__next_{f}") for f in following])
+    local = rows.withColumns({f: F.first(f, ignorenulls=True).over(ahead) for f in following} | {previous: F.lag(by).over(along)})
+    out = _beside(local, carried, keys)
+    return out.withColumns({f: F.coalesce(f, f"__next_{f}") for f in following} | {previous: F.coalesce(previous, "__before")}).drop(
+        "__at", "__range", "__before", *[f"__next_{f}" for f in following])
+
+
+def range_numbered(df: DataFrame, order: list[Column], out_col: str) -> DataFrame:
+    """1-based position of every row in one order over the whole table; the only window over all runs over a row per range."""
+    rows = in_ranges(df, order)
+    counts = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(counts.select("__range", before.alias("__before")))
-    return (rows.withColumn("__range", part).join(offsets, "__range")
-            .withColumn(out_col, (F.col("__before") + place + 1).cast("long")).drop("__at", "__range", "__before"))
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(offsets, "__range").withColumn(out_col, (F.col("__before") + place + 1).cast("long")).drop("__at", "__range", "__before")

@@ -156,13 +156,11 @@ def v10b(led):
 union all select 'consumed_items' as report, count(*) as n from t_meal_details
 union all select 'rejected_requests' as report, count(*) as n from decisions where not accepted""")
 def a15(led):
-    """Row counts shown under the listings, as aggregates (no driver-side count)."""
+    """Row counts shown under the listings, as aggregates (no driver-side count); both decisions come from one fold."""
     K.ensure_consumption(led)
-    return (led["t_transactions"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("transactions").alias("report"), "n")
-            .unionByName(led["t_meal_details"].agg(F.count(F.lit(1)).alias("n"))
-                         .select(F.lit("consumed_items").alias("report"), "n"))
-            .unionByName(led["consumption_rejects"].agg(F.count(F.lit(1)).alias("n"))
-                         .select(F.lit("rejected_requests").alias("report"), "n")))
+    decided = led["consumption_decisions"].agg(F.count_if("accepted").alias("consumed_items"), F.count_if(~c("accepted")).alias("rejected_requests"))
+    both = decided.select(F.explode(F.create_map(*[x for n in decided.columns for x in (F.lit(n), c(n))])).alias("report", "n"))
+    return led["t_transactions"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("transactions").alias("report"), "n").unionByName(both)
 
 
 @register("r05_asset_report", f"""select 'WALLET' as section, w.name as item, cast(coalesce(s.current_amount, 0) as double) as amount,

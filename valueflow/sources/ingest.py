@@ -13,6 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..session import ensure_checkpoint_dir, stored
@@ -280,12 +281,31 @@ def record_purchases(raw: DataFrame, led, as_of) -> Purchases:
 
 
 # S-02
-def append_facts(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Append a validated batch to a fact table (Parquet, partitioned)."""
-    w = df.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+def append_facts(df: DataFrame, path: str, batch: str, partition_by: list[str] | None = None) -> bool:
+    """Append a validated batch to a fact table (Parquet, partitioned); False if the batch is there already.
+
+    A batch is a folder ``batch=<id>``: it is written aside and renamed once
+    whole, so a batch that failed half way leaves nothing to read and one
+    that is sent again adds nothing (one writer per batch).  Rows are
+    gathered by partition value before they are written: a value gets a file
+    of the advisory size or several, not one per task.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, aside = folder(f"{path}/batch={batch}"), f"{path}/_aside/{batch}-{uuid.uuid4().hex}"
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        return False
+    gathered = df.hint("rebalance", *partition_by) if partition_by else df
+    gathered.write.partitionBy(*(partition_by or [])).parquet(aside)
+    if not fs.rename(folder(aside), target):
+        raise OSError(f"cannot rename {aside}")
+    return True
+
+
+def read_facts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All committed batches of a fact table."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.StringType())])).parquet(path).select(*schema.names)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -294,12 +314,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def append_round_trip(spark: SparkSession, transactions: DataFrame) -> DataFrame:
-    """Write transactions partitioned by month in two appends, read them back."""
+    """Write transactions partitioned by month in two batches, one of them sent twice, and read them back."""
     path = scratch_path(spark, "t_transactions")
     t = transactions.withColumn("month", F.trunc(F.to_date("transaction_at"), "month"))
-    append_facts(t.filter(c("id") % 2 == 0), path, ["month"])
-    append_facts(t.filter(c("id") % 2 != 0), path, ["month"])
-    return spark.read.schema(t.schema).parquet(path)
+    for batch, rows in (("even", c("id") % 2 == 0), ("odd", c("id") % 2 != 0), ("even", c("id") % 2 == 0)):
+        append_facts(t.filter(rows), path, batch, ["month"])
+    return read_facts(spark, path, t.schema)
 
 
 # S-05
