@@ -206,6 +206,18 @@ def test_fold_keeps_ids_and_splits_hot_lots(spark, hot):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_a_range_folds_only_its_lots(spark, ledger):
+    day = lambda n: NOON + dt.timedelta(days=n)
+    ledger["t_inventory"] = spark.createDataFrame([(i, 100 + i, 10.0, NOON) for i in range(5)], LOTS)
+    # lot 0: used up before the range; lot 1: asked in it; lot 2: by a meal that began before it; lots 3 and 4: never in it
+    asked = [(1, 0, 1, 9.0, 0), (2, 0, 2, 5.0, 10), (3, 1, 1, 4.0, 0), (4, 1, 2, 6.0, 10), (5, 2, 3, 1.0, 9), (6, 2, 3, 1.0, 10), (7, 3, 4, 2.0, 0), (8, 4, 5, 2.0, 20)]
+    ledger["consume_requests"] = spark.createDataFrame([(r, lot, meal, a, "SELF", day(n), r) for r, lot, meal, a, n in asked], REQUESTS)
+    items, meals = K.consumption_between(ledger, lambda ts: F.col(ts).between(day(10), day(12)))
+    found = items.join(meals, "meal_id").select("id", "amount_consumed").collect()
+    assert sorted(map(tuple, found)) == [(4, 6.0)]  # 2 exceeds what 1 left; 5 and 6 belong to a meal of day 9
+    assert {r["inventory_id"] for r in items.select("inventory_id").distinct().collect()} == {0, 1}
+
+
 def test_stream_answers_unknown_lots(spark, tmp_path):
     lots, requests, want = consumption_case()
     lot = {x[0]: (x[1], x[2]) for x in lots}

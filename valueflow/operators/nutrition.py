@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources.schema import MEASURES, NUTRIENTS
-from .stock import ensure_consumption
+from .stock import consumption_between, ensure_consumption
 
 c = F.col
 
@@ -31,11 +31,10 @@ def consumption_events(led, start_day=None, end_day=None) -> DataFrame:
     """Eaten-at-purchase lines UNION ALL eaten-from-stock items.
 
     The optional day range is applied on the raw timestamp in each branch
-    (``ts >= start AND ts < end + 1 day``) so it can reach the scans.
+    (``ts >= start AND ts < end + 1 day``) so it can reach the scans; of the
+    consumption fold only lots that the range asks for are computed.
     """
-    ensure_consumption(led)
     details, tx = led["t_transaction_details"], led["t_transactions"]
-    items, meals = led["t_meal_details"], led["meal_headers"]
 
     def in_range(ts_col):
         cond = F.lit(True)
@@ -45,6 +44,12 @@ def consumption_events(led, start_day=None, end_day=None) -> DataFrame:
             cond = cond & (c(ts_col) < F.date_add(S.date_lit(end_day), 1).cast("timestamp_ntz"))
         return cond
 
+    bounded = start_day is not None or end_day is not None
+    if bounded and ("t_meal_details" not in led or "consumption_decisions" in led):
+        items, meals = consumption_between(led, in_range)
+    else:
+        ensure_consumption(led)
+        items, meals = led["t_meal_details"], led["meal_headers"]
     direct = (details.filter(c("destination") == "EAT_NOW")
               .select("transaction_id", "food_type", "food_id", c("quantity").alias("qty"))
               .join(tx.select(c("id").alias("transaction_id"), "transaction_at")

@@ -215,18 +215,20 @@ def _fold_hot(rows: DataFrame, piece_bits: int) -> DataFrame:
     return placed.repartition("inventory_id", "piece").sortWithinPartitions(*order).mapInArrow(_fold_sorted(["inventory_id", "piece"], "found"), DECISION_SCHEMA)
 
 
-def greedy_consumption(requests: DataFrame, lots: DataFrame, hot: int = HOT_REQUESTS, piece_bits: int = PIECE_BITS) -> DataFrame:
+def greedy_consumption(requests: DataFrame, lots: DataFrame, hot: int = HOT_REQUESTS, piece_bits: int = PIECE_BITS,
+                       counted: DataFrame | None = None) -> DataFrame:
     """Decide each consumption request against what is left in its lot.
 
     Requests naming an unknown lot are rejected (``NO_LOT``).  One shuffle on
     the lot id (requests without a known lot are dealt by themselves); inside
     a partition rows are sorted by (lot, seq) and folded by a streaming
-    ``mapInArrow``.  Lots with more than ``hot`` requests are folded in pieces.
+    ``mapInArrow``.  Lots with more than ``hot`` requests are folded in pieces;
+    ``counted`` is a cheaper table of requests to find them in.
     """
     lot_cols = lots.select(c("id").alias("inventory_id"), "detail_id", c("current_quantity").alias("lot_quantity"))
     cols = [f.name for f in DECISION_SCHEMA.fields if f.name not in ("accepted", "reason", "remaining_after")]
     rows = requests.join(lot_cols, "inventory_id", "left").select(*cols)
-    many = hot_lots(requests, hot)
+    many = hot_lots(requests if counted is None else counted, hot)
     known = c("lot_quantity").isNotNull()
     usual, parts = rows, []
     if many:
@@ -295,6 +297,22 @@ def ensure_consumption(led) -> dict[str, DataFrame]:
     return led
 
 
+def consumption_between(led, in_range) -> tuple[DataFrame, DataFrame]:
+    """(items, meal headers) of the meals whose time ``in_range(column)`` admits.
+
+    What a lot holds depends on all its earlier requests, but on no other
+    lot: only lots that a meal of the range asked for are folded.
+    """
+    requests = led["consume_requests"]
+    meals = requests.groupBy("meal_id").agg(F.min("requested_at").alias("eaten_at")).filter(in_range("eaten_at"))
+    asked = requests.join(meals, "meal_id", "left_semi").select("inventory_id").distinct()
+    history = requests.join(asked, "inventory_id", "left_semi")
+    decisions = greedy_consumption(history, led["t_inventory"], counted=requests)
+    items = decisions.filter(c("accepted")).select(c("request_id").alias("id"), "meal_id", "inventory_id", "detail_id",
+                                                   c("amount").alias("amount_consumed"), "consume_type")
+    return items, meals
+
+
 # V-08
 def check_overdraw(led) -> DataFrame:
     ensure_consumption(led)
