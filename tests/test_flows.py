@@ -317,5 +317,24 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert {(r["wallet_id"], r["usage_restriction"]): r["current_amount"] for r in again.collect()} == want
 
 
+def test_a_sink_stays_small_and_replays_change_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ST, "COMPACT", 4)
+    sink = str(tmp_path / "sink")
+    merge = ST._epoch_sink(sink, ["a", "b"])
+    batch = lambda e: spark.createDataFrame([(e % 3, None if e % 2 else "x", 10 * e), (9, "y", e)], "a long, b string, v long")
+    want = {}
+    for e in range(10):
+        merge(batch(e), e)
+        want.update({(r["a"], r["b"]): r["v"] for r in batch(e).collect()})
+    schema = batch(0).schema
+    found = lambda: {(r["a"], r["b"]): r["v"] for r in ST._latest(spark, sink, ["a", "b"], schema).collect()}
+    assert found() == want and ST._folders(spark, sink) == ([7], [8, 9])
+    merge(batch(9), 9), merge(batch(7), 7)  # the last epoch again; one that a snapshot covers again
+    assert found() == want and ST._folders(spark, sink)[0] == [7]
+    (tmp_path / "sink" / "snapshot=11").mkdir()  # a merge that failed half way
+    assert found() == want
+    assert ST._latest(spark, str(tmp_path / "none"), ["a"], schema).count() == 0
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert ensure_checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")

@@ -33,7 +33,7 @@ from ..functions import scalars as S
 from ..operators.money import GROUP, is_limited
 from ..operators.nutrition import with_food
 from ..operators.stock import DECISION_SCHEMA, _accepted
-from ..sources.ingest import apply_updates, scratch_path
+from ..sources.ingest import scratch_path
 from ..sources.schema import MEASURES
 
 c = F.col
@@ -62,9 +62,46 @@ def _paths(spark: SparkSession, name: str, sink: str | None, checkpoint: str | N
     return sink or scratch_path(spark, f"{name}-sink"), checkpoint or scratch_path(spark, f"{name}-ckpt")
 
 
-def _epoch_sink(sink: str, shape=lambda batch: batch):
+#: Epochs after which a sink is merged.
+COMPACT = 16
+
+
+def _folders(spark: SparkSession, sink: str) -> tuple[list[int], list[int]]:
+    """Epochs of the whole snapshots and of the epoch folders of a sink."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = folder(sink).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder(sink))] if fs.exists(folder(sink)) else []
+    number = lambda kind: sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}="))
+    return [n for n in number("snapshot") if fs.exists(folder(f"{sink}/snapshot={n}/_SUCCESS"))], number("epoch")
+
+
+def _latest(spark: SparkSession, sink: str, keys: list[str], schema: T.StructType) -> DataFrame:
+    """The newest row per ``keys``: the last whole snapshot and the epochs after it."""
+    snapshots, epochs = _folders(spark, sink)
+    last = snapshots[-1] if snapshots else -1
+    paths = [f"{sink}/snapshot={last}"] * bool(snapshots) + [f"{sink}/epoch={e}" for e in epochs if e > last]
+    stored = T.StructType([*schema.fields, T.StructField("at_epoch", T.LongType())])
+    rows = spark.read.schema(stored).parquet(*paths) if paths else spark.createDataFrame([], stored)
+    rest = [f.name for f in stored.fields if f.name not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "at_epoch").alias("newest")).select(*keys, *[f"newest.{r}" for r in rest])
+
+
+def _epoch_sink(sink: str, keys: list[str], shape=lambda batch: batch):
+    """What ``foreachBatch`` calls: stores an epoch's rows; every ``COMPACT`` epochs merges the sink and deletes what is covered."""
+
     def merge(batch: DataFrame, epoch: int) -> None:
-        shape(batch).withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+        spark, rows = batch.sparkSession, shape(batch)
+        rows.withColumn("at_epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+        if (epoch + 1) % COMPACT:
+            return
+        snapshots, _ = _folders(spark, sink)
+        if epoch not in snapshots:
+            _latest(spark, sink, keys, rows.schema).write.mode("overwrite").parquet(f"{sink}/snapshot={epoch}")
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = folder(sink).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        snapshots, epochs = _folders(spark, sink)
+        for old in [f"snapshot={n}" for n in snapshots if n < epoch] + [f"epoch={n}" for n in epochs if n <= epoch]:
+            fs.delete(folder(f"{sink}/{old}"), True)
 
     return merge
 
@@ -78,10 +115,8 @@ def stream_balances(spark: SparkSession, source: str, schema: T.StructType, sink
     agg = (stream.filter(c("wallet_id").isNotNull()).groupBy(*GROUP)
            .agg(F.sum("amount").cast("long").alias("current_amount"), F.max("id").alias("last_id"),
                 F.max("transaction_at").alias("updated_at")))
-    _run(agg.writeStream.outputMode("update").foreachBatch(_epoch_sink(sink)), checkpoint)
-    rows = spark.read.parquet(sink)
-    rows = rows.withColumn("__key", F.to_json(F.struct(*GROUP)))
-    latest = apply_updates(rows.limit(0).drop("epoch"), rows.withColumnRenamed("epoch", "seq"), "__key")
+    _run(agg.writeStream.outputMode("update").foreachBatch(_epoch_sink(sink, GROUP)), checkpoint)
+    latest = _latest(spark, sink, GROUP, agg.schema)
     return latest.select(*GROUP, F.when(is_limited(), c("last_id")).alias("origin_payment_id"),
                          "current_amount", "updated_at")
 
@@ -156,7 +191,6 @@ def stream_daily_nutrition(spark: SparkSession, source: str, schema: T.StructTyp
     agg = ev.groupBy(F.window("day_at", "1 day").alias("w")).agg(
         *[S.decimal_sum(S.nutrient_amount("food_type", "qty", m)).alias(m) for m in MEASURES])
     dated = lambda batch: batch.select(F.date_from_unix_date((F.unix_seconds("w.start") / 86400).cast("int")).alias("day"), *MEASURES)
-    _run(agg.writeStream.outputMode("update").foreachBatch(_epoch_sink(sink, dated)), checkpoint)
-    rows = spark.read.parquet(sink)
-    latest = apply_updates(rows.limit(0).drop("epoch"), rows.withColumnRenamed("epoch", "seq"), "day")
+    _run(agg.writeStream.outputMode("update").foreachBatch(_epoch_sink(sink, ["day"], dated)), checkpoint)
+    latest = _latest(spark, sink, ["day"], T.StructType([T.StructField("day", T.DateType()), *(agg.schema[m] for m in MEASURES)]))
     return latest.select("day", *[c(m).cast("double").alias(m) for m in MEASURES])
