@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.money import balance_snapshot
+from ..operators.stock import ensure_consumption
 from ..sources import ingest as I
 from ..sources.ledger import Ledger
 from .catalog import AS_OF, register
@@ -20,6 +25,45 @@ def s01(led):
     return Ledger.load(led.spark, root, tables=["t_transaction_details"])["t_transaction_details"]
 
 
+S01_SIMPLE = ["m_currencies", "t_currency_rates", "m_foods", "m_store_branches", "m_categories", "t_transactions", "t_payments", "t_inventory",
+              "consume_requests", "raw_movements", "t_meal_logs", "t_meal_details"]
+
+
+@register("s01_every_table", "\nunion all ".join([
+    *(f"select '{t}' as table_name, count(*) as n, 0::bigint as corrupt, 0::bigint as older from {t}" for t in S01_SIMPLE),
+    "select 't_wallet_balances', count(*), 0, 0 from (select distinct wallet_id, expiry_at, usage_restriction from t_payments where wallet_id is not null) b",
+    "select 't_transaction_details', count(*), 0, count(*) filter (id % 2 = 0 or reliability_level is null) from t_transaction_details",
+    "select 'm_brands', count(*), count(*) filter (id % 5 = 0), 0 from m_brands",
+    "select 'm_wallets', count(*), count(*) filter (id % 7 = 0), 0 from m_wallets"]))
+def s01_all(led):
+    """Every ledger table stored and read back: lines in two schema versions, brands as CSV and wallets as JSON with
+    broken lines between them."""
+    ensure_consumption(led)
+    root = I.scratch_path(led.spark, "ledger")
+    led["t_wallet_balances"] = balance_snapshot(led["t_payments"].join(
+        led["t_transactions"].select(c("id").alias("transaction_id"), "transaction_at"), "transaction_id", "left"))
+    for name in [*S01_SIMPLE, "t_wallet_balances"]:
+        led[name].write.parquet(f"{root}/{name}")
+    lines = led["t_transaction_details"]
+    lines.filter(c("id") % 2 != 0).write.parquet(f"{root}/t_transaction_details")
+    lines.filter(c("id") % 2 == 0).drop("reliability_level", "condition_rank").write.mode("append").parquet(f"{root}/t_transaction_details")
+    led["m_brands"].write.option("header", "true").csv(f"{root}/m_brands")
+    led["m_brands"].filter(c("id") % 5 == 0).select(F.concat(F.lit("x"), "id", F.lit(","), "name").alias("id,name")).write.option(
+        "header", "true").option("quote", "\u0000").mode("append").csv(f"{root}/m_brands")
+    led["m_wallets"].write.json(f"{root}/m_wallets")
+    led["m_wallets"].filter(c("id") % 7 == 0).select(F.concat(F.lit('{"id": '), "id").alias("line")).write.mode("append").text(f"{root}/m_wallets")
+    back = Ledger.load(led.spark, root, {"m_brands": "csv", "m_wallets": "json"})
+
+    def counted(name):
+        older = F.count_if(c("reliability_level").isNull()) if name == "t_transaction_details" else F.lit(0).cast("long")
+        rows = back[name].agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"), older.alias("older"))
+        broken = back.corrupt[name].agg(F.count("text").alias("corrupt")) if name in back.corrupt else None
+        return rows.select("table_name", "n", F.lit(0).cast("long").alias("corrupt"), "older") if broken is None else \
+            rows.join(F.broadcast(broken), F.lit(True)).select("table_name", "n", "corrupt", "older")
+
+    return reduce(DataFrame.unionByName, [counted(name) for name in back])
+
+
 @register("s02_append_facts", "select *, cast(date_trunc('month', transaction_at) as date) as month from t_transactions")
 def s02(led):
     """Two appends into a month-partitioned fact table, read back."""

@@ -18,7 +18,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import stored
 from .schema import SCHEMAS
 
 STAR_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -42,16 +44,29 @@ class Ledger(dict):
 
     # ------------------------------------------------------------------ S-01
     @classmethod
-    def load(cls, spark: SparkSession, root: str, fmt: str = "parquet",
+    def load(cls, spark: SparkSession, root: str, fmt: str | dict[str, str] = "parquet",
              tables: list[str] | None = None) -> "Ledger":
-        """Read stored ledger tables with their fixed schemas (never inferred)."""
+        """Read stored ledger tables with their fixed schemas (never inferred).
+
+        ``fmt``: one format, or a format per table (Parquet for the others).
+        A table's files may be of several schema versions: columns that an
+        older file lacks are NULL, columns that the schema does not name are
+        not read.  CSV and JSON lines that do not fit the schema are left out
+        of the table; ``corrupt`` has their text, by table (such files are
+        parsed once, to Parquet in the shared folder).
+        """
         led = cls()
-        led.spark = spark
+        led.spark, led.corrupt = spark, {}
         for name in tables or list(SCHEMAS):
-            reader = spark.read.schema(SCHEMAS[name])
-            if fmt == "csv":
-                reader = reader.option("header", "true")
-            led[name] = reader.format(fmt).load(f"{root}/{name}")
+            kind = fmt if isinstance(fmt, str) else fmt.get(name, "parquet")
+            if kind == "parquet":
+                led[name] = spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
+                continue
+            with_text = T.StructType([*(T.StructField(f.name, f.dataType) for f in SCHEMAS[name]), T.StructField("_corrupt", T.StringType())])
+            reader = spark.read.schema(with_text).option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE")
+            rows = stored((reader.option("header", "true") if kind == "csv" else reader).format(kind).load(f"{root}/{name}"), f"{name}-parsed")
+            led[name] = rows.filter(F.col("_corrupt").isNull()).drop("_corrupt")
+            led.corrupt[name] = rows.filter(F.col("_corrupt").isNotNull()).select(F.col("_corrupt").alias("text"))
         return led
 
     # ----------------------------------------------------------- star adapter
