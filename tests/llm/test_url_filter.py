@@ -56,3 +56,18 @@ def test_many_rule_tokens(spark):
     df = spark.createDataFrame([(1, "http://t7.com/a"), (2, "http://t9.com/t7")], "page_id long, url string")
     counts = U.token_counts(df, "url", U.make_rules([("block", f"t{i}.com", "/") for i in range(200)]))
     assert counts == {"t7": 2, "t9": 1, "com": 2}
+
+
+def test_groups_of_rules_judge_alike_and_columns_stay(spark):
+    rng = random.Random(9)
+    urls = [f"http://{rng.choice(['a', 'ads-track', 'x.example'])}.{rng.choice(['org', 'com', 'net'])}/{rng.choice(['en/1', 'fr/', 'es/', ''])}x" for _ in range(300)] + [None, "", "x"]
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, __host string")
+    whole, parts = U.filter_urls(df, RULES), U.filter_urls(df, RULES, group_rules=2)
+    assert whole.columns == parts.columns == ["page_id", "url", "__host", "_url"]
+    assert sorted(whole.collect()) == sorted(parts.collect())
+    assert U.filter_urls(df, []).filter("_url.verdict <> 'allow'").count() == 0
+
+
+def test_rules_are_compiled_when_fetched():
+    index = U.Index(U.make_rules([], [f"||site{i}.example^" for i in range(5000)]), {"example": 9})
+    assert index.judge("http://site7.example/", "site7.example", "/")[2] == "||site7.example^" and len(index.compiled) == 1

@@ -7,34 +7,40 @@ longest wins.  A pattern rule works on the whole url where no host rule fits:
 end anchors it, ``||`` anchors at a host label; exceptions (allow) beat blocks,
 ties go to the earlier rule.
 
-Every rule is compiled to one regular expression and filed under one of its
+Every rule is one regular expression, filed under one of its
 literal tokens (maximal runs of ASCII letters and digits that the rule bounds
 on both sides), the one fewest urls contain.  The tokens of a url fetch the
-candidate rules; only those run their expressions.  Rules without a bounded
-token are candidates of every url.
+candidate rules; only those run their expressions, which are compiled when
+they are first fetched.  Rules without a bounded token are candidates of every
+url.  The index is built once and broadcast, in groups of ``GROUP_RULES``; with
+several groups each url is judged by each, and the best of their rules decides.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path
 and only the default verdict; an empty table gives no row; repeated rows are
-judged each; the longest urls are matched whole.
+judged each; the longest urls are matched whole; columns of the caller stay,
+one named like the result column is replaced.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import set_aside
+
 TOKEN = re.compile(r"[A-Za-z0-9]+")
 #: The host runs from the first ``://`` up to one of ``/?#``; the path from there up to ``?`` or ``#``.
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: More rules than this are not sent to the executors by value.
-MAX_RULES = 500_000
+#: Rules of one broadcast (some 300 bytes each) and one pass over the urls.
+GROUP_RULES = 200_000
 
 
 @dataclass(frozen=True)
@@ -106,55 +112,78 @@ class Index:
     def __init__(self, rules: list[Rule], counts: dict[str, int]):
         self.by_token: dict[str, dict[str, list]] = {"host": defaultdict(list), "pattern": defaultdict(list)}
         self.always: dict[str, list] = {"host": [], "pattern": []}
+        self.compiled: dict[str, re.Pattern] = {}
         for r in rules:
-            entry = (r, re.compile(r.regex, re.S))
             if r.tokens:
                 rarest = min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t))
-                self.by_token[r.kind][rarest].append(entry)
+                self.by_token[r.kind][rarest].append(r)
             else:
-                self.always[r.kind].append(entry)
+                self.always[r.kind].append(r)
 
     def candidates(self, kind: str, tokens: set[str]) -> Iterator[tuple[Rule, re.Pattern]]:
         filed = self.by_token[kind]
-        for t in tokens & filed.keys():
-            yield from filed[t]
-        yield from self.always[kind]
-
-    def judge(self, url: str | None, host: str, path: str) -> tuple[str | None, str | None, str | None]:
-        """(host rule, verdict of the rule that decided, pattern rule)."""
+        for rules in [*(filed[t] for t in tokens & filed.keys()), self.always[kind]]:
+            for r in rules:
+                if r.regex not in self.compiled:
+                    self.compiled[r.regex] = re.compile(r.regex, re.S)
+                yield r, self.compiled[r.regex]
+
+    def best(self, url: str | None, host: str, path: str) -> Rule | None:
+        """The rule that decides: the longest host rule that fits, else the first pattern, exceptions before blocks."""
         if host:
             place = host + path
             fits = [r for r, x in self.candidates("host", set(TOKEN.findall(place))) if x.match(place)]
             if fits:
-                best = max(fits, key=lambda r: (len(r.text), -r.rank))
-                return best.text, best.verdict, None
+                return max(fits, key=lambda r: (len(r.text), -r.rank))
         if url:
             fits = [r for r, x in self.candidates("pattern", set(TOKEN.findall(url))) if x.search(url)]
             if fits:
-                best = min(fits, key=lambda r: (r.verdict != "allow", r.rank))
-                return None, best.verdict, best.text
-        return None, None, None
+                return min(fits, key=lambda r: (r.verdict != "allow", r.rank))
+        return None
 
+    def judge(self, url: str | None, host: str, path: str) -> tuple[str | None, str | None, str | None]:
+        """(host rule, verdict of the rule that decided, pattern rule)."""
+        r = self.best(url, host, path)
+        return (None, None, None) if r is None else (r.text, r.verdict, None) if r.kind == "host" else (None, r.verdict, r.text)
 
-def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow", out: str = "_url") -> DataFrame:
-    """Adds the struct ``out``: host, path, rule, verdict, pattern (the pattern rule that decided, if one did)."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are sent to the executors")
-    counts = token_counts(pages, url, rules)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("rule", "verdict", "pattern")])
-    kind = pa.struct([(f.name, pa.string()) for f in schema])
 
-    @F.arrow_udf(schema)
+#: What a group of rules says of a url; of several groups the greatest decides.
+_SAYS = T.StructType([T.StructField("host", T.BooleanType()), T.StructField("weight", T.LongType()), T.StructField("order", T.LongType()),
+                      T.StructField("text", T.StringType()), T.StructField("verdict", T.StringType())])
+_SAYS_ARROW = pa.struct([("host", pa.bool_()), ("weight", pa.int64()), ("order", pa.int64()), ("text", pa.string()), ("verdict", pa.string())])
+
+
+def _says(r: Rule | None) -> dict | None:
+    if r is None:
+        return None
+    weight = len(r.text) if r.kind == "host" else int(r.verdict == "allow")
+    return {"host": r.kind == "host", "weight": weight, "order": -r.rank, "text": r.text, "verdict": r.verdict}
+
+
+def _judge(index: Broadcast) -> Callable[..., Column]:
+    @F.arrow_udf(_SAYS)
     def judge(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        index = Index(rules, counts)
         for urls, hosts, paths in batches:
-            rows = map(index.judge, urls.to_pylist(), hosts.to_pylist(), paths.to_pylist())
-            yield pa.array([{"rule": r, "verdict": v or default, "pattern": p} for r, v, p in rows], kind)
+            yield pa.array([_says(index.value.best(*row)) for row in zip(urls.to_pylist(), hosts.to_pylist(), paths.to_pylist())], _SAYS_ARROW)
 
+    return judge
+
+
+def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow", out: str = "_url",
+                group_rules: int = GROUP_RULES) -> DataFrame:
+    """Adds the struct ``out``: host, path, rule, verdict, pattern (the pattern rule that decided, if one did)."""
+    counts = token_counts(pages, url, rules)
+    groups = [rules[lo : lo + group_rules] for lo in range(0, len(rules), group_rules)] or [[]]
+    indexes = [pages.sparkSession.sparkContext.broadcast(Index(g, counts)) for g in groups]
+    said = [f"__said{i}" for i in range(len(indexes))]
+    pages, back = set_aside(pages.drop(out), ["__host", "__path", "__best", *said])
     host, path = split_url(F.col(url))
-    return (
-        pages.withColumn("__host", host).withColumn("__path", path)
-        .withColumn("__judged", judge(F.col(url), F.col("__host"), F.col("__path")))
-        .withColumn(out, F.struct(F.col("__host").alias("host"), F.col("__path").alias("path"), "__judged.rule", "__judged.verdict", "__judged.pattern"))
-        .drop("__host", "__path", "__judged")
-    )
+    judged = pages.withColumn("__host", host).withColumn("__path", path)
+    for name, index in zip(said, indexes):
+        judged = judged.withColumn(name, _judge(index)(F.col(url), F.col("__host"), F.col("__path")))
+    judged = judged.withColumn("__best", F.greatest(*said) if len(said) > 1 else F.col(said[0]))
+    best, by_host = F.col("__best"), F.col("__best.host")
+    return back(judged.withColumn(out, F.struct(
+        F.col("__host").alias("host"), F.col("__path").alias("path"), F.when(by_host, best["text"]).alias("rule"),
+        F.coalesce(best["verdict"], F.lit(default)).alias("verdict"), F.when(~by_host, best["text"]).alias("pattern"),
+    )).drop("__host", "__path", "__best", *said))
