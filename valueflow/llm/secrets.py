@@ -225,7 +225,8 @@ def _step(b: Column) -> Column:
 
 def _candidates(docs: DataFrame, text: str) -> DataFrame:
     """Adds __assign, __access, __hex and __random: tested runs apart from these, each with its step."""
-    found = docs.withColumns({f"__{k}": v for k, v in base_spans(F.col(text)).items()} | {"__run": runs_apart(F.col(text))})
+    runs = F.when(F.col(text).rlike(RUN), runs_apart(F.col(text))).otherwise(F.array().cast(_SPANS))  # most texts have no run at all
+    found = docs.withColumns({f"__{k}": v for k, v in base_spans(F.col(text)).items()} | {"__run": runs})
     tested = F.transform("__run", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), battery(m["value"]).alias("tests")))
     return found.withColumn("__random", tested).drop("__run")
 
