@@ -193,10 +193,11 @@ def o07(led):
   row_number() over (partition by wallet_id order by amount desc, id desc) as rn from t_payments
   where wallet_id is not null) x where rn <= 3""")
 def o08(led):
-    """Top three movements per wallet by amount (score desc, tie by id desc)."""
-    w = Window.partitionBy("wallet_id").orderBy(c("amount").desc(), c("id").desc())
-    return (led["t_payments"].filter(c("wallet_id").isNotNull())
-            .select("wallet_id", "id", "amount", F.row_number().over(w).cast("long").alias("rn"))
+    """Top three movements per wallet by amount (score desc, tie by id desc): three per part of a wallet, then three of those."""
+    best = [c("amount").desc(), c("id").desc()]
+    parts = led["t_payments"].filter(c("wallet_id").isNotNull()).select("wallet_id", "id", "amount", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"))
+    first = parts.withColumn("rn", F.row_number().over(Window.partitionBy("wallet_id", "part").orderBy(*best))).filter(c("rn") <= 3)
+    return (first.select("wallet_id", "id", "amount", F.row_number().over(Window.partitionBy("wallet_id").orderBy(*best)).cast("long").alias("rn"))
             .filter(c("rn") <= 3))
 
 
