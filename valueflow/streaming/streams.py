@@ -5,9 +5,9 @@
   ``foreachBatch`` to an epoch-keyed folder (a replayed epoch overwrites its
   own folder, so the sink is idempotent); the snapshot is latest-wins per
   group over the epochs (S-07).
-* T-02 ``stream_consumption``: per-lot state (remaining quantity) with
-  ``applyInPandasWithState``; rows of a lot inside one micro-batch are
-  folded in sequence order.
+* T-02 ``stream_consumption``: state (remaining quantity of each lot, packed
+  by bucket of lots) with ``applyInPandasWithState``; rows of a lot inside
+  one micro-batch are folded in sequence order.
 * T-03 ``stream_daily_nutrition``: stream-static join to the food
   dimension, watermark on the event time, 1-day tumbling windows.  Rows
   later than the watermark are dropped by the stream and re-done by the
@@ -122,54 +122,78 @@ def stream_balances(spark: SparkSession, source: str, schema: T.StructType, sink
 
 
 # T-02 -----------------------------------------------------------------------
-STATE_SCHEMA = T.StructType([T.StructField("remaining", T.DoubleType())])
+# Buckets of lots: a call and a state cover the lots of a bucket, as both cost more than a lot's few requests.
+LOT_BUCKETS = 8192
+#: What is left of a bucket's lots: ids (64-bit integers, ascending) and quantities (doubles), packed.
+STATE_SCHEMA = T.StructType([T.StructField("lots", T.BinaryType()), T.StructField("remaining", T.BinaryType())])
 
-
-#: Long columns travel as text: pandas would make doubles of a column with a null.
+#: Long columns travel as 0 for null, with a bit each in ``nulls``: pandas would make doubles of a column with a null.
 _LONGS = [f.name for f in DECISION_SCHEMA.fields if isinstance(f.dataType, T.LongType)]
-_AS_TEXT = T.StructType([T.StructField(f.name, T.StringType() if f.name in _LONGS else f.dataType) for f in DECISION_SCHEMA.fields])
+_FILLED = T.StructType([*DECISION_SCHEMA.fields, T.StructField("nulls", T.LongType())])
 
 
-def _place(pdf: pd.DataFrame) -> list[tuple]:
-    """Sorts rows by (seq, request_id), nulls first."""
-    number = lambda v: (v is not None, int(v) if v is not None else 0)
-    return [(number(s), number(r)) for s, r in zip(pdf["seq"], pdf["request_id"])]
+def _place(pdf: pd.DataFrame) -> np.ndarray:
+    """Order of the rows by lot, then (seq, request_id), nulls first."""
+    seen = lambda n: (pdf["nulls"].to_numpy() >> _LONGS.index(n)) & 1 == 0
+    return np.lexsort((pdf["request_id"], seen("request_id"), pdf["seq"], seen("seq"), pdf["inventory_id"]))
 
 
 def _consume_with_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    left = state.get[0] if state.exists else None
+    """Fold the requests of a bucket's lots, each against what is left of its lot (a bucket has null lots only or none)."""
     parts = [p for p in pdfs if len(p)]
     if not parts:
         return
     pdf = pd.concat(parts)
-    places = _place(pdf)
-    pdf = pdf.iloc[sorted(range(len(places)), key=places.__getitem__)]
-    known = pdf["lot_quantity"].first_valid_index() is not None
-    if left is None and known:
-        left = float(pdf["lot_quantity"].dropna().iloc[0])
-    amounts = pdf["amount"].to_numpy(dtype="float64", na_value=np.nan)
-    if left is None:  # an unknown lot: nothing to take from, and no state until it is known
-        yield pdf.assign(accepted=False, reason="NO_LOT", remaining_after=None)[_AS_TEXT.names]
-        return
-    accepted, after = _accepted(amounts, left)
-    state.update((float(after[-1]),))
-    reason = np.where(accepted, None, np.where(~(amounts >= 0), "INVALID_AMOUNT", "OVERDRAW"))
-    yield pdf.assign(accepted=accepted, reason=reason, remaining_after=after)[_AS_TEXT.names]
+    pdf = pdf.iloc[_place(pdf)]
+    held, remaining = ([np.frombuffer(x, t) for x, t in zip(state.get, ("<i8", "<f8"))] if state.exists else (np.zeros(0, "<i8"), np.zeros(0, "<f8")))
+    lots, amounts, qty = pdf["inventory_id"].to_numpy(), *(pdf[n].to_numpy(dtype="float64", na_value=np.nan) for n in ("amount", "lot_quantity"))
+    starts = np.flatnonzero(np.concatenate(([True], lots[1:] != lots[:-1])))
+    ids, ends = lots[starts], [*starts[1:].tolist(), len(lots)]
+    # a lot starts from its state, else from the first quantity that its requests carry
+    known = np.flatnonzero(qty == qty)
+    first = np.concatenate((known, [len(qty)]))[np.searchsorted(known, starts)]
+    left = np.where(first < ends, np.concatenate((qty, [np.nan]))[first], np.nan)
+    at = np.searchsorted(held, ids)
+    old = np.zeros(len(ids), dtype=bool)
+    old[at < len(held)] = held[at[at < len(held)]] == ids[at < len(held)]
+    left[old] = remaining[at[old]]
+    accepted, after = np.zeros(len(lots), dtype=bool), np.full(len(lots), np.nan)
+    for lo, hi, begin in zip(starts.tolist(), ends, left.tolist()):
+        if begin == begin:
+            accepted[lo:hi], after[lo:hi] = _accepted(amounts[lo:hi], begin)
+    none = after != after  # unknown lots: nothing to take from, and no state until they are known
+    reason = np.where(accepted, "", np.where(none, "NO_LOT", np.where(~(amounts >= 0), "INVALID_AMOUNT", "OVERDRAW")))
+    now = after[np.asarray(ends) - 1]
+    if (now == now).any():
+        remaining = remaining.copy()
+        remaining[at[old]] = now[old]
+        fresh = ~old & (now == now)
+        held, remaining = np.concatenate((held, ids[fresh])), np.concatenate((remaining, now[fresh]))
+        order = np.argsort(held, kind="stable")
+        state.update((held[order].astype("<i8").tobytes(), remaining[order].astype("<f8").tobytes()))
+    yield pdf.assign(accepted=accepted, reason=reason, remaining_after=np.where(none, 0.0, after))[_FILLED.names]
 
 
 def stream_consumption(spark: SparkSession, source: str, schema: T.StructType, sink: str | None = None,
                        checkpoint: str | None = None, files_per_trigger: int = 64) -> DataFrame:
-    """Accept / reject consumption requests as they arrive; state = what is left of each lot.
+    """Accept / reject consumption requests as they arrive; state = what is left of each lot, kept by bucket of lots.
 
     Rows carry their lot's quantity; without one (the lot is unknown when they arrive) they are rejected as ``NO_LOT``.
     """
     sink, checkpoint = _paths(spark, "consumption", sink, checkpoint)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-    # requests of unknown lots need no state: they are dealt by themselves
-    lot = F.struct("inventory_id", F.when(c("lot_quantity").isNull(), c("request_id")).alias("alone"))
-    text = stream.select(lot.alias("lot"), *[c(n).cast("string").alias(n) if n in _LONGS else c(n) for n in stream.columns])
-    decided = text.groupBy("lot").applyInPandasWithState(_consume_with_state, _AS_TEXT, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    decided = decided.select(*[c(f.name).cast(f.dataType) for f in DECISION_SCHEMA.fields])
+    # requests of unknown lots need no state: they are dealt by themselves, below zero
+    dealt = lambda n: F.pmod(F.xxhash64(n), F.lit(LOT_BUCKETS))
+    bucket = (F.when(c("lot_quantity").isNull() & c("request_id").isNotNull(), -1 - dealt("request_id"))
+              .when(c("inventory_id").isNull(), F.lit(LOT_BUCKETS)).otherwise(dealt("inventory_id")))
+    nulls = sum((F.when(c(n).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, n in enumerate(_LONGS)), F.lit(0).cast("long"))
+    filled = stream.select(bucket.cast("long").alias("bucket"), nulls.alias("nulls"),
+                           *[F.coalesce(c(n), F.lit(0)).cast("long").alias(n) if n in _LONGS else c(n) for n in stream.columns])
+    decided = filled.groupBy("bucket").applyInPandasWithState(_consume_with_state, _FILLED, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    # the fold answers without nulls: no reason is '', and an unknown lot has nothing left
+    decided = decided.withColumns({"reason": F.when(c("reason") != "", c("reason")), "remaining_after": F.when(c("reason") != "NO_LOT", c("remaining_after"))})
+    there = lambda n: F.when(c("nulls").bitwiseAND(F.lit(1 << _LONGS.index(n))) == 0, c(n)).alias(n)
+    decided = decided.select(*[there(f.name) if f.name in _LONGS else c(f.name).cast(f.dataType) for f in DECISION_SCHEMA.fields])
     _run(decided.writeStream.outputMode("append").format("parquet").option("path", sink), checkpoint)
     return spark.read.schema(DECISION_SCHEMA).parquet(sink)
 
