@@ -32,7 +32,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(BROADCAST_BYTES),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -74,6 +73,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+# Input bytes of one task: of files, and of a shuffle (compressed; up to some 30 times that in a hash table or a sort).
+SCAN_BYTES = 32 * 1024 * 1024
+SHUFFLE_BYTES = 8 * 1024 * 1024
+
+
+def size_tasks(spark: SparkSession, input_bytes: int) -> None:
+    """Size tasks for tables of ``input_bytes``: smaller shares of files and shuffles, and shuffle partitions that grow with the
+    tables, so that no task holds more as they grow.  Settings that the session names are left as they are."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // (SHUFFLE_BYTES // 2)))
+    for key, value in (("spark.sql.files.maxPartitionBytes", SCAN_BYTES), ("spark.sql.adaptive.advisoryPartitionSizeInBytes", SHUFFLE_BYTES),
+                       ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", parts)):
+        ours, now = f"spark.valueflow.set.{key}", spark.conf.get(key, None)
+        if now is None or now == spark.conf.get(ours, None):  # unset, or set here for other tables
+            spark.conf.set(key, str(value))
+            spark.conf.set(ours, str(value))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back (cuts the lineage)."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"

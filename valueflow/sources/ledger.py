@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stored
+from ..session import size_tasks, stored
 from .schema import SCHEMAS
 
 STAR_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -78,6 +78,10 @@ class Ledger(dict):
         led._sf_dir = sf_dir
         led._star = {}
         led._builders = _star_builders(led)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = folder(sf_dir).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        paths = [folder(f"{sf_dir}/{t}.parquet") for t in STAR_TABLES]
+        size_tasks(spark, sum(fs.getContentSummary(p).getLength() for p in paths if fs.exists(p)))
         return led
 
     def star(self, name: str) -> DataFrame:
