@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schema import ENUMS, SCHEMAS
@@ -46,8 +46,9 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _rows(df: DataFrame, rule: str, table: str, column: str, key: str | None, value) -> DataFrame:
-    return df.select(F.lit(rule).alias("rule"), F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
+def _rows(df: DataFrame, rule: str, table: str, column: str | Column, key: str | None, value) -> DataFrame:
+    named = F.lit(column) if isinstance(column, str) else column
+    return df.select(F.lit(rule).alias("rule"), F.lit(table).alias("table_name"), named.alias("column_name"),
                      (c(key).cast("string") if key else F.lit(None).cast("string")).alias("row_key"),
                      value.cast("string").alias("value"))
 
@@ -72,14 +73,17 @@ def check_enums(led) -> DataFrame:
 
 # V-02
 def check_required(led) -> DataFrame:
+    """NULLs in columns that may hold none: one pass over each table, whatever the number of such columns."""
     out = []
     for table, schema in SCHEMAS.items():
         if table not in led:
             continue
         df = led[table]
-        for f in schema.fields:
-            if not f.nullable and f.name in df.columns:
-                out.append(_rows(df.filter(c(f.name).isNull()), "NOT_NULL", table, f.name, _key(df), F.lit(None)))
+        needed = [f.name for f in schema.fields if not f.nullable and f.name in df.columns]
+        if needed:
+            empty = df.filter(reduce(Column.__or__, [c(n).isNull() for n in needed]))
+            rows = _rows(empty, "NOT_NULL", table, F.explode(F.array(*[F.when(c(n).isNull(), F.lit(n)) for n in needed])), _key(df), F.lit(None))
+            out.append(rows.filter(c("column_name").isNotNull()))
     return _union(out)
 
 

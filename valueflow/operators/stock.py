@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from ..sources.schema import STOCK_PLACES
 
 c = F.col
@@ -206,12 +206,12 @@ def _fold_hot(rows: DataFrame, piece_bits: int) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hot-lots-{uuid.uuid4().hex}"
     # ids grow by one along a range, so their upper bits number the pieces in order
     ranged.withColumn("piece", F.shiftright(F.monotonically_increasing_id(), piece_bits)).write.parquet(path)
-    stored = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("piece", T.LongType())])).parquet(path)
-    narrow = stored.select("inventory_id", "piece", "seq", "request_id", "amount", "lot_quantity")
+    pieces = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("piece", T.LongType())])).parquet(path)
+    narrow = pieces.select("inventory_id", "piece", "seq", "request_id", "amount", "lot_quantity")
     packs = narrow.repartition("inventory_id", "piece").sortWithinPartitions(*order).mapInArrow(
         _packs, "inventory_id long, piece long, qty double, least double, amounts binary")
     starts = packs.repartition("inventory_id").sortWithinPartitions("inventory_id", "piece").mapInArrow(_starts, "lot long, place long, found double")
-    placed = stored.join(starts, (c("inventory_id") == c("lot")) & (c("piece") == c("place"))).drop("lot", "place")
+    placed = pieces.join(starts, (c("inventory_id") == c("lot")) & (c("piece") == c("place"))).drop("lot", "place")
     return placed.repartition("inventory_id", "piece").sortWithinPartitions(*order).mapInArrow(_fold_sorted(["inventory_id", "piece"], "found"), DECISION_SCHEMA)
 
 
@@ -242,9 +242,13 @@ def greedy_consumption(requests: DataFrame, lots: DataFrame, hot: int = HOT_REQU
 
 
 # R-11 ---------------------------------------------------------------------
-def record_consumption(requests: DataFrame, lots: DataFrame) -> dict[str, DataFrame]:
-    """Batch of consumption requests -> accepted items, rejects, meals, new stock."""
+def record_consumption(requests: DataFrame, lots: DataFrame, keep: bool = False) -> dict[str, DataFrame]:
+    """Batch of consumption requests -> accepted items, rejects, meals, new stock.
+
+    With ``keep`` the decisions are stored, for plans that read several of these.
+    """
     decisions = greedy_consumption(requests, lots)
+    decisions = stored(decisions, "decisions") if keep else decisions
     items = decisions.filter(c("accepted")).select(
         c("request_id").alias("id"), F.lit(None).cast("string").alias("meal_name"), "meal_id", "inventory_id",
         "detail_id", c("amount").alias("amount_consumed"), "consume_type")
@@ -277,8 +281,8 @@ def stock_snapshot(lots: DataFrame, decisions: DataFrame) -> DataFrame:
                     F.greatest(lots["updated_at"], F.coalesce(c("last_at"), lots["updated_at"])).alias("updated_at")))
 
 
-def ensure_consumption(led) -> dict[str, DataFrame]:
-    """Compute (lazily) the consumption outputs of a ledger once and keep them on it.
+def ensure_consumption(led, keep: bool = False) -> dict[str, DataFrame]:
+    """Compute (lazily) the consumption outputs of a ledger once and keep them on it; with ``keep`` the fold is run and stored.
 
     ``meal_headers`` has every asked-for meal.  Joining items to it drops the
     meals without items, so plans with such a join need no second fold.
@@ -287,7 +291,7 @@ def ensure_consumption(led) -> dict[str, DataFrame]:
         led["meal_headers"] = led["t_meal_logs"].select(c("id").alias("meal_id"), "eaten_at")
         led["t_inventory_snapshot"] = led["t_inventory"]
     if "t_meal_details" not in led:
-        out = record_consumption(led["consume_requests"], led["t_inventory"])
+        out = record_consumption(led["consume_requests"], led["t_inventory"], keep)
         led["consumption_decisions"] = out["decisions"]
         led["t_meal_details"] = out["t_meal_details"]
         led["t_meal_logs"] = out["t_meal_logs"]
