@@ -278,8 +278,10 @@ def exact_sum(x) -> Column:
     Double addition depends on partition order; the decimal sum gives the
     same answer on any partitioning (and equals the oracle's).
     """
-    return F.sum(_c(x).cast("decimal(28,8)")).cast("double")
+    return decimal_sum(x).cast("double")
 
 
 def decimal_sum(x) -> Column:
-    return F.sum(_c(x).cast("decimal(28,8)"))
+    x = _c(x)
+    # zeros, which non-food lines and missing measures give, need no decimal made of them
+    return F.sum(F.when(x == 0, F.lit(0).cast("decimal(28,8)")).otherwise(x.cast("decimal(28,8)")))
