@@ -87,7 +87,8 @@ def ingest_receipts(raw: DataFrame, as_of) -> dict[str, DataFrame]:
     the first such field.
     """
     given = lambda col: F.coalesce(F.trim(c(col)) != "", F.lit(False))
-    number = lambda col: S.normalize_digits(c(col)).try_cast("double")
+    # an empty text is not cast: the failed cast raises inside, which costs more than the rest of the line
+    number = lambda col: F.when(given(col), S.normalize_digits(c(col)).try_cast("double"))
     # each field is read once, in a projection of its own; the decisions only name what was read
     read = raw.select(
         "receipt_id", "line_no", "brand_text", "branch_text", "item_text", F.trim(c("dest_text")).alias("dest"),
