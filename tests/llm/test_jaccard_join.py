@@ -2,11 +2,15 @@
 
 import math
 import random
+import time
+from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from valueflow.llm import common
 from valueflow.llm import jaccard_join as J
-from valueflow.llm.common import words
+from valueflow.llm.common import among, bits_of, words
 from valueflow.llm.components import components
 
 
@@ -147,3 +151,51 @@ def test_columns_named_like_helpers_stay(spark):
     got = J.join(df)
     assert got.columns == ["doc_id", "text", "__rid", "__print", "_near"]
     assert sorted((r["doc_id"], r["__rid"], r["__print"], r["_near"]["class_id"], r["_near"]["n_links"]) for r in got.collect()) == [(1, "a", "b", 1, 1), (2, "c", "d", 1, 1)]
+
+
+def test_phrases_do_not_tie_documents(spark, monkeypatch):
+    """Documents of two out of six passages share tokens with all others, but only A B and B A are near copies."""
+    passages = [[f"w{i}x{k}" for k in range(30)] for i in range(6)]
+    texts = {10 * i + j: " ".join(passages[i] + passages[j]) for i in range(6) for j in range(6) if i != j}
+    sizes, within = [], J.within_clusters
+
+    def watched(members, *args):
+        sizes.extend(r["count"] for r in members.groupBy("cluster").count().collect())
+        return within(members, *args)
+
+    monkeypatch.setattr(J, "within_clusters", watched)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for block in (J.BLOCK, 4):
+        sizes.clear()
+        got = {r["doc_id"]: (r["_near"]["class_id"], r["_near"]["n_links"]) for r in J.join(df, hot=3, block=block).collect()}
+        assert got == {d: (min(d, 10 * (d % 10) + d // 10), 1) for d in texts}
+        assert max(sizes, default=0) <= 2
+
+
+def test_among(spark, monkeypatch):
+    """Numbers at the edges of a row of bits and in several partitions; by broadcast and by join, wide rows unmoved by the first."""
+    numbers = [0, 1, 2, 8, 9, 32_767, 32_768, 32_769, 1 << 33, (1 << 33) + 1, (1 << 33) + 40_000, (5 << 33) + 7]
+    for asked in (numbers[::2], numbers[1::2], numbers, []):
+        df = spark.createDataFrame([(n, "x" * 50) for n in numbers] + [(numbers[3], "again")], "n long, text string")
+        ids = spark.createDataFrame([(n,) for n in asked] * 2, "i long")
+        want = sorted(r["n"] for r in df.collect() if r["n"] in asked)
+        found = among(df, "n", bits_of(ids))
+        assert found.columns == df.columns and sorted(r["n"] for r in found.collect()) == want
+        assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(common, "BROADCAST_BITS", 0)
+            assert sorted(r["n"] for r in among(df, "n", bits_of(ids)).collect()) == want
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+    files = lambda: {str(p) for d in dirs for p in Path(d.getPath()).rglob("shuffle_*")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(key)
+    back = common.written(spark.range(5000).groupBy((F.col("id") % 50).alias("k")).agg(F.collect_list("id").alias("l")), "grouped")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(key) == setting
+    assert back.count() == 50

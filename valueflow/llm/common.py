@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,10 +39,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark drops the shuffle files of a query when it ends; else they stay until the driver happens to collect its garbage.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_DROP_SHUFFLES) if before is None else spark.conf.set(_DROP_SHUFFLES, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back (cuts the lineage)."""
+    """Write ``df`` as Parquet to the shared folder and read it back (cuts the lineage); its shuffle files go at once."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.scratch_path = path
     return back
@@ -76,6 +92,24 @@ def join_small(df: DataFrame, small: DataFrame, on: Column | str | list[str], ho
     return df.join(small, on, how)
 
 
+#: Rows of ``bits_of`` that may be broadcast (4 KB each).
+BROADCAST_BITS = 8192
+
+
+def bits_of(ids: DataFrame) -> DataFrame:
+    """(__bucket, __bits): the numbers in the only column of ``ids``, a bit each, in rows of 32,768 neighbours; written."""
+    i = F.col(ids.columns[0])
+    return written(ids.groupBy(F.bitmap_bucket_number(i).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(i)).alias("__bits")), "bits")
+
+
+def among(df: DataFrame, number: str, bits: DataFrame) -> DataFrame:
+    """The rows whose ``number`` is one of ``bits_of``.  The bits go to the rows, so wide rows are not shuffled."""
+    place = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = join_small(df.withColumn("__bucket", F.bitmap_bucket_number(number)), bits, "__bucket", rows=BROADCAST_BITS)
+    return found.filter(F.getbit(byte, (place % 8).cast("int")) == 1).select(*df.columns)
+
+
 def parts(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,13 +11,16 @@ two are linked if their Jaccard similarity is ``threshold`` or more.
    ``COUNTERS`` hashed counts over all documents; any fixed order keeps the filter
    exact, and counts let shared passages and boilerplate come last.  Lengths and
    places bound the overlap further inside the join.
-   A prefix token of ``HOT`` or more documents ties them into a cluster instead of
-   giving pairs; a cluster's documents are compared in blocks, and a block gives a
-   row for each document, not for each pair.
+   A prefix token of ``HOT`` or more documents gives a star of them instead of pairs.
+   Documents of a star whose MinHash values (as in 3) leave them likely to be linked
+   are tied into a cluster, so documents that only share a phrase are not; a cluster's
+   documents are compared in blocks, and a block gives a row for each document, not
+   for each pair.
 3. MinHash values of candidate pairs are compared ``STEP`` at a time; after each
    step a pair goes if the posterior probability of reaching the threshold (uniform
    prior) is below ``TOLERANCE``.
-4. What is left is verified on the whole shingle sets.
+4. What is left is verified on the whole shingle sets, which are made for the
+   documents of clusters and likely pairs only.
 5. Connected components of the links are the duplicate classes.
 
 Rows keep a number that is written with them once, so a lost executor or another
@@ -38,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_small, set_aside, words, written
+from .common import among, bits_of, discard, join_small, set_aside, words, written
 from .components import components
 
 SHINGLE = 5
@@ -219,17 +222,27 @@ def _pair_batches(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b", "hot"])
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
-    """(rid, sig, sh): MinHash values and whole shingle sets."""
+def _signed(docs: DataFrame) -> DataFrame:
+    """(rid, n, sig): number of shingles and MinHash values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in _texts(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rid", "sig", "sh"])
+            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], ["rid", "n", "sig"])
 
-    return docs.select("rid", "text").mapInArrow(run, "rid long, sig binary, sh binary")
+    return docs.select("rid", "text").mapInArrow(run, "rid long, n int, sig binary")
 
 
-def prune(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+def _whole(docs: DataFrame) -> DataFrame:
+    """(rid, sh): whole shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, sets in _texts(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array([s.tobytes() for s in sets], pa.binary())], ["rid", "sh"])
+
+    return docs.select("rid", "text").mapInArrow(run, "rid long, sh binary")
+
+
+def prune(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose posterior probability of reaching the threshold stays above the tolerance at every step."""
     fewest = fewest_matches(threshold)
 
@@ -243,10 +256,10 @@ def prune(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
                 alive, same = alive[keep], same[keep]
             yield batch.select(["a", "b"]).take(pa.array(alive))
 
-    return _both(pairs, sketches, "sig").mapInArrow(run, "a long, b long")
+    return _both(pairs, signed, "sig").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+def verify(pairs: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs that reach the threshold on their whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,74 +272,108 @@ def verify(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame
             keep = np.flatnonzero(np.array(found) >= threshold - 1e-12)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep)), pa.array(np.array(found)[keep])], ["a", "b", "similarity"])
 
-    return _both(pairs, sketches, "sh").mapInArrow(run, "a long, b long, similarity double")
+    return _both(pairs, whole, "sh").mapInArrow(run, "a long, b long, similarity double")
+
+
+def _in_blocks(members: DataFrame, block: int, *about: DataFrame) -> DataFrame:
+    """The members (rid, cluster) with what ``about`` has of their rids, a row of each for every pair (i, j) of blocks of
+    its cluster that it is in: every block meets every other in one group of at most about two blocks."""
+    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    for table in about:
+        placed = placed.join(table, "rid")
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+
+def _likely(k: int, others: np.ndarray, sig: np.ndarray, counts: np.ndarray, fewest: dict[int, int], threshold: float) -> np.ndarray:
+    """The others that can reach the threshold with document k by their numbers of shingles and, step by step, by MinHash."""
+    alive = others[np.minimum(counts[others], counts[k]) >= threshold * np.maximum(counts[others], counts[k]) - 1e-9]
+    same = np.zeros(len(alive), dtype=np.int64)
+    for n, least in fewest.items():
+        same = same + (sig[alive, n - STEP : n] == sig[k, n - STEP : n]).sum(axis=1)
+        keep = same >= least
+        alive, same = alive[keep], same[keep]
+    return alive
+
+
+def _tie(label: np.ndarray, k: int, others: np.ndarray) -> None:
+    """Gives k, the others and what they are tied to the least of their labels."""
+    found = np.unique(label[np.append(others, k)])
+    if len(found) > 1:
+        label[np.isin(label, found)] = found[0]
+
 
+def ties(stars: DataFrame, signed: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): of the documents that share a star, those that are likely to be linked, or tied by others that are.
 
-def clusters(stars: DataFrame) -> DataFrame:
-    """(rid, cluster) of the documents that prefix tokens of many documents tie together."""
-    return components(stars).select(F.col("node").alias("rid"), F.col("root").alias("cluster"))
+    Linked documents that share a token of many documents are in its star, so they are tied.  Documents that share
+    no more than a phrase are not, however many do: clusters do not grow together over phrases.
+    """
+    fewest = fewest_matches(threshold)
+
+    def run(rows: pa.Table) -> pa.Table:
+        rids, own, at_i, at_j, counts = (rows[c].to_numpy() for c in ("rid", "block", "i", "j", "n"))
+        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint16).reshape(-1, HASHES)
+        left, right = np.flatnonzero(own == at_i[0]), np.flatnonzero(own == at_j[0])
+        label = np.arange(len(rids))
+        for k in left.tolist():
+            open_ = right[(label[right] != label[k]) & (right > k if at_i[0] == at_j[0] else True)]
+            _tie(label, k, _likely(k, open_, sig, counts, fewest, threshold))
+        some = np.flatnonzero(label != np.arange(len(rids)))
+        return pa.table({"a": pa.array(rids[label[some]]), "b": pa.array(rids[some])})
+
+    members = stars.select(F.col("a").alias("cluster"), F.col("b").alias("rid")).unionByName(stars.select(F.col("a").alias("cluster"), F.col("a").alias("rid"))).distinct()
+    rows = _in_blocks(members, block, signed).select("cluster", "i", "j", "block", "rid", "n", "sig")
+    return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def clusters(tied: DataFrame) -> DataFrame:
+    """(rid, cluster) of the documents that ``ties`` tie together."""
+    return components(tied).select(F.col("node").alias("rid"), F.col("root").alias("cluster"))
 
 
-def within_clusters(members: DataFrame, sketches: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def within_clusters(members: DataFrame, signed: DataFrame, whole: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(rid, links, root) for documents of clusters that have links in theirs.
 
-    ``members``: rid, cluster, size.  Every block of a cluster meets every other in one group of at most about two
-    blocks.  There all pairs are compared by their MinHash values in steps, and the rest on the whole sets, but what
-    leaves the group is a row for each document: how many documents it is linked with, and the least document that
-    links of this group tie it to.
+    ``members``: rid, cluster, size.  In a group of two blocks all pairs are compared by their MinHash values in steps,
+    and the rest on the whole sets, but what leaves the group is a row for each document: how many documents it is
+    linked with, and a document that links of this group tie it to.
     """
     fewest = fewest_matches(threshold)
 
     def run(rows: pa.Table) -> pa.Table:
         rids, sizes = rows["rid"].to_numpy(), rows["size"].to_numpy()
-        own, at_i, at_j = (rows[c].to_numpy() for c in ("block", "i", "j"))
+        own, at_i, at_j, counts = (rows[c].to_numpy() for c in ("block", "i", "j", "n"))
         sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint16).reshape(-1, HASHES)
         sets = [np.frombuffer(x, np.uint64) for x in rows["sh"].to_pylist()]
-        counts = np.array([len(x) for x in sets])
         right = np.flatnonzero(own == at_j[0])
+        place = np.empty(len(rids), dtype=np.int64)
+        place[right] = np.arange(len(right))
         known, flat = np.unique(np.concatenate([sets[k] for k in right]), return_inverse=True) if len(right) else (np.empty(0, np.uint64), np.empty(0, np.int64))
         starts = np.concatenate(([0], np.cumsum(counts[right])))[:-1]
-        links, root = np.zeros(len(rids), dtype=np.int64), list(range(len(rids)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
+        links, label = np.zeros(len(rids), dtype=np.int64), np.arange(len(rids))
         for k in np.flatnonzero(own == at_i[0]).tolist():
-            alive = np.flatnonzero((right > k) if at_i[0] == at_j[0] else np.ones(len(right), dtype=bool))
-            alive = alive[np.minimum(counts[right[alive]], counts[k]) >= threshold * np.maximum(counts[right[alive]], counts[k]) - 1e-9]
-            same = np.zeros(len(alive), dtype=np.int64)
-            for n, least in fewest.items():
-                same = same + (sig[right[alive], n - STEP : n] == sig[k, n - STEP : n]).sum(axis=1)
-                keep = same >= least
-                alive, same = alive[keep], same[keep]
+            alive = _likely(k, right[right > k] if at_i[0] == at_j[0] else right, sig, counts, fewest, threshold)
             if not len(alive):
                 continue
             mine = np.zeros(len(known) + 1, dtype=np.int64)
             at = np.searchsorted(known, sets[k])
             mine[at[known[np.minimum(at, len(known) - 1)] == sets[k]]] = 1
-            both = np.add.reduceat(mine[flat], starts)[alive]
-            linked = right[alive[both >= (threshold - 1e-12) * (counts[k] + counts[right[alive]] - both)]]
+            both = np.add.reduceat(mine[flat], starts)[place[alive]]
+            linked = alive[both >= (threshold - 1e-12) * (counts[k] + counts[alive] - both)]
             links[k] += sizes[linked].sum()
             links[linked] += sizes[k]
-            for x in linked.tolist():
-                u, v = find(k), find(x)
-                root[max(u, v)] = min(u, v)
+            _tie(label, k, linked)
         some = np.flatnonzero(links)
-        return pa.table({"rid": pa.array(rids[some]), "links": pa.array(links[some]), "root": pa.array(rids[[find(x) for x in some.tolist()]] if len(some) else rids[some])})
+        return pa.table({"rid": pa.array(rids[some]), "links": pa.array(links[some]), "root": pa.array(rids[label[some]])})
 
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    placed = placed.join(sketches, "rid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = placed.select("cluster", "i", "j", "block", "rid", "size", "sig", "sh")
+    rows = _in_blocks(members, block, signed, whole).select("cluster", "i", "j", "block", "rid", "size", "n", "sig", "sh")
     return rows.groupBy("cluster", "i", "j").applyInArrow(run, "rid long, links long, root long")
 
 
-def _both(pairs: DataFrame, sketches: DataFrame, column: str) -> DataFrame:
-    side = lambda s: sketches.select(F.col("rid").alias(s), F.col(column).alias(f"{column}_{s}"))
+def _both(pairs: DataFrame, about: DataFrame, column: str) -> DataFrame:
+    side = lambda s: about.select(F.col("rid").alias(s), F.col(column).alias(f"{column}_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
@@ -342,22 +389,24 @@ def links(stored: DataFrame, threshold: float = THRESHOLD, hot: int = HOT, block
     classes = written(stored.filter(F.col("__print").isNotNull()).groupBy(F.col("__print").alias("print")).agg(
         F.min("__rid").alias("rid"), F.count("*").alias("size"), F.min("doc_id").alias("least_id")), "classes")
     sizes = classes.select("rid", "size")
-    rows = stored.filter(F.col("__print").isNotNull() & ~F.col("__print").startswith("raw:")).select(F.col("__rid").alias("rid"), "__print", F.col("text").cast("string").alias("text"))
-    many = classes.filter("size > 1").select(F.col("print").alias("p"), F.col("rid").alias("first"))
-    reps = join_small(rows, many, F.col("__print") == F.col("p"), "left").filter("first is null or first = rid").select("rid", "text")
+    rows = stored.filter(F.col("__print").isNotNull() & ~F.col("__print").startswith("raw:")).select(F.col("__rid").alias("rid"), F.col("text").cast("string").alias("text"))
+    firsts = bits_of(classes.select("rid"))
+    reps = among(rows, "rid", firsts)
     tokens = prefix_tokens(reps, rarity_table(reps, 2 * spark.sparkContext.defaultParallelism), threshold)
     found = written(candidates(tokens, threshold, hot), "candidates")
-    ids = found.select(F.col("a").alias("i")).unionByName(found.select(F.col("b").alias("i"))).distinct()
-    sketches = written(_sketched(join_small(rows.select("rid", "text"), ids, F.col("rid") == F.col("i")).select("rid", "text")), "sketches")
+    asked = bits_of(found.select("a").unionByName(found.select(F.col("b").alias("a"))))
+    signed = written(_signed(among(rows, "rid", asked)), "signed")
 
-    tied = written(clusters(found.filter("hot")), "clusters")
-    inside = written(within_clusters(tied.join(sizes, "rid"), sketches, threshold, block), "inside")
+    tied = written(clusters(ties(found.filter("hot"), signed, threshold, block)), "clusters")
     mark = lambda s: tied.select(F.col("rid").alias(s), F.col("cluster").alias(f"cluster_{s}"))
     pairs = join_small(join_small(found.filter("not hot").select("a", "b"), mark("a"), "a", "left"), mark("b"), "b", "left")
     pairs = pairs.filter("cluster_a is null or cluster_b is null or cluster_a <> cluster_b").select("a", "b")
-    likely = written(prune(pairs, sketches, threshold), "likely")
-    real = written(verify(likely, sketches, threshold), "links")
-    discard(found, sketches, tied, likely)
+    likely = written(prune(pairs, signed, threshold), "likely")
+    left = bits_of(tied.select("rid").unionByName(likely.select(F.col("a").alias("rid"))).unionByName(likely.select(F.col("b").alias("rid"))))
+    whole = written(_whole(among(rows, "rid", left)), "whole")
+    inside = written(within_clusters(tied.join(sizes, "rid"), signed, whole, threshold, block), "inside")
+    real = written(verify(likely, whole, threshold), "links")
+    discard(firsts, found, asked, signed, tied, likely, left, whole)
 
     partner = lambda me, other: real.select(F.col(me).alias("me"), F.col(other).alias("rid"))
     outside = partner("a", "b").unionByName(partner("b", "a")).join(sizes, "rid").select(F.col("me").alias("rid"), F.col("size").alias("links"))
