@@ -1,11 +1,14 @@
 """The pipeline's stages, each against a plain statement of what it must do; and the registered queries."""
 
+import os
+
 import corpus_pipeline as C
 import pytest
 from pyspark.sql import functions as F
 
 from valueflow.llm import decontaminate, jaccard_join, quality, queries
 from valueflow.llm.common import table, written
+from valueflow.session import ensure_checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,6 +69,16 @@ def test_run(spark):
     assert C.run(spark, SF).columns[-2:] == ["shard", "slot"]
 
 
+def test_run_keeps_the_last_table_only(spark):
+    """Of the tables between the stages, only what the result reads is left."""
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    tables = lambda: {t for t in os.listdir(folder) if t.rpartition("-")[0] in dict(C.STAGES)}
+    before = tables()
+    out = C.run(spark, SF)
+    assert [t.rpartition("-")[0] for t in tables() - before] == ["mixing"]
+    assert out.count() > 0
+
+
 def test_empty_documents(spark):
     docs = table(spark, SF, "documents").limit(0)
     for name, stage in C.STAGES:
