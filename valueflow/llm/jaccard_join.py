@@ -49,7 +49,7 @@ THRESHOLD = 0.8
 COUNTERS = 1 << 20
 HASHES = 128
 STEP = 32
-HOT = 32            # documents that share a prefix token, from which on they are a cluster
+HOT = 32            # documents that share a prefix token, from which on they are a star
 BLOCK = 512         # documents of a cluster that are compared with as many in one group
 TOLERANCE = 1e-6
 SLICE = 1024        # documents whose shingle sets a worker holds at once
